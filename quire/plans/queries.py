@@ -1,4 +1,468 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, each with the same question in SQL where SQL can ask it.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables hold no page images and no Chinese, so lines get boxes from their place and length, readings and
+translations are made from the rows by arithmetic, and Latin letters with diacritics stand in for a script.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.pack import DIACRITIC
+from ..operators import catalogue, context, export, geometry, integrity, layout, profile, reconcile, translate
+from ..sources.tables import table
+from ..streaming import ledger
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- rows that stand for the engine's own tables ---------------------------------------------------------------------
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, page, line_no, text, confidence and a box for each line of ``documents``."""
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    size, pos = F.char_length("text"), F.col("n") % 20
+    return each.select(
+        "doc_id", F.floor(F.col("n") / 20).cast("int").alias("page"), pos.cast("int").alias("line_no"), "text", F.lit(0.9).alias("confidence"),
+        F.when((F.col("doc_id") % 3 == 0) & (pos % 2 == 1), 0.55).otherwise(0.06).alias("x"), F.round(0.02 + pos * 0.045, 6).alias("y"),
+        F.round(0.05 + F.least(size, F.lit(60)) * 0.005, 6).alias("w"), F.round(0.03 + size % 3 * 0.005, 6).alias("h"),
+    )
+
+
+LINES = """lines as (select doc_id, (n // 20)::int as page, (n % 20)::int as line_no, text, case when doc_id % 3 = 0 and n % 20 % 2 = 1 then 0.55::double else 0.06::double end as x,
+  round(0.02::double + (n % 20) * 0.045::double, 6) as y, round(0.05::double + least(length(text), 60) * 0.005::double, 6) as w, round(0.03::double + length(text) % 3 * 0.005::double, 6) as h
+  from (select doc_id, unnest(parts) as text, generate_subscripts(parts, 1) - 1 as n from (select doc_id, string_split(text, chr(10)) as parts from documents)))"""
+
+
+def notices(spark: SparkSession, sf: str) -> DataFrame:
+    """order_key, line_no, source, target: notices of order lines; the order's number says what the target gets wrong."""
+    item = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    q, k = F.col("l_quantity").cast("int"), F.col("o_orderkey") % 7
+    text = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    source = text("Order", F.col("o_orderkey"), "line", F.col("l_linenumber"), "holds", q, "pieces of part", F.col("l_partkey"))
+    target = (
+        F.when(k == 0, text("Auftrag", F.col("o_orderkey"), "Zeile", F.col("l_linenumber"), "mit Stück vom Teil", F.col("l_partkey")))
+        .when(k == 1, text("Auftrag", F.col("o_orderkey"), "Zeile", F.col("l_linenumber"), "mit", q, "Stück vom Teil", F.col("l_partkey"), "Seite 99,5"))
+        .when(k == 2, text("Auftrag", F.col("o_orderkey"), "Zeile", F.col("l_linenumber"), "mit", q, "Stück vom Teil", F.col("l_partkey") + 1))
+        .when(k == 3, F.lit(" "))
+        .when(k == 4, source)
+        .when(k == 5, text("Auftrag", F.col("o_orderkey"), "ja ja ja ja ja"))
+        .otherwise(text("Auftrag", F.col("o_orderkey"), "Zeile", F.col("l_linenumber"), "mit", q, "Stück vom Teil", F.col("l_partkey")))
+    )
+    return item.select(F.col("o_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), source.alias("source"), target.alias("target"))
+
+
+NOTICES = """notices as (select order_key, line_no, source, case k when 0 then concat_ws(' ', 'Auftrag', order_key, 'Zeile', line_no, 'mit Stück vom Teil', part)
+  when 1 then concat_ws(' ', 'Auftrag', order_key, 'Zeile', line_no, 'mit', q, 'Stück vom Teil', part, 'Seite 99,5') when 2 then concat_ws(' ', 'Auftrag', order_key, 'Zeile', line_no, 'mit', q, 'Stück vom Teil', part + 1)
+  when 3 then ' ' when 4 then source when 5 then concat_ws(' ', 'Auftrag', order_key, 'ja ja ja ja ja') else concat_ws(' ', 'Auftrag', order_key, 'Zeile', line_no, 'mit', q, 'Stück vom Teil', part) end as target
+  from (select o_orderkey as order_key, l_linenumber as line_no, l_quantity::int as q, l_partkey as part, o_orderkey % 7 as k, concat_ws(' ', 'Order', o_orderkey, 'line', l_linenumber, 'holds', l_quantity::int, 'pieces of part', l_partkey) as source
+    from lineitem join orders on l_orderkey = o_orderkey))"""
+_RUNS = "list_transform(regexp_extract_all({0}, '[0-9][0-9.,]*'), lambda x: rtrim(replace(x, ',', ''), '.'))"
+_COUNT = "len(list_filter({0}, lambda y: y = {1}))"
+
+
+def dialogues(spark: SparkSession, sf: str) -> DataFrame:
+    """conv_id, turn, source, target: a turn and the one after it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("source"), F.lead("text").over(w).alias("target")).where("target is not null")
+
+
+DIALOGUES = "dialogues as (select * from (select conv_id, turn, text as source, lead(text) over (partition by conv_id order by turn) as target from conversations) where target is not null)"
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, page, ord, kind, text, target: lines as blocks; the target is the text in capitals."""
+    each = lines(spark, sf).where("trim(text) <> ''")
+    kind = F.when((F.col("line_no") == 0) & (F.char_length("text") <= 60), "heading").when(F.char_length("text") <= 12, "pageFurniture").when(F.col("line_no") % 5 == 4, "listItem").otherwise("paragraph")
+    return each.select("doc_id", "page", F.col("line_no").alias("ord"), kind.alias("kind"), "text", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("target"))
+
+
+BLOCKS = LINES + """, blocks as (select doc_id, page, line_no as ord, case when line_no = 0 and length(text) <= 60 then 'heading' when length(text) <= 12 then 'pageFurniture' when line_no % 5 = 4 then 'listItem' else 'paragraph' end as kind,
+  text, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as target from lines where trim(text) <> '')"""
+
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger entries from ``events``."""
+    e, kind, n = table(spark, sf, "events"), F.col("event_type"), F.col("event_id")
+    return e.select(
+        (F.col("user_id") % 50).alias("scope"), F.col("ts").cast("timestamp").alias("at"), n.alias("seq"), F.when(kind == "purchase", "modelWeights").otherwise("documentWork").alias("purpose"),
+        F.when(n % 11 == 0, "models.example.org").otherwise(F.concat(F.lit("127.0.0."), (n % 9 + 1).cast("string"))).alias("authority"), F.when((kind == "error") | ((n % 11 == 0) & (kind != "purchase")), "refused").otherwise("allowed").alias("outcome"),
+        F.char_length("props").cast("long").alias("bytes_sent"), F.floor("value").cast("long").alias("bytes_received"),
+    )
+
+
+ENTRIES = """entries as (select user_id % 50 as scope, ts as at, event_id as seq, case when event_type = 'purchase' then 'modelWeights' else 'documentWork' end as purpose,
+  case when event_id % 11 = 0 then 'models.example.org' else '127.0.0.' || (event_id % 9 + 1) end as authority, case when event_type = 'error' or (event_id % 11 = 0 and event_type <> 'purchase') then 'refused' else 'allowed' end as outcome,
+  length(props) as bytes_sent, floor(value)::bigint as bytes_received from events)"""
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"with {LINES} select doc_id, page, line_no, array_to_string({_RUNS.format('text')}, '|') as runs from lines where regexp_matches(text, '[0-9]')")
+def number_runs(spark, sf):
+    return lines(spark, sf).where(F.col("text").rlike("[0-9]")).select("doc_id", "page", "line_no", F.array_join(T.number_runs(F.col("text")), "|").alias("runs"))
+
+
+@_query(f"""with {NOTICES}, r as (select order_key, line_no, {_RUNS.format('source')} as a, {_RUNS.format('target')} as b from notices)
+select order_key, line_no, array_to_string(list_sort(list_filter(list_distinct(a), lambda x: {_COUNT.format('a', 'x')} > {_COUNT.format('b', 'x')})), '|') as dropped,
+  array_to_string(list_sort(list_filter(list_distinct(b), lambda x: {_COUNT.format('b', 'x')} > {_COUNT.format('a', 'x')})), '|') as invented from r""")
+def number_multiset_diff(spark, sf):
+    a, b = T.number_runs(F.col("source")), T.number_runs(F.col("target"))
+    return notices(spark, sf).select("order_key", "line_no", F.array_join(T.multiset_minus(a, b), "|").alias("dropped"), F.array_join(T.multiset_minus(b, a), "|").alias("invented"))
+
+
+@_query(r"""select doc_id, case when n > 0 then round(len(regexp_extract_all(t, '[À-ÿ]')) / n::double, 6) else 0.0 end as share from (select doc_id, t, length(t) as n from (select doc_id, regexp_replace(text, '[\s\p{P}]', '', 'g') as t from documents))""")
+def script_share(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(T.script_share(F.col("text"), DIACRITIC), 6).alias("share"))
+
+
+@_query(rf"""with {DIALOGUES}, r as (select conv_id, turn, length(regexp_replace(source, '\s', '', 'g')) as s, length(regexp_replace(target, '\s', '', 'g')) as t from dialogues)
+select conv_id, turn, case when s >= 8 then round(t / s::double, 6) end as ratio, s >= 8 and (t / s::double < 0.8 or t / s::double > 4.5) as outside from r""")
+def length_ratio(spark, sf):
+    s, t = T.letters(F.col("source")), T.letters(F.col("target"))
+    ratio = F.when(s >= 8, t / s)
+    return dialogues(spark, sf).select("conv_id", "turn", F.round(ratio, 6).alias("ratio"), F.coalesce((ratio < 0.8) | (ratio > 4.5), F.lit(False)).alias("outside"))
+
+
+_SAID = "list_filter(range(1, len(w) - {3} + 2), lambda i: list_slice(w, i, i + {0}) = list_slice(w, i + {1}, i + {2}) and list_slice(w, i + {1}, i + {2}) = list_slice(w, i + {4}, i + {5}) and list_slice(w, i + {4}, i + {5}) = list_slice(w, i + {6}, i + {7}))"
+
+
+def _said(k: int) -> str:
+    at = _SAID.format(k - 1, k, 2 * k - 1, 4 * k, 2 * k, 3 * k - 1, 3 * k, 4 * k - 1)
+    return f"case when len({at}) > 0 then array_to_string(list_slice(w, {at}[1], {at}[1] + {k - 1}), ' ') end"
+
+
+@_query(rf"""with w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as w from documents) select doc_id, coalesce({', '.join(map(_said, range(1, 5)))}) as phrase from w where len(w) >= 8""")
+def repeated_run(spark, sf):
+    d = table(spark, sf, "documents").where(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")) >= 8)
+    return d.select("doc_id", T.repeated_run(F.col("text")).alias("phrase"))
+
+
+@_query(rf"with {LINES} select doc_id, page, line_no, trim(regexp_replace(text, '\s+', ' ', 'g')) as normal from lines")
+def normalize_spaces(spark, sf):
+    return lines(spark, sf).select("doc_id", "page", "line_no", T.normalized(F.col("text"), DIACRITIC).alias("normal"))
+
+
+@_query(rf"""with {DIALOGUES}, r as (select conv_id, turn, substr(regexp_replace(source, '[^ -~]', '?', 'g'), 1, 2000) as a, substr(regexp_replace(target, '[^ -~]', '?', 'g'), 1, 2000) as b from dialogues)
+select conv_id, turn, round(case when greatest(length(a), length(b)) = 0 then 1.0 when a = '' or b = '' then 0.0 else 1 - levenshtein(a, b) / greatest(length(a), length(b))::double end, 6) as similarity from r""")
+def similarity_ascii(spark, sf):
+    plain = lambda c: F.regexp_replace(c, "[^ -~]", "?")
+    return dialogues(spark, sf).select("conv_id", "turn", F.round(T.similarity(plain("source"), plain("target")), 6).alias("similarity"))
+
+
+# --- integrity and confidence ----------------------------------------------------------------------------------------
+
+
+def _scored(spark, sf) -> DataFrame:
+    n = notices(spark, sf)
+    kind, key = F.col("order_key") % 5, F.col("order_key")
+    settlement = F.when(kind == 0, "unanimous").when(kind == 1, "textLayer").when(kind == 2, "single").when(kind == 3, "adjudicated").otherwise("defaulted")
+    reader = F.when(key % 2 == 0, "visionLanguageModel").otherwise("visionOCR")
+    agreement = F.when(kind >= 3, 0.75)
+    other = F.when(key % 4 == 0, 0.4).when(key % 4 == 1, 0.9)
+    n = n.withColumn("found", integrity.findings(F.col("source"), F.col("target"), DIACRITIC))
+    score = integrity.confidence(settlement, reader, agreement, F.col("found"), other, key % 3 != 0, key % 6 == 1)
+    return n.select("order_key", "line_no", "found", F.round(score, 6).alias("score"))
+
+
+_FOUND = rf"""{NOTICES}, t as (select order_key, line_no, source as s, trim(target) as t from notices),
+r as (select *, {_RUNS.format('s')} as a, {_RUNS.format('t')} as b, string_split(regexp_replace(t, '\s+', ' ', 'g'), ' ') as w, length(regexp_replace(t, '\s', '', 'g')) / length(regexp_replace(s, '\s', '', 'g'))::double as ratio, regexp_replace(t, '[\s\p{{P}}]', '', 'g') as bare from t),
+q as (select *, list_filter(a, lambda x: list_contains(['1','2','3','4','5','6','7','8','9','10','11','12'], x) and (case x when '1' then regexp_matches(lower(t), 'one|first') when '2' then regexp_matches(lower(t), 'two|second') when '3' then regexp_matches(lower(t), 'three|third')
+   when '4' then regexp_matches(lower(t), 'four|fourth') when '5' then regexp_matches(lower(t), 'five|fifth') when '6' then regexp_matches(lower(t), 'six|sixth') when '7' then regexp_matches(lower(t), 'seven|seventh') when '8' then regexp_matches(lower(t), 'eight|eighth')
+   when '9' then regexp_matches(lower(t), 'nine|ninth') when '10' then regexp_matches(lower(t), 'ten|tenth') when '11' then regexp_matches(lower(t), 'eleven|eleventh') else regexp_matches(lower(t), 'twelve|twelfth') end)) as ex from r),
+f as (select order_key, line_no, case when t = '' then ['emptyTranslation:3'] else
+  (case when s = t then ['echoedSource:3'] else [] end)
+  || list_transform(list_sort(list_filter(list_distinct(a), lambda x: {_COUNT.format('a', 'x')} - {_COUNT.format('ex', 'x')} > {_COUNT.format('b', 'x')})), lambda x: 'droppedNumber:3')
+  || list_transform(list_sort(list_filter(list_distinct(b), lambda x: {_COUNT.format('b', 'x')} > greatest(0, {_COUNT.format('a', 'x')} - {_COUNT.format('ex', 'x')}))), lambda x: 'inventedNumber:2')
+  || (case when ratio < 0.8 then ['lengthOutOfRange:2'] when ratio > 4.5 then ['lengthOutOfRange:1'] else [] end)
+  || (case when len(w) >= 8 and {_said(1)} is not null then ['repeatedRun:3'] else [] end) end as found from q),
+base as (select order_key, line_no, found, case order_key % 5 when 2 then case when order_key % 2 = 0 then 0.45 else 0.2 end when 3 then 0.12 when 4 then 0.3 else 0.0 end::double as d1, case when order_key % 5 >= 3 then 0.1 else 0.0 end::double as d2,
+  case order_key % 4 when 0 then 0.2 when 1 then 0.0 else 0.05 end::double as d3, case when order_key % 3 = 0 then 0.2 when order_key % 6 = 1 then 0.1 else 0.0 end::double as d4 from f),
+scored as (select order_key, line_no, found, round(greatest(0.0::double, least(case when len(list_filter(found, lambda x: x like '%:3')) > 0 then 0.35::double else 1.0::double end,
+  1.0::double - d1 - d2 - d3 - d4 - len(list_filter(found, lambda x: x like '%:3')) * 0.4::double - len(list_filter(found, lambda x: x like '%:2')) * 0.12::double - len(list_filter(found, lambda x: x like '%:1')) * 0.04::double)), 6) as score from base)"""
+
+
+@_query(f"with {_FOUND} select order_key, line_no, array_to_string(found, ',') as findings from scored")
+def integrity_findings(spark, sf):
+    tags = F.transform("found", lambda f: F.concat(f.kind, F.lit(":"), f.severity.cast("string")))
+    return _scored(spark, sf).select("order_key", "line_no", F.array_join(tags, ",").alias("findings"))
+
+
+@_query(f"with {_FOUND} select order_key, line_no, score, case when score >= 0.85 then 'high' when score >= 0.6 then 'check' else 'low' end as band from scored")
+def confidence(spark, sf):
+    return _scored(spark, sf).select("order_key", "line_no", "score", integrity.band(F.col("score")).alias("band"))
+
+
+@_query(f"with {_FOUND} select order_key, line_no, score, len(found) as n_findings from scored where score < 0.85 order by score, order_key, line_no")
+def attention_queue(spark, sf):
+    return _scored(spark, sf).where("score < 0.85").select("order_key", "line_no", "score", F.size("found").alias("n_findings")).orderBy("score", "order_key", "line_no")
+
+
+@_query(f"""with {_FOUND} select order_key % 10 as page, count(*) as n_blocks, count(*) filter (score < 0.85) as n_attention, round(min(score), 6) as worst, sum(len(found)) as n_findings from scored group by 1""")
+def provenance_counts(spark, sf):
+    s = _scored(spark, sf).withColumn("page", F.col("order_key") % 10)
+    return s.groupBy("page").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("score") < 0.85).alias("n_attention"), F.round(F.min("score"), 6).alias("worst"), F.sum(F.size("found")).alias("n_findings"))
+
+
+# --- layout ----------------------------------------------------------------------------------------------------------
+
+_ITEM = r"'^([•·‧\-—*▪◦]|[0-9]+[.)、]|[（(]\s*[0-9一二三四五六七八九十]+\s*[)）]|[一二三四五六七八九十百]+[、.]|第[0-9一二三四五六七八九十百]+[条章节款项])'"
+
+
+@_query(f"with {LINES} select doc_id, page, line_no, regexp_matches(trim(text), {_ITEM}) as is_item from lines")
+def list_item(spark, sf):
+    return lines(spark, sf).select("doc_id", "page", "line_no", T.list_item(F.trim("text")).alias("is_item"))
+
+
+_MEDIAN = "medians as (select doc_id, page, list_sort(list(h))[count(*) // 2 + 1] as median from lines where trim(text) <> '' group by doc_id, page)"
+
+
+@_query(f"with {LINES}, {_MEDIAN} select doc_id, page, median from medians")
+def upper_median(spark, sf):
+    return lines(spark, sf).where("trim(text) <> ''").groupBy("doc_id", "page").agg(T.upper_median(F.collect_list("h")).alias("median"))
+
+
+@_query(rf"""with {LINES}, {_MEDIAN} select l.doc_id, l.page, l.line_no, case when length(trim(text)) <= 24 and (y + h > 0.93 or y < 0.05) then 'pageFurniture' when regexp_matches(trim(text), {_ITEM}) then 'listItem'
+  when not regexp_matches(trim(text), '[.!?]$') and h > median * 1.3::double and length(trim(text)) <= 60 then 'heading' else 'paragraph' end as kind from lines l join medians m on m.doc_id = l.doc_id and m.page = l.page where trim(text) <> ''""")
+def classify_block(spark, sf):
+    kept = lines(spark, sf).where("trim(text) <> ''")
+    median = F.sort_array(F.collect_list("h").over(Window.partitionBy("doc_id", "page")))
+    m = T.upper_median(median)
+    return kept.withColumn("m", m).select("doc_id", "page", "line_no", layout.classify(F.col("text"), F.lit(1), F.col("y"), F.col("h"), F.col("m"), DIACRITIC).alias("kind"))
+
+
+_GUTTER = """bins as (select doc_id, page, x, w, least(99, greatest(0, floor(x * 100)))::int as b0, greatest(least(99, greatest(0, floor(x * 100)))::int, least(99, greatest(0, floor((x + w) * 100)))::int) as b1 from lines where trim(text) <> ''),
+big as (select doc_id, page from bins group by doc_id, page having count(*) >= 6 and max(b1) - min(b0) > 20),
+spans as (select distinct b.doc_id, b.page, b0, b1 from bins b join big using (doc_id, page)),
+gaps as (select doc_id, page, covered + 1 as lo, b0 - 1 as hi from (select *, max(b1) over (partition by doc_id, page order by b0, b1 rows between unbounded preceding and 1 preceding) as covered from spans) where b0 - covered - 1 >= 4),
+sides as (select g.doc_id, g.page, lo, hi, count(*) filter (x + w <= (lo + hi + 1) / 200.0::double) as l, count(*) filter (x >= (lo + hi + 1) / 200.0::double) as r from gaps g join bins b on b.doc_id = g.doc_id and b.page = g.page group by all),
+gutters as (select doc_id, page, l, r, round((lo + hi + 1) / 200.0::double, 6) as gx from sides where l >= 3 and r >= 3 qualify row_number() over (partition by doc_id, page order by hi - lo desc, lo) = 1)"""
+
+
+@_query(f'with {LINES}, {_GUTTER} select doc_id, page, l as "left", r as "right", gx as gutter_x from gutters')
+def line_gutters(spark, sf):
+    return layout.gutters(lines(spark, sf).where("trim(text) <> ''"))
+
+
+_ORDERED = f"""{_GUTTER}, sided as (select l.*, case when gx is null then 0 when l.x + l.w <= gx then 1 when l.x >= gx then 2 else 0 end as side, gx from lines l left join gutters g on g.doc_id = l.doc_id and g.page = l.page where trim(text) <> ''),
+banded as (select *, sum(case when gx is not null and side = 0 then 1 else 0 end) over (partition by doc_id, page order by y, line_no) as band from sided),
+ordered as (select *, row_number() over (partition by doc_id, page order by band, side, y, line_no) - 1 as ord from banded)"""
+
+
+@_query(f"with {LINES}, {_ORDERED} select doc_id, page, line_no, ord::int as ord from ordered")
+def reading_order(spark, sf):
+    return layout.reading_order(lines(spark, sf).where("trim(text) <> ''")).select("doc_id", "page", "line_no", "ord")
+
+
+@_query(f"""with {LINES}, {_ORDERED}, lagged as (select *, lag(x) over w as px, lag(y) over w as py, lag(w) over w as pw, lag(h) over w as ph from ordered window w as (partition by doc_id, page order by ord)),
+cut as (select *, case when px is not null and y - (py + ph) <= greatest(h, ph) * 1.25::double and y - (py + ph) >= greatest(h, ph) * -0.6::double and (least(x + w, px + pw) - greatest(x, px)) / least(w, pw) >= 0.4::double and ph / h between 0.7::double and 1.45::double then 0 else 1 end as starts from lagged),
+numbered as (select *, sum(starts) over (partition by doc_id, page order by ord) - 1 as block from cut) select doc_id, page, block::bigint as block, count(*) as n_lines, min(ord)::int as first_ord from numbered group by doc_id, page, block""")
+def group_lines(spark, sf):
+    g = layout.grouped(layout.reading_order(lines(spark, sf).where("trim(text) <> ''")))
+    return g.groupBy("doc_id", "page", "block").agg(F.count("*").alias("n_lines"), F.min("ord").alias("first_ord"))
+
+
+@_query()
+def assembled_blocks(spark, sf):
+    return layout.blocks(lines(spark, sf), DIACRITIC)
+
+
+@_query()
+def sentences_exact(spark, sf):
+    return layout.sentences(table(spark, sf, "conversations"), DIACRITIC, ["conv_id", "turn"])
+
+
+# --- readings --------------------------------------------------------------------------------------------------------
+
+
+def _readings(spark, sf) -> DataFrame:
+    """Lines with a second reading that lost, changed or kept something by the line's number."""
+    k = (F.col("doc_id") + F.col("line_no")) % 6
+    other = F.when(k == 0, "").when(k == 1, F.regexp_replace("text", "[0-9]", "7")).when(k == 2, F.regexp_replace("text", "e", "c")).otherwise(F.col("text"))
+    return lines(spark, sf).withColumns({"k": k, "left": F.when(k == 3, "").otherwise(F.col("text")), "right": other, "s": F.when(k == 1, 0.9).when(k == 2, 0.6).otherwise(1.0)})
+
+
+@_query(rf"""with {LINES}, r as (select doc_id, page, line_no, (doc_id + line_no) % 6 as k, text from lines),
+p as (select *, trim(regexp_replace(case when k = 3 then '' else text end, '\s+', ' ', 'g')) as a, trim(regexp_replace(case k when 0 then '' when 1 then regexp_replace(text, '[0-9]', '7', 'g') when 2 then replace(text, 'e', 'c') else text end, '\s+', ' ', 'g')) as b, case k when 1 then 0.9 when 2 then 0.6 else 1.0 end as s from r)
+select doc_id, page, line_no, case when a = '' then 'single' when b = '' then 'single' when doc_id % 10 = 9 then 'textLayer' when s >= 0.999 or a = b then 'unanimous'
+    when regexp_replace(a, '[0-9]', '', 'g') = regexp_replace(b, '[0-9]', '', 'g') or doc_id % 4 = 0 then 'defaulted' else 'adjudicated' end as kind,
+  case when a = '' then nullif(b, '') when b = '' or doc_id % 10 = 9 or s >= 0.999 or a = b then a when regexp_replace(a, '[0-9]', '', 'g') = regexp_replace(b, '[0-9]', '', 'g') or doc_id % 4 = 0 then a when doc_id % 4 = 1 then b else a end as text from p""")
+def settle_prealigned(spark, sf):
+    answer = F.when(F.col("doc_id") % 4 == 1, "B").when(F.col("doc_id") % 4 > 1, "A")
+    got = reconcile.settle(F.col("left"), F.col("right"), F.col("s"), F.col("doc_id") % 10 == 9, F.lit(True), answer, DIACRITIC)
+    return _readings(spark, sf).withColumn("got", got).select("doc_id", "page", "line_no", F.col("got.kind").alias("kind"), F.col("got.text").alias("text"))
+
+
+@_query()
+def align_conversations(spark, sf):
+    """A conversation's turns against the same turns cut at their line ends."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.left("text", F.lit(160)).alias("text"))
+    cut = turns.select("conv_id", F.col("ord"), F.posexplode(F.split("text", "\n"))).select("conv_id", (F.col("ord") * 100 + F.col("pos")).alias("ord"), F.col("col").alias("text"))
+    return reconcile.align(turns, cut, ["conv_id"])
+
+
+@_query()
+def dedupe_greedy(spark, sf):
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
+    return turns.select("conv_id", F.size(reconcile.without_repeats(F.col("texts"))).alias("kept"), F.size("texts").alias("n"))
+
+
+# --- context, terms, profile -----------------------------------------------------------------------------------------
+
+_AROUND = """around as (select *, last_value(case when kind <> 'pageFurniture' then text end ignore nulls) over d as previous_source, last_value(case when kind <> 'pageFurniture' then target end ignore nulls) over d as previous_target,
+  first_value(case when kind <> 'pageFurniture' then text end ignore nulls) over p as next_source, last_value(case when kind = 'heading' then coalesce(target, text) end ignore nulls) over d as section_heading
+  from blocks window d as (partition by doc_id order by page, ord rows between unbounded preceding and 1 preceding), p as (partition by doc_id, page order by ord rows between 1 following and unbounded following))"""
+
+
+@_query(f"with {BLOCKS}, {_AROUND} select doc_id, page, ord, previous_source, previous_target, next_source, section_heading from around")
+def block_context(spark, sf):
+    return context.neighbours(blocks(spark, sf)).select("doc_id", "page", "ord", "previous_source", "previous_target", "next_source", "section_heading")
+
+
+@_query(rf"""with {BLOCKS}, {_AROUND}, c as (select *, length(text) < 20 as short, regexp_matches(replace(text, 'thatch', ''), 'this|that') as refers, regexp_matches(replace(text, 'thatch', '#'), '^(and|but)') or not (coalesce(trim(previous_source) = '', true) or regexp_matches(trim(previous_source), '[.!?]["'')\]]?$')) as continues, kind <> 'pageFurniture' as able from around)
+select doc_id, page, ord, able and previous_source is not null and (short or refers or continues) as needs_previous, able and next_source is not null and (kind = 'heading' or short) as needs_next, able and section_heading is not null and (kind = 'listItem' or short or refers) as needs_heading from c""")
+def context_need(spark, sf):
+    c = context.neighbours(blocks(spark, sf))
+    need = context.need(*[F.col(x) for x in ("text", "kind", "previous_source", "previous_target", "next_source", "section_heading")], DIACRITIC)
+    return c.withColumn("need", need).select("doc_id", "page", "ord", F.col("need.previous_source").alias("needs_previous"), F.col("need.following").alias("needs_next"), F.col("need.heading").alias("needs_heading"))
+
+
+@_query(f"with {BLOCKS}, b as (select * from blocks where kind <> 'pageFurniture') select doc_id, arg_min(target, page * 1000 + case when kind = 'heading' then 0 else 100 end + ord) as context from b group by doc_id")
+def document_context(spark, sf):
+    return context.document_context(blocks(spark, sf))
+
+
+_TERM = r"select distinct lower(regexp_extract(text, '^\S+ (\S+)', 1)) as term from benchmark"
+
+
+@_query(rf"""with terms as (select term from ({_TERM}) where term <> '') select conv_id, turn, array_to_string(list_sort(list(term)), '|') as terms from conversations join terms on contains(text, term) group by conv_id, turn""")
+def glossary_join(spark, sf):
+    terms = table(spark, sf, "benchmark").select(F.lower(F.regexp_extract("text", r"^\S+ (\S+)", 1)).alias("term"))
+    got = profile.glossary_matches(table(spark, sf, "conversations").select("conv_id", "turn", "text"), terms)
+    return got.where(F.size("terms") > 0).select("conv_id", "turn", F.array_join(F.array_sort("terms"), "|").alias("terms"))
+
+
+@_query(rf"with t as ({_TERM}) select term from t where term not in (select lower(regexp_extract(text, '^\S+ (\S+)', 1)) from benchmark where item_id % 3 = 0)")
+def terms_anti(spark, sf):
+    b = table(spark, sf, "benchmark").withColumn("term", F.lower(F.regexp_extract("text", r"^\S+ (\S+)", 1)))
+    return profile.unpinned(b.select("term").distinct(), b.where("item_id % 3 = 0"))
+
+
+@_query("""with n as (select doc_id, len(string_split(text, chr(10))) as n from documents) select doc_id, n::int as n_pages, array_to_string(case when n - 1 <= 3 then range(1, n) else list_sort(list_distinct(list_transform(range(1, 4), lambda i: round((n - 2) * i / 3.0::double)::bigint + 1))) end, '|') as pages from n""")
+def survey_pages(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_pages"))
+    return d.select("doc_id", "n_pages", F.array_join(profile.survey_pages(F.col("n_pages"), 3), "|").alias("pages"))
+
+
+@_query("select doc_id, case " + " ".join(f"when regexp_matches(lower(text), '{'|'.join(stems)}') then '{name}'" for name, stems in profile.FIELDS) + " else 'unknown' end as field from documents")
+def field_stems(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", profile.field(F.col("text")).alias("field"))
+
+
+@_query()
+def survey_sample(spark, sf):
+    pages = lines(spark, sf).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return profile.survey_sample(pages)
+
+
+@_query()
+def translate_scripted(spark, sf):
+    b = blocks(spark, sf).select("doc_id", "page", "ord", "kind", "text", F.lit(None).cast("string").alias("context"))
+    return translate.translated(b, translate.scripted({}), None, None, DIACRITIC).select("doc_id", "page", "ord", "copied", "first_draft", "retried", "error")
+
+
+# --- exports, search, ledger, catalogue, geometry --------------------------------------------------------------------
+
+
+def _export_sql(line: str, joint: str) -> str:
+    return f"with {BLOCKS}, k as (select doc_id, page, ord, kind, trim(text) as t from blocks where kind <> 'pageFurniture' and trim(text) <> '') select doc_id, string_agg({line}, {joint} order by page, ord) || chr(10) as body from k group by doc_id"
+
+
+_HTML = "replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@_query(_export_sql("case when kind = 'listItem' and not starts_with(t, '•') then '• ' || t else t end", "chr(10) || chr(10)"))
+def plain_text_export(spark, sf):
+    return export.export(blocks(spark, sf), "text")
+
+
+@_query(_export_sql("case kind when 'heading' then '## ' || t when 'listItem' then '- ' || t else t end", "chr(10) || chr(10)"))
+def markdown_export(spark, sf):
+    return export.export(blocks(spark, sf), "markdown")
+
+
+@_query(_export_sql(f"case kind when 'heading' then '<h2>' || {_HTML} || '</h2>' when 'listItem' then '<li>' || {_HTML} || '</li>' else '<p>' || {_HTML} || '</p>' end", "chr(10)"))
+def html_export(spark, sf):
+    return export.export(blocks(spark, sf), "html")
+
+
+@_query(f"with {BLOCKS} select doc_id, page, ord from blocks where contains(lower(text), 'licensed under') or contains(lower(target), 'licensed under')")
+def search_blocks(spark, sf):
+    return export.search(blocks(spark, sf), "Licensed under").select("doc_id", "page", "ord")
+
+
+@_query(f"with {BLOCKS} select doc_id, page, count(*) as n_blocks, count(*) filter (kind <> 'pageFurniture') as n_translatable, arg_min(text, ord) as first_text from blocks group by doc_id, page")
+def group_pages(spark, sf):
+    return export.pages(blocks(spark, sf))
+
+
+@_query(f"""with {ENTRIES} select scope, count(*) as requests, sum(bytes_sent)::bigint as bytes_sent, sum(bytes_received)::bigint as bytes_received, count(*) filter (outcome = 'refused') as refusals, count(distinct case when outcome = 'allowed' then authority end) as addresses,
+  coalesce(bool_and(authority like '127.%') filter (outcome = 'allowed'), true) as stayed, coalesce(bool_and(outcome = 'refused' or authority like '127.%') filter (purpose = 'documentWork'), true) as documents_stayed from entries group by scope""")
+def ledger_totals(spark, sf):
+    return ledger.totals(entries(spark, sf), ["scope"])
+
+
+@_query(f"with {ENTRIES} select scope, seq, nth from (select scope, seq, row_number() over (partition by scope order by at desc, seq desc) as nth from entries) where nth <= 500")
+def ledger_last500(spark, sf):
+    return ledger.last_entries(entries(spark, sf), ["scope"]).select("scope", "seq", F.col("nth").cast("long").alias("nth"))
+
+
+@_query("""with m as (select p_partkey as model_id, p_size * 1e9::double as weights from part), s as (select s_suppkey as machine_id, s_suppkey % 10 <> 0 as silicon, (s_suppkey % 8 + 1) * 8e9::double as memory, (s_suppkey % 5 + 1) * 1e10::double as disk from supplier)
+select machine_id, (select arg_min(model_id, (50e9 - weights) * 1000000 + model_id) from m where s.silicon and weights * 1.4::double + 3e9::double <= s.memory * 0.75::double and weights <= s.disk) as model_id from s""")
+def model_admission(spark, sf):
+    models = table(spark, sf, "part").select(F.col("p_partkey").alias("model_id"), (F.col("p_size") * 1e9).alias("weights"))
+    k = F.col("s_suppkey")
+    machines = table(spark, sf, "supplier").select(k.alias("machine_id"), (k % 10 != 0).alias("silicon"), ((k % 8 + 1) * 8e9).alias("memory"), ((k % 5 + 1) * 1e10).alias("disk"))
+    best = models.groupBy("weights").agg(F.min("model_id").alias("model_id"))
+    return catalogue.admitted(best, machines)
+
+
+@_query(f"""with {LINES}, b as (select * from lines where trim(text) <> '') select a.doc_id, a.page, a.line_no as ord, coalesce(bool_or(c.y < a.y + a.h and c.y + c.h > a.y), false) as shares_rows, coalesce(bool_or(c.x < a.x + a.w and c.x + c.w > a.x), false) as shares_columns,
+  coalesce(min(case when c.y < a.y + a.h and c.y + c.h > a.y and c.x >= a.x + a.w then c.x end), 1.0::double) as right_limit, coalesce(min(case when c.x < a.x + a.w and c.x + c.w > a.x and c.y >= a.y + a.h then c.y end), 1.0::double) as floor_limit
+  from b a left join b c on c.doc_id = a.doc_id and c.page = a.page and c.line_no <> a.line_no group by a.doc_id, a.page, a.line_no""")
+def interval_neighbours(spark, sf):
+    return geometry.neighbours(lines(spark, sf).where("trim(text) <> ''").withColumn("ord", F.col("line_no")))
+
+
+@_query(f"""with {LINES}, s as (select doc_id, page, line_no, round(w * 100, 6) as size from lines where trim(text) <> ''), c as (select *, case when size <= lag(size) over (partition by doc_id, page order by size, line_no) * 1.25::double then 0 else 1 end as starts from s),
+r as (select *, sum(starts) over (partition by doc_id, page order by size, line_no) as run from c) select doc_id, page, run::bigint as run, count(*) as n, list_sort(list(size))[count(*) // 2 + 1] as size from r group by doc_id, page, run""")
+def type_size_runs(spark, sf):
+    sized = lines(spark, sf).where("trim(text) <> ''").select("doc_id", "page", F.col("line_no").alias("ord"), F.round(F.col("w") * 100, 6).alias("size"))
+    return geometry.type_runs(sized)
+
+
+@_query(f'with {LINES} select doc_id, page, min(x) as "left", max(x + w) as "right" from lines where trim(text) <> \'\' group by doc_id, page')
+def page_measure(spark, sf):
+    return geometry.page_measure(lines(spark, sf).where("trim(text) <> ''"))
+
+
+@_query("select date_trunc('hour', ts) as start, case when event_type = 'purchase' then 'modelWeights' else 'documentWork' end as purpose, count(*) as requests, sum(length(props))::bigint as bytes_sent from events group by 1, 2")
+def ledger_windows(spark, sf):
+    return ledger.windowed(entries(spark, sf)).select(F.col("start").cast("timestamp_ntz").alias("start"), "purpose", "requests", "bytes_sent")
