@@ -14,13 +14,24 @@ COMPARED = 2000
 
 
 def _distance(a: str, b: str) -> int:
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(prev[j] + 1, now[-1] + 1, prev[j - 1] + (x != y)))
-        prev = now
-    return prev[-1]
+    """Edit distance by bit vectors: a column of the table is two integers, one step a character of ``b``."""
+    if len(a) > len(b):
+        a, b = b, a
+    m = len(a)
+    if not m:
+        return len(b)
+    full, top, at = (1 << m) - 1, 1 << (m - 1), {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down, d = full, 0, m
+    for c in b:
+        eq = at.get(c, 0)
+        level = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | ~(level | up) & full, up & level
+        d += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | ~((eq | down) | plus) & full, plus & (eq | down)
+    return d
 
 
 def text_similarity(a: str, b: str) -> float:
@@ -34,36 +45,35 @@ def align_texts(left: list[str], right: list[str]) -> list[tuple[range, range, f
     """Ordered full outer join of two lists: (left members, right members, similarity), one to up to eight either way.
 
     Dynamic programming; a pair earns its similarity over 0.4, a gap costs 0.05; moves are tried in a fixed order and
-    only a strictly better one replaces the last.
+    only a strictly better one replaces the last. A move whose lengths alone keep it from being better is not scored.
     """
     known: dict[tuple[str, str], float] = {}
 
-    def reward(a: str, b: str) -> float:
+    def similar(a: str, b: str) -> float:
         if (a, b) not in known:
             known[a, b] = text_similarity(a, b)
-        return known[a, b] - FLOOR
+        return known[a, b]
 
     rows, cols = len(left), len(right)
     best = [[0.0] * (cols + 1) for _ in range(rows + 1)]
     came: list[list[tuple[int, int]]] = [[(0, 0)] * (cols + 1) for _ in range(rows + 1)]
     for i in range(rows + 1):
         for j in range(cols + 1):
-            if not i and not j:
-                continue
-            moves = [(1, 0, lambda: GAP)] * (i > 0) + [(0, 1, lambda: GAP)] * (j > 0)
+            options = [(best[i - a][j - b] + GAP, a, b) for a, b in ((1, 0), (0, 1)) if a <= i and b <= j]
+            top = max(options, key=lambda o: o[0], default=(0.0, 0, 0))
             if i and j:
-                moves += [(1, k, lambda k=k: reward(left[i - 1], "".join(right[j - k : j]))) for k in range(1, min(MERGED, j) + 1)]
-                moves += [(k, 1, lambda k=k: reward("".join(left[i - k : i]), right[j - 1])) for k in range(2, min(MERGED, i) + 1)]
-            top = None
-            for a, b, gain in moves:
-                value = best[i - a][j - b] + gain()
-                if top is None or value > top:
-                    top, came[i][j] = value, (a, b)
-            best[i][j] = top
+                spans = [(1, k) for k in range(1, min(MERGED, j) + 1)] + [(k, 1) for k in range(2, min(MERGED, i) + 1)]
+                for a, b in spans:
+                    x, y = "".join(left[i - a : i])[:COMPARED], "".join(right[j - b : j])[:COMPARED]
+                    bound = min(len(x), len(y)) / max(len(x), len(y), 1) if x or y else 1.0
+                    if best[i - a][j - b] + bound - FLOOR > top[0]:
+                        value = best[i - a][j - b] + similar(x, y) - FLOOR
+                        top = (value, a, b) if value > top[0] else top
+            best[i][j], came[i][j] = top[0], top[1:]
     out, i, j = [], rows, cols
     while i or j:
         a, b = came[i][j]
-        s = text_similarity("".join(left[i - a : i]), "".join(right[j - b : j])) if a and b else 0.0
+        s = similar("".join(left[i - a : i])[:COMPARED], "".join(right[j - b : j])[:COMPARED]) if a and b else 0.0
         out.append((range(i - a, i), range(j - b, j), s))
         i, j = i - a, j - b
     return out[::-1]

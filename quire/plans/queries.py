@@ -107,7 +107,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-ENTRIES = """entries as (select user_id % 50 as scope, ts as at, event_id as seq, case when event_type = 'purchase' then 'modelWeights' else 'documentWork' end as purpose,
+ENTRIES = """entries as (select user_id % 50 as scope, ts as "at", event_id as seq, case when event_type = 'purchase' then 'modelWeights' else 'documentWork' end as purpose,
   case when event_id % 11 = 0 then 'models.example.org' else '127.0.0.' || (event_id % 9 + 1) end as authority, case when event_type = 'error' or (event_id % 11 = 0 and event_type <> 'purchase') then 'refused' else 'allowed' end as outcome,
   length(props) as bytes_sent, floor(value)::bigint as bytes_received from events)"""
 
@@ -177,9 +177,10 @@ def _scored(spark, sf) -> DataFrame:
     reader = F.when(key % 2 == 0, "visionLanguageModel").otherwise("visionOCR")
     agreement = F.when(kind >= 3, 0.75)
     other = F.when(key % 4 == 0, 0.4).when(key % 4 == 1, 0.9)
-    n = n.withColumn("found", integrity.findings(F.col("source"), F.col("target"), DIACRITIC))
+    # one-element generators: later filters and sorts use the findings and the score instead of working them out again
+    n = n.select("order_key", "line_no", F.explode(F.array(integrity.findings(F.col("source"), F.col("target"), DIACRITIC))).alias("found"))
     score = integrity.confidence(settlement, reader, agreement, F.col("found"), other, key % 3 != 0, key % 6 == 1)
-    return n.select("order_key", "line_no", "found", F.round(score, 6).alias("score"))
+    return n.select("order_key", "line_no", "found", F.explode(F.array(F.round(score, 6))).alias("score"))
 
 
 _FOUND = rf"""{NOTICES}, t as (select order_key, line_no, source as s, trim(target) as t from notices),
@@ -429,7 +430,7 @@ def ledger_totals(spark, sf):
     return ledger.totals(entries(spark, sf), ["scope"])
 
 
-@_query(f"with {ENTRIES} select scope, seq, nth from (select scope, seq, row_number() over (partition by scope order by at desc, seq desc) as nth from entries) where nth <= 500")
+@_query(f"with {ENTRIES} select scope, seq, nth from (select scope, seq, row_number() over (partition by scope order by entries.at desc, seq desc) as nth from entries) where nth <= 500")
 def ledger_last500(spark, sf):
     return ledger.last_entries(entries(spark, sf), ["scope"]).select("scope", "seq", F.col("nth").cast("long").alias("nth"))
 
