@@ -163,7 +163,8 @@ def groups(docs: DataFrame) -> DataFrame:
     placed = joined.join(nodes.select("key", "lo"), F.col("node") == F.col("key")).select("key", "root", "lo")
     least = placed.groupBy("root").agg(F.min("lo").alias("least"))
     moved = placed.join(least, "root").select("key", "least")
-    found = nodes.select("key", "lo").join(moved, "key", "left").select("key", F.coalesce("least", "lo").alias("least"))
+    # kept, so that both sides of the last join come straight from an exchange and a hot text's rows can be split
+    found = keep(nodes.select("key", "lo").join(moved, "key", "left").select("key", F.coalesce("least", "lo").alias("least")), "least")
     return drawn.select("doc_id", "key").join(found, "key").select("doc_id", "key", "least")
 
 
