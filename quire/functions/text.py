@@ -19,6 +19,11 @@ LEAKS = ("here is the translation", "here's the translation", "translation:", "t
 COMPARED = 2000
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space at the ends, line ends included."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def folded(c: Column) -> Column:
     """Full-width digits, stops and commas as ASCII."""
     return F.translate(c, _WIDE, "0123456789.,")
@@ -111,7 +116,7 @@ def instruction_leak(c: Column) -> Column:
 def ends_at_stop(c: Column, pack: Pack) -> Column:
     """Whether a text ends with a stop, or with a closer after one; null and blank texts do."""
     stops, closers = re.escape(pack.stops), re.escape(pack.closers)
-    return F.coalesce(F.trim(c) == "", F.lit(True)) | F.trim(c).rlike(f"[{stops}][{closers}]?$")
+    return F.coalesce(trimmed(c) == "", F.lit(True)) | trimmed(c).rlike(f"[{stops}][{closers}]?$")
 
 
 def list_item(c: Column) -> Column:

@@ -42,7 +42,7 @@ def findings(source: Column, target: Column, pack: Pack = CHINESE, glossary: lis
     """
     if len(glossary) + len(terms or {}) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
-    s, t = F.trim(F.coalesce(source, F.lit(""))), F.trim(F.coalesce(target, F.lit("")))
+    s, t = T.trimmed(F.coalesce(source, F.lit(""))), T.trimmed(F.coalesce(target, F.lit("")))
     measured = t
     for term, rendering in glossary:
         if rendering is None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: A field and the stems that speak for it; the first field with one wins.
 FIELDS = [
     ("medicine", ["medic", "clinic", "health", "pharma", "prescription", "hospital", "patient", "diagnos", "nursing", "surgery", "discharge summary", "lab report", "laboratory report"]),
@@ -89,4 +91,4 @@ def parsed_verdict(answer: Column) -> Column:
 def cleaned_answer(answer: Column) -> Column:
     """An answer without reasoning tags (closed or not) and code fences, trimmed."""
     out = F.regexp_replace(answer, r"(?is)<think(?:ing)?>.*?(?:</think(?:ing)?>|\z)", "")
-    return F.trim(F.regexp_replace(out, r"(?m)^```[A-Za-z]*[ \t]*$\n?", ""))
+    return T.trimmed(F.regexp_replace(out, r"(?m)^```[A-Za-z]*[ \t]*$\n?", ""))
