@@ -110,27 +110,40 @@ def _rows(x: np.ndarray) -> pa.RecordBatch:
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within buckets, whose rows stream by: a text similar to an earlier leader is linked, others lead.
 
-    What is held are the leaders of one bucket, which are dissimilar to each other.
+    What is held are the leaders of one bucket, which are dissimilar to each other. A text that is similar to several
+    is linked to the first and joins the others to it, each once: a bucket of m texts gives m - 1 links at most.
     """
     least = (SIMILARITY - MARGIN + (1 - SIMILARITY + MARGIN) / 256) * HASHES
-    now, lead, ids, n = None, np.zeros((64, HASHES), np.uint8), [], 0
+    now, lead, ids, joined, n = None, np.zeros((64, HASHES), np.uint8), [], [], 0
+
+    def root(i: int) -> int:
+        while joined[i] != i:
+            joined[i] = i = joined[joined[i]]
+        return i
+
     for b in batches:
         froms, tos = [], []
         for band, bucket, key, own in zip(b.column("band").to_pylist(), b.column("bucket").to_pylist(), b.column("key").to_pylist(), b.column("sketch"), strict=True):
             if (band, bucket) != now:
-                now, ids, n = (band, bucket), [], 0
+                now, ids, joined, n = (band, bucket), [], [], 0
             x = np.frombuffer(own.as_py(), np.uint8)
-            near = np.flatnonzero((lead[:n] == x).sum(axis=1) >= least) if n else ()
-            for i in near:
-                if ids[i] != key:
-                    froms.append(ids[i])
+            near = np.flatnonzero((lead[:n] == x).sum(axis=1) >= least).tolist() if n else []
+            if near:
+                if ids[near[0]] != key:
+                    froms.append(ids[near[0]])
                     tos.append(key)
-            if not len(near):
-                if n == len(lead):
-                    lead = np.concatenate([lead, np.zeros_like(lead)])
-                lead[n] = x
-                ids.append(key)
-                n += 1
+                for i in near[1:]:
+                    if root(i) != root(near[0]):
+                        joined[root(i)] = root(near[0])
+                        froms.append(ids[near[0]])
+                        tos.append(ids[i])
+                continue
+            if n == len(lead):
+                lead = np.concatenate([lead, np.zeros_like(lead)])
+            lead[n] = x
+            ids.append(key)
+            joined.append(n)
+            n += 1
         if froms:
             yield pa.RecordBatch.from_arrays([pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], ["a", "b"])
 
@@ -138,13 +151,14 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): keys of ``nodes`` (key, keys, sketch; one row a key) that are estimated to be similar.
 
-    Every band orders its buckets' members by another hash, so a text that no leader of one band resembles meets
-    others in the rest. Sketches travel only for members of buckets that are shared.
+    Every other band turns its buckets' order round, so a text that no leader before it resembles meets those after
+    it as well; within an order the bands share their leaders and so their links. Sketches travel only for members of
+    buckets that are shared.
     """
     dealt = nodes.select("key", F.posexplode("keys").alias("band", "bucket"))
     shared = dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "key").mapInArrow(_shared, "band int, bucket long, key long").distinct()
     shared = keep(shared, "shared")
-    full = shared.join(nodes.select("key", "sketch"), "key").repartition("band", "bucket").sortWithinPartitions("band", "bucket", F.xxhash64("band", "key"))
+    full = shared.join(nodes.select("key", "sketch"), "key").repartition("band", "bucket").sortWithinPartitions("band", "bucket", F.when(F.col("band") % 2 == 0, F.xxhash64("key")).otherwise(F.bitwise_not(F.xxhash64("key"))))
     return full.select("band", "bucket", "key", "sketch").mapInArrow(_leaders, "a long, b long").distinct()
 
 
