@@ -176,8 +176,15 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most ``sample`` pages, those with the smallest hashes of their html."""
-    some = pages.select("html").where(F.lower("html").rlike("<(article|main)[ >]")).distinct().orderBy(F.xxhash64("html")).limit(sample)
+    """Weights from at most ``sample`` pages, those with the smallest hashes of id and url; unlabelled ones are passed over.
+
+    The hashes are compared first, so html is not shuffled.
+    """
+    hashed = pages.select(F.xxhash64("page_id", "url").alias("__h"), "html")
+    last = hashed.select("__h").orderBy("__h").limit(sample).agg(F.max("__h")).first()[0]
+    if last is None:
+        return {}
+    some = hashed.where((F.col("__h") <= last) & F.col("html").isNotNull()).select("html").limit(sample)
     return fit(r["html"] for r in some.toLocalIterator())
 
 
