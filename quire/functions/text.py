@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,12 @@ LEAKS = ("here is the translation", "here's the translation", "translation:", "t
 COMPARED = 2000
 
 
+def let(body: Callable[..., Column], **values: Column) -> Column:
+    """``body`` of ``values``, each worked out once a row: an expression that a lambda mentions runs once an element."""
+    held = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.element_at(F.transform(F.array(held), lambda v: body(*[v[k] for k in values])), 1)
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at the ends, line ends included."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -40,7 +47,7 @@ def occurrences(values: Column, x: Column) -> Column:
 
 def multiset_minus(a: Column, b: Column) -> Column:
     """Distinct values that ``a`` holds more often than ``b``, sorted."""
-    return F.array_sort(F.filter(F.array_distinct(a), lambda x: occurrences(a, x) > occurrences(b, x)))
+    return let(lambda p, q: F.array_sort(F.filter(F.array_distinct(p), lambda x: occurrences(p, x) > occurrences(q, x))), p=a, q=b)
 
 
 def spelled(numbers: Column, target: Column) -> Column:

@@ -23,15 +23,17 @@ def _if(test: Column, finding: Column) -> Column:
     return F.when(test, F.array(finding)).otherwise(F.array().cast(_TYPE))
 
 
-def number_differences(source: Column, target: Column, pack: Pack = CHINESE) -> tuple[Column, Column]:
-    """(dropped, invented) figures: multiset differences, less what may be written as words."""
-    a, b = T.number_runs(source), T.number_runs(target)
-    months = T.months_as_words(source, target)
-    excused = F.concat(months, T.spelled(a, target))
-    dropped = F.array_sort(F.filter(F.array_distinct(a), lambda x: T.occurrences(a, x) - T.occurrences(excused, x) > T.occurrences(b, x)))
-    left = F.filter(F.array_distinct(b), lambda x: T.occurrences(b, x) - T.occurrences(months, x) > F.greatest(F.lit(0), T.occurrences(a, x) - T.occurrences(excused, x)))
-    invented = F.array_sort(F.filter(left, lambda x: ~F.exists(T.written_forms(x, pack), lambda w: F.contains(source, w))))
-    return dropped, invented
+def number_differences(source: Column, target: Column, pack: Pack = CHINESE) -> Column:
+    """struct(dropped, invented) of figures: multiset differences, less what may be written as words."""
+
+    def of(a: Column, b: Column, months: Column, excused: Column) -> Column:
+        dropped = F.filter(F.array_distinct(a), lambda x: T.occurrences(a, x) - T.occurrences(excused, x) > T.occurrences(b, x))
+        left = F.filter(F.array_distinct(b), lambda x: T.occurrences(b, x) - T.occurrences(months, x) > F.greatest(F.lit(0), T.occurrences(a, x) - T.occurrences(excused, x)))
+        invented = F.filter(left, lambda x: ~F.exists(T.written_forms(x, pack), lambda w: F.contains(source, w)))
+        return F.struct(F.array_sort(dropped).alias("dropped"), F.array_sort(invented).alias("invented"))
+
+    runs = lambda a, b, months: T.let(of, a=a, b=b, months=months, excused=F.concat(months, T.spelled(a, target)))
+    return T.let(runs, a=T.number_runs(source), b=T.number_runs(target), months=T.months_as_words(source, target))
 
 
 def findings(source: Column, target: Column, pack: Pack = CHINESE, glossary: list[tuple[str, str | None]] = (), terms: dict[str, str] | None = None) -> Column:
@@ -42,33 +44,40 @@ def findings(source: Column, target: Column, pack: Pack = CHINESE, glossary: lis
     """
     if len(glossary) + len(terms or {}) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
-    s, t = T.trimmed(F.coalesce(source, F.lit(""))), T.trimmed(F.coalesce(target, F.lit("")))
-    measured = t
-    for term, rendering in glossary:
-        if rendering is None:
-            measured = F.replace(measured, F.lit(term), F.lit(""))
-    share = T.script_share(measured, pack)
-    dropped, invented = number_differences(s, t, pack)
-    ratio = T.letters(t) / T.letters(s)
+    blank = F.array().cast(_TYPE)
+
+    def checked(s: Column, t: Column) -> Column:
+        measured = t
+        for term, rendering in glossary:
+            if rendering is None:
+                measured = F.replace(measured, F.lit(term), F.lit(""))
+        listed = lambda *v: _listed(s, t, measured, pack, glossary, terms or {}, *v)
+        full = T.let(listed, figures=number_differences(s, t, pack), share=T.script_share(measured, pack), said=T.letters(s), ratio=T.letters(t) / T.letters(s), run=T.repeated_run(t), leak=T.instruction_leak(t))
+        return F.when(s == "", blank).when(t == "", F.array(_finding("emptyTranslation", BLOCKING))).otherwise(full)
+
+    return T.let(checked, s=T.trimmed(F.coalesce(source, F.lit(""))), t=T.trimmed(F.coalesce(target, F.lit(""))))
+
+
+def _listed(s: Column, t: Column, measured: Column, pack: Pack, glossary: list, terms: dict[str, str], figures: Column, share: Column, said: Column, ratio: Column, run: Column, leak: Column) -> Column:
+    """The findings of a block whose source and translation are not blank."""
     low, high = pack.expansion
-    run, leak = T.repeated_run(t), T.instruction_leak(t)
     each = [
         _if(T.similarity(s, t) > 0.9, _finding("echoedSource", BLOCKING, F.substring(t, 1, 80))),
         _if(share > 0.15, _finding("untranslatedScript", F.when(share > 0.4, BLOCKING).otherwise(CAUTION), F.substring(F.regexp_extract(measured, f"[{pack.script}]+", 0), 1, 24))),
-        F.transform(dropped, lambda x: _finding("droppedNumber", BLOCKING, x)),
-        F.transform(invented, lambda x: _finding("inventedNumber", CAUTION, x)),
-        _if((T.letters(s) >= 8) & ((ratio < low) | (ratio > high)), _finding("lengthOutOfRange", F.when(ratio < low, CAUTION).otherwise(NOTE))),
+        F.transform(figures["dropped"], lambda x: _finding("droppedNumber", BLOCKING, x)),
+        F.transform(figures["invented"], lambda x: _finding("inventedNumber", CAUTION, x)),
+        _if((said >= 8) & ((ratio < low) | (ratio > high)), _finding("lengthOutOfRange", F.when(ratio < low, CAUTION).otherwise(NOTE))),
         _if(run.isNotNull(), _finding("repeatedRun", BLOCKING, run)),
     ]
     for term, rendering in glossary:
         need = term if rendering is None else rendering
         each.append(_if(F.contains(s, F.lit(term)) & ~F.contains(t, F.lit(need)), _finding("briefIgnored", BLOCKING, F.lit(need))))
     pinned = {term for term, _ in glossary}
-    for term, rendering in sorted((terms or {}).items()):
+    for term, rendering in sorted(terms.items()):
         if term not in pinned and rendering:
             each.append(_if(F.contains(s, F.lit(term)) & ~F.contains(F.lower(t), F.lit(rendering.lower())), _finding("inconsistentTerm", CAUTION, F.lit(rendering))))
     each.append(_if(leak.isNotNull(), _finding("leakedInstruction", CAUTION, leak)))
-    return F.when(s == "", F.array().cast(_TYPE)).when(t == "", F.array(_finding("emptyTranslation", BLOCKING))).otherwise(F.concat(*each))
+    return F.concat(*each)
 
 
 def confidence(settlement: Column, reader: Column, agreement: Column, found: Column, translator_agreement: Column, reviewed: Column, revised: Column) -> Column:

@@ -124,8 +124,9 @@ def number_runs(spark, sf):
 select order_key, line_no, array_to_string(list_sort(list_filter(list_distinct(a), lambda x: {_COUNT.format('a', 'x')} > {_COUNT.format('b', 'x')})), '|') as dropped,
   array_to_string(list_sort(list_filter(list_distinct(b), lambda x: {_COUNT.format('b', 'x')} > {_COUNT.format('a', 'x')})), '|') as invented from r""")
 def number_multiset_diff(spark, sf):
-    a, b = T.number_runs(F.col("source")), T.number_runs(F.col("target"))
-    return notices(spark, sf).select("order_key", "line_no", F.array_join(T.multiset_minus(a, b), "|").alias("dropped"), F.array_join(T.multiset_minus(b, a), "|").alias("invented"))
+    both = T.let(lambda a, b: F.struct(T.multiset_minus(a, b).alias("dropped"), T.multiset_minus(b, a).alias("invented")), a=T.number_runs(F.col("source")), b=T.number_runs(F.col("target")))
+    found = notices(spark, sf).select("order_key", "line_no", F.explode(F.array(both)).alias("found"))
+    return found.select("order_key", "line_no", F.array_join("found.dropped", "|").alias("dropped"), F.array_join("found.invented", "|").alias("invented"))
 
 
 @_query(r"""select doc_id, case when n > 0 then round(len(regexp_extract_all(t, '[À-ÿ]')) / n::double, 6) else 0.0 end as share from (select doc_id, t, length(t) as n from (select doc_id, regexp_replace(text, '[\s\p{P}]', '', 'g') as t from documents))""")
@@ -213,7 +214,9 @@ def confidence(spark, sf):
 
 @_query(f"with {_FOUND} select order_key, line_no, score, len(found) as n_findings from scored where score < 0.85 order by score, order_key, line_no")
 def attention_queue(spark, sf):
-    return _scored(spark, sf).where("score < 0.85").select("order_key", "line_no", "score", F.size("found").alias("n_findings")).orderBy("score", "order_key", "line_no")
+    queue = _scored(spark, sf).where("score < 0.85").select("order_key", "line_no", "score", F.size("found").alias("n_findings"))
+    # dealt first: a sort samples its input for its ranges, and would score every row twice; these four columns are small
+    return queue.repartition("order_key").orderBy("score", "order_key", "line_no")
 
 
 @_query(f"""with {_FOUND} select order_key % 10 as page, count(*) as n_blocks, count(*) filter (score < 0.85) as n_attention, round(min(score), 6) as worst, sum(len(found)) as n_findings from scored group by 1""")
