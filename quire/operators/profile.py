@@ -92,3 +92,59 @@ def cleaned_answer(answer: Column) -> Column:
     """An answer without reasoning tags (closed or not) and code fences, trimmed."""
     out = F.regexp_replace(answer, r"(?is)<think(?:ing)?>.*?(?:</think(?:ing)?>|\z)", "")
     return T.trimmed(F.regexp_replace(out, r"(?m)^```[A-Za-z]*[ \t]*$\n?", ""))
+
+
+def _marked(lines: Column, mark: str) -> Column:
+    """What follows ``mark`` in the lines that begin with it."""
+    return F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: F.trim(F.substring(x, len(mark) + 1, 1_000_000)))
+
+
+def _lines(answer: Column) -> Column:
+    return F.transform(F.split(answer, "\n"), lambda x: T.trimmed(x))
+
+
+def romanized(c: Column, syllables: dict[str, str]) -> Column:
+    """A text's syllables in one word, by a character map; null if it is empty or a character is not in the map."""
+    if not syllables:
+        return F.lit(None).cast("string")
+    known = F.create_map(*[F.lit(x) for pair in syllables.items() for x in pair])
+    each = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), lambda x: F.try_element_at(known, x))
+    return F.when((F.size(each) > 0) & F.forall(each, lambda x: x.isNotNull()), F.array_join(each, ""))
+
+
+def parsed_names(answer: Column, syllables: dict[str, str] | None = None, most: int = 20) -> Column:
+    """array of (source, rendering, basis) of an answer's lines ``NAME: source | rendering | basis``.
+
+    Dropped are names without a rendering, renderings that repeat the source, say UNKNOWN or only spell it out by
+    ``syllables``, and all but the first line of a source. A null answer gives an empty array.
+    """
+    text = cleaned_answer(F.coalesce(answer, F.lit("")))
+    parts = F.transform(_marked(_lines(text), "NAME:"), lambda x: F.split(x, r"\s*\|\s*"))
+    spelled = lambda n: F.coalesce(romanized(n["source"], syllables or {}) == F.regexp_replace(F.lower(n["rendering"]), r"[^\p{L}]", ""), F.lit(False))
+    named = F.transform(F.filter(parts, lambda x: F.size(x) >= 2), lambda x: F.struct(x[0].alias("source"), x[1].alias("rendering"), F.nullif(F.try_element_at(x, F.lit(3)), F.lit("")).alias("basis")))
+    good = F.filter(named, lambda n: (n["source"] != "") & (n["rendering"] != "") & (n["source"] != n["rendering"]) & ~F.contains(F.upper(n["rendering"]), F.lit("UNKNOWN")) & ~spelled(n))
+    first = T.let(lambda names: F.filter(names, lambda n, i: F.array_position(F.transform(names, lambda m: m["source"]), n["source"]) == i + 1), names=good)
+    return F.when(F.upper(text).startswith("NO NAMES"), F.slice(first, 1, 0)).otherwise(F.slice(first, 1, most))
+
+
+#: The option that every question gets.
+UNSURE = ("Not sure", "The reader is not sure; choose the plainest reading.")
+
+
+def parsed_questions(answer: Column, most: int = 3) -> Column:
+    """array of (question, options, evidence) of an answer's lines QUESTION:, EVIDENCE: and OPTION: label | guidance.
+
+    A question needs two options; one to say "not sure" is added to each. A null answer gives an empty array.
+    """
+    text = cleaned_answer(F.coalesce(answer, F.lit("")))
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n[ \t]*QUESTION:")
+
+    def question(part: Column) -> Column:
+        lines = _lines(part)
+        pairs = F.transform(_marked(lines, "OPTION:"), lambda x: F.split(x, r"\|", 2))
+        options = F.transform(F.filter(pairs, lambda x: (F.size(x) == 2) & (F.trim(x[0]) != "") & (F.trim(F.element_at(x, -1)) != "")), lambda x: F.struct(F.trim(x[0]).alias("label"), F.trim(x[1]).alias("guidance")))
+        unsure = F.array(F.struct(F.lit(UNSURE[0]).alias("label"), F.lit(UNSURE[1]).alias("guidance")))
+        return F.struct(lines[0].alias("question"), F.concat(options, unsure).alias("options"), F.try_element_at(_marked(lines, "EVIDENCE:"), F.lit(-1)).alias("evidence"))
+
+    asked = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), question), lambda q: (q["question"] != "") & (F.size(q["options"]) >= 3))
+    return F.when(F.upper(text).startswith("NO QUESTIONS"), F.slice(asked, 1, 0)).otherwise(F.slice(asked, 1, most))

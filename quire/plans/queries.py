@@ -52,7 +52,8 @@ LINES = """lines as (select doc_id, (n // 20)::int as page, (n % 20)::int as lin
 
 def notices(spark: SparkSession, sf: str) -> DataFrame:
     """order_key, line_no, source, target: notices of order lines; the order's number says what the target gets wrong."""
-    item = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # joined by shuffle whatever the size: lines are costly to check, and a small file would check them all in one task
+    item = table(spark, sf, "lineitem").join(table(spark, sf, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     q, k = F.col("l_quantity").cast("int"), F.col("o_orderkey") % 7
     text = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     source = text("Order", F.col("o_orderkey"), "line", F.col("l_linenumber"), "holds", q, "pieces of part", F.col("l_partkey"))
@@ -216,7 +217,7 @@ def confidence(spark, sf):
 def attention_queue(spark, sf):
     queue = _scored(spark, sf).where("score < 0.85").select("order_key", "line_no", "score", F.size("found").alias("n_findings"))
     # dealt first: a sort samples its input for its ranges, and would score every row twice; these four columns are small
-    return queue.repartition("order_key").orderBy("score", "order_key", "line_no")
+    return queue.repartition("order_key", "line_no").orderBy("score", "order_key", "line_no")
 
 
 @_query(f"""with {_FOUND} select order_key % 10 as page, count(*) as n_blocks, count(*) filter (score < 0.85) as n_attention, round(min(score), 6) as worst, sum(len(found)) as n_findings from scored group by 1""")
