@@ -39,7 +39,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 ]
-#: A line with one of these is a candidate; consecutive ones are one block together as well.
+#: A line with one of these is a candidate, each on its own: a notice wrapped over several lines is compared line by line.
 CUES = ("licen", "rights reserved", "copyright", "permission", "redistribution", "public domain", "spdx", "creative commons", "cc by", "cc0")
 #: Share of a template's words that may differ, and the words that may not: names, versions and conditions.
 TOLERANCE = 0.25
