@@ -1,7 +1,8 @@
 """De-duplication: SimHash groups, and links between texts that share most of their five-word shingles.
 
 SimHash at 4 bits or fewer misses most pairs whose Jaccard similarity is just 0.8 (their fingerprints differ in up to
-15 bits), and no covering table reaches that radius. De-duplication therefore adds these links to SimHash's own.
+15 bits), and no covering table reaches that radius. De-duplication therefore adds links between texts whose shingle
+sets have a Jaccard similarity of 0.8 or more: minimum hashes propose pairs, the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .store import keep
 SHINGLE, SIMILARITY = 5, 0.8
 #: Minimum hashes of a text; BANDS x ROWS of them make keys: a pair of similarity 0.8 shares one with probability 0.9999.
 HASHES, BANDS, ROWS = 256, 25, 5
-#: Standard error of the estimate at 0.8 is 0.025; a pair counts as similar from one below.
-MARGIN = 0.025
+#: Estimated similarity from which a pair is compared exactly: four standard errors (0.025 each) below 0.8.
+PROPOSED = 0.7
+#: Bytes of minimum hashes that are equal in a pair estimated at that: 1 in 256 of the others is equal by chance.
+LEAST = (PROPOSED + (1 - PROPOSED) / 256) * HASHES
 BLOCK, REMEMBERED = 1 << 12, 400_000
 
 _rng = np.random.default_rng(20)
@@ -107,59 +110,115 @@ def _rows(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(x[:, 1].copy()), pa.array(x[:, 2].copy())], ["band", "bucket", "key"])
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within buckets, whose rows stream by: a text similar to an earlier leader is linked, others lead.
+def _proposed(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) within buckets, whose rows stream by sorted by (band, bucket).
 
-    What is held are the leaders of one bucket, which are dissimilar to each other. A text that is similar to several
-    is linked to the first and joins the others to it, each once: a bucket of m texts gives m - 1 links at most.
+    Not ``across``: each text with every earlier leader it may resemble; a text that resembles none leads. Leaders are
+    dissimilar to each other, so a text has few. ``across``: each text with the text held that it resembles most in
+    every other group; only rows marked ``hold`` are held.
     """
-    least = (SIMILARITY - MARGIN + (1 - SIMILARITY + MARGIN) / 256) * HASHES
-    now, lead, ids, joined, n = None, np.zeros((64, HASHES), np.uint8), [], [], 0
-
-    def root(i: int) -> int:
-        while joined[i] != i:
-            joined[i] = i = joined[joined[i]]
-        return i
-
+    now, lead, ids, group, n = None, np.zeros((64, HASHES), np.uint8), [], [], 0
     for b in batches:
         froms, tos = [], []
-        for band, bucket, key, own in zip(b.column("band").to_pylist(), b.column("bucket").to_pylist(), b.column("key").to_pylist(), b.column("sketch"), strict=True):
+        columns = [b.column(c).to_pylist() for c in ("band", "bucket", "key", "grp", "hold")]
+        for band, bucket, key, own, hold, x in zip(*columns, b.column("sketch"), strict=True):
             if (band, bucket) != now:
-                now, ids, joined, n = (band, bucket), [], [], 0
-            x = np.frombuffer(own.as_py(), np.uint8)
-            near = np.flatnonzero((lead[:n] == x).sum(axis=1) >= least).tolist() if n else []
-            if near:
-                if ids[near[0]] != key:
-                    froms.append(ids[near[0]])
+                now, ids, group, n = (band, bucket), [], [], 0
+            x = np.frombuffer(x.as_py(), np.uint8)
+            equal = (lead[:n] == x).sum(axis=1)
+            near = np.flatnonzero(equal >= LEAST).tolist()
+            if across:
+                best: dict[int, int] = {}
+                for i in near:
+                    if group[i] != own and (group[i] not in best or equal[i] > equal[best[group[i]]]):
+                        best[group[i]] = i
+                near = list(best.values())
+            for i in near:
+                if ids[i] != key:
+                    froms.append(ids[i])
                     tos.append(key)
-                for i in near[1:]:
-                    if root(i) != root(near[0]):
-                        joined[root(i)] = root(near[0])
-                        froms.append(ids[near[0]])
-                        tos.append(ids[i])
+            if not hold or near and not across:
                 continue
             if n == len(lead):
                 lead = np.concatenate([lead, np.zeros_like(lead)])
             lead[n] = x
             ids.append(key)
-            joined.append(n)
+            group.append(own)
             n += 1
         if froms:
             yield pa.RecordBatch.from_arrays([pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], ["a", "b"])
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): keys of ``nodes`` (key, keys, sketch; one row a key) that are estimated to be similar.
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _proposed(batches, False)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _proposed(batches, True)
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(band, bucket, key) of the buckets that two texts or more share."""
+    dealt = nodes.select("key", F.posexplode("keys").alias("band", "bucket"))
+    shared = dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "key").mapInArrow(_shared, "band int, bucket long, key long").distinct()
+    return keep(shared, "shared")
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose texts' shingle sets have a similarity of ``SIMILARITY`` or more, exactly.
+
+    Shingle sets are drawn, once a text, only for texts that some pair names.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            texts = [t.as_py() or "" for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_key, texts), pa.int64()), pa.array([np.unique(shingles(t, known)).tobytes() for t in texts], pa.binary())], ["key", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            take = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                take.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    at = nodes.join(named, "key").select(F.col("lo").alias("__at")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, F.col("doc_id").eqNullSafe(F.col("__at")), "left_semi")
+    sets = keep(rows.select("text").mapInArrow(draw, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+    x, y = (sets.select(F.col("key").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+
+
+def links(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b): keys of similar texts; each text is compared with the leaders of its buckets.
 
     Every other band turns its buckets' order round, so a text that no leader before it resembles meets those after
-    it as well; within an order the bands share their leaders and so their links. Sketches travel only for members of
+    it as well; within an order the bands share their leaders and so their pairs. Sketches travel only for members of
     buckets that are shared.
     """
-    dealt = nodes.select("key", F.posexplode("keys").alias("band", "bucket"))
-    shared = dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "key").mapInArrow(_shared, "band int, bucket long, key long").distinct()
-    shared = keep(shared, "shared")
-    full = shared.join(nodes.select("key", "sketch"), "key").repartition("band", "bucket").sortWithinPartitions("band", "bucket", F.when(F.col("band") % 2 == 0, F.xxhash64("key")).otherwise(F.bitwise_not(F.xxhash64("key"))))
-    return full.select("band", "bucket", "key", "sketch").mapInArrow(_leaders, "a long, b long").distinct()
+    order = F.when(F.col("band") % 2 == 0, F.xxhash64("key")).otherwise(F.bitwise_not(F.xxhash64("key")))
+    full = shared.join(nodes.select("key", "sketch"), "key").withColumns({"grp": F.col("key"), "hold": F.lit(True)})
+    pairs = full.repartition("band", "bucket").sortWithinPartitions("band", "bucket", order).mapInArrow(_leaders, "a long, b long")
+    return similar_pairs(docs, nodes, keep(pairs.distinct(), "pairs"))
+
+
+def links_across(docs: DataFrame, nodes: DataFrame, shared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(a, b): keys of similar texts that ``grouped`` (node, root) leaves apart though they share a bucket.
+
+    Two texts that follow different leaders are not compared by :func:`links`. Here the texts of buckets that hold
+    several groups are: the bucket's largest group streams past the held texts of the others.
+    """
+    size = grouped.groupBy("root").count()
+    placed = grouped.join(size, "root").select(F.col("node").alias("key"), F.col("root").alias("grp"), F.col("count").alias("size"))
+    rows = keep(shared.join(placed, "key", "left").select("band", "bucket", "key", F.coalesce("grp", "key").alias("grp"), F.coalesce("size", F.lit(1)).alias("size")), "placed")
+    several = rows.groupBy("band", "bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max(F.struct("size", "grp")).alias("top")).where("lo <> hi")
+    full = rows.join(several, ["band", "bucket"]).select("band", "bucket", "key", "grp", (F.col("grp") != F.col("top.grp")).alias("hold")).join(nodes.select("key", "sketch"), "key")
+    pairs = full.repartition("band", "bucket").sortWithinPartitions("band", "bucket", F.desc("hold"), "key").mapInArrow(_across, "a long, b long")
+    return similar_pairs(docs, nodes, keep(pairs.distinct(), "pairs"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -173,7 +232,11 @@ def groups(docs: DataFrame) -> DataFrame:
     rooted = nodes.select("key", "fp").join(near, F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"))
     hub = rooted.groupBy("root").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
     same = rooted.join(hub, "root").where("hub <> key").select("hub", "key")
-    joined = keep(components(same.union(links(nodes)), "hub", "key", "groups"), "groups")
+    shared = buckets(nodes)
+    joined = keep(components(same.union(links(docs, nodes, shared)), "hub", "key", "groups"), "groups")
+    more = links_across(docs, nodes, shared, joined)
+    if not more.isEmpty():
+        joined = keep(components(joined.select("root", "node").union(more), "root", "node", "groups"), "groups")
     placed = joined.join(nodes.select("key", "lo"), F.col("node") == F.col("key")).select("key", "root", "lo")
     least = placed.groupBy("root").agg(F.min("lo").alias("least"))
     moved = placed.join(least, "root").select("key", "least")

@@ -91,6 +91,26 @@ def test_deduplicate(spark):
     assert similar.deduplicate(df.limit(0)).count() == 0
 
 
+def test_groups_are_exact(spark):
+    """Groups against all pairs compared exactly: many edits about the border, and chains between followers."""
+    r = random.Random(4)
+    rows = []
+    for base in (text(r, 200).split() for _ in range(4)):
+        for _ in range(25):
+            at = set(r.sample(range(len(base)), r.randrange(0, 9)))
+            rows.append(" ".join(f"changed{r.random()}" if i in at else w for i, w in enumerate(base)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    fps = [simhash.fingerprint(t) for t in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 4:
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    got = similar.groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert [x["least"] for x in got.orderBy("doc_id").collect()] == group
+    assert 4 < len(set(group)) < len(rows)
+
+
 def test_packing(docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((d, *t.encode(x or "", add_special_tokens=False).ids, 1) for d, x in docs.where("doc_id is not null and doc_id <> 33").select("doc_id", "text").collect())
