@@ -309,3 +309,24 @@ def test_gradients():
         a[i] = base - 1e-2
         assert abs((up - loss()) / 2e-2 - g[i]) < 1e-3
         a[i] = base
+
+
+def test_lm_knows_every_word(spark):
+    """Rare words count as themselves: junk of the same ending and length scores lower, and a block asks once a word."""
+    r = random.Random(3)
+    spell = lambda: "".join(r.choice("aeioulmnrst") for _ in range(7)) + "ed"
+    rare = [spell() for _ in range(400)]
+    rows = [(i, " ".join(r.choice(rare) for _ in range(40))) for i in range(200)] + [(None, rare[0]), (300, "")]
+    junk = [(500, " ".join("xqzvkwj" + "ed" for _ in range(40))), (501, " ".join(f"{r.randrange(10**7):07d}ed" for _ in range(40)))]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string")
+    got = {g["doc_id"]: g["mean_log_likelihood"] for g in lm.score(df.where("doc_id is null or doc_id < 500 or doc_id = 501")).collect()}
+    assert len(got) == 203 and min(got[i] for i in range(200)) > got[501] + 1
+    model = lm.fit(df.where("doc_id < 500"))
+    seen = {g["doc_id"]: g["mean_log_likelihood"] for g in lm.score(df, model).collect()}
+    assert seen[500] < min(seen[i] for i in range(200)) - 5 and seen[300] is None
+    k, n = model[0].known, {x["word"]: x["n"] for x in model[0].counted.collect()}
+    v = lm.Vocabulary(list(model[0]))
+    word = next(w for w in n if v[w] > lm.WORDS)
+    c = v.classes(word)
+    want = float(model[1].logits(np.array([0]))[0, c[1]]) + k.within(c[1:2] - 1 - lm.WORDS, np.array([n[word]]), k.spelled([word.encode()]))[0]
+    assert abs(lm.score(spark.createDataFrame([(1, word)], "doc_id long, text string"), model).first()["log_likelihood"] - want) < 1e-4
