@@ -1,4 +1,4 @@
-"""Main text of web pages: the maximum-scoring run of words and tags."""
+"""Main text of web pages: all that is marked as content, else the maximum-scoring run of words and tags."""
 
 from __future__ import annotations
 
@@ -33,6 +33,8 @@ _SPACE = re.compile(r"\s+")
 SAMPLE = 2000
 #: What a word adds; what a tag takes away lies between these, by the fitted odds.
 WORD, LEAST, MOST = 1.0, 0.05, 40.0
+#: What a left-out element takes away, whole, and a tag that the sample doesn't hold: two of these are less than a word.
+LEFT_OUT, UNSEEN = 1.0, 0.25
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -117,11 +119,12 @@ def stream(page: str) -> list[tuple[str, str, bool]]:
             continue
         if name not in BLOCKS and any(x in BLOCKS for x, _ in stack[found + 1 :]):
             continue  # an inline end tag doesn't close the blocks opened after it
+        own = stack[found][1]
         for x, left_out in reversed(stack[found:]):
             skipping -= left_out
             inside -= x in ("article", "main")
         del stack[found:]
-        if not skipping:
+        if not skipping and not own:
             out.append(("tag", feature(kind, name, False), inside > 0))
     return out
 
@@ -129,7 +132,8 @@ def stream(page: str) -> list[tuple[str, str, bool]]:
 def fit(pages: Iterator[str]) -> dict[str, float]:
     """Tag weights from labelled pages: those whose article or main element marks the content.
 
-    A tag costs more the likelier it stands outside the content.
+    A tag costs more the likelier it stands outside the content. Left-out elements have one cost: their own words
+    don't count, so where they stand says nothing about the words beside them.
     """
     within, without = Counter(), Counter()
     for page in pages:
@@ -137,7 +141,7 @@ def fit(pages: Iterator[str]) -> dict[str, float]:
         if not any(inside for _, _, inside in items):
             continue
         for kind, x, inside in items:
-            if kind == "tag":
+            if kind == "tag" and not x.startswith("-"):
                 (within if inside else without)[x] += 1
     odds = {x: math.log((without[x] + 0.5) / (within[x] + 0.5)) for x in {*within, *without}}
     return {x: min(MOST, LEAST + max(0.0, v) * 4) for x, v in sorted(odds.items())}
@@ -147,7 +151,7 @@ def best_run(items: list[tuple[str, str, bool]], weights: dict[str, float]) -> t
     """[start, end) of the contiguous run with the highest score, by one scan; the first and longest of equals."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, x, _) in enumerate(items):
-        total += WORD * len(x.split()) if kind == "word" else -weights.get(x, MOST if x.startswith("-") else 1.0)
+        total += WORD * len(x.split()) if kind == "word" else -weights.get(x, LEFT_OUT if x.startswith("-") else UNSEEN)
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best or total == best and best_at[0] == start:
@@ -156,13 +160,18 @@ def best_run(items: list[tuple[str, str, bool]], weights: dict[str, float]) -> t
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text: blocks joined by one newline, white space inside a block one space. Null and empty pages: empty."""
+    """The main text: blocks joined by one newline, white space inside a block one space. Null and empty pages: empty.
+
+    A page that marks its content by article or main has all of that, less the left-out elements; others are scored.
+    """
     items = stream(page or "")
-    if any(inside for _, _, inside in items):  # a page that marks its content is scored inside the mark only
+    if any(inside and kind == "word" and x.strip() for kind, x, inside in items):
         items = [x if x[2] else ("tag", "-outside", False) for x in items]
-    start, end = best_run(items, weights)
+    else:
+        start, end = best_run(items, weights)
+        items = items[start:end]
     blocks, now = [], []
-    for kind, x, _ in items[start:end]:
+    for kind, x, _ in items:
         if kind == "word":
             now.append(x)
         elif x.lstrip("-/") in BLOCKS or x.startswith("-"):

@@ -330,3 +330,16 @@ def test_lm_knows_every_word(spark):
     c = v.classes(word)
     want = float(model[1].logits(np.array([0]))[0, c[1]]) + k.within(c[1:2] - 1 - lm.WORDS, np.array([n[word]]), k.spelled([word.encode()]))[0]
     assert abs(lm.score(spark.createDataFrame([(1, word)], "doc_id long, text string"), model).first()["log_likelihood"] - want) < 1e-4
+
+
+def test_main_text_is_whole():
+    """Left-out elements inside an article split nothing off it, nor does a list of single words."""
+    sample = "<body><div class='ad'>Buy</div><nav>Menu</nav><article><p>Some words of an article here.</p></article><footer>Me</footer></body>"
+    weights = htmltext.fit([sample] * 2000)
+    inner = "<h1>Short title</h1><div class='ad'>Buy</div><p>" + "word " * 100 + "</p><aside>Side</aside><table><tr><td>one</td></tr><tr><td>two</td></tr></table><form>Mail</form><p>The end.</p>"
+    whole = "\n".join(["Short title", "word " * 99 + "word", "one", "two", "The end."])
+    assert htmltext.extract(f"<body><div class='ad'>Buy</div><article>{inner}</article><footer>Me</footer></body>", weights) == whole
+    assert htmltext.extract(f"<body><article>First one.</article><p>Between</p><article>{inner}</article></body>", weights) == "First one.\n" + whole
+    assert [x for _, x, _ in htmltext.stream("<div class='ad'>Buy</div><p>a</p>")] == ["-div", "p", "a", "/p"]
+    plain = f"<body><div><p>Lead in words.</p><div class='ad'>Buy</div><p>{'word ' * 20}</p><ul><dd>item</dd></ul></div></body>"
+    assert htmltext.extract(plain, weights) == "Lead in words.\n" + "word " * 19 + "word\nitem"
