@@ -343,3 +343,18 @@ def test_main_text_is_whole():
     assert [x for _, x, _ in htmltext.stream("<div class='ad'>Buy</div><p>a</p>")] == ["-div", "p", "a", "/p"]
     plain = f"<body><div><p>Lead in words.</p><div class='ad'>Buy</div><p>{'word ' * 20}</p><ul><dd>item</dd></ul></div></body>"
     assert htmltext.extract(plain, weights) == "Lead in words.\n" + "word " * 19 + "word\nitem"
+
+
+def test_licenses_over_lines(spark):
+    """Notices wrapped over lines or side by side in one line are all found."""
+    import textwrap
+
+    for k, (name, template) in enumerate(licenses.TEMPLATES):
+        wrapped = textwrap.fill(template, 30, initial_indent=" * ", subsequent_indent=" * ")
+        got = list(licenses.notices(f"Some prose here.\n\n{wrapped}\n\nMore prose."))
+        assert [(g[0], g[1], g[3]) for g in got] == [(2, name, "exact")], k
+    two = "Copyright me. All rights reserved. Released under the MIT License. Docs are under another: Licensed under CC BY-NC 4.0."
+    assert [g[1] for g in licenses.notices(two)] == ["proprietary", "MIT", "CC-BY-NC-4.0"]
+    assert [g[1] for g in licenses.notices("Licensed under the Apache\nLicense, Version 2.1.")] == [None, None]
+    rows = licenses.scan(spark.createDataFrame([(1, two)], "doc_id long, text string")).collect()
+    assert [(r["line"], r["license"], r["status"]) for r in rows] == [(0, k, "contained") for k in ("proprietary", "MIT", "CC-BY-NC-4.0")]
