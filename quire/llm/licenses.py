@@ -84,17 +84,17 @@ def differences(block: str, template: str) -> tuple[list[str], list[str]]:
     return missing, added
 
 
-def identify(block: str, tries: int = 5) -> tuple[str | None, float, str, list[str], list[str]]:
+def identify(block: str) -> tuple[str | None, float, str, list[str], list[str]]:
     """(license, reduction, status, missing, added) of one block.
 
-    The templates with the greatest reductions are compared word by word; of the confirmed ones the one with the
-    fewest differences wins. exact: no difference. modified: within ``TOLERANCE`` of the template's words and no
+    All templates are compared word by word, those with the greatest reductions first; of the confirmed ones the one
+    with the fewest differences wins. exact: no difference. modified: within ``TOLERANCE`` of the template's words and no
     binding word among the differences; a longer block may add words around a template that it holds whole.
     unconfirmed: neither; the best-ranked template's differences are given and license is null.
     """
     order = ranked(block)
     best = None
-    for reduction, i in order[:tries]:
+    for reduction, i in order:
         name, template = TEMPLATES[i]
         missing, added = differences(block, template)
         n = len(words(template))

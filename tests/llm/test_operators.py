@@ -358,3 +358,11 @@ def test_licenses_over_lines(spark):
     assert [g[1] for g in licenses.notices("Licensed under the Apache\nLicense, Version 2.1.")] == [None, None]
     rows = licenses.scan(spark.createDataFrame([(1, two)], "doc_id long, text string")).collect()
     assert [(r["line"], r["license"], r["status"]) for r in rows] == [(0, k, "contained") for k in ("proprietary", "MIT", "CC-BY-NC-4.0")]
+
+
+def test_licenses_confirm_every_template():
+    """A short notice after much prose is confirmed though longer templates shrink the block more."""
+    prose = "In this guide we copy files, merge and publish associated documentation, and use source and binary forms with or without modification. Any purpose is fine; you may not use this file in other subject to the following terms of the source code form, permitted provided that conditions are met. This free software is released into the public, and any person may obtain a copy and distribute it, with or without fee. "
+    for name, notice in (("proprietary", "All rights reserved."), ("MIT", "Released under the MIT License."), ("CC0-1.0", "Released under CC0 1.0 Universal.")):
+        assert licenses.identify(prose + notice)[0] == name
+        assert [g[1] for g in licenses.notices(prose + notice)] == [name]
