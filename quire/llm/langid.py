@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import keep
 
-#: Labelled rows that the text model is fitted on: a documented, bounded sample.
+#: Distinct labelled texts of each language that the text model is fitted on: a documented, bounded sample.
 SAMPLE = 2000
 #: Bins of hashed byte trigrams; trigrams of a very long text that are scored at once.
 BINS, SLICE = 1 << 16, 1 << 20
@@ -60,9 +60,26 @@ class TextModel:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, lang_col: str = "lang") -> TextModel:
-    """The text model from at most ``sample`` labelled rows, those with the smallest hashes of id and text."""
+    """The text model from at most ``sample`` distinct texts of each label, those with the smallest hashes.
+
+    Copies of a text count once, so neither they nor a frequent language keep another one out. Tasks hand on their
+    own smallest hashes; texts move for the chosen ones only.
+    """
     rows = docs.where(f"`{lang_col}` is not null and `{lang_col}` <> '' and text is not null").select("text", F.col(lang_col).alias("lang"))
-    some = rows.orderBy(F.xxhash64("text"), "lang").limit(sample)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs, h = np.array(b.column("lang").to_pylist(), object), b.column("h").to_numpy()
+            for lang in set(langs):
+                held[lang] = np.union1d(held.get(lang, h[:0]), h[langs == lang])[:sample]
+        for lang, h in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h, pa.int64())], ["lang", "h"])
+
+    hashes = rows.select("lang", "h").mapInArrow(least, "lang string, h long").distinct()
+    chosen = keep(hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample).select("lang", "h"), "sample")
+    some = rows.join(chosen, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

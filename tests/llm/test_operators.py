@@ -366,3 +366,16 @@ def test_licenses_confirm_every_template():
     for name, notice in (("proprietary", "All rights reserved."), ("MIT", "Released under the MIT License."), ("CC0-1.0", "Released under CC0 1.0 Universal.")):
         assert licenses.identify(prose + notice)[0] == name
         assert [g[1] for g in licenses.notices(prose + notice)] == [name]
+
+
+def test_language_sample_is_of_distinct_texts(spark):
+    """Neither a hot group of copies nor a frequent language keeps another language out of the model."""
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([(f"text number {i}",) for i in range(200)], "text string")
+    first = texts.orderBy(F.xxhash64("text")).first()["text"]  # its copies would fill the sample
+    rows = [(first, "en")] * 100 + [(f"frequent words {i}", "de") for i in range(100)] + [("une phrase rare", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert langid.fit(df, 20).langs == ("de", "en", "fr")
+    once = langid.fit(df.distinct(), 20)
+    assert (langid.fit(df, 20).table == once.table).all()
