@@ -61,21 +61,30 @@ def matched(urls: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
     return urls.join(best, ["host", "path"], "left").select(*by, "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
 
 
+def _undotted(path: Column) -> Column:
+    """``path`` without its ``.`` and ``..`` segments; none climbs over the root."""
+    parts = F.split(path, "/", -1)
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): keys of each page and of the address that its canonical link or its refresh redirect names."""
+    """(a, b): keys of each page and of the addresses that its canonical links and its refresh redirects name."""
     some = pages.where("url is not null").where(F.lower("html").rlike("canonical|refresh"))
-    found = [F.regexp_extract("html", p, g) for p, n in ((_LINK, 3), (_REFRESH, 2)) for g in range(1, n + 1)]
-    named = some.select("url", F.explode(F.array_distinct(F.array(*found))).alias("to")).where("to <> ''").distinct()
+    found = [F.regexp_extract_all("html", F.lit(p), F.lit(g)) for p, n in ((_LINK, 3), (_REFRESH, 2)) for g in range(1, n + 1)]
+    named = some.select("url", F.explode(F.array_distinct(F.concat(*found))).alias("to")).where("to <> ''").distinct()
     parts = named.select("url", F.trim(F.regexp_replace("to", "&amp;", "&")).alias("to"), F.regexp_extract("url", r"(?s)^([^:/?#]*):", 1).alias("scheme"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = keep(parts, "named")
     root, to = F.concat("scheme", F.lit("://"), "host"), F.col("to")
+    rest, own = F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1), F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
     whole = (
         F.when(to.contains("://"), to)
         .when(to.startswith("//"), F.concat("scheme", F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("/"), F.concat(root, _undotted(own), rest))
         .when((to == "") | to.startswith("#"), None)
         .when(to.startswith("?"), F.concat(root, "path", to))
-        .otherwise(F.concat(root, F.when(F.col("path") == "", "/").otherwise(F.regexp_replace("path", r"[^/]*$", "")), to))
+        .otherwise(F.concat(root, _undotted(F.concat(F.when(F.col("path") == "", "/").otherwise(F.regexp_replace("path", r"[^/]*$", "")), own)), rest))
     )
     ends = keep(parts.select("url", whole.alias("to")).where("to is not null"), "linked")
     return ends.select(key_of(F.col("url")).alias("a"), key_of(F.col("to")).alias("b")).where("a <> b").distinct()

@@ -379,3 +379,13 @@ def test_language_sample_is_of_distinct_texts(spark):
     assert langid.fit(df, 20).langs == ("de", "en", "fr")
     once = langid.fit(df.distinct(), 20)
     assert (langid.fit(df, 20).table == once.table).all()
+
+
+def test_every_link_is_an_edge(spark):
+    """All canonical links and refresh redirects of a page count, and relative ones are resolved."""
+    link, go = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    html = link.format("http://one.org/") + link.format("https://two.org/x") + go.format("http://three.org/") + go.format("http://four.org/y")
+    html += "".join(link.format(x) for x in ("../up", "./same?q=../a", "/r/./s/../t", "../../../top", ".."))
+    df = spark.createDataFrame([("http://a.org/d/e/f", html), ("http://none.org/", None)], "url string, html string")
+    got = {r["b"] for r in urlfilter.link_edges(df).collect()}
+    assert got == {"one.org/", "two.org/x", "three.org/", "four.org/y", "a.org/d/up", "a.org/d/e/same?q=../a", "a.org/r/t", "a.org/top", "a.org/d/"}
