@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import drop, keep
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -22,6 +22,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether the edges are stars: each u has one edge, and no u is a v."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("own"), F.lit(0).alias("of")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("own").alias("own"), F.sum("of").alias("of")).where("own > 1 or own > 0 and of > 0").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """(node, root) for each node that has an edge to another node; root is the smallest node reachable.
 
@@ -30,13 +36,10 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     nodes without edges have no row. The number of rounds is logarithmic in the longest path.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null").where("u <> v").distinct()
-    e, before = keep(e, name), None
-    while True:
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        if not state["n"] or before == (state["n"], state["h"]):
-            break
-        before = (state["n"], state["h"])
+    e = keep(e, name)
+    while not _stars(e):
         big = _large_star(e).distinct()
-        e = keep(_small_star(big).where("u <> v").distinct(), name)
+        before, e = e, keep(_small_star(big).where("u <> v").distinct(), name)
+        drop(before)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select("v", "v").distinct())

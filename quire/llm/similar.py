@@ -1,8 +1,8 @@
-"""De-duplication: SimHash groups, and links between texts that share most of their five-word shingles.
+"""De-duplication: groups of texts that share most of their five-word shingles.
 
-SimHash at 4 bits or fewer misses most pairs whose Jaccard similarity is just 0.8 (their fingerprints differ in up to
-15 bits), and no covering table reaches that radius. De-duplication therefore adds links between texts whose shingle
-sets have a Jaccard similarity of 0.8 or more: minimum hashes propose pairs, the sets themselves decide.
+SimHash by covering tables (4 bits or fewer, four-word shingles) and bands of minimum hashes only propose which texts
+to compare; shingle sets decide, exactly, at a Jaccard similarity of 0.8. SimHash alone misses most pairs at 0.8:
+their fingerprints differ in up to 15 bits, and no covering table reaches that radius.
 """
 
 from __future__ import annotations
@@ -17,16 +17,15 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .graph import components
-from .store import keep
+from .store import drop, keep
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Minimum hashes of a text; BANDS x ROWS of them make keys: a pair of similarity 0.8 shares one with probability 0.9999.
-HASHES, BANDS, ROWS = 256, 25, 5
-#: Estimated similarity from which a pair is compared exactly: four standard errors (0.025 each) below 0.8.
-PROPOSED = 0.7
-#: Bytes of minimum hashes that are equal in a pair estimated at that: 1 in 256 of the others is equal by chance.
-LEAST = (PROPOSED + (1 - PROPOSED) / 256) * HASHES
-BLOCK, REMEMBERED = 1 << 12, 400_000
+#: BANDS keys of ROWS minimum hashes each: two texts of similarity 0.8 share one with probability 0.9999.
+BANDS, ROWS = 25, 5
+HASHES = BANDS * ROWS
+BLOCK, REMEMBERED = 1 << 12, 200_000
+#: Members of a bucket that one task goes through; larger buckets are dealt out. Bytes of shingle sets that a task holds.
+HOT, HELD = 512, 64 << 20
 
 _rng = np.random.default_rng(20)
 _A, _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -63,178 +62,232 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROW = "doc_id long, fp long, key long, keys array<long>, sketch binary"
+def band_keys(h: np.ndarray) -> list[int]:
+    m = sketch(h)
+    return [xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
 def _key(text: str) -> int:
-    """Names a text's words."""
+    """Names a text's words by 64 bits; that two of 10^10 different texts share a name is expected about three times."""
     return xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())) - (1 << 63)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, key, keys, sketch): SimHash, what names the words, the bands' keys, a byte a minimum hash."""
+    """(doc_id, fp, key, keys): SimHash, what names the words, the bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            fp, key, keys, own = [], [], [], []
+            fp, key, keys = [], [], []
             for text in b.column("text"):
                 t = text.as_py() or ""
-                m = sketch(shingles(t, known))
                 fp.append(simhash.fingerprint(t))
                 key.append(_key(t))
-                keys.append([xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
-                own.append((m & np.uint32(0xFF)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(key, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(own, pa.binary())], ["doc_id", "fp", "key", "keys", "sketch"])
+                keys.append(band_keys(shingles(t, known)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(key, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "key", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, key long, keys array<long>")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by (band, bucket), of the buckets with two members or more."""
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("band", "bucket", "key")])
-        rows = rows if last is None else np.concatenate([last, rows])
-        same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-        take = np.append(same, False)
-        take[1:] |= same
-        last = rows[-1:]  # seen again with the next batch; distinct() drops it if it is sent twice
-        if take.any():
-            yield _rows(rows[take])
-
-
-def _rows(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(x[:, 1].copy()), pa.array(x[:, 2].copy())], ["band", "bucket", "key"])
+def buckets(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(bucket, key) of the texts to compare: those that share a band's key, and those whose fingerprints are linked.
 
+    A bucket is named by its members, so buckets of several bands with equal members are one; names that agree by
+    chance only bring more texts together. ``near`` are the components (node, root) of fingerprints.
+    """
+    dealt = nodes.select("key", F.posexplode("keys").alias("band", "at"))
+    rooted = nodes.select("key", "fp").join(near, F.col("fp") == F.col("node"), "left").select("key", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("at"))
+    dealt = dealt.union(rooted)
+    named = dealt.groupBy("band", "at").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("n > 1")
+    named = named.select("band", "at", F.xxhash64("n", "x", "y").alias("bucket"))
+    return keep(dealt.join(named, ["band", "at"]).select("bucket", "key").distinct(), "shared")
 
-def _proposed(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) within buckets, whose rows stream by sorted by (band, bucket).
 
-    Not ``across``: each text with every earlier leader it may resemble; a text that resembles none leads. Leaders are
-    dissimilar to each other, so a text has few. ``across``: each text with the text held that it resembles most in
-    every other group; only rows marked ``hold`` are held.
-    """
-    now, lead, ids, group, n = None, np.zeros((64, HASHES), np.uint8), [], [], 0
-    for b in batches:
-        froms, tos = [], []
-        columns = [b.column(c).to_pylist() for c in ("band", "bucket", "key", "grp", "hold")]
-        for band, bucket, key, own, hold, x in zip(*columns, b.column("sketch"), strict=True):
-            if (band, bucket) != now:
-                now, ids, group, n = (band, bucket), [], [], 0
-            x = np.frombuffer(x.as_py(), np.uint8)
-            equal = (lead[:n] == x).sum(axis=1)
-            near = np.flatnonzero(equal >= LEAST).tolist()
-            if across:
-                best: dict[int, int] = {}
-                for i in near:
-                    if group[i] != own and (group[i] not in best or equal[i] > equal[best[group[i]]]):
-                        best[group[i]] = i
-                near = list(best.values())
-            for i in near:
-                if ids[i] != key:
-                    froms.append(ids[i])
-                    tos.append(key)
-            if not hold or near and not across:
-                continue
-            if n == len(lead):
-                lead = np.concatenate([lead, np.zeros_like(lead)])
-            lead[n] = x
-            ids.append(key)
-            group.append(own)
-            n += 1
-        if froms:
-            yield pa.RecordBatch.from_arrays([pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], ["a", "b"])
-
-
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _proposed(batches, False)
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _proposed(batches, True)
-
-
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(band, bucket, key) of the buckets that two texts or more share."""
-    dealt = nodes.select("key", F.posexplode("keys").alias("band", "bucket"))
-    shared = dealt.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "key").mapInArrow(_shared, "band int, bucket long, key long").distinct()
-    return keep(shared, "shared")
-
-
-def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose texts' shingle sets have a similarity of ``SIMILARITY`` or more, exactly.
-
-    Shingle sets are drawn, once a text, only for texts that some pair names.
-    """
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, shingles): sorted shingle hashes of the texts that stand in a shared bucket, drawn once a text."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_key, texts), pa.int64()), pa.array([np.unique(shingles(t, known)).tobytes() for t in texts], pa.binary())], ["key", "shingles"])
+            for at in range(0, b.num_rows, 256):
+                texts = [t.as_py() or "" for t in b.column("text")[at : at + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_key, texts), pa.int64()), pa.array([np.unique(shingles(t, known)).tobytes() for t in texts], pa.binary())], ["key", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            take = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                take.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
-
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    at = nodes.join(named, "key").select(F.col("lo").alias("__at")).distinct()
+    at = nodes.join(shared.select("key").distinct(), "key", "left_semi").select(F.col("lo").alias("__at"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, F.col("doc_id").eqNullSafe(F.col("__at")), "left_semi")
-    sets = keep(rows.select("text").mapInArrow(draw, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
-    x, y = (sets.select(F.col("key").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    return keep(rows.select("text").mapInArrow(draw, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+
+
+class _Held:
+    """Sorted shingle sets held for comparison: an inverted index of most, and those added since it was made."""
+
+    def __init__(self):
+        self.names: list[tuple[int, int]] = []  # key, group
+        self.sizes: list[int] = []
+        self.flat, self.owner, self.indexed, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+        self.fresh: list[np.ndarray] = []
+
+    def add(self, name: tuple[int, int], x: np.ndarray) -> None:
+        self.names.append(name)
+        self.sizes.append(len(x))
+        self.fresh.append(x)
+        self.n += len(x)
+        if self.n - len(self.flat) > max(4096, len(self.flat) // 2):
+            flat = np.concatenate([self.flat, *self.fresh])
+            owner = np.concatenate([self.owner, np.repeat(np.arange(self.indexed, len(self.names)), self.sizes[self.indexed :])])
+            order = np.argsort(flat, kind="stable")
+            self.flat, self.owner, self.indexed, self.fresh = flat[order], owner[order], len(self.names), []
+
+    def similar(self, x: np.ndarray) -> np.ndarray:
+        """Places of the held sets whose similarity to ``x`` is SIMILARITY or more."""
+        if not self.names or not len(x):
+            return np.zeros(0, np.int64)
+        both = np.zeros(len(self.names), np.int64)
+        if self.indexed:
+            lo, n = np.searchsorted(self.flat, x), np.searchsorted(self.flat, x, "right")
+            n -= lo
+            total = int(n.sum())
+            if total:
+                both[: self.indexed] = np.bincount(self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)], minlength=self.indexed)
+        if self.fresh:
+            f = np.concatenate(self.fresh)
+            at = np.searchsorted(x, f)
+            at[at == len(x)] = 0
+            both[self.indexed :] = np.add.reduceat(x[at] == f, np.cumsum([0, *self.sizes[self.indexed : -1]]), dtype=np.int64)
+        return np.flatnonzero(both >= SIMILARITY * (len(x) + np.array(self.sizes) - both) - 1e-9)
+
+
+_FOUND = "kind int, a long, b long, part int, grp long, hold boolean"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    for b in batches:
+        sets = (np.frombuffer(x.as_py(), np.uint64) for x in b.column("shingles"))
+        yield from (r for r in zip(*[b.column(c).to_pylist() for c in names], sets, strict=True) if len(r[-1]))
 
 
-def links(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """(a, b): keys of similar texts; each text is compared with the leaders of its buckets.
+def _lead(held_bytes: int):
+    """Rows sorted by (bucket, part): links (kind 0) of each text with its part's leaders; a text without one leads.
 
-    Every other band turns its buckets' order round, so a text that no leader before it resembles meets those after
-    it as well; within an order the bands share their leaders and so their pairs. Sketches travel only for members of
-    buckets that are shared.
+    Rows for the next round (kind 1): the leaders of a bucket that is dealt out, and texts that resemble no leader
+    once ``held_bytes`` of leaders are held.
     """
-    order = F.when(F.col("band") % 2 == 0, F.xxhash64("key")).otherwise(F.bitwise_not(F.xxhash64("key")))
-    full = shared.join(nodes.select("key", "sketch"), "key").withColumns({"grp": F.col("key"), "hold": F.lit(True)})
-    pairs = full.repartition("band", "bucket").sortWithinPartitions("band", "bucket", order).mapInArrow(_leaders, "a long, b long")
-    return similar_pairs(docs, nodes, keep(pairs.distinct(), "pairs"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, _Held(), []
+        for bucket, part, key, parts, x in _rows(batches, ["bucket", "part", "key", "parts"]):
+            if (bucket, part) != now:
+                now, held = (bucket, part), _Held()
+            near = held.similar(x)
+            out.extend((0, held.names[i][0], key, 0, 0, True) for i in near.tolist())
+            if not len(near):
+                full = 8 * held.n > held_bytes
+                if not full:
+                    held.add((key, 0), x)
+                if full or parts > 1:
+                    out.append((1, bucket, key, 0, 0, True))
+            if len(out) >= 8192:
+                yield _found(out)
+                out = []
+        if out:
+            yield _found(out)
+
+    return run
+
+
+def _across(held_bytes: int):
+    """Rows sorted by (bucket, part), those to hold first: a link (kind 0) of each text with each other group it meets.
+
+    Once ``held_bytes`` are held, what is left of the part is for the next round (kind 1), which holds the next ones.
+    Held texts are compared with each other in part 0 only.
+    """
 
-def links_across(docs: DataFrame, nodes: DataFrame, shared: DataFrame, grouped: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, over, out = None, _Held(), False, []
+        for bucket, part, key, grp, hold, x in _rows(batches, ["bucket", "part", "key", "grp", "hold"]):
+            if (bucket, part) != now:
+                now, held, over = (bucket, part), _Held(), False
+            if not hold or part == 0:
+                met = {grp}
+                for i in held.similar(x).tolist():
+                    other, of = held.names[i]
+                    if of not in met:
+                        met.add(of)
+                        out.append((0, other, key, 0, 0, True))
+            over = over or hold and 8 * held.n > held_bytes
+            if over:
+                out.append((1, bucket, key, part, grp, hold))
+            elif hold:
+                held.add((key, grp), x)
+            if len(out) >= 8192:
+                yield _found(out)
+                out = []
+        if out:
+            yield _found(out)
+
+    return run
+
+
+def links(shared: DataFrame, sets: DataFrame, hot: int = HOT, held: int = HELD) -> DataFrame:
+    """(a, b): keys of similar texts, each compared with the leaders of its buckets.
+
+    A bucket of more than ``hot`` members is dealt out, and its parts' leaders meet in the next round, in parts
+    ``hot`` times as large. Similarities are exact.
+    """
+    rows, size, out = shared, hot, None
+    while True:
+        many = rows.groupBy("bucket").count().where(F.col("count") > size).select("bucket", F.ceil(F.col("count") / size).cast("int").alias("of"))
+        dealt = rows.join(many, "bucket", "left").select("key", "bucket", F.coalesce("of", F.lit(1)).alias("parts"))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).join(sets, "key")
+        found = keep(dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key").mapInArrow(_lead(held), _FOUND), "led")
+        new = found.where("kind = 0").select("a", "b").distinct()
+        out = new if out is None else out.union(new)
+        rows, size = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("key")).distinct(), size * hot
+        if rows.isEmpty():
+            return out
+
+
+def links_across(shared: DataFrame, sets: DataFrame, grouped: DataFrame, hot: int = HOT, held: int = HELD) -> DataFrame:
     """(a, b): keys of similar texts that ``grouped`` (node, root) leaves apart though they share a bucket.
 
     Two texts that follow different leaders are not compared by :func:`links`. Here the texts of buckets that hold
-    several groups are: the bucket's largest group streams past the held texts of the others.
+    several groups are: the bucket's largest group streams, dealt out, past the held texts of all others.
     """
-    size = grouped.groupBy("root").count()
-    placed = grouped.join(size, "root").select(F.col("node").alias("key"), F.col("root").alias("grp"), F.col("count").alias("size"))
-    rows = keep(shared.join(placed, "key", "left").select("band", "bucket", "key", F.coalesce("grp", "key").alias("grp"), F.coalesce("size", F.lit(1)).alias("size")), "placed")
-    several = rows.groupBy("band", "bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max(F.struct("size", "grp")).alias("top")).where("lo <> hi")
-    full = rows.join(several, ["band", "bucket"]).select("band", "bucket", "key", "grp", (F.col("grp") != F.col("top.grp")).alias("hold")).join(nodes.select("key", "sketch"), "key")
-    pairs = full.repartition("band", "bucket").sortWithinPartitions("band", "bucket", F.desc("hold"), "key").mapInArrow(_across, "a long, b long")
-    return similar_pairs(docs, nodes, keep(pairs.distinct(), "pairs"))
-
-
-def groups(docs: DataFrame) -> DataFrame:
+    placed = keep(shared.join(grouped, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("grp")), "placed")
+    groups_ = placed.groupBy("bucket", "grp").count()
+    several = groups_.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("count", "grp")).alias("top")).where("groups > 1")
+    several = several.select("bucket", F.col("top.grp").alias("top"), F.ceil(F.col("top.count") / hot).cast("int").alias("parts"))
+    rows = placed.join(several, "bucket").withColumn("hold", F.col("grp") != F.col("top"))
+    every = F.when(F.col("hold"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
+    rows, out = rows.select("bucket", "key", "grp", "hold", F.explode(every).alias("part")), None
+    while True:
+        full = rows.join(sets, "key").repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("hold"), "key")
+        found = keep(full.mapInArrow(_across(held), _FOUND), "across")
+        new = found.where("kind = 0").select("a", "b").distinct()
+        out = new if out is None else out.union(new)
+        rows = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("key"), "part", "grp", "hold")
+        if rows.isEmpty():
+            return out
+
+
+def groups(docs: DataFrame, hot: int = HOT, held: int = HELD) -> DataFrame:
     """doc_id, key, least for each row of ``docs``: its text's name and the smallest doc_id of its group.
 
-    Texts are grouped by SimHash links (4 bits or fewer, four-word shingles) and by the similarity links above.
+    Groups are the components of links between texts whose shingle sets have a similarity of ``SIMILARITY`` or more,
+    among texts that share a bucket: a band of minimum hashes, or fingerprints linked by SimHash at 4 bits.
     """
     drawn = keep(sketches(docs), "sketches")
-    nodes = keep(drawn.groupBy("key").agg(F.min("doc_id").alias("lo"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "texts")
+    nodes = keep(drawn.groupBy("key").agg(F.min("doc_id").alias("lo"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
     near = keep(components(simhash.links(nodes.select("fp").distinct()), "a", "b"), "roots")
-    rooted = nodes.select("key", "fp").join(near, F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"))
-    hub = rooted.groupBy("root").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    same = rooted.join(hub, "root").where("hub <> key").select("hub", "key")
-    shared = buckets(nodes)
-    joined = keep(components(same.union(links(docs, nodes, shared)), "hub", "key", "groups"), "groups")
-    more = links_across(docs, nodes, shared, joined)
+    shared = buckets(nodes, near)
+    sets = shingle_sets(docs, nodes, shared)
+    joined = keep(components(links(shared, sets, hot, held), "a", "b", "groups"), "groups")
+    more = links_across(shared, sets, joined, hot, held)
     if not more.isEmpty():
         joined = keep(components(joined.select("root", "node").union(more), "root", "node", "groups"), "groups")
     placed = joined.join(nodes.select("key", "lo"), F.col("node") == F.col("key")).select("key", "root", "lo")
@@ -242,7 +295,9 @@ def groups(docs: DataFrame) -> DataFrame:
     moved = placed.join(least, "root").select("key", "least")
     # kept, so that both sides of the last join come straight from an exchange and a hot text's rows can be split
     found = keep(nodes.select("key", "lo").join(moved, "key", "left").select("key", F.coalesce("least", "lo").alias("least")), "least")
-    return drawn.select("doc_id", "key").join(found, "key").select("doc_id", "key", "least")
+    members = keep(drawn.select("doc_id", "key").join(found, "key").select("doc_id", "key", "least"), "members")
+    drop(drawn, nodes, near, shared, sets, joined, found)
+    return members
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -252,7 +307,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     doc_id stays only where its group has no other. Other columns are carried along; an empty table stays empty.
     """
     names = docs.columns
-    found = keep(groups(docs), "members")
+    found = groups(docs)
     stay = found.where("doc_id <=> least").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
     ids = stay.select("__id").distinct()
     kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import ann, chat, decontam, htmltext, langid, licenses, lm, packing, similar, simhash, urlfilter
@@ -100,14 +102,14 @@ def test_groups_are_exact(spark):
             at = set(r.sample(range(len(base)), r.randrange(0, 9)))
             rows.append(" ".join(f"changed{r.random()}" if i in at else w for i, w in enumerate(base)))
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
-    fps = [simhash.fingerprint(t) for t in rows]
     group = list(range(len(rows)))
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 4:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = sorted((group[i], group[j]))
             group = [a if g == b else g for g in group]
-    got = similar.groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
-    assert [x["least"] for x in got.orderBy("doc_id").collect()] == group
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for hot, held in ((similar.HOT, similar.HELD), (8, 4000)):  # as they are, and with buckets dealt out and few sets held
+        assert [x["least"] for x in similar.groups(df, hot, held).orderBy("doc_id").collect()] == group
     assert 4 < len(set(group)) < len(rows)
 
 
@@ -141,6 +143,46 @@ def test_differencing():
         packing.windows([3000], 2048)
 
 
+def test_packing_raises_the_window_count():
+    """The query's path packs by windows(): no sequence is padded, each id lies in one piece, and the count does rise."""
+    r = random.Random(7)
+    risen = 0
+    for n in (0, 1, 3, 40, 200):
+        lengths = [r.choice([r.randrange(1, 64), r.randrange(40, 60), 200]) for _ in range(n)]
+        p = packing._Packer(0, 64)
+        for i, k in enumerate(lengths):
+            p.add(i, np.arange(k, dtype="<u4"))
+        p.close()
+        at, full = {}, {}
+        for d, start, length, _, tokens, seq, offset in p.rows:
+            at.setdefault(d, []).append((start, length))
+            assert tokens == lengths[d] and offset == full.get(seq, 0)
+            full[seq] = offset + length
+        for d, parts in at.items():
+            assert [s for s, _ in sorted(parts)] == [0, *itertools.accumulate(k for _, k in sorted(parts))][:-1] and sum(k for _, k in parts) == lengths[d]
+        assert len(at) == n and sum(full.values()) == sum(lengths) and all(k == 64 or k & (k - 1) == 0 for k in full.values())
+        assert sum(k < 64 for k in full.values()) <= 6
+        risen += any(len(packing.windows(lengths[i : i + 12], 64)) > -(-sum(lengths[i : i + 12]) // 64) for i in range(0, n - 12, 12) if max(lengths[i : i + 12]) <= 64)
+    assert packing.windows([60, 60, 8], 64) and len(packing.windows([40, 40, 40], 64)) == 3  # two hold 120 but not uncut
+
+
+def test_packing_of_a_table(spark):
+    """Ids of a whole table against the tokenizers package."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    df = spark.read.parquet(path)
+    rows = packing.pack(df.union(df.limit(1)).union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    want = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for d, x in df.select("doc_id", "text").collect()}
+    assert {r["doc_id"] for r in rows} == {*want, None}
+    for r in rows:
+        if r["doc_id"] is not None:
+            ids = want[r["doc_id"]]
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+    assert packing.pack(df.limit(0)).count() == 0
+
+
 def test_encoder():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     e = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -186,6 +228,23 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_with_copies(spark):
+    """Copies of a vector are found by the smallest ids whatever their number; few candidates are all returned."""
+    r = np.random.default_rng(5)
+    hot, x = r.normal(size=8), r.normal(size=(200, 8))
+    rows = [(i, (hot if i % 3 == 0 else x[i % 200]).tolist()) for i in range(1200)] + [(5000, [1.0, 2.0]), (5001, [1.0, 2.0]), (5002, [4.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df.where("vec_id % 100 = 0"), df, shard_rows=60).collect()
+    y = np.array([v for _, v in rows[:1200]], np.float32).astype(float)
+    for q in range(0, 1200, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        want = [int(i) for i in np.lexsort((np.arange(1200), d)) if i != q][:10]
+        own = [g["vec_id"] for g in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])]
+        assert q % 3 and len(set(own) & set(want)) >= 9 or own == want
+    few = sorted((g["rank"], g["vec_id"], g["score"]) for g in got if g["query_id"] == 5000)
+    assert few == [(1, 5001, 0.0), (2, 5002, 5.0)]
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     vocab = [f"w{i}" for i in range(400)]
@@ -235,6 +294,22 @@ def test_chat(spark):
         assert (g["loss_chars"], g["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
+def test_chat_escapes_control_strings(spark):
+    """No control string stands in a turn's text, whatever the text; a turn's form doesn't depend on the others."""
+    r = random.Random(5)
+    marks = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<<SYS>>", "<</SYS>>", "[ROLE ", "[/ROLE]", "[", "<", "x", "SYS>>", "/s>", " "]
+    for _ in range(3000):
+        role, said = r.choice(["user", "assistant", "system", "tool", ""]), "".join(r.choice(marks) for _ in range(r.randrange(8)))
+        out = chat.render_turn(role, said)
+        [(back, again, begin, end)] = chat.parse(out)
+        assert (back, again) == (role, said)
+        assert not any(m in out[begin:end] for m in ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE ", "[/ROLE]"))
+        assert chat.format_turns([("user", "a"), (role, said)]) == chat.render_turn("user", "a") + out
+    assert chat.escape("plain <b> and \\ stay", 1) == "plain <b> and \\ stay" and chat.escape("[INST]", 1) == "[\\INST]"
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, n_turns int")
+    assert chat.digests(empty).count() == 0 == chat.formatted(empty).count()
+
+
 def test_language(spark):
     tongue = {"en": "the house and that river with", "fr": "la maison est dans une rue avec", "de": "das haus und der fluss mit einem"}
     r = random.Random(8)
@@ -242,8 +317,6 @@ def test_language(spark):
     test = rows[120:] + [(900, None, None, None), (901, "123 !!", None, None), (902, "Привет мир как дела сегодня вечером дома", None, "x"), (903, "THE!! HOUSE!! AND!! THAT!!", "en", None)]
     cols = "doc_id long, text string, lang string, source string"
     model = langid.fit(spark.createDataFrame(rows[:120], cols))
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(test, cols)
     got = {g["doc_id"]: g for g in langid.identify(df, host=F.col("source"), declared=F.col("lang"), model=model).collect()}
     assert all(got[i]["language"] == k for i, _, k, _ in test if k)
@@ -370,8 +443,6 @@ def test_licenses_confirm_every_template():
 
 def test_language_sample_is_of_distinct_texts(spark):
     """Neither a hot group of copies nor a frequent language keeps another language out of the model."""
-    from pyspark.sql import functions as F
-
     texts = spark.createDataFrame([(f"text number {i}",) for i in range(200)], "text string")
     first = texts.orderBy(F.xxhash64("text")).first()["text"]  # its copies would fill the sample
     rows = [(first, "en")] * 100 + [(f"frequent words {i}", "de") for i in range(100)] + [("une phrase rare", "fr")]
