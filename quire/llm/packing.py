@@ -129,36 +129,6 @@ def windows(lengths: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
-def levelled(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (index, start, length) where pieces may be cut: what exceeds the capacity moves to windows with room.
-
-    The differencing leaves little to move. The sum must be a multiple of ``capacity``; every window is then full.
-    """
-    ways = sum(lengths) // capacity
-    out: list[list[tuple[int, int, int]]] = []
-    spare: list[tuple[int, int, int]] = []
-    for members in differenced(lengths, ways):
-        window, room = [], capacity
-        for i in members:
-            take = min(room, lengths[i])
-            if take:
-                window.append((i, 0, take))
-            if take < lengths[i]:
-                spare.append((i, take, lengths[i] - take))
-            room -= take
-        out.append(window)
-    for window in out:
-        room = capacity - sum(n for _, _, n in window)
-        while room:
-            i, start, n = spare.pop()
-            take = min(room, n)
-            window.append((i, start, take))
-            if take < n:
-                spare.append((i, start + take, n - take))
-            room -= take
-    return out
-
-
 class _Packer:
     """Packs one task's documents as they come; holds the pieces of ``WINDOWS`` sequences at most."""
 
@@ -182,26 +152,46 @@ class _Packer:
         if whole < n:
             self.held.append((doc_id, whole, ids[whole:], n))
             self.total += n - whole
-        if self.total >= WINDOWS * c:
-            self.flush(WINDOWS)
-
-    def flush(self, ways: int) -> None:
-        """``ways`` full sequences of what is held; the last pieces are cut to come out even, the rest stays held."""
-        over, rest = self.total - ways * self.capacity, []
-        while over:
-            doc_id, start, ids, n = self.held.pop()
-            cut = max(0, len(ids) - over)
-            rest.append((doc_id, start + cut, ids[cut:], n))
-            over -= len(ids) - cut
-            if cut:
-                self.held.append((doc_id, start, ids[:cut], n))
-        for window in levelled([len(p[2]) for p in self.held], self.capacity) if ways else []:
-            self.sequence([(d, start + a, ids[a : a + k], n) for i, a, k in window for d, start, ids, n in [self.held[i]]])
-        self.held, self.total = rest[::-1], sum(len(p[2]) for p in rest)
+        if self.total >= (WINDOWS + 1) * c:
+            self.flush()
+
+    def flush(self) -> None:
+        """As many full sequences as what is held allows; less than one stays held.
+
+        Whole pieces are shared out over windows by :func:`windows`, whose number rises where one would overflow. What
+        room the windows have left is filled with cuts of the pieces after them, then of the emptiest windows.
+        """
+        n = size = 0
+        while n < len(self.held) and size + len(self.held[n][2]) <= WINDOWS * self.capacity:
+            size += len(self.held[n][2])
+            n += 1
+        some, rest = self.held[:n], self.held[n:][::-1]
+        found = [[some[i] for i in w] for w in windows([len(p[2]) for p in some], self.capacity)]
+        found.sort(key=lambda w: -sum(len(p[2]) for p in w))
+        left: list[tuple[int | None, int, np.ndarray, int]] = []
+        while found:
+            window = found.pop(0)
+            room = self.capacity - sum(len(p[2]) for p in window)
+            while room and (rest or found):
+                if not rest:
+                    rest = found.pop()
+                doc_id, start, ids, tokens = rest.pop()
+                take = min(room, len(ids))
+                window.append((doc_id, start, ids[:take], tokens))
+                if take < len(ids):
+                    rest.append((doc_id, start + take, ids[take:], tokens))
+                room -= take
+            if room:
+                left = window
+            else:
+                self.sequence(window)
+        self.held = left + rest[::-1]
+        self.total = sum(len(p[2]) for p in self.held)
 
     def close(self) -> None:
         """What is left: full sequences, then lengths that are powers of two, which need no padding."""
-        self.flush(self.total // self.capacity)
+        while self.total >= self.capacity:
+            self.flush()
         pieces = self.held[::-1]
         for power in reversed(range(self.capacity.bit_length())):
             if not self.total >> power & 1:
@@ -222,7 +212,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = Non
     """Pieces of ``docs`` (doc_id, text) in sequences of at most ``capacity`` tokens; no sequence needs padding.
 
     A document is its text's ids and then id 1. Full-length pieces are sequences by themselves; the remainders of
-    consecutive documents are shared out by multiway differencing. Each task packs what it reads: no shuffle, and a
+    consecutive documents are shared out by multiway differencing, over more windows where one would overflow, and cuts
+    fill what room is left. Each task packs what it reads: no shuffle, and a
     repeated task gives the same rows. Null and empty texts are one id; repeated rows and null ids are documents of
     their own; other columns are ignored; an empty table gives no rows. ``capacity`` is a power of two.
     """
