@@ -15,7 +15,7 @@ from .store import keep
 SHARD, BLOCK = 4096, 1024
 #: Links of a node (twice as many on the lowest level), candidates they are chosen from, candidates of a search.
 LINKS, CONSTRUCT, SEARCH = 16, 96, 128
-_INDEX = "shard int, dim int, n int, ids binary, vectors binary, graph binary, sizes array<int>"
+_INDEX = "shard int, dim int, n int, ids binary, copies binary, vectors binary, graph binary, sizes array<int>"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -155,27 +155,40 @@ def search(x: np.ndarray, sizes: list[int], graph: np.ndarray, q: np.ndarray, wi
     return found
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """One row a shard, for the usable (vec_id, embedding): ids, vectors and neighbours as flat arrays.
+def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
+    """(embedding, ids): each distinct usable vector once, with its ``k`` + 1 smallest vec_ids in order.
 
-    A vector's shard is a hash of its id, so that shards are even whatever the data; vectors of another dimension
-    are in shards of their own. Of rows that repeat a vec_id the smallest vector is kept.
+    More copies can't be among the ``k`` nearest of any query, whose own vec_id may be one of them. Copies beyond these
+    are left out before the shuffle. Of rows that repeat a vec_id the smallest vector is kept.
     """
-    shards = max(1, -(-vectors.count() // shard_rows))
+    once = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    order = Window.partitionBy("embedding").orderBy("vec_id")
+    first = once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+    return first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def index(distinct: DataFrame, shard_rows: int = SHARD) -> DataFrame:
+    """One row a shard, for :func:`distinct_vectors`: ids, how many each vector has, vectors and neighbours, flat.
+
+    A vector's shard is a hash of its smallest id, so that shards are even whatever the data; vectors of another
+    dimension are in shards of their own.
+    """
+    shards = max(1, -(-distinct.count() // shard_rows))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         shard, dim = key
-        ids = t.column("vec_id").to_numpy()
+        t = t.combine_chunks()
         flat = t.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim.as_py())
-        order = np.lexsort((*flat.T[::-1], ids))
-        order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
-        ids, flat = ids[order], flat[order]
-        order, sizes, graph = build(ids, flat.astype(np.float32))
-        ids, flat = ids[order], flat[order].astype("<f8")
-        row = {"shard": [shard.as_py()], "dim": [dim.as_py()], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "vectors": [flat.tobytes()], "graph": [graph.astype("<i4").tobytes()], "sizes": [sizes]}
-        return pa.table(row, schema=pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary()), ("sizes", pa.list_(pa.int32()))]))
-
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("dim"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        own = t.column("ids").to_pylist()
+        least = np.array([x[0] for x in own], np.int64)
+        order = np.argsort(least)
+        least, flat = least[order], flat[order]
+        inner, sizes, graph = build(least, flat.astype(np.float32))
+        own, flat = [own[i] for i in order[inner]], flat[inner].astype("<f8")
+        row = {"shard": [shard.as_py()], "dim": [dim.as_py()], "n": [len(own)], "ids": [np.concatenate(own).astype("<i8").tobytes()], "copies": [np.array([len(x) for x in own], "<i4").tobytes()], "vectors": [flat.tobytes()], "graph": [graph.astype("<i4").tobytes()], "sizes": [sizes]}
+        return pa.table(row, schema=pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary()), ("sizes", pa.list_(pa.int32()))]))
+
+    dealt = distinct.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("dim"), "ids", "embedding")
     return dealt.groupBy("shard", "dim").applyInArrow(run, _INDEX)
 
 
@@ -187,8 +200,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SE
     is no candidate, and only vectors of its dimension are. With fewer than ``k`` candidates all are returned. See
     :func:`usable` for rows that take no part; empty tables give an empty result.
     """
-    built = keep(index(usable(vectors), shard_rows), "index")
-    asked = usable(queries).dropDuplicates(["vec_id"])
+    built = keep(index(keep(distinct_vectors(usable(vectors), k), "vectors"), shard_rows), "index")
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // block_rows))
     block = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.size("embedding").alias("qdim")).agg(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"))).alias("q"))
     last = built.agg(F.max("shard")).first()[0]
@@ -197,6 +210,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SE
     meets = block.select("qdim", "q", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("qshard"))
     pairs = built.join(meets, (F.col("shard") == F.col("qshard")) & (F.col("dim") == F.col("qdim")))
     want = max(width, k + 1)
+    copy = np.arange(k + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,13 +223,23 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SE
                 qid = own.field("vec_id").to_numpy()
                 q = own.field("v").flatten().to_numpy().reshape(-1, dim)
                 found = search(x.astype(np.float32), sizes, graph, q.astype(np.float32), want)
+                copies = np.frombuffer(b.column("copies")[i].as_py(), "<i4")
+                starts = np.cumsum(copies) - copies
                 d = np.sqrt(((q[:, None, :] - x[found]) ** 2).sum(axis=2))
-                d[(found < 0) | (ids[found] == qid[:, None])] = np.inf
-                order = np.lexsort((ids[found], d), axis=1)[:, :k]
-                d, near = np.take_along_axis(d, order, axis=1), np.take_along_axis(ids[found], order, axis=1)
+                d[found < 0] = np.inf
+                first = np.argsort(d, axis=1, kind="stable")
+                d = np.take_along_axis(d, first, axis=1)
+                some = (d <= d[:, min(k, d.shape[1] - 1)][:, None]).sum(axis=1).max()  # k + 1, and those as far as the last
+                found, d = np.take_along_axis(found, first, axis=1)[:, :some], d[:, :some]
+                own = (starts[found][:, :, None] + copy).reshape(len(q), -1)
+                d = np.where((copy < copies[found][:, :, None]).reshape(len(q), -1), np.repeat(d, k + 1, axis=1), np.inf)
+                near = ids[np.minimum(own, len(ids) - 1)]
+                d[near == qid[:, None]] = np.inf
+                order = np.lexsort((near, d), axis=1)[:, :k]
+                d, near = np.take_along_axis(d, order, axis=1), np.take_along_axis(near, order, axis=1)
                 ok = np.isfinite(d)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(axis=1))), pa.array(near[ok]), pa.array(d[ok])], ["query_id", "vec_id", "score"])
 
-    hits = pairs.select("dim", "sizes", "ids", "vectors", "graph", "q").repartition(max(8, (last + 1) * blocks)).mapInArrow(run, "query_id long, vec_id long, score double")
+    hits = pairs.select("dim", "sizes", "ids", "copies", "vectors", "graph", "q").repartition(max(8, (last + 1) * blocks)).mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
