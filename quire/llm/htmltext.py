@@ -1,4 +1,4 @@
-"""Main text of web pages: all that is marked as content, else the maximum-scoring run of words and tags."""
+"""Main text of web pages: the maximum-scoring run of words and tags, with tag weights from labelled pages."""
 
 from __future__ import annotations
 
@@ -20,21 +20,21 @@ ASIDE = frozenset("nav footer aside form dialog menu".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that name furniture.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|widget|masthead|site-header|page-header|footer|site-footer|comments?|comment-list|replies|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|sign-up|login|search|pagination|pager|complementary|contentinfo|toolbar|skip-link)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of class, id and role names that mean furniture, and those that say nothing by themselves.
+NAMED = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget masthead footer comment comments replies disqus respond share sharing social related recommended newsletter subscribe subscription signup login search pagination pager complementary contentinfo toolbar skip".split()
 )
-_KEEP = re.compile(r"(?:^|\s)(?:article|main|content|post|entry)(?:[-_]?(?:body|content|text))?(?:$|\s)", re.I)
+PLAIN = frozenset("site page global main top bottom left right inner outer box bar list wrap wrapper container block section area panel item items link links button buttons btn slot unit form field fields icons post posts article articles blog story stories user reader side sign up header body text fixed sticky mobile desktop primary secondary info law content holder row col group".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<>]*\Z", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 _SPACE = re.compile(r"\s+")
 #: Labelled pages that tag weights are fitted on: a documented, bounded sample.
 SAMPLE = 2000
-#: What a word adds; what a tag takes away lies between these, by the fitted odds.
-WORD, LEAST, MOST = 1.0, 0.05, 40.0
+#: What a word adds; what a tag takes away lies between these, by the fitted odds. Inside a mark it is the least.
+WORD, LEAST, MOST = 1.0, 0.001, 3.0
 #: What a left-out element takes away, whole, and a tag that the sample doesn't hold: two of these are less than a word.
-LEFT_OUT, UNSEEN = 1.0, 0.25
+LEFT_OUT, UNSEEN = 0.4, 0.25
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -66,6 +66,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
+def names_furniture(value: str) -> bool:
+    """Whether one of the names in a class, id or role means furniture: by all its parts, so "related-work" does not."""
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if any(p in NAMED for p in parts) and all(p in NAMED or p in PLAIN for p in parts):
+            return True
+    return False
+
+
 def furniture(name: str, attrs: str, in_article: bool) -> bool:
     """Whether an element is left out wherever it stands."""
     if name in RAW or name in ASIDE or name == "header" and not in_article:
@@ -78,7 +87,7 @@ def furniture(name: str, attrs: str, in_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and NAMED.search(value) and not _KEEP.search(value):
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and names_furniture(value):
             return True
     return False
 
@@ -148,10 +157,17 @@ def fit(pages: Iterator[str]) -> dict[str, float]:
 
 
 def best_run(items: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:
-    """[start, end) of the contiguous run with the highest score, by one scan; the first and longest of equals."""
+    """[start, end) of the contiguous run with the highest score, by one scan; the first and longest of equals.
+
+    On a page that marks content, words outside the marks take away what they would add, and tags inside and the marks' own cost least.
+    """
+    marked = _marked(items)
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, x, _) in enumerate(items):
-        total += WORD * len(x.split()) if kind == "word" else -weights.get(x, LEFT_OUT if x.startswith("-") else UNSEEN)
+    for i, (kind, x, inside) in enumerate(items):
+        if kind == "word":
+            total += (WORD if inside or not marked else -WORD) * len(x.split())
+        else:
+            total -= LEAST if marked and (inside or x.lstrip("/") in ("article", "main")) else weights.get(x, LEFT_OUT if x.startswith("-") else UNSEEN)
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best or total == best and best_at[0] == start:
@@ -159,17 +175,19 @@ def best_run(items: list[tuple[str, str, bool]], weights: dict[str, float]) -> t
     return best_at
 
 
+def _marked(items: list[tuple[str, str, bool]]) -> bool:
+    return any(inside and kind == "word" and x.strip() for kind, x, inside in items)
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text: blocks joined by one newline, white space inside a block one space. Null and empty pages: empty.
 
-    A page that marks its content by article or main has all of that, less the left-out elements; others are scored.
+    Of the best run the words are taken, where the page marks content (article or main) those inside the marks.
     """
     items = stream(page or "")
-    if any(inside and kind == "word" and x.strip() for kind, x, inside in items):
-        items = [x if x[2] else ("tag", "-outside", False) for x in items]
-    else:
-        start, end = best_run(items, weights)
-        items = items[start:end]
+    marked = _marked(items)
+    start, end = best_run(items, weights)
+    items = [x if x[0] == "tag" or x[2] or not marked else ("tag", "-outside", False) for x in items[start:end]]
     blocks, now = [], []
     for kind, x, _ in items:
         if kind == "word":

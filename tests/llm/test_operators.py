@@ -371,6 +371,121 @@ def test_lm(spark):
     assert np.mean([got[i]["mean_log_likelihood"] for i in range(100)]) > got[202]["mean_log_likelihood"] + 1
 
 
+def test_lm_counts_all_windows(spark):
+    """Words, their numbers and the windows of the whole table, against a plain count of them."""
+    from collections import Counter
+
+    r = random.Random(12)
+    rows = [(i, text(r, r.randrange(0, 40))) for i in range(60)] + [(7, "the the quick"), (7, "the the quick"), (None, "bridges of ink"), (80, None), (81, " \t "), (82, "end " * 300_000)]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_tokens int").repartition(5)
+    vocabulary = lm.frequent(df)
+    count = Counter(w for _, t in rows for w in (t or "").lower().split())
+    assert {x["word"]: x["n"] for x in vocabulary.counted.collect()} == count
+    assert list(vocabulary) == sorted(count, key=lambda w: (-count[w], w))[: lm.WORDS]
+    v = lm.Vocabulary(list(vocabulary))
+    want = Counter()
+    for _, t in rows:
+        c = v.classes(t).tolist()
+        want.update((c[i - 1] * lm.CLASSES + c[i + 1], c[i]) for i in range(1, len(c) - 1))
+    assert {(x["context"], x["target"]): x["n"] for x in lm.windows(df, list(vocabulary)).collect()} == want
+    got = lm.score(df, (vocabulary, lm.Network.fresh())).collect()
+    assert sorted((repr(x["doc_id"]), x["n_tokens"]) for x in got) == sorted((repr(i), len((t or "").split())) for i, t in rows)
+    assert lm.score(df.limit(0)).count() == 0
+
+
+def brute_language(model, rows, hosts):
+    """Posteriors by the formula: text likelihood, host prior smoothed by suffix and all, declared language."""
+    k = len(model.langs)
+    ll = [model.likelihoods(t) for _, t, _, _ in rows]
+    sure = []
+    for (x, n), (_, _, host, tag) in zip(ll, rows, strict=True):
+        p = np.exp(langid.EVIDENCE * (x - x.max()))
+        p /= p.sum()
+        if n and p.argmax() < k and p.max() > 0.9:
+            sure.append((host, tag or "", int(p.argmax())))
+    count = lambda test: np.array([sum(j == i for h, d, j in sure if test(h, d)) for i in range(k)], float)
+    top = (count(lambda h, d: True) + 1) / (count(lambda h, d: True) + 1).sum()
+    suffix = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    smooth = lambda own, parent: (own + langid.PARENT * parent) / (own.sum() + langid.PARENT)
+    kinds = [*model.langs, "*", ""]
+    said = np.array([count(lambda h, d, x=x: (d if d in kinds else "*") == x) for x in kinds]) + 1
+    said = np.log(said / said.sum(axis=0))
+    out = []
+    for (x, _), (_, _, host, tag) in zip(ll, rows, strict=True):
+        prior = top
+        if host is not None and any(h == host for h, _, _ in sure):
+            s = suffix(host)
+            own = np.array([langid.SUFFIX if langid.SUFFIX_LANGUAGE.get(s) == lang else 0.0 for lang in model.langs])
+            of = smooth((count(lambda h, d: suffix(h) == s) if s else 0) + own, top)
+            domain = ".".join(host.split(".")[-2:]) if host.count(".") > 1 else None
+            mid = smooth(count(lambda h, d: domain is not None and h is not None and h.count(".") > 1 and h.endswith(domain)) if domain else np.zeros(k), of)
+            prior = smooth(count(lambda h, d: h == host), mid)
+        d = said[kinds.index((tag or "") if (tag or "") in kinds else "*")]
+        z = langid.EVIDENCE * x + np.append(np.log(prior), 0) + np.append(d, d.mean()) + np.append(np.full(k, np.log1p(-langid.OTHER_PRIOR)), np.log(langid.OTHER_PRIOR))
+        z = np.exp(z - z.max())
+        out.append(z.max() / z.sum())
+    return out
+
+
+def test_language_posteriors(spark):
+    """Fused posteriors against the formula worked out row by row; repeated rows, long texts and an empty table."""
+    tongue = {"en": "the house and that river with", "fr": "la maison est dans une rue avec", "de": "das haus und der fluss mit einem"}
+    r = random.Random(18)
+    hosts = ["a.example.de", "b.example.de", "c.org", "localhost", None, "x.y.fr", "z.y.fr"]
+    rows = [(i, " ".join(r.choice(tongue[lang].split()) for _ in range(r.choice([1, 3, 30]))), r.choice(hosts), r.choice([None, lang, "pt"])) for i, lang in enumerate(list(tongue) * 40)]
+    rows += [(5, rows[5][1], rows[5][2], rows[5][3]), (300, "the house " * 200_000, None, None), (301, None, "c.org", None)]
+    fit = spark.createDataFrame([(" ".join(r.choice(v.split()) for _ in range(30)), k) for k, v in tongue.items() for _ in range(20)], "text string, lang string")
+    model = langid.fit(fit)
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, tag string")
+    got = langid.identify(df, host=F.col("host"), declared=F.col("tag"), model=model).collect()
+    want = sorted((repr(x[0]), round(p, 6)) for x, p in zip(rows, brute_language(model, rows, hosts), strict=True))
+    assert sorted((repr(g["doc_id"]), round(g["posterior"], 6)) for g in got) == want
+    assert langid.identify(df.limit(0), host=F.col("host"), model=model).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The chain on a small corpus: each stage against all pairs, and what is packed against the tokenizers package."""
+    import corpus_pipeline
+    from quire.llm import queries
+
+    r = random.Random(31)
+    tongue = {"en": "the house and that river with some old stones near it".split(), "de": "das haus und der fluss mit einem alten stein daneben".split()}
+    say = lambda lang, n: [r.choice(tongue[lang]) + str(r.randrange(9)) * r.randrange(2) for _ in range(n)]
+    items = [say("en", 30) for _ in range(5)]
+    docs, base = [], [say("en", 120) for _ in range(6)]
+    for i in range(90):
+        w = list(r.choice(base)) if i % 3 else say(r.choice(["en", "de"]), r.randrange(20, 90))
+        for _ in range(r.randrange(5)):
+            w[r.randrange(len(w))] = "changed"
+        if i % 10 == 0:
+            w[5:5] = items[i % 5]
+        docs.append((i, " ".join(w), "de" if w[0] in tongue["de"] else "en"))
+    docs += [(200, "12345 !!!", None), (201, None, None), (202, "", None)]
+    rows = [(i, t, lang, f"src{i % 3}", len(t or "")) for i, t, lang in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {g["doc_id"] for g in langid.identify(df, host=F.col("source")).where("accepted").collect()}
+    assert not kept & {200, 201, 202}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.lower().split()) for i, t, _ in docs if i in kept)}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((group[a], group[b]))
+            group = {i: x if g == y else g for i, g in group.items()}
+    kept = {i for i in kept if group[i] == i}
+    one = decontam.Bench.of([(i, " ".join(t)) for i, t in enumerate(items)])
+    texts = {i: t for i, t, _ in docs}
+    kept = {i for i in kept if not any(decontam.align(item, one.numbered(texts[i]))[0] >= decontam.THRESHOLD for item in one.items)}
+    assert 10 < len(kept) < 80
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {x["doc_id"]: x["doc_tokens"] for x in packed} == {i: len(t.encode(texts[i], add_special_tokens=False).ids) + 1 for i in kept}
+    spark.createDataFrame([(1, "http://a.example.de/x", "<html lang='de'><article><p>" + " ".join(tongue["de"] * 9) + "</p></article></html>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {g["page_id"]: (g["language"], g["accepted"]) for g in queries.page_language(spark, str(tmp_path)).collect()}
+    assert got == {1: ("de", True), 2: (None, False)}
+
+
 def test_gradients():
     net, r = lm.Network.fresh(), np.random.default_rng(0)
     context, counts = np.array([5, 700, 65535]), r.integers(0, 3, (3, lm.CLASSES)).astype(np.float32)
@@ -418,6 +533,27 @@ def test_main_text_is_whole():
     assert htmltext.extract(plain, weights) == "Lead in words.\n" + "word " * 19 + "word\nitem"
 
 
+def test_main_text_by_the_scan(spark):
+    """The scan decides on whole pages: unmarked ones, several articles, innocent class names; and as a table."""
+    sample = "<html><body><div class='wrap'><div>x</div><div>y</div></div><article><p>Some words of an article here.</p></article></body></html>"
+    weights = htmltext.fit([sample] * 500)
+    said = [f"{'word ' * 19}{k}" for k in ("one", "two", "three")]
+    assert htmltext.extract("<body>" + "".join(f"<div>{x}</div>" for x in said) + "</body>", weights) == "\n".join(said)
+    two = "<main><article><p>A first article of some words.</p></article><article><p>And a second one.</p></article></main>"
+    assert htmltext.extract(two, weights) == "A first article of some words.\nAnd a second one."
+    teaser = f"<body><article><p>{said[0]}</p></article><div>{'elsewhere ' * 30}</div><article>More</article></body>"
+    assert htmltext.extract(teaser, weights) == said[0]  # thirty words outside the marks weigh more than one inside
+    for name, kept in (("related-work", True), ("product-search", True), ("comment", False), ("site-nav", False), ("related-posts", False), ("userComments", False), ("adventure", True), ("cookie_notice bar", False), ("share-buttons", False)):
+        got = htmltext.extract(f"<article><p>Before it.</p><div class='{name}'>Inside it.</div><p>After it.</p></article>", weights)
+        assert ("Inside it." in got) == kept, name
+    rows = [(i, f"u{i}", sample, "clash") for i in range(30)] + [(30, "u", None, ""), (30, "u", None, ""), (31, "u", "", ""), (None, None, "<p>bare &amp; whole</p>" * 20000, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = htmltext.main_texts(df).collect()
+    assert sorted((repr(r["page_id"]), r["text"]) for r in got) == sorted((repr(i), htmltext.extract(h, htmltext.fitted(df))) for i, _, h, _ in rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and max(r["n_chars"] for r in got) == 20000 * 13 - 1
+    assert htmltext.main_texts(df.limit(0)).count() == 0 and htmltext.fitted(df.limit(0)) == {}
+
+
 def test_licenses_over_lines(spark):
     """Notices wrapped over lines or side by side in one line are all found."""
     import textwrap
