@@ -30,8 +30,8 @@ class Pack:
 
 CHINESE = Pack(
     name="zh-Hans",
-    script="一-鿿㐀-䶿豈-﫿⺀-⻿　-〿＀-￯",
-    romanizable="一-鿿㐀-䶿豈-﫿",
+    script=r"\u4E00-\u9FFF\u3400-\u4DBF\uF900-\uFAFF\u2E80-\u2EFF\u3000-\u303F\uFF00-\uFFEF",
+    romanizable=r"\u4E00-\u9FFF\u3400-\u4DBF\uF900-\uFAFF",
     spaced=False,
     stops="。！？；….!?",
     stand_alone="。！？；…",

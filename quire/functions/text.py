@@ -18,6 +18,10 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 #: How an answer about the task begins.
 LEAKS = ("here is the translation", "here's the translation", "translation:", "the translated text", "sure, here", "i cannot translate", "as an ai", "note:")
 COMPARED = 2000
+#: White space of any script; Java's own class is ASCII only.
+SPACE = r"\p{IsWhite_Space}"
+#: How a line of a list begins.
+ITEMS = (r"[•·‧\-—*▪◦]", r"\p{Nd}+[.)、]", rf"[（(]{SPACE}*[0-9一二三四五六七八九十]+{SPACE}*[)）]", r"[一二三四五六七八九十百]+[、.]", r"第[0-9一二三四五六七八九十百]+[条章节款项]")
 
 
 def let(body: Callable[..., Column], **values: Column) -> Column:
@@ -28,7 +32,12 @@ def let(body: Callable[..., Column], **values: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at the ends, line ends included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def blank(c: Column) -> Column:
+    """Whether a text holds nothing but white space; null is blank."""
+    return ~F.coalesce(c.rlike(f"[^{SPACE}]"), F.lit(False))
 
 
 def folded(c: Column) -> Column:
@@ -79,14 +88,14 @@ def written_forms(number: Column, pack: Pack = CHINESE) -> Column:
 
 def script_share(c: Column, pack: Pack) -> Column:
     """Share of the pack's script among the characters that are neither space nor punctuation; 0 for none."""
-    counted = F.regexp_replace(c, r"[\s\p{P}]", "")
+    counted = F.regexp_replace(c, rf"[{SPACE}\p{{P}}]", "")
     n = F.char_length(counted)
     return F.when(n > 0, F.regexp_count(counted, F.lit(f"[{pack.script}]")) / n).otherwise(0.0)
 
 
 def letters(c: Column) -> Column:
     """How many characters are no white space."""
-    return F.char_length(F.regexp_replace(c, r"\s", ""))
+    return F.char_length(F.regexp_replace(c, SPACE, ""))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -97,18 +106,27 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def normalized(c: Column, pack: Pack) -> Column:
-    """White space runs as one blank, none between two characters of an unspaced script, none at the ends."""
-    out = F.regexp_replace(c, r"\s+", " ")
-    if not pack.spaced:
-        out = F.regexp_replace(out, rf"(?<=[{pack.script}]) (?=[{pack.script}])", "")
-    return F.trim(out)
+    """A reading without the blanks that its reader put in; trimmed.
+
+    Runs of blanks (U+0020, U+3000) vanish between two characters of an unspaced script and are one blank elsewhere;
+    other white space stays. In spaced scripts every run of white space is one blank.
+    """
+    if pack.spaced:
+        return trimmed(F.regexp_replace(c, f"{SPACE}+", " "))
+    script = f"[{pack.script}&&[^ \u3000]]"
+    closed = F.regexp_replace(c, rf"(?<={script})[ \u3000]+(?={script})", "")
+    return trimmed(F.regexp_replace(closed, r"[ \u3000]+", " "))
 
 
 def repeated_run(c: Column) -> Column:
-    """The first phrase of one word, else two, three or four, said four times in a row in a text of eight words; null if none."""
-    plain = F.trim(F.regexp_replace(c, r"\s+", " "))
-    found = [F.nullif(F.regexp_extract(plain, rf"(?:^| )(\S+(?: \S+){{{k - 1}}})(?: \1){{3}}(?= |$)", 1), F.lit("")) for k in range(1, 5)]
-    return F.when(F.size(F.split(plain, " ")) >= 8, F.coalesce(*found))
+    """The first phrase of one word, else two, three or four, said four times in a row in a text of eight words; null if none.
+
+    One pass looks for any such phrase; only texts that hold one are looked through size by size.
+    """
+    plain = F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    of = lambda k: F.nullif(F.regexp_extract(plain, rf"(?:^| )(\S++(?: \S++){{{k - 1}}})(?: \1){{3}}(?= |$)", 1), F.lit(""))
+    any_ = plain.rlike(r"(?:^| )(\S++(?: \S++){0,3}?)(?: \1){3}(?= |$)")
+    return F.when(any_ & plain.rlike(r"^\S++(?: \S++){7}"), F.coalesce(*[of(k) for k in range(1, 5)]))
 
 
 def instruction_leak(c: Column) -> Column:
@@ -121,14 +139,14 @@ def instruction_leak(c: Column) -> Column:
 
 
 def ends_at_stop(c: Column, pack: Pack) -> Column:
-    """Whether a text ends with a stop, or with a closer after one; null and blank texts do."""
+    """Whether a text ends with a stop, or with one closer after one; null and blank texts do."""
     stops, closers = re.escape(pack.stops), re.escape(pack.closers)
     return F.coalesce(trimmed(c) == "", F.lit(True)) | trimmed(c).rlike(f"[{stops}][{closers}]?$")
 
 
 def list_item(c: Column) -> Column:
     """Whether a line begins like an item of a list."""
-    return c.rlike(r"^(?:[•·‧\-—*▪◦]|\d+[.)、]|[（(]\s*[0-9一二三四五六七八九十]+\s*[)）]|[一二三四五六七八九十百]+[、.]|第[0-9一二三四五六七八九十百]+[条章节款项])")
+    return c.rlike(f"^(?:{'|'.join(ITEMS)})")
 
 
 def upper_median(values: Column) -> Column:
@@ -146,3 +164,15 @@ def differing(a: Column, b: Column) -> Column:
     tail = F.coalesce(F.try_element_at(F.filter(places, lambda i: F.substring(ra, i, F.lit(1)) != F.substring(rb, i, F.lit(1))), F.lit(1)) - 1, n)
     tail = F.least(F.when(n == 0, 0).otherwise(tail), n - head)
     return F.struct(F.substring(a, head + 1, F.char_length(a) - head - tail).alias("left"), F.substring(b, head + 1, F.char_length(b) - head - tail).alias("right"))
+
+
+def quoted_difference(a: Column, b: Column) -> Column:
+    """What tells two readings apart, in words: the differing part of each, 24 characters at most."""
+
+    def said(d: Column) -> Column:
+        quote = lambda x: F.when(x == "", "nothing").otherwise(F.concat(F.lit("“"), F.substring(x, 1, 24), F.lit("”")))
+        left, right = trimmed(d["left"]), trimmed(d["right"])
+        return F.when((d["left"] == "") | (d["right"] == "") | (left == "") & (right == ""), "they differed").otherwise(F.concat(quote(left), F.lit(" against "), quote(right)))
+
+    return let(said, d=differing(a, b))
+
