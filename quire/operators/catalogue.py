@@ -1,29 +1,71 @@
-"""Which models a machine can hold."""
+"""Which models a machine can hold, and which of the installed ones are in use."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes that a model takes while it works, the share of memory that counts, and what a download leaves free.
+GROWTH, OWN, SHARE, SPARE = 1.4, 3.0e9, 0.75, 1.0e9
+
 
 def working_set(weights: Column) -> Column:
     """Bytes that a model takes while it works: 1.4 times its weights and 3 GB."""
-    return weights * 1.4 + 3.0e9
+    return weights * GROWTH + OWN
 
 
-def obstacle(silicon: Column, memory: Column, disk: Column, weights: Column) -> Column:
-    """The first thing in the way of a model: silicon, memory (three quarters of it count), disk; null if nothing is."""
-    return F.when(~silicon, "silicon").when(working_set(weights) > memory * 0.75, "memory").when(weights > disk, "disk")
+def obstacle(silicon: Column, memory: Column, disk: Column, weights: Column, beside: Column | None = None) -> Column:
+    """The first thing in the way of a model: silicon, another model's memory (``beside``: its weights; null for none),
+    memory (three quarters of it count), disk (a gigabyte is left over); null if nothing is."""
+    usable = memory * SHARE
+    out = F.when(~silicon, "silicon")
+    if beside is not None:
+        out = out.when(working_set(weights) + working_set(beside) > usable, "both")
+    return out.when(working_set(weights) > usable, "memory").when(weights + SPARE > disk, "disk")
 
 
-def admitted(models: DataFrame, machines: DataFrame) -> DataFrame:
-    """machine_id, model_id: the largest model (model_id, weights) that each machine (machine_id, silicon, memory, disk) can hold.
+def admitted(models: DataFrame, machines: DataFrame, disk: bool = True) -> DataFrame:
+    """machine_id, model_id: the largest model (model_id, weights) that each machine can hold; of equals the smallest id.
 
-    Models are sorted once by size into an array of ``bounded`` length per catalogue; each machine picks from it.
+    Machines are (machine_id, silicon, memory, disk) and, where another model is held as well, holding: its working
+    set. Without ``disk`` only memory counts. Models meet machines by the power of two of their size: a machine needs
+    the models of its own limit's class, by an equi-join, and one of each smaller class, of which there are 64 at most.
     """
-    sizes = models.select(F.struct((-F.col("weights")).alias("down"), "model_id", "weights").alias("m")).sort("m").limit(10_000).collect()
-    if not sizes:
-        return machines.select("machine_id", F.lit(None).cast("long").alias("model_id"))
-    listed = F.array(*[F.struct(F.lit(r["m"]["model_id"]).alias("model_id"), F.lit(float(r["m"]["weights"])).alias("weights")) for r in sizes])
-    fits = F.filter(listed, lambda m: obstacle(F.col("silicon"), F.col("memory"), F.col("disk"), m["weights"]).isNull())
-    return machines.select("machine_id", F.try_element_at(fits, F.lit(1))["model_id"].alias("model_id"))
+    holding = F.coalesce("holding", F.lit(0.0)) if "holding" in machines.columns else F.lit(0.0)
+    m = machines.select("machine_id", "silicon", "memory", "disk", holding.alias("holding"))
+    limit = (F.col("memory") * SHARE - F.col("holding") - OWN) / GROWTH
+    limit = F.least(limit, F.col("disk") - SPARE) if disk else limit
+    of = lambda c: F.floor(F.log2(c)).cast("int")
+    m = m.withColumn("top", F.when(F.col("silicon") & (limit >= 1), of(limit)))
+    fits = working_set(F.col("weights")) + F.col("holding") <= F.col("memory") * SHARE
+    fits = fits & (F.col("weights") + SPARE <= F.col("disk")) if disk else fits
+    known = models.where("weights >= 1").select("model_id", F.col("weights").cast("double").alias("weights")).withColumn("class", of(F.col("weights")))
+    near = m.select("machine_id", "memory", "disk", "holding", F.explode(F.array(F.col("top"), F.col("top") + 1)).alias("class")).join(known, "class").where(fits)
+    best = known.groupBy("class").agg(F.min(F.struct((-F.col("weights")).alias("down"), "model_id")).alias("b")).select(F.col("class").alias("below"), F.col("b.down").alias("down"), F.col("b.model_id").alias("model_id"))
+    far = m.select("machine_id", "top").join(best, F.col("below") < F.col("top")).select("machine_id", "down", "model_id")
+    all_ = near.select("machine_id", (-F.col("weights")).alias("down"), "model_id").unionByName(far)
+    found = all_.groupBy("machine_id").agg(F.min(F.struct("down", "model_id")).alias("b")).select("machine_id", F.col("b.model_id").alias("model_id"))
+    return machines.select("machine_id").join(found, "machine_id", "left")
+
+
+def recommended(models: DataFrame, machines: DataFrame, installed: DataFrame) -> DataFrame:
+    """machine_id, model_id: the largest model that fits a machine's memory among those on its disk (machine_id,
+    model_id), else the largest of all that fit."""
+    here = installed.join(models, "model_id").join(machines, "machine_id").where(obstacle(F.col("silicon"), F.col("memory"), F.lit(float("inf")), F.col("weights")).isNull())
+    best = here.groupBy("machine_id").agg(F.min(F.struct((-F.col("weights")).alias("down"), "model_id")).alias("b")).select("machine_id", F.col("b.model_id").alias("own"))
+    return admitted(models, machines, disk=False).join(best, "machine_id", "left").select("machine_id", F.coalesce("own", "model_id").alias("model_id"))
+
+
+def specified(installed: DataFrame, models: DataFrame) -> DataFrame:
+    """``installed`` (model_id, bytes) with its entry of the catalogue (name), and whether it has none: an orphan."""
+    return installed.join(models.select("model_id", "name"), "model_id", "left").withColumn("orphan", F.col("name").isNull())
+
+
+def unused(installed: DataFrame, in_use: DataFrame) -> DataFrame:
+    """Installed models that no setting uses; null settings use none."""
+    return installed.join(in_use.where("model_id is not null").select("model_id").distinct(), "model_id", "left_anti")
+
+
+def storage(installed: DataFrame) -> DataFrame:
+    """n_models, bytes of all installed models; no rows are 0 bytes."""
+    return installed.agg(F.count("*").alias("n_models"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))

@@ -39,29 +39,85 @@ def survey_pages(count: Column, limit: int) -> Column:
     return F.when(rest <= limit, all_rest).otherwise(spread)
 
 
-def survey_sample(pages: DataFrame, opening: int = 2000, total: int = 4000, least: int = 200) -> DataFrame:
-    """doc_id, page, text: a document's opening and then page beginnings, while the budget of characters lasts."""
-    from pyspark.sql import Window
+#: Characters of the opening, of the whole sample, and of a page at least; pages that are looked at where
+#: text costs nothing, and where each must be recognized first.
+OPENING, SAMPLE, LEAST_SHARE, FREE_PAGES, RECOGNIZED_PAGES = 2000, 4000, 200, 12, 2
 
-    w = Window.partitionBy("doc_id").orderBy("page")
-    first = F.row_number().over(w) == 1
-    others = F.greatest(F.count("*").over(Window.partitionBy("doc_id")) - 1, F.lit(1))
-    share = F.greatest(F.lit(least), F.floor(F.lit(total - opening) / others)).cast("int")
-    cut = pages.withColumn("text", F.when(first, F.substring("text", 1, opening)).otherwise(F.left("text", share)))
-    used = F.coalesce(F.sum(F.char_length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("left", F.lit(total) - used).where("left > 0").select("doc_id", "page", F.left("text", F.col("left").cast("int")).alias("text"))
 
+def beginning(text: Column, limit: Column | int) -> Column:
+    return T.trimmed(F.left(F.coalesce(text, F.lit("")), limit if isinstance(limit, Column) else F.lit(limit)))
 
-def glossary_matches(blocks: DataFrame, terms: DataFrame, most: int = 10_000) -> DataFrame:
-    """``blocks`` with ``terms``: the sorted terms (column term) that stand in ``text``.
 
-    Terms are a brief's parameters: more than ``most`` are refused, so that the list in the expression is bounded.
+def page_texts(blocks: DataFrame) -> DataFrame:
+    """doc_id, page, text: the translatable blocks (doc_id, page, ord, kind, text) of each page, a line each."""
+    ok = blocks.where("kind <> 'pageFurniture'")
+    return ok.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), "\n").alias("text"))
+
+
+def survey_sample(pages: DataFrame, has_reader: bool = True) -> DataFrame:
+    """doc_id, sample: what a document is judged by, from its pages (doc_id, page from 0, n_pages, layer, read).
+
+    ``layer`` is the text that a page carries itself, ``read`` what a reader makes of it; nulls are none. The opening
+    comes first, from whichever there is; then evenly spread pages share what is left of the budget, at least 200
+    characters each, while it lasts. Twelve pages are looked at if the last one carries text (or nothing can be read),
+    else two; two at most are read. Each part is headed by its page.
+    """
+    number = lambda c: F.concat(F.lit("[page "), c.cast("string"), F.lit("]\n"))
+    first = F.max(F.when(F.col("page") == 0, F.coalesce("layer", "read"))).alias("opening")
+    carries = F.coalesce(F.bool_or((F.col("page") == F.col("n_pages") - 1) & F.col("layer").isNotNull()), F.lit(False)).alias("carries")
+    docs = pages.groupBy("doc_id").agg(F.max("n_pages").alias("n_pages"), first, carries)
+    free = F.col("carries") | F.lit(not has_reader)
+    picked = F.when(free, survey_pages(F.col("n_pages"), FREE_PAGES)).otherwise(survey_pages(F.col("n_pages"), RECOGNIZED_PAGES))
+    opening = beginning(F.col("opening"), OPENING)
+    docs = docs.withColumn("head", F.when(opening != "", F.concat(number(F.lit(1)), opening)).otherwise("")).withColumn("picked", picked)
+    docs = docs.withColumn("budget", F.lit(SAMPLE) - F.char_length("head"))
+    docs = docs.withColumn("share", F.greatest(F.lit(LEAST_SHARE), F.floor(F.col("budget") / F.greatest(F.size("picked"), F.lit(1))).cast("int")))
+    seen = docs.select("doc_id", F.explode("picked").alias("page")).join(pages.select("doc_id", "page", "layer", "read"), ["doc_id", "page"])
+    parts = seen.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "layer", "read"))).alias("parts"))  # twelve at most
+    start = F.struct(F.col("head").alias("sample"), F.col("budget").alias("budget"), F.lit(0).alias("recognized"))
+
+    def add(acc: Column, p: Column) -> Column:
+        layer, may_read = p["layer"], F.lit(has_reader) & (acc["recognized"] < RECOGNIZED_PAGES)
+        own = beginning(F.when(layer.isNotNull(), layer).when(may_read, p["read"]), F.least(F.col("share"), acc["budget"]))
+        told = F.when((acc["budget"] > 0) & (own != ""), F.concat(F.lit("\n\n"), number(p["page"] + 1), own)).otherwise("")
+        read = F.when((acc["budget"] > 0) & layer.isNull() & may_read, 1).otherwise(0)
+        return F.struct(F.concat(acc["sample"], told).alias("sample"), (acc["budget"] - F.char_length(told)).alias("budget"), (acc["recognized"] + read).alias("recognized"))
+
+    none = F.array().cast("array<struct<page:int,layer:string,read:string>>")
+    joined = docs.join(parts, "doc_id", "left").withColumn("parts", F.coalesce(F.col("parts").cast("array<struct<page:int,layer:string,read:string>>"), none))
+    return joined.select("doc_id", F.aggregate("parts", start, add)["sample"].alias("sample"))
+
+
+#: Terms that are compared as literals of one expression; more than these are joined by their first characters.
+FEW_TERMS, GRAM = 256, 3
+
+
+def applicable(blocks: DataFrame, keys: list[str], terms: DataFrame, by: str = "term", text: str = "text") -> DataFrame:
+    """``blocks`` with ``terms``: the distinct rows of ``terms`` whose ``by`` stands in the block's text, sorted.
+
+    A few terms, by their count, are an array that each block filters. More of them meet the blocks by an equi-join on
+    their first characters (three, or all of a shorter term), and what joins is compared whole; no pair is lost and
+    none is made without a shared beginning. Null and blank terms are left out; ``keys`` name a block.
     """
-    rows = [r[0] for r in terms.select("term").where("term is not null and term <> ''").distinct().sort("term").limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"more than {most} terms")
-    all_terms = F.array(*[F.lit(t) for t in rows]) if rows else F.array().cast("array<string>")
-    return blocks.withColumn("terms", F.filter(all_terms, lambda t: F.contains(F.col("text"), t)))
+    known = terms.where(F.col(by).isNotNull() & (F.col(by) != "")).distinct()
+    row = F.struct(by, *[c for c in terms.columns if c != by])
+    some = known.select(row.alias("t")).limit(FEW_TERMS + 1).collect()
+    kind = known.select(F.array(row).alias("t")).schema["t"].dataType
+    if len(some) <= FEW_TERMS:
+        types = dict(known.dtypes)
+        listed = [F.struct(*[F.lit(r["t"][c]).cast(types[c]).alias(c) for c in r["t"].asDict()]) for r in some]
+        return blocks.withColumn("terms", F.array_sort(F.filter(F.array(*listed).cast(kind) if listed else F.array().cast(kind), lambda t: F.contains(F.col(text), t[by]))))
+    gram = F.left(F.col(by), F.lit(GRAM))
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col(text), i, F.lit(k)) for k in range(1, GRAM + 1)]))))
+    met = blocks.select(*keys, text, F.explode(grams).alias("__g")).join(known.select(gram.alias("__g"), row.alias("t")), "__g")
+    met = met.where(F.contains(F.col(text), F.col(f"t.{by}"))).groupBy(*keys).agg(F.array_sort(F.collect_set("t")).alias("terms"))
+    return blocks.join(met, keys, "left").withColumn("terms", F.coalesce("terms", F.array().cast(kind)))
+
+
+def seen_before(rows: DataFrame, seen: DataFrame, on: str) -> DataFrame:
+    """Rows whose ``on`` is among those of ``seen``."""
+    return rows.join(seen.select(on).distinct(), on, "left_semi")
 
 
 def unpinned(terms: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -69,34 +125,90 @@ def unpinned(terms: DataFrame, glossary: DataFrame) -> DataFrame:
     return terms.join(glossary.select("term"), "term", "left_anti")
 
 
+#: The marks of answers' lines.
+MARKS = {"kind": "KIND:", "field": "FIELD:", "subject": "SUBJECT:", "background": "BACKGROUND:", "register": "REGISTER:", "term": "TERM:", "note": "NOTE:", "name": "NAME:", "question": "QUESTION:", "evidence": "BECAUSE:", "option": "OPTION:", "verdict": "VERDICT:", "revision": "REVISION:"}
+NONE, UNKNOWN, REVISE = "NONE", "UNKNOWN", "REVISE"
+
+
 def parsed_profile(answer: Column) -> Column:
-    """struct of a profile answer's marked lines: kind, field, subject, terms (eight at most), notes (three at most)."""
-    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    of = lambda mark: F.transform(F.filter(lines, lambda x: F.upper(x).startswith(mark + ":")), lambda x: F.trim(F.substring(x, len(mark) + 2, 100_000)))
-    one = lambda mark: F.coalesce(F.try_element_at(of(mark), F.lit(1)), F.lit(""))
-    pairs = F.filter(F.transform(of("TERM"), lambda x: F.split(x, r"\s*\|\s*")), lambda x: (F.size(x) >= 2) & (x[0] != "") & (x[1] != ""))
-    named = field(one("FIELD"))
-    told = F.when(named != "unknown", named).otherwise(field(F.concat_ws(" ", one("KIND"), one("SUBJECT"))))
-    return F.struct(one("KIND").alias("kind"), told.alias("field"), one("SUBJECT").alias("subject"), F.slice(F.transform(pairs, lambda x: F.struct(x[0].alias("term"), x[1].alias("rendering"))), 1, 8).alias("terms"), F.slice(F.filter(of("NOTE"), lambda x: x != ""), 1, 3).alias("notes"))
+    """struct of a profile answer's marked lines: kind, field, subject, background, register, terms (eight), notes (three).
+
+    Of lines that repeat a mark the last counts; of a term's lines the last one's rendering at the first one's place.
+    """
+
+    def of(lines: Column) -> Column:
+        one = lambda mark: F.coalesce(F.try_element_at(_marked(lines, MARKS[mark]), F.lit(-1)), F.lit(""))
+        split = F.transform(_marked(lines, MARKS["term"]), lambda x: F.split(x, r"\|", 2))
+        pairs = F.filter(F.transform(F.filter(split, lambda x: F.size(x) == 2), lambda x: F.struct(T.trimmed(x[0]).alias("term"), T.trimmed(x[1]).alias("rendering"))), lambda p: (p["term"] != "") & (p["rendering"] != ""))
+
+        def settle(acc: Column, p: Column) -> Column:
+            known = F.exists(acc, lambda q: q["term"] == p["term"])
+            return F.when(F.size(acc) >= 8, acc).when(known, F.transform(acc, lambda q: F.when(q["term"] == p["term"], p).otherwise(q))).otherwise(F.concat(acc, F.array(p)))
+
+        terms = F.aggregate(pairs, F.array().cast("array<struct<term:string,rendering:string>>"), settle)
+        named = field(one("field"))
+        told = F.when(named != "unknown", named).otherwise(field(F.concat_ws(" ", one("kind"), one("subject"))))
+        notes = F.slice(F.filter(_marked(lines, MARKS["note"]), lambda x: x != ""), 1, 3)
+        return F.struct(one("kind").alias("kind"), told.alias("field"), one("subject").alias("subject"), one("background").alias("background"), one("register").alias("register"), terms.alias("terms"), notes.alias("notes"))
+
+    return T.let(of, lines=_lines(cleaned_answer(F.coalesce(answer, F.lit("")))))
 
 
 def parsed_verdict(answer: Column) -> Column:
     """struct(accurate, revision): a marked revision, else accurate unless the answer says REVISE."""
-    mark = F.locate("REVISED:", answer)
-    revision = F.when(mark > 0, F.trim(F.substring(answer, mark + 8, F.char_length(answer))))
-    revision = F.nullif(revision, F.lit(""))
-    return F.struct((revision.isNull() & ~F.contains(F.upper(answer), F.lit("REVISE"))).alias("accurate"), revision.alias("revision"))
+
+    def of(text: Column) -> Column:
+        mark = F.locate(MARKS["revision"], F.upper(text))
+        revision = F.when(mark > 0, F.nullif(T.trimmed(F.substring(text, mark + len(MARKS["revision"]), F.char_length(text))), F.lit("")))
+        return F.struct(((mark == 0) & ~F.contains(F.upper(text), F.lit(REVISE))).alias("accurate"), revision.alias("revision"))
+
+    return T.let(of, text=cleaned_answer(F.coalesce(answer, F.lit(""))))
 
 
 def cleaned_answer(answer: Column) -> Column:
-    """An answer without reasoning tags (closed or not) and code fences, trimmed."""
-    out = F.regexp_replace(answer, r"(?is)<think(?:ing)?>.*?(?:</think(?:ing)?>|\z)", "")
-    return T.trimmed(F.regexp_replace(out, r"(?m)^```[A-Za-z]*[ \t]*$\n?", ""))
+    """An answer without reasoning tags (closed or not) and the code fences around it, trimmed."""
+    out = F.regexp_replace(answer, r"(?s)<think>.*?</think>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)^.*</think>", ""), r"(?s)<think>.*$", "")
+    out = F.regexp_replace(T.trimmed(out), r"^(?:[^\S\n]*```[^\n]*(?:\n|$))+", "")
+    return F.regexp_replace(out, r"(?:(?:^|\n)[^\S\n]*(?:```[^\n]*)?)+$", "")
+
+
+#: Announcements of a translation, looked for among an answer's first characters.
+ANNOUNCED, ANNOUNCED_WITHIN = ("translates to", "translation:", "the translation is", "here is the translation", "here's the translation", "in english:"), 160
+
+
+def without_preamble(answer: Column) -> Column:
+    """An answer without an announcement before it and the quotation marks around it."""
+
+    def of(text: Column) -> Column:
+        low = F.lower(text)
+        out = text
+        for a in reversed(ANNOUNCED):
+            rest = F.regexp_replace(F.substring(text, F.locate(a, low) + len(a), F.char_length(text)), r"^[ :\n\t]+|[ :\n\t]+$", "")
+            bare = F.when(rest.rlike("^[\"“]"), F.regexp_replace(F.substring(rest, F.lit(2), F.char_length(rest)), "(?s)[\"”][^\"”]*$", "")).otherwise(rest)
+            out = F.when(F.contains(F.left(low, F.lit(ANNOUNCED_WITHIN)), F.lit(a)), F.coalesce(F.nullif(T.trimmed(bare), F.lit("")), text)).otherwise(out)
+        return out
+
+    return T.let(of, text=T.trimmed(answer))
+
+
+def snapped(answer: Column, choices: list[str]) -> Column:
+    """An answer as the first of ``choices`` that stands in it, whatever the case; else as it is. Null for an empty one."""
+    text = F.nullif(T.trimmed(cleaned_answer(answer)), F.lit(""))
+    out = text
+    for c in reversed(choices):
+        out = F.when(F.contains(F.lower(text), F.lit(c.lower())), c).otherwise(out)
+    return out
+
+
+def token_budget(characters: Column | None = None) -> Column:
+    """Tokens that an answer may have: for prose its expected characters within 256 and 8192, for a choice 512."""
+    return F.lit(512) if characters is None else F.greatest(F.lit(256), F.least(F.lit(8192), characters))
 
 
 def _marked(lines: Column, mark: str) -> Column:
     """What follows ``mark`` in the lines that begin with it."""
-    return F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: F.trim(F.substring(x, len(mark) + 1, 1_000_000)))
+    return F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: T.trimmed(F.substring(x, F.lit(len(mark) + 1), F.char_length(x))))
 
 
 def _lines(answer: Column) -> Column:
@@ -119,12 +231,12 @@ def parsed_names(answer: Column, syllables: dict[str, str] | None = None, most:
     ``syllables``, and all but the first line of a source. A null answer gives an empty array.
     """
     text = cleaned_answer(F.coalesce(answer, F.lit("")))
-    parts = F.transform(_marked(_lines(text), "NAME:"), lambda x: F.split(x, r"\s*\|\s*"))
+    parts = F.transform(_marked(_lines(text), MARKS["name"]), lambda x: F.transform(F.split(x, r"\|"), T.trimmed))
     spelled = lambda n: F.coalesce(romanized(n["source"], syllables or {}) == F.regexp_replace(F.lower(n["rendering"]), r"[^\p{L}]", ""), F.lit(False))
     named = F.transform(F.filter(parts, lambda x: F.size(x) >= 2), lambda x: F.struct(x[0].alias("source"), x[1].alias("rendering"), F.nullif(F.try_element_at(x, F.lit(3)), F.lit("")).alias("basis")))
-    good = F.filter(named, lambda n: (n["source"] != "") & (n["rendering"] != "") & (n["source"] != n["rendering"]) & ~F.contains(F.upper(n["rendering"]), F.lit("UNKNOWN")) & ~spelled(n))
+    good = F.filter(named, lambda n: (n["source"] != "") & (n["rendering"] != "") & (n["source"] != n["rendering"]) & ~F.contains(F.upper(n["rendering"]), F.lit(UNKNOWN)) & ~spelled(n))
     first = T.let(lambda names: F.filter(names, lambda n, i: F.array_position(F.transform(names, lambda m: m["source"]), n["source"]) == i + 1), names=good)
-    return F.when(F.upper(text).startswith("NO NAMES"), F.slice(first, 1, 0)).otherwise(F.slice(first, 1, most))
+    return F.when(F.upper(text).startswith(NONE), F.slice(first, 1, 0)).otherwise(F.slice(first, 1, most))
 
 
 #: The option that every question gets.
@@ -132,7 +244,7 @@ UNSURE = ("Not sure", "The reader is not sure; choose the plainest reading.")
 
 
 def parsed_questions(answer: Column, most: int = 3) -> Column:
-    """array of (question, options, evidence) of an answer's lines QUESTION:, EVIDENCE: and OPTION: label | guidance.
+    """array of (question, options, evidence) of an answer's lines QUESTION:, BECAUSE: and OPTION: label | guidance.
 
     A question needs two options; one to say "not sure" is added to each. A null answer gives an empty array.
     """
@@ -140,11 +252,13 @@ def parsed_questions(answer: Column, most: int = 3) -> Column:
     parts = F.split(F.concat(F.lit("\n"), text), r"\n[ \t]*QUESTION:")
 
     def question(part: Column) -> Column:
-        lines = _lines(part)
-        pairs = F.transform(_marked(lines, "OPTION:"), lambda x: F.split(x, r"\|", 2))
-        options = F.transform(F.filter(pairs, lambda x: (F.size(x) == 2) & (F.trim(x[0]) != "") & (F.trim(F.element_at(x, -1)) != "")), lambda x: F.struct(F.trim(x[0]).alias("label"), F.trim(x[1]).alias("guidance")))
-        unsure = F.array(F.struct(F.lit(UNSURE[0]).alias("label"), F.lit(UNSURE[1]).alias("guidance")))
-        return F.struct(lines[0].alias("question"), F.concat(options, unsure).alias("options"), F.try_element_at(_marked(lines, "EVIDENCE:"), F.lit(-1)).alias("evidence"))
+        def of(lines: Column) -> Column:
+            pairs = F.transform(F.filter(F.transform(_marked(lines, MARKS["option"]), lambda x: F.split(x, r"\|", 2)), lambda x: F.size(x) == 2), lambda x: F.struct(T.trimmed(x[0]).alias("label"), T.trimmed(x[1]).alias("guidance")))
+            unsure = F.array(F.struct(F.lit(UNSURE[0]).alias("label"), F.lit(UNSURE[1]).alias("guidance")))
+            options = F.concat(F.filter(pairs, lambda p: (p["label"] != "") & (p["guidance"] != "")), unsure)
+            return F.struct(lines[0].alias("question"), options.alias("options"), F.try_element_at(_marked(lines, MARKS["evidence"]), F.lit(-1)).alias("evidence"))
+
+        return T.let(of, lines=_lines(part))
 
     asked = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), question), lambda q: (q["question"] != "") & (F.size(q["options"]) >= 3))
-    return F.when(F.upper(text).startswith("NO QUESTIONS"), F.slice(asked, 1, 0)).otherwise(F.slice(asked, 1, most))
+    return F.when(F.upper(text).startswith(NONE), F.slice(asked, 1, 0)).otherwise(F.slice(asked, 1, most))
