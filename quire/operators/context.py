@@ -35,9 +35,15 @@ def document_context(blocks: DataFrame) -> DataFrame:
     return ok.groupBy("doc_id").agg(F.min(rank).alias("b")).select("doc_id", F.col("b.text").alias("context"))
 
 
+#: Why a neighbour is given, in the order in which the reasons are told.
+GIVEN = ("its predecessor's translation", "too short to say what it is about", "it points outside itself", "it goes on with the sentence before", "what the section says", "the line after it", "the heading above it")
+#: What is told of a block that was translated a second time.
+ALONE = "translated again by itself, since the first answer only copied the source"
+
+
 def need(text: Column, kind: Column, previous_source: Column, previous_target: Column, next_source: Column, heading: Column, pack: Pack) -> Column:
-    """struct(previous_source, previous_target, following, heading): which neighbours a block needs."""
-    scrubbed = F.regexp_replace(text, "|".join(map(re.escape, pack.false_friends)), "�") if pack.false_friends else text
+    """struct(previous_source, previous_target, following, heading, reasons): which neighbours a block needs, and why."""
+    scrubbed = F.regexp_replace(text, "|".join(map(re.escape, pack.false_friends)), "\ufffd") if pack.false_friends else text
     short = F.char_length(text) < pack.self_contained
     refers = F.lit(False)
     for w in pack.referring:
@@ -46,9 +52,15 @@ def need(text: Column, kind: Column, previous_source: Column, previous_target: C
     for w in pack.continuing:
         continues = continues | scrubbed.startswith(w)
     able = kind != "pageFurniture"
+    before, after, under = able & previous_source.isNotNull(), able & next_source.isNotNull(), able & heading.isNotNull()
+    is_head = kind == "heading"
+    tests = (able & previous_target.isNotNull(), before & short, before & refers, before & continues, after & is_head, after & ~is_head & short, under & (kind.isin("listItem", "tableRow") | short | refers))
     return F.struct(
-        (able & previous_source.isNotNull() & (short | refers | continues)).alias("previous_source"),
-        (able & previous_target.isNotNull()).alias("previous_target"),
-        (able & next_source.isNotNull() & ((kind == "heading") | short)).alias("following"),
-        (able & heading.isNotNull() & (kind.isin("listItem", "tableRow") | short | refers)).alias("heading"),
-    )
+        (before & (short | refers | continues)).alias("previous_source"), tests[0].alias("previous_target"), (after & (is_head | short)).alias("following"), tests[-1].alias("heading"),
+        F.array_compact(F.array(*[F.when(t, why) for t, why in zip(tests, GIVEN, strict=True)])).alias("reasons"),
+    )
+
+
+def before(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (doc_id, page, ord, text) with context_before: the text of the block before on the page, null at its top."""
+    return blocks.withColumn("context_before", F.lag("text").over(Window.partitionBy("doc_id", "page").orderBy("ord")))

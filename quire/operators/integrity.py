@@ -9,20 +9,25 @@ from ..functions import text as T
 from ..functions.pack import CHINESE, Pack
 
 NOTE, CAUTION, BLOCKING = 1, 2, 3
-_TYPE = "array<struct<kind:string,severity:int,evidence:string>>"
-#: Glossary and term lists are parameters of a run; this is how long one may be.
-MOST_TERMS = 10_000
+_TYPE = "array<struct<kind:string,severity:int,message:string,evidence:string>>"
+#: Types of the agreed terms that apply to a block: the reader's, with what the translation must hold, and the document's.
+GLOSSARY, TERMS = "array<struct<term:string,required:string,keep:boolean>>", "array<struct<term:string,rendering:string>>"
 
 
-def _finding(kind: str, severity: Column | int, evidence: Column | None = None) -> Column:
+def _finding(kind: str, severity: Column | int, message: Column | str, evidence: Column | None = None) -> Column:
     s = severity if isinstance(severity, Column) else F.lit(severity)
-    return F.struct(F.lit(kind).alias("kind"), s.cast("int").alias("severity"), (evidence if evidence is not None else F.lit(None)).cast("string").alias("evidence"))
+    m = message if isinstance(message, Column) else F.lit(message)
+    return F.struct(F.lit(kind).alias("kind"), s.cast("int").alias("severity"), m.alias("message"), (evidence if evidence is not None else F.lit(None)).cast("string").alias("evidence"))
 
 
 def _if(test: Column, finding: Column) -> Column:
     return F.when(test, F.array(finding)).otherwise(F.array().cast(_TYPE))
 
 
+def _quoted(c: Column, before: str, after: str) -> Column:
+    return F.concat(F.lit(before + "“"), c, F.lit("”" + after))
+
+
 def number_differences(source: Column, target: Column, pack: Pack = CHINESE) -> Column:
     """struct(dropped, invented) of figures: multiset differences, less what may be written as words."""
 
@@ -36,60 +41,96 @@ def number_differences(source: Column, target: Column, pack: Pack = CHINESE) ->
     return T.let(runs, a=T.number_runs(source), b=T.number_runs(target), months=T.months_as_words(source, target))
 
 
-def findings(source: Column, target: Column, pack: Pack = CHINESE, glossary: list[tuple[str, str | None]] = (), terms: dict[str, str] | None = None) -> Column:
-    """The findings of one block, in a fixed order.
+def literal_glossary(glossary: list[tuple[str, str | None]]) -> Column:
+    """A short list of (term, rendering; None to keep it as written) as the column that :func:`findings` takes."""
+    rows = [F.struct(F.lit(t).alias("term"), F.lit(t if r is None else r).alias("required"), F.lit(r is None).alias("keep")) for t, r in glossary]
+    return F.array(*rows) if rows else F.array().cast(GLOSSARY)
+
+
+def literal_terms(terms: dict[str, str]) -> Column:
+    rows = [F.struct(F.lit(t).alias("term"), F.lit(r).alias("rendering")) for t, r in terms.items()]
+    return F.array(*rows) if rows else F.array().cast(TERMS)
+
 
-    ``glossary`` has (term, required rendering; None to keep the term as it is), ``terms`` the document's own
-    renderings. A blank source has no findings, a blank translation only emptyTranslation; nulls are blank.
+def findings(source: Column, target: Column, pack: Pack = CHINESE, glossary: Column | list | None = None, terms: Column | dict | None = None, spelled_names: Column | None = None, language: str = "source language", into: str = "English") -> Column:
+    """The findings (kind, severity, message, evidence) of one block, in a fixed order.
+
+    ``glossary`` and ``terms`` are columns (see :data:`GLOSSARY`, :data:`TERMS`), for long lists those that
+    :func:`~quire.operators.profile.applicable` joins to each block, or short lists of literals. ``spelled_names`` are
+    findings of :func:`~quire.operators.brief.transliterated`, which come before a leak. A blank source has no
+    findings, a blank translation only emptyTranslation; nulls are blank.
     """
-    if len(glossary) + len(terms or {}) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
-    blank = F.array().cast(_TYPE)
+    glossary = glossary if isinstance(glossary, Column) else literal_glossary(list(glossary or []))
+    terms = terms if isinstance(terms, Column) else literal_terms(terms or {})
+    names = F.coalesce(spelled_names, F.array().cast(_TYPE)) if spelled_names is not None else F.array().cast(_TYPE)
+    empty = F.array().cast(_TYPE)
 
     def checked(s: Column, t: Column) -> Column:
-        measured = t
-        for term, rendering in glossary:
-            if rendering is None:
-                measured = F.replace(measured, F.lit(term), F.lit(""))
-        listed = lambda *v: _listed(s, t, measured, pack, glossary, terms or {}, *v)
-        full = T.let(listed, figures=number_differences(s, t, pack), share=T.script_share(measured, pack), said=T.letters(s), ratio=T.letters(t) / T.letters(s), run=T.repeated_run(t), leak=T.instruction_leak(t))
-        return F.when(s == "", blank).when(t == "", F.array(_finding("emptyTranslation", BLOCKING))).otherwise(full)
+        kept = F.filter(glossary, lambda g: g["keep"])
+        measured = F.aggregate(kept, t, lambda acc, g: F.replace(acc, g["term"], F.lit("")))
+        listed = lambda *v: _listed(s, t, pack, glossary, terms, names, language, into, *v)
+        full = T.let(listed, measured=measured, figures=number_differences(s, t, pack), share=T.script_share(measured, pack), said=T.letters(s), ratio=T.letters(t) / T.letters(s), run=T.repeated_run(t), leak=T.instruction_leak(t))
+        return F.when(s == "", empty).when(t == "", F.array(_finding("emptyTranslation", BLOCKING, "A block that has text came back empty."))).otherwise(full)
 
     return T.let(checked, s=T.trimmed(F.coalesce(source, F.lit(""))), t=T.trimmed(F.coalesce(target, F.lit(""))))
 
 
-def _listed(s: Column, t: Column, measured: Column, pack: Pack, glossary: list, terms: dict[str, str], figures: Column, share: Column, said: Column, ratio: Column, run: Column, leak: Column) -> Column:
+def _listed(s: Column, t: Column, pack: Pack, glossary: Column, terms: Column, names: Column, language: str, into: str, measured: Column, figures: Column, share: Column, said: Column, ratio: Column, run: Column, leak: Column) -> Column:
     """The findings of a block whose source and translation are not blank."""
     low, high = pack.expansion
-    each = [
-        _if(T.similarity(s, t) > 0.9, _finding("echoedSource", BLOCKING, F.substring(t, 1, 80))),
-        _if(share > 0.15, _finding("untranslatedScript", F.when(share > 0.4, BLOCKING).otherwise(CAUTION), F.substring(F.regexp_extract(measured, f"[{pack.script}]+", 0), 1, 24))),
-        F.transform(figures["dropped"], lambda x: _finding("droppedNumber", BLOCKING, x)),
-        F.transform(figures["invented"], lambda x: _finding("inventedNumber", CAUTION, x)),
-        _if((said >= 8) & ((ratio < low) | (ratio > high)), _finding("lengthOutOfRange", F.when(ratio < low, CAUTION).otherwise(NOTE))),
-        _if(run.isNotNull(), _finding("repeatedRun", BLOCKING, run)),
-    ]
-    for term, rendering in glossary:
-        need = term if rendering is None else rendering
-        each.append(_if(F.contains(s, F.lit(term)) & ~F.contains(t, F.lit(need)), _finding("briefIgnored", BLOCKING, F.lit(need))))
-    pinned = {term for term, _ in glossary}
-    for term, rendering in sorted(terms.items()):
-        if term not in pinned and rendering:
-            each.append(_if(F.contains(s, F.lit(term)) & ~F.contains(F.lower(t), F.lit(rendering.lower())), _finding("inconsistentTerm", CAUTION, F.lit(rendering))))
-    each.append(_if(leak.isNotNull(), _finding("leakedInstruction", CAUTION, leak)))
-    return F.concat(*each)
+    ignored = F.filter(glossary, lambda g: F.contains(s, g["term"]) & ~F.contains(t, g["required"]))
+    unlike = F.filter(F.array_sort(terms), lambda x: F.contains(s, x["term"]) & (x["rendering"] != "") & ~F.contains(F.lower(t), F.lower(x["rendering"])) & ~F.exists(glossary, lambda g: g["term"] == x["term"]))
+    first = F.regexp_extract(measured, f"[{pack.script}]+", 0)
+    return F.concat(
+        _if(T.similarity(s, t) > 0.9, _finding("echoedSource", BLOCKING, f"The {into} repeats the {language} text.", F.substring(t, 1, 80))),
+        _if(share > 0.15, _finding("untranslatedScript", F.when(share > 0.4, BLOCKING).otherwise(CAUTION), F.concat(F.floor(share * 100).cast("string"), F.lit(f"% of this block is still {language}.")), F.nullif(F.substring(first, 1, 24), F.lit("")))),
+        F.transform(figures["dropped"], lambda x: _finding("droppedNumber", BLOCKING, _quoted(x, "The figure ", " of the source is missing."), x)),
+        F.transform(figures["invented"], lambda x: _finding("inventedNumber", CAUTION, _quoted(x, "The figure ", " is not in the source."), x)),
+        _if((said >= 8) & ((ratio < low) | (ratio > high)), _finding("lengthOutOfRange", F.when(ratio < low, CAUTION).otherwise(NOTE), F.when(ratio < low, "Far shorter than the source; something may be missing.").otherwise("Far longer than the source; something may have been added."))),
+        _if(run.isNotNull(), _finding("repeatedRun", BLOCKING, "One phrase is said again and again.", run)),
+        F.transform(ignored, lambda g: _finding("briefIgnored", BLOCKING, _quoted(g["term"], "The brief settles ", ", and this block does otherwise."), g["required"])),
+        F.transform(unlike, lambda x: _finding("inconsistentTerm", CAUTION, F.concat(_quoted(x["term"], "Elsewhere in the document ", " is "), F.lit("“"), x["rendering"], F.lit("”; not here.")), x["rendering"])),
+        names,
+        _if(leak.isNotNull(), _finding("leakedInstruction", CAUTION, "The answer speaks of the task.", leak)),
+    )
+
+
+#: What lowers a score, and what a blocking finding caps it at.
+ALONE_BY_MODEL, ALONE, ADJUDICATED, DEFAULTED, DISAGREEMENT = 0.45, 0.2, 0.12, 0.3, 0.4
+UNLIKE_DRAFTS, ONE_DRAFT, LEAST_LIKENESS, UNREVIEWED, REVISED = 0.2, 0.05, 0.45, 0.2, 0.1
+BY_SEVERITY, CAP = {BLOCKING: 0.4, CAUTION: 0.12, NOTE: 0.04}, 0.35
 
 
 def confidence(settlement: Column, reader: Column, agreement: Column, found: Column, translator_agreement: Column, reviewed: Column, revised: Column) -> Column:
-    """Score in [0, 1] from how a block was read, checked and reviewed. A blocking finding caps it at 0.35."""
-    score = F.lit(1.0) - F.when((settlement == "single") & (reader == "visionLanguageModel"), 0.45).when(settlement == "single", 0.2).when(settlement == "adjudicated", 0.12).when(settlement == "defaulted", 0.3).otherwise(0.0)
-    score = score - F.when(agreement < 1, (1 - agreement) * 0.4).otherwise(0.0)
-    score = score - F.when(translator_agreement.isNull(), 0.05).when(translator_agreement < 0.45, 0.2).otherwise(0.0)
-    score = score - F.when(~reviewed, 0.2).when(revised, 0.1).otherwise(0.0)
-    score = F.aggregate(found, score, lambda acc, f: acc - F.when(f.severity == BLOCKING, 0.4).when(f.severity == CAUTION, 0.12).otherwise(0.04))
-    score = F.when(F.exists(found, lambda f: f.severity == BLOCKING), F.least(score, F.lit(0.35))).otherwise(score)
+    """Score in [0, 1] from how a block was read, checked and reviewed. A blocking finding caps it."""
+    score = F.lit(1.0) - F.when((settlement == "single") & (reader == "visionLanguageModel"), ALONE_BY_MODEL).when(settlement == "single", ALONE).when(settlement == "adjudicated", ADJUDICATED).when(settlement == "defaulted", DEFAULTED).otherwise(0.0)
+    score = score - F.when(agreement < 1, (1 - agreement) * DISAGREEMENT).otherwise(0.0)
+    score = score - F.when(translator_agreement.isNull(), ONE_DRAFT).when(translator_agreement < LEAST_LIKENESS, UNLIKE_DRAFTS).otherwise(0.0)
+    score = score - F.when(~reviewed, UNREVIEWED).when(revised, REVISED).otherwise(0.0)
+    score = F.aggregate(found, score, lambda acc, f: acc - F.when(f.severity == BLOCKING, BY_SEVERITY[BLOCKING]).when(f.severity == CAUTION, BY_SEVERITY[CAUTION]).otherwise(BY_SEVERITY[NOTE]))
+    score = F.when(F.exists(found, lambda f: f.severity == BLOCKING), F.least(score, F.lit(CAP))).otherwise(score)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def reasons(settlement: Column, reader: Column, because: Column, found: Column, translator_agreement: Column, reviewed: Column, revised: Column) -> Column:
+    """Why a block scores as it does: how it was read, translated and reviewed, then each finding's message."""
+    read = (
+        F.when(settlement == "textLayer", "The document's own text")
+        .when(settlement == "unanimous", "Both readers agree")
+        .when((settlement == "single") & reader.isin("visionLanguageModel", "Vision model"), "Only a language model read this; it may not stand on the page")
+        .when(settlement == "single", F.concat(F.lit("Only "), reader, F.lit(" read this")))
+        .when(settlement == "adjudicated", F.concat(F.lit("The readers differ: "), because, F.lit("; "), reader, F.lit(" was chosen")))
+        .when(settlement == "defaulted", F.concat(F.lit("The readers differ, unsettled: "), because))
+    )
+    drafted = F.when(translator_agreement.isNull(), "One translator only").when(translator_agreement < LEAST_LIKENESS, "Two translators differ widely")
+    checked = F.when(~reviewed, "Not reviewed").when(revised, "The reviewer rewrote it")
+    return F.concat(F.array_compact(F.array(read, drafted, checked)), F.transform(found, lambda f: f["message"]))
+
+
 def band(score: Column) -> Column:
     return F.when(score >= 0.85, "high").when(score >= 0.6, "check").otherwise("low")
+
+
+def band_label(band_: Column) -> Column:
+    """How an export names a band."""
+    return F.when(band_ == "high", "Agreed").when(band_ == "check", "Worth a look").otherwise("Needs a human")

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pack import Pack
 
+#: What a pair's similarity must exceed to earn, what a gap costs, blocks that one may match, and
+#: characters of a text that count for its similarity.
 FLOOR, GAP, MERGED = 0.4, -0.05, 8
 COMPARED = 2000
+#: Similarity over which a block repeats another, from which readings are the same, and under which they
+#: are no readings of one text.
+REPEATS, SAME, UNLIKE = 0.9, 0.999, 0.45
+#: Readers in the order in which one leads; the first is the page's own text and settles what it says. Others by name.
+LEADING, AUTHORITY = ("pdfTextLayer", "visionOCR"), "pdfTextLayer"
 
 
 def _distance(a: str, b: str) -> int:
@@ -96,7 +107,7 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def without_repeats(texts: Column) -> Column:
     """An ordered array of texts without those over 0.9 similar to one kept before."""
-    return F.aggregate(texts, F.array().cast("array<string>"), lambda kept, t: F.when(F.exists(kept, lambda k: T.similarity(k, t) > 0.9), kept).otherwise(F.concat(kept, F.array(t))))
+    return F.aggregate(texts, F.array().cast("array<string>"), lambda kept, t: F.when(F.exists(kept, lambda k: T.similarity(k, t) > REPEATS), kept).otherwise(F.concat(kept, F.array(t))))
 
 
 def differ_in_figures(a: Column, b: Column) -> Column:
@@ -118,8 +129,128 @@ def settle(left: Column, right: Column, similarity: Column, authoritative: Colum
         F.when(a == "", out(F.nullif(b, F.lit("")), F.lit(0.0), "single"))
         .when(b == "", out(a, none, "single"))
         .when(authoritative, out(a, similarity, "textLayer"))
-        .when((similarity >= 0.999) | (a == b), out(a, F.lit(1.0), "unanimous"))
-        .when(~translatable | (similarity < 0.45) | answer.isNull() | differ_in_figures(a, b), out(a, similarity, "defaulted"))
+        .when((similarity >= SAME) | (a == b), out(a, F.lit(1.0), "unanimous"))
+        .when(~translatable | (similarity < UNLIKE) | answer.isNull() | differ_in_figures(a, b), out(a, similarity, "defaulted"))
         .when(F.upper(F.trim(answer)).startswith("B"), out(b, similarity, "adjudicated"))
         .otherwise(out(a, similarity, "adjudicated"))
     )
+
+
+# --- a page's readings made one --------------------------------------------------------------------------------------
+
+#: An adjudicator's answer to (text before, reading A, reading B); one that begins with B takes B. It may raise.
+Adjudicator = Callable[[str | None, str, str], str]
+BECAUSE_NONE, BECAUSE_UNLIKE, BECAUSE_FIGURES = "no model could choose", "the readings are too unlike to be of one text", "they differ in figures alone, and a recognizer makes none up"
+_RECONCILED = "ord int, kind string, text string, n_lines int, x double, y double, w double, h double, candidates array<struct<reader:string,text:string>>, agreement double, settlement string, reader string, because string, context_before string"
+
+
+def normalize(text: str, pack: Pack) -> str:
+    """:func:`quire.functions.text.normalized` of one string."""
+    if pack.spaced:
+        return " ".join(text.split())
+    return re.sub(r"[ \u3000]+", lambda m: _between(text, m, f"[{pack.script}]"), text).strip()
+
+
+def _between(text: str, m: re.Match, script: str) -> str:
+    """What a run of blanks becomes: nothing between two characters of the script, else one blank."""
+    before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+    return "" if re.match(script, before) and re.match(script, after) else " "
+
+
+def figures(text: str) -> list[str]:
+    """:func:`quire.functions.text.number_runs` of one string."""
+    folded = text.translate({0xFF10 + i: str(i) for i in range(10)} | {0xFF0E: ".", 0xFF0C: ","})
+    return [r.replace(",", "").rstrip(".") for r in re.findall("[0-9][0-9.,]*", folded)]
+
+
+def difference(a: str, b: str) -> str:
+    """:func:`quire.functions.text.quoted_difference` of two strings."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    left, right = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not left or not right or not left.strip() and not right.strip():
+        return "they differed"
+    quote = lambda x: f"“{x[:24]}”" if x else "nothing"
+    return f"{quote(left.strip())} against {quote(right.strip())}"
+
+
+def _settled(left: list[dict], right: list[dict], similarity: float, primary: str, secondary: str, before: str | None, pack: Pack, adjudicator: Adjudicator | None) -> dict | None:
+    a, b = (normalize("".join(x["text"] for x in side), pack) for side in (left, right))
+    said = dict(context_before=before, because=None)
+    if not left:
+        if not b:
+            return None
+        own = right[0]
+        return said | dict(kind=own["kind"], text=b, n_lines=sum(x["n_lines"] for x in right), box=[own[k] for k in "xywh"], candidates=[(secondary, b)], agreement=0.0, settlement="single", reader=secondary)
+    x0, y0 = min(x["x"] for x in left), min(x["y"] for x in left)
+    box = [x0, y0, max(x["x"] + x["w"] for x in left) - x0, max(x["y"] + x["h"] for x in left) - y0]
+    said |= dict(kind=left[0]["kind"], text=a, n_lines=sum(x["n_lines"] for x in left), box=box)
+    if not right:
+        return said | dict(candidates=[(primary, a)], agreement=None, settlement="single", reader=primary)
+    said |= dict(candidates=[(primary, a), (secondary, b)], agreement=similarity, reader=primary)
+    if primary == AUTHORITY:
+        return said | dict(settlement="textLayer")
+    if similarity >= SAME or a == b:
+        return said | dict(agreement=1.0, settlement="unanimous")
+    if left[0]["kind"] == "pageFurniture" or similarity < UNLIKE or adjudicator is None:
+        return said | dict(settlement="defaulted", because=BECAUSE_NONE if adjudicator is None else BECAUSE_UNLIKE)
+    if re.sub("[0-9０-９]", "", a) == re.sub("[0-9０-９]", "", b) and figures(a) != figures(b):
+        return said | dict(settlement="defaulted", because=BECAUSE_FIGURES)
+    try:
+        chose = adjudicator(before, a, b).upper().startswith("B")
+    except Exception as e:  # noqa: BLE001  the block says so
+        return said | dict(settlement="defaulted", because=str(e))
+    return said | dict(text=b if chose else a, settlement="adjudicated", reader=secondary if chose else primary, because=difference(a, b))
+
+
+def reconcile_page(readings: dict[str, list[dict]], pack: Pack, adjudicator: Adjudicator | None = None) -> list[dict]:
+    """The blocks of one page from its readers' blocks (text, kind, n_lines, x, y, w, h), each list in order."""
+    readers = sorted((r for r, blocks in readings.items() if blocks), key=lambda r: (r != AUTHORITY, r))
+    if not readers:
+        return []
+    primary = next((r for r in LEADING if r in readers), readers[0])
+    secondary = next((r for r in readers if r != primary), None)
+    left = readings[primary]
+    if secondary is None:
+        settlement = "textLayer" if primary == AUTHORITY else "single"
+        return [dict(kind=x["kind"], text=x["text"], n_lines=x["n_lines"], box=[x[k] for k in "xywh"], candidates=[(primary, x["text"])], agreement=None, settlement=settlement, reader=primary, because=None, context_before=None) for x in left]
+    right: list[dict] = []
+    for x in readings[secondary]:
+        if not any(text_similarity(k["text"], x["text"]) > REPEATS for k in right):
+            right.append(x)
+    out: list[dict] = []
+    for p, q, s in align_texts([x["text"] for x in left], [x["text"] for x in right]):
+        block = _settled([left[i] for i in p], [right[i] for i in q], s, primary, secondary, out[-1]["text"] if out else None, pack, adjudicator)
+        if block:
+            out.append(block)
+    return out
+
+
+def reconciled(readings: DataFrame, pack: Pack, adjudicator: Adjudicator | None = None) -> DataFrame:
+    """doc_id, page and a page's settled blocks, of readings (doc_id, page, reader, ord, kind, text, n_lines, x, y, w, h).
+
+    One reader's blocks pass as they are. Of two, the leading one's are aligned with the other's, repeats of which are
+    left out, and each pair is settled in order; the adjudicator sees what was settled before. A third reader is not
+    asked. Pages are groups and short by nature (tens of blocks). Null texts are empty.
+    """
+    types = dict(readings.dtypes)
+    names = ["text", "kind", "n_lines", "x", "y", "w", "h"]
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        by: dict[str, list[dict]] = {}
+        for r in sorted(t.to_pylist(), key=lambda r: (r["reader"], r["ord"])):
+            by.setdefault(r["reader"], []).append({k: r[k] for k in names} | {"text": r["text"] or ""})
+        blocks = reconcile_page(by, pack, adjudicator)
+        rows = {"doc_id": [key[0].as_py()] * len(blocks), "page": [key[1].as_py()] * len(blocks), "ord": list(range(len(blocks)))}
+        rows |= {k: [b[k] for b in blocks] for k in ("kind", "text", "n_lines")} | {k: [b["box"][i] for b in blocks] for i, k in enumerate("xywh")}
+        rows["candidates"] = [[{"reader": r, "text": x} for r, x in b["candidates"]] for b in blocks]
+        rows |= {k: [b[k] for b in blocks] for k in ("agreement", "settlement", "reader", "because", "context_before")}
+        kinds = [t.schema.field("doc_id").type, t.schema.field("page").type, pa.int32(), pa.string(), pa.string(), pa.int32(), *[pa.float64()] * 4, pa.list_(pa.struct([("reader", pa.string()), ("text", pa.string())])), pa.float64(), *[pa.string()] * 4]
+        return pa.table([pa.array(c, k) for c, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+    rows = readings.select("doc_id", "page", "reader", "ord", "kind", "text", F.col("n_lines").cast("int").alias("n_lines"), *[F.col(k).cast("double").alias(k) for k in "xywh"])
+    return rows.groupBy("doc_id", "page").applyInArrow(run, f"doc_id {types['doc_id']}, page {types['page']}, {_RECONCILED}")

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pack import Pack
+from . import integrity
+from .context import ALONE
+from .export import reader_name
+from .profile import parsed_verdict
 
 
 class Engine(Protocol):
-    """A translation engine: source text and optional context to target text."""
+    """A translation engine: source text and optional context to target text. A reviewer gets the draft instead."""
 
     def __call__(self, text: str, context: str | None) -> str: ...
 
@@ -24,33 +28,84 @@ def scripted(answers: dict[str, str], default: Callable[[str], str] = lambda t:
     return lambda text, context: answers.get(text, default(text))
 
 
-def translated(blocks: DataFrame, engine: Engine, second: Engine | None, reviewer: Engine | None, pack: Pack) -> DataFrame:
-    """``blocks`` (text, kind, context) with first_draft, second_draft, revision, retried and error.
+def _asked(df: DataFrame, lead: Engine, second: Engine | None, reviewer: Engine | None, skip: str, context: str, prefix: str) -> DataFrame:
+    """``df`` with prefix_draft, _second, _verdict and _error: what the engines say of ``text``, but where ``skip`` holds.
 
-    Furniture and texts without the source's script are copied through and never reach an engine. A draft that only
-    repeats the source, with a context given, is asked for once more without it. An engine's exception becomes the
-    row's error and leaves the draft null.
+    An engine that drafts may fail: its exception is the row's error. A second opinion or a review that fails is none;
+    neither gets the context, and an empty draft is not reviewed.
     """
-    skip = (F.col("kind") == "pageFurniture") | (T.script_share(F.col("text"), pack) == 0)
-    marked = blocks.withColumn("copied", skip)
-    schema = marked.withColumns({"first_draft": F.lit("").cast("string"), "second_draft": F.lit(""), "revision": F.lit(""), "retried": F.lit(False), "error": F.lit("")}).schema
+    names = [f"{prefix}_{k}" for k in ("draft", "second", "verdict", "error")]
+    schema = df.withColumns({k: F.lit(None).cast("string") for k in names}).schema
     for f in schema.fields:
         f.nullable = True
 
-    def one(text: str, context: str | None) -> tuple:
+    def tried(engine: Engine | None, *args) -> str | None:
         try:
-            draft, retried = engine(text, context), False
-            if context and draft.strip() == text.strip():
-                draft, retried = engine(text, None), True
-            other = second(text, context) if second else None
-            better = reviewer(text, draft) if reviewer else None
-            return draft, other, better if better != draft else None, retried, None
+            return engine(*args) if engine else None
+        except Exception:  # noqa: BLE001  there is no second opinion, or no review
+            return None
+
+    def one(text: str, around: str | None) -> tuple:
+        try:
+            draft = lead(text, around)
         except Exception as e:  # noqa: BLE001  the row carries it
-            return None, None, None, False, f"{type(e).__name__}: {e}"
+            return None, None, None, str(e) or type(e).__name__
+        return draft, tried(second, text, None), tried(reviewer if draft else None, text, draft), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(None,) * 4 if s else one(t or "", c) for t, c, s in zip(*[b.column(k).to_pylist() for k in ("text", context, skip)], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4))], [*b.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
+
+
+def translated(blocks: DataFrame, lead: Engine, second: Engine | None, reviewer: Engine | None, pack: Pack, glossary: Column | list | None = None, terms: Column | dict | None = None, language: str = "source language") -> DataFrame:
+    """``blocks`` with their translation, its findings and its confidence.
+
+    Blocks are (text, kind, context: what is shown around the text, null for nothing; context_reasons, settlement,
+    reader, because, agreement). Furniture and texts without the source's script are copied, score 1 and reach no
+    engine. A block whose engine fails has an empty draft, a blocking finding and score 0. A translation that leaves
+    the source, given context, is asked for once more without it, and replaced if the new one does not. The reviewer
+    gets (source, draft) and answers like :func:`~quire.operators.profile.parsed_verdict` expects.
+
+    Adds copied, first_draft, revision, shown (the revision, else the draft), was_revised, findings, score, band,
+    reasons, context_reasons, retried_alone and error.
+    """
+    furniture = F.col("kind") == "pageFurniture"
+    bare = T.script_share(F.coalesce("text", F.lit("")), pack) == 0
+    rows = blocks.withColumn("copied", furniture | bare)
+    first = _asked(rows, lead, second, reviewer, "copied", "context", "__a")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(t, None, None, False, None) if c else one(t, x) for t, x, c in zip(pdf["text"], pdf["context"], pdf["copied"], strict=True)]
-            yield pdf.assign(**dict(zip(("first_draft", "second_draft", "revision", "retried", "error"), map(list, zip(*rows, strict=True)), strict=True))) if rows else pdf.reindex(columns=schema.names)
+    def judged(df: DataFrame, p: str) -> DataFrame:
+        verdict = parsed_verdict(F.col(f"{p}_verdict"))
+        reviewed = F.col(f"{p}_verdict").isNotNull()
+        df = df.withColumn(f"{p}_revision", F.when(reviewed, verdict["revision"]))
+        final = F.coalesce(f"{p}_revision", f"{p}_draft")
+        ok = F.col(f"{p}_draft").isNotNull()
+        found = F.when(ok, integrity.findings(F.col("text"), final, pack, glossary, terms, language=language)).otherwise(F.array().cast(integrity._TYPE))
+        return df.withColumns({f"{p}_found": found, f"{p}_like": F.when(ok & F.col(f"{p}_second").isNotNull(), T.similarity(F.col(f"{p}_draft"), F.col(f"{p}_second")))})
 
-    return marked.mapInPandas(run, schema)
+    left = lambda p: F.exists(f"{p}_found", lambda f: f["kind"].isin("echoedSource", "untranslatedScript"))
+    a = judged(first, "__a").withColumn("__done", F.coalesce(F.col("copied") | F.col("context").isNull() | ~left("__a"), F.lit(True)))
+    b = judged(_asked(a.withColumn("__alone", F.lit(None).cast("string")), lead, second, reviewer, "__done", "__alone", "__b"), "__b")
+    b = b.withColumn("retried_alone", ~F.col("__done") & F.col("__b_draft").isNotNull() & ~left("__b"))
+    pick = lambda k: F.when(F.col("retried_alone"), F.col(f"__b_{k}")).otherwise(F.col(f"__a_{k}"))
+    b = b.withColumns({
+        "first_draft": F.when(F.col("copied"), F.col("text")).otherwise(F.coalesce(pick("draft"), F.lit(""))), "revision": pick("revision"), "error": F.col("__a_error"),
+        "findings": pick("found"), "__like": pick("like"), "__reviewed": pick("verdict").isNotNull(),
+    })
+    failed = F.col("error").isNotNull()
+    none = F.array(integrity._finding("emptyTranslation", integrity.BLOCKING, F.concat(F.lit("This block could not be translated: "), F.col("error"))))
+    revised = F.col("revision").isNotNull()
+    score = integrity.confidence(F.col("settlement"), F.col("reader"), F.col("agreement"), F.col("findings"), F.col("__like"), F.col("__reviewed"), revised)
+    why = integrity.reasons(F.col("settlement"), reader_name(F.col("reader")), F.col("because"), F.col("findings"), F.col("__like"), F.col("__reviewed"), revised)
+    b = b.withColumns({
+        "score": F.when(F.col("copied"), 1.0).when(failed, 0.0).otherwise(score),
+        "reasons": F.when(furniture, F.array(F.lit("Page furniture, kept as printed"))).when(F.col("copied"), F.array(F.lit(f"No {language} in it, kept as printed"))).when(failed, F.array("error")).otherwise(why),
+        "findings": F.when(failed, none).otherwise(F.col("findings")),
+        "context_reasons": F.when(F.col("copied"), F.array().cast("array<string>")).when(F.col("retried_alone"), F.array(F.lit(ALONE))).otherwise(F.coalesce("context_reasons", F.array().cast("array<string>"))),
+    })
+    shown = F.coalesce("revision", "first_draft")
+    out = b.withColumns({"shown": shown, "was_revised": F.coalesce(F.col("revision") != F.col("first_draft"), F.lit(False)), "band": integrity.band(F.col("score"))})
+    return out.select(*[c for c in blocks.columns if c != "context_reasons"], "copied", "first_draft", "revision", "shown", "was_revised", "findings", "score", "band", "reasons", "context_reasons", "retried_alone", "error")
