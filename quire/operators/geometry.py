@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,3 +35,81 @@ def type_runs(blocks: DataFrame, same: float = 1.25) -> DataFrame:
 def page_measure(blocks: DataFrame) -> DataFrame:
     """doc_id, page, left, right: how far a page's blocks reach."""
     return blocks.groupBy("doc_id", "page").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"))
+
+
+#: lines' distance and height in sizes of their type, the least size, and how much larger than the body's
+#: median a block that is no heading may be; a new run of sizes begins over SAME times the last.
+LEADING, LINE_BOX, LEAST_SIZE, LARGEST_BODY, SAME = 1.45, 1.12, 6.5, 1.4, 1.25
+#: The gap to a neighbour in heights, and how near to the middle and how narrow a centred block is.
+CLEAR, OFF_CENTRE, CENTRED_WIDTH = 0.35, 0.06, 0.8
+_RECT = ["x0", "y0", "x1", "y1"]
+
+
+def rects(blocks: DataFrame, width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """``blocks`` (x, y, w, h: shares from the top left) with x0, y0, x1, y1 in points from the bottom left."""
+    x0, y0 = F.col("x") * width, (1 - (F.col("y") + F.col("h"))) * height
+    return blocks.withColumns({"x0": x0, "y0": y0, "x1": x0 + F.col("w") * width, "y1": y0 + F.col("h") * height})
+
+
+def _among(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (doc_id, page, ord, kind, rects) with others: the rects of their page, an array that a page bounds."""
+    page = Window.partitionBy("doc_id", "page")
+    return blocks.withColumns({
+        "others": F.collect_list(F.struct("ord", "kind", *_RECT)).over(page), "left": F.min("x0").over(page), "right": F.max("x1").over(page),
+    })
+
+
+def _rows_shared(b: Column) -> Column:
+    return (b["ord"] != F.col("ord")) & (b["y0"] < F.col("y1")) & (b["y1"] > F.col("y0"))
+
+
+def free_space(blocks: DataFrame, width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """doc_id, page, ord, shares_lines, centred, space_x, space_w, room_below of blocks (doc_id, page, ord, kind, x, y, w, h).
+
+    The widest rectangle of a block's height that meets no neighbour: those in its rows, and beside it all but page
+    furniture, stop it at a gap of 0.35 heights; a centred block grows alike on both sides. room_below is the top of
+    the highest block under it in the columns of that space (0: the page's edge), no higher than its own bottom.
+    """
+    b = _among(rects(blocks, width, height))
+    tall, gap = F.col("y1") - F.col("y0"), (F.col("y1") - F.col("y0")) * CLEAR
+    apart = lambda o: (o["ord"] != F.col("ord")) & ~_rows_shared(o) & (o["kind"] != "pageFurniture")
+    stops_right = F.filter("others", lambda o: (_rows_shared(o) & (o["x0"] > F.col("x0"))) | (apart(o) & (o["x0"] >= F.col("x1"))))
+    stops_left = F.filter("others", lambda o: (_rows_shared(o) & (o["x1"] < F.col("x1"))) | (apart(o) & (o["x1"] <= F.col("x0"))))
+    right = F.least("right", F.array_min(F.transform(stops_right, lambda o: o["x0"] - gap)))
+    left = F.greatest("left", F.array_max(F.transform(stops_left, lambda o: o["x1"] + gap)))
+    b = b.withColumns({"to": F.greatest(right, F.col("x1")), "fro": F.least(left, F.col("x0")), "shares_lines": F.exists("others", _rows_shared)})
+    middle, wide = (F.col("x0") + F.col("x1")) / 2, F.col("right") - F.col("left")
+    b = b.withColumn("centred", ~F.col("shares_lines") & (wide > 0) & (F.abs(middle - (F.col("left") + F.col("right")) / 2) < wide * OFF_CENTRE) & (F.col("x1") - F.col("x0") < wide * CENTRED_WIDTH))
+    half = F.least(middle - F.col("fro"), F.col("to") - middle)
+    b = b.withColumns({"space_x": F.when(F.col("centred"), middle - half).otherwise(F.col("x0")), "space_w": F.when(F.col("centred"), half * 2).otherwise(F.col("to") - F.col("x0"))})
+    under = F.filter("others", lambda o: (o["ord"] != F.col("ord")) & (o["x0"] < F.col("space_x") + F.col("space_w")) & (o["x1"] > F.col("space_x")) & (o["y1"] <= F.col("y0") + tall / 2))
+    floor = F.greatest(F.lit(0.0), F.array_max(F.transform(under, lambda o: o["y1"])))
+    return b.select("doc_id", "page", "ord", "shares_lines", "centred", "space_x", "space_w", F.least(floor, F.col("y0")).alias("room_below"))
+
+
+def type_sizes(blocks: DataFrame, width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """doc_id, page, ord, heading, size: the type that each block (.., kind, n_lines, x, y, w, h) is set in.
+
+    A block's own size follows from its height and lines. Headings (those that share no line) and the rest are each
+    sorted and cut into runs where a size is over 1.25 times the last; a run has its upper median. What is no heading
+    stays within 1.4 times the body's median; nothing is under 6.5.
+    """
+    b = _among(rects(blocks, width, height))
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    own = (F.col("y1") - F.col("y0")) / ((lines - 1) * LEADING + LINE_BOX)
+    b = b.select("doc_id", "page", "ord", own.alias("own"), ((F.col("kind") == "heading") & ~F.exists("others", _rows_shared)).alias("heading"))
+    page = Window.partitionBy("doc_id", "page")
+    of = lambda c: T.upper_median(F.collect_list(c).over(page))
+    b = b.withColumn("body", F.coalesce(of(F.when(~F.col("heading"), F.col("own"))), of(F.col("own")), F.lit(LEAST_SIZE)))
+    group = Window.partitionBy("doc_id", "page", "heading").orderBy("own", "ord")
+    b = b.withColumn("starts", F.when(F.col("own") <= F.lag("own").over(group) * SAME, 0).otherwise(1)).withColumn("run", F.sum("starts").over(group))
+    size = T.upper_median(F.collect_list("own").over(Window.partitionBy("doc_id", "page", "heading", "run")))
+    capped = F.when(F.col("heading"), size).otherwise(F.least(size, F.col("body") * LARGEST_BODY))
+    return b.select("doc_id", "page", "ord", "heading", F.greatest(F.lit(LEAST_SIZE), capped).alias("size"))
+
+
+def drawable(source: Column, target: Column, x: Column, y: Column, w: Column, h: Column, width: float = 1.0, height: float = 1.0) -> Column:
+    """Whether a block is drawn at all: its text is neither blank nor as printed, and it has a box over 4 points each way."""
+    text = T.trimmed(F.coalesce(target, F.lit("")))
+    whole = (x == 0) & (y == 0) & (w == 1) & (h == 1)
+    return (text != "") & (text != source) & ~whole & (w * width > 4) & (h * height > 4)
