@@ -19,6 +19,23 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", kind.alias("kind"), F.when(kind.isNull(), F.concat(F.lit("unsupported: "), ext)).alias("error"), "length", "content")
 
 
+def opened(files_: DataFrame) -> DataFrame:
+    """path, kind, n_pages, error of :func:`files`: an image is a page, a PDF has as many as page objects stand in it.
+
+    Pages are counted in the bytes, so those of a PDF that keeps its objects compressed are not found; a document
+    without pages, like one of another kind, is an error and has none.
+    """
+    found = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    n = F.when(F.col("kind") == "image", 1).when(F.col("kind") == "pdf", found).otherwise(0)
+    error = F.coalesce("error", F.when(n == 0, "no pages"))
+    return files_.select("path", "kind", n.cast("int").alias("n_pages"), error.alias("error"))
+
+
+def image_pages(opened_: DataFrame) -> DataFrame:
+    """path, page, has_layer of the images among :func:`opened`: one page each, without a text layer."""
+    return opened_.where("kind = 'image' and error is null").select("path", F.lit(0).alias("page"), F.lit(False).alias("has_layer"))
+
+
 def installed_models(spark: SparkSession, path: str) -> DataFrame:
     """org, repo, bytes, complete of models kept as org/repo/files; complete if a weights file is there."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")

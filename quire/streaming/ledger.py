@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 500
@@ -46,37 +46,86 @@ def last_entries(ledger: DataFrame, by: list[str], capacity: int = CAPACITY) ->
     return ledger.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= capacity)
 
 
+#: Events of a translation, and what ``value`` and ``of`` say: pages; page, of; blocks, seconds as of; blocks, contested;
+#: questions; names; block, of; page; nothing.
+EVENTS = ("started", "pageStarted", "readerFinished", "pageReconciled", "asking", "readDocument", "blockTranslated", "pageFinished", "finished")
 _STATE = "pages int, page int, blocks int, done int, contested int, finished boolean"
 
 
-def fold(state: tuple, event: str, value: int) -> tuple:
-    """One event folded into (pages, page, blocks, done, contested, finished)."""
+def fold(state: tuple, event: str, value: int, of: int = 0) -> tuple:
+    """One event folded into (pages, page, blocks and done on that page, contested, finished); others change nothing."""
     pages, page, blocks, done, contested, finished = state
-    if event == "opened":
+    if event == "started":
         return value, page, blocks, done, contested, finished
-    if event == "page":
-        return pages, page + 1, blocks, done, contested, finished
-    if event == "reconciled":
-        return pages, page, blocks + value, done, contested, finished
-    if event == "contested":
-        return pages, page, blocks, done, contested + value, finished
-    if event == "translated":
-        return pages, page, blocks, done + 1, contested, finished
+    if event == "pageStarted":
+        return pages, value, 0, 0, contested, finished
+    if event == "pageReconciled":
+        return pages, page, value, done, contested + of, finished
+    if event == "blockTranslated":
+        return pages, page, of, value + 1, contested, finished
     return pages, page, blocks, done, contested, finished or event == "finished"
 
 
+def fraction(pages: Column, page: Column, blocks: Column, done: Column) -> Column:
+    """How much of a document is done: whole pages and the share of the present one; 0 before it is open, 1 at most."""
+    within = F.when(blocks > 0, done / blocks).otherwise(0.0)
+    return F.when(pages > 0, F.least(F.lit(1.0), (page + within) / pages)).otherwise(0.0)
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """job, the state of :func:`fold` after its last event, and fraction, of events (job, seq, event, value, of).
+
+    Each part of the state is what the last event that sets it says; a page's start sets its blocks to none.
+    """
+    kind = F.col("event")
+    last = lambda c, *of: F.max(F.when(kind.isin(*of), F.struct("seq", c.alias("v"))))["v"]
+    v, of = F.col("value"), F.col("of")
+    blocks = F.when(kind == "pageStarted", 0).when(kind == "pageReconciled", v).otherwise(of)
+    done = F.when(kind == "pageStarted", 0).otherwise(v + 1)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    out = events.groupBy("job").agg(
+        zero(last(v, "started")).alias("pages"), zero(last(v, "pageStarted")).alias("page"), zero(last(blocks, "pageStarted", "pageReconciled", "blockTranslated")).alias("blocks"),
+        zero(last(done, "pageStarted", "blockTranslated")).alias("done"), zero(F.sum(F.when(kind == "pageReconciled", of))).alias("contested"), F.bool_or(kind == "finished").alias("finished"),
+    )
+    return out.withColumn("fraction", fraction(*[F.col(c) for c in ("pages", "page", "blocks", "done")]))
+
+
 def progress_stream(events: DataFrame) -> DataFrame:
-    """job, state after each micro-batch of a stream (job, seq, event, value); the state is six numbers a job."""
+    """job, state after each micro-batch of a stream (job, seq, event, value, of), and fraction; six numbers a job."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else (0, 0, 0, 0, 0, False)
         for pdf in pdfs:
-            for event, value in pdf.sort_values("seq")[["event", "value"]].itertuples(index=False):
-                now = fold(now, event, int(value))
+            for event, value, of in pdf.sort_values("seq")[["event", "value", "of"]].itertuples(index=False):
+                now = fold(now, event, int(value), int(of))
         state.update(now)
         yield pd.DataFrame([(*key, *now)], columns=["job", *[c.split()[0] for c in _STATE.split(", ")]])
 
-    return events.groupBy("job").applyInPandasWithState(run, f"job long, {_STATE}", _STATE, "update", "NoTimeout")
+    out = events.groupBy("job").applyInPandasWithState(run, f"job long, {_STATE}", _STATE, "update", "NoTimeout")
+    return out.withColumn("fraction", fraction(*[F.col(c) for c in ("pages", "page", "blocks", "done")]))
+
+
+def line_stream(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (request_id, authority, error) with outcome, reason, n_lines and bytes_received of their lines.
+
+    ``lines`` are (request_id, line) of streamed answers, one JSON object a line; bytes are counted as UTF-8 without
+    line ends. A request with an error was refused, with what came before it.
+    """
+    came = lines.groupBy("request_id").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).cast("long").alias("bytes_received"))
+    r = requests.join(came, "request_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return r.select(*requests.columns, F.when(F.col("error").isNull(), "allowed").otherwise("refused").alias("outcome"), F.col("error").alias("reason"), zero("n_lines"), zero("bytes_received"))
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream of the NDJSON files under ``path``: each line, its fields by ``schema`` (null where it is no JSON), its bytes."""
+    raw = spark.readStream.text(path)
+    return raw.select(F.col("value").alias("line"), F.from_json("value", schema).alias("fields"), F.octet_length("value").alias("bytes"))
+
+
+def slices(ledger: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Downloads of models, requests for documents' work, and refusals of a ledger."""
+    return ledger.where("purpose = 'modelWeights'"), ledger.where("purpose = 'documentWork'"), ledger.where("outcome = 'refused'")
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
