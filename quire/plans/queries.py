@@ -6,14 +6,16 @@ translations are made from the rows by arithmetic, and Latin letters with diacri
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.pack import DIACRITIC
-from ..operators import catalogue, context, export, geometry, integrity, layout, profile, reconcile, translate
+from ..functions.pack import CHINESE, DIACRITIC
+from ..operators import brief, catalogue, context, export, geometry, integrity, layout, profile, prompts, reconcile, translate
+from ..sources import tables
 from ..sources.tables import table
 from ..streaming import ledger
 
@@ -89,7 +91,7 @@ DIALOGUES = "dialogues as (select * from (select conv_id, turn, text as source,
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, page, ord, kind, text, target: lines as blocks; the target is the text in capitals."""
-    each = lines(spark, sf).where("trim(text) <> ''")
+    each = lines(spark, sf).where(~T.blank(F.col("text")))
     kind = F.when((F.col("line_no") == 0) & (F.char_length("text") <= 60), "heading").when(F.char_length("text") <= 12, "pageFurniture").when(F.col("line_no") % 5 == 4, "listItem").otherwise("paragraph")
     return each.select("doc_id", "page", F.col("line_no").alias("ord"), kind.alias("kind"), "text", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("target"))
 
@@ -153,7 +155,7 @@ def _said(k: int) -> str:
 
 @_query(rf"""with w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as w from documents) select doc_id, coalesce({', '.join(map(_said, range(1, 5)))}) as phrase from w where len(w) >= 8""")
 def repeated_run(spark, sf):
-    d = table(spark, sf, "documents").where(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")) >= 8)
+    d = table(spark, sf, "documents").where(F.col("text").rlike(rf"^{T.SPACE}*+(?:\S++{T.SPACE}++){{7}}\S"))
     return d.select("doc_id", T.repeated_run(F.col("text")).alias("phrase"))
 
 
@@ -233,7 +235,7 @@ _ITEM = r"'^([•·‧\-—*▪◦]|[0-9]+[.)、]|[（(]\s*[0-9一二三四五
 
 @_query(f"with {LINES} select doc_id, page, line_no, regexp_matches(trim(text), {_ITEM}) as is_item from lines")
 def list_item(spark, sf):
-    return lines(spark, sf).select("doc_id", "page", "line_no", T.list_item(F.trim("text")).alias("is_item"))
+    return lines(spark, sf).select("doc_id", "page", "line_no", T.list_item(T.trimmed(F.col("text"))).alias("is_item"))
 
 
 _MEDIAN = "medians as (select doc_id, page, list_sort(list(h))[count(*) // 2 + 1] as median from lines where trim(text) <> '' group by doc_id, page)"
@@ -241,13 +243,13 @@ _MEDIAN = "medians as (select doc_id, page, list_sort(list(h))[count(*) // 2 + 1
 
 @_query(f"with {LINES}, {_MEDIAN} select doc_id, page, median from medians")
 def upper_median(spark, sf):
-    return lines(spark, sf).where("trim(text) <> ''").groupBy("doc_id", "page").agg(T.upper_median(F.collect_list("h")).alias("median"))
+    return lines(spark, sf).where(~T.blank(F.col("text"))).groupBy("doc_id", "page").agg(T.upper_median(F.collect_list("h")).alias("median"))
 
 
 @_query(rf"""with {LINES}, {_MEDIAN} select l.doc_id, l.page, l.line_no, case when length(trim(text)) <= 24 and (y + h > 0.93 or y < 0.05) then 'pageFurniture' when regexp_matches(trim(text), {_ITEM}) then 'listItem'
   when not regexp_matches(trim(text), '[.!?]$') and h > median * 1.3::double and length(trim(text)) <= 60 then 'heading' else 'paragraph' end as kind from lines l join medians m on m.doc_id = l.doc_id and m.page = l.page where trim(text) <> ''""")
 def classify_block(spark, sf):
-    kept = lines(spark, sf).where("trim(text) <> ''")
+    kept = lines(spark, sf).where(~T.blank(F.col("text")))
     median = F.sort_array(F.collect_list("h").over(Window.partitionBy("doc_id", "page")))
     m = T.upper_median(median)
     return kept.withColumn("m", m).select("doc_id", "page", "line_no", layout.classify(F.col("text"), F.lit(1), F.col("y"), F.col("h"), F.col("m"), DIACRITIC).alias("kind"))
@@ -263,7 +265,7 @@ gutters as (select doc_id, page, l, r, round((lo + hi + 1) / 200.0::double, 6) a
 
 @_query(f'with {LINES}, {_GUTTER} select doc_id, page, l as "left", r as "right", gx as gutter_x from gutters')
 def line_gutters(spark, sf):
-    return layout.gutters(lines(spark, sf).where("trim(text) <> ''"))
+    return layout.gutters(lines(spark, sf).where(~T.blank(F.col("text"))))
 
 
 _ORDERED = f"""{_GUTTER}, sided as (select l.*, case when gx is null then 0 when l.x + l.w <= gx then 1 when l.x >= gx then 2 else 0 end as side, gx from lines l left join gutters g on g.doc_id = l.doc_id and g.page = l.page where trim(text) <> ''),
@@ -273,14 +275,14 @@ ordered as (select *, row_number() over (partition by doc_id, page order by band
 
 @_query(f"with {LINES}, {_ORDERED} select doc_id, page, line_no, ord::int as ord from ordered")
 def reading_order(spark, sf):
-    return layout.reading_order(lines(spark, sf).where("trim(text) <> ''")).select("doc_id", "page", "line_no", "ord")
+    return layout.reading_order(lines(spark, sf).where(~T.blank(F.col("text")))).select("doc_id", "page", "line_no", "ord")
 
 
 @_query(f"""with {LINES}, {_ORDERED}, lagged as (select *, lag(x) over w as px, lag(y) over w as py, lag(w) over w as pw, lag(h) over w as ph from ordered window w as (partition by doc_id, page order by ord)),
 cut as (select *, case when px is not null and y - (py + ph) <= greatest(h, ph) * 1.25::double and y - (py + ph) >= greatest(h, ph) * -0.6::double and (least(x + w, px + pw) - greatest(x, px)) / least(w, pw) >= 0.4::double and ph / h between 0.7::double and 1.45::double then 0 else 1 end as starts from lagged),
 numbered as (select *, sum(starts) over (partition by doc_id, page order by ord) - 1 as block from cut) select doc_id, page, block::bigint as block, count(*) as n_lines, min(ord)::int as first_ord from numbered group by doc_id, page, block""")
 def group_lines(spark, sf):
-    g = layout.grouped(layout.reading_order(lines(spark, sf).where("trim(text) <> ''")))
+    g = layout.grouped(layout.reading_order(lines(spark, sf).where(~T.blank(F.col("text")))))
     return g.groupBy("doc_id", "page", "block").agg(F.count("*").alias("n_lines"), F.min("ord").alias("first_ord"))
 
 
@@ -318,7 +320,7 @@ def settle_prealigned(spark, sf):
 @_query()
 def align_conversations(spark, sf):
     """A conversation's turns against the same turns cut at their line ends."""
-    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.left("text", F.lit(160)).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), "text")
     cut = turns.select("conv_id", F.col("ord"), F.posexplode(F.split("text", "\n"))).select("conv_id", (F.col("ord") * 100 + F.col("pos")).alias("ord"), F.col("col").alias("text"))
     return reconcile.align(turns, cut, ["conv_id"])
 
@@ -360,8 +362,8 @@ _TERM = r"select distinct lower(regexp_extract(text, '^\S+ (\S+)', 1)) as term f
 @_query(rf"""with terms as (select term from ({_TERM}) where term <> '') select conv_id, turn, array_to_string(list_sort(list(term)), '|') as terms from conversations join terms on contains(text, term) group by conv_id, turn""")
 def glossary_join(spark, sf):
     terms = table(spark, sf, "benchmark").select(F.lower(F.regexp_extract("text", r"^\S+ (\S+)", 1)).alias("term"))
-    got = profile.glossary_matches(table(spark, sf, "conversations").select("conv_id", "turn", "text"), terms)
-    return got.where(F.size("terms") > 0).select("conv_id", "turn", F.array_join(F.array_sort("terms"), "|").alias("terms"))
+    got = profile.applicable(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], terms)
+    return got.where(F.size("terms") > 0).select("conv_id", "turn", F.array_join(F.transform("terms", lambda t: t["term"]), "|").alias("terms"))
 
 
 @_query(rf"with t as ({_TERM}) select term from t where term not in (select lower(regexp_extract(text, '^\S+ (\S+)', 1)) from benchmark where item_id % 3 = 0)")
@@ -381,41 +383,174 @@ def field_stems(spark, sf):
     return table(spark, sf, "documents").select("doc_id", profile.field(F.col("text")).alias("field"))
 
 
+def _survey_pages(spark, sf) -> DataFrame:
+    """doc_id, page, n_pages, layer, read: lines' pages; every third document carries its text, the others are read."""
+    p = profile.page_texts(blocks(spark, sf))
+    n = blocks(spark, sf).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
+    own = F.col("doc_id") % 3 == 0
+    return p.join(n, "doc_id").select("doc_id", "page", "n_pages", F.when(own, F.col("text")).alias("layer"), F.when(~own, F.col("text")).alias("read"))
+
+
 @_query()
 def survey_sample(spark, sf):
-    pages = lines(spark, sf).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return profile.survey_sample(pages)
+    return profile.survey_sample(_survey_pages(spark, sf))
 
 
-@_query()
-def translate_scripted(spark, sf):
-    b = blocks(spark, sf).select("doc_id", "page", "ord", "kind", "text", F.lit(None).cast("string").alias("context"))
-    return translate.translated(b, translate.scripted({}), None, None, DIACRITIC).select("doc_id", "page", "ord", "copied", "first_draft", "retried", "error")
+# --- translation -----------------------------------------------------------------------------------------------------
 
+_BARE = re.compile("[À-ÿ]")
 
-# --- exports, search, ledger, catalogue, geometry --------------------------------------------------------------------
 
+def _scripted_lead(text: str, context: str | None) -> str:
+    """Fails, copies, copies when shown context, or translates, by the text's length."""
+    k = len(text) % 5
+    if k == 0:
+        raise ValueError("engine down")
+    return text if k == 1 or k == 2 and context else _BARE.sub("X", text).upper()
 
-def _export_sql(line: str, joint: str) -> str:
-    return f"with {BLOCKS}, k as (select doc_id, page, ord, kind, trim(text) as t from blocks where kind <> 'pageFurniture' and trim(text) <> '') select doc_id, string_agg({line}, {joint} order by page, ord) || chr(10) as body from k group by doc_id"
 
+def _scripted_review(text: str, draft: str) -> str:
+    return f"VERDICT: REVISE\nREVISION: {draft.strip()}!" if len(text) % 3 == 0 else "VERDICT: ACCURATE"
 
-_HTML = "replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
+def _translatable(spark, sf) -> DataFrame:
+    """Blocks of the shorter lines with what is around them, as a translator gets them."""
+    b = context.neighbours(blocks(spark, sf).where(F.char_length("text") <= 400))
+    need = context.need(*[F.col(x) for x in ("text", "kind", "previous_source", "previous_target", "next_source", "section_heading")], DIACRITIC)
+    b = b.withColumn("need", need)
+    around = prompts.translation_context(F.lit(None).cast("string"), F.col("need"), F.col("previous_source"), F.lit(None).cast("string"), F.col("next_source"), F.col("section_heading"))
+    return b.select("doc_id", "page", "ord", "kind", "text", around.alias("context"), F.col("need.reasons").alias("context_reasons"), F.lit("single").alias("settlement"), F.lit("visionOCR").alias("reader"), F.lit(None).cast("string").alias("because"), F.lit(None).cast("double").alias("agreement"))
 
-@_query(_export_sql("case when kind = 'listItem' and not starts_with(t, '•') then '• ' || t else t end", "chr(10) || chr(10)"))
-def plain_text_export(spark, sf):
-    return export.export(blocks(spark, sf), "text")
+
+_AROUND_SHORT = """blocks_ as (select * from blocks where length(text) <= 400), around as (select *, last_value(case when kind <> 'pageFurniture' then text end ignore nulls) over d as previous_source, last_value(case when kind <> 'pageFurniture' then target end ignore nulls) over d as previous_target,
+  first_value(case when kind <> 'pageFurniture' then text end ignore nulls) over p as next_source, last_value(case when kind = 'heading' then coalesce(target, text) end ignore nulls) over d as section_heading
+  from blocks_ window d as (partition by doc_id order by page, ord rows between unbounded preceding and 1 preceding), p as (partition by doc_id, page order by ord rows between 1 following and unbounded following))"""
+_NEEDED = r"""c as (select *, length(text) < 20 as short, regexp_matches(replace(text, 'thatch', ''), 'this|that') as refers, regexp_matches(replace(text, 'thatch', '#'), '^(and|but)') or not (coalesce(not regexp_matches(previous_source, '\S'), true) or regexp_matches(trim(previous_source), '[.!?]["'')\]]?$')) as continues, kind <> 'pageFurniture' as able from around),
+need as (select *, able and previous_target is not null as r0, able and previous_source is not null and short as r1, able and previous_source is not null and refers as r2, able and previous_source is not null and continues as r3, able and next_source is not null and kind = 'heading' as r4,
+  able and next_source is not null and kind <> 'heading' and short as r5, able and section_heading is not null and (kind = 'listItem' or short or refers) as r6 from c)"""
+
+
+def _reason_sql() -> str:
+    return "list_filter([" + ", ".join(f"case when r{i} then '{why.replace(chr(39), chr(39) * 2)}' end" for i, why in enumerate(context.GIVEN)) + "], lambda x: x is not null)"
+
+
+@_query(f"""with {BLOCKS}, {_AROUND_SHORT}, {_NEEDED} select doc_id, page, ord, array_to_string({_reason_sql()}, '; ') as reasons from need""")
+def context_reasons(spark, sf):
+    return _translatable(spark, sf).select("doc_id", "page", "ord", F.array_join("context_reasons", "; ").alias("reasons"))
+
+
+_TRANSLATED = rf"""{BLOCKS}, {_AROUND_SHORT}, {_NEEDED},
+given as (select *, length(text) as n, (r1 or r2 or r3 or r4 or r5 or r6) as shown, kind = 'pageFurniture' or not regexp_matches(text, '[À-ÿ]') as copied, upper(regexp_replace(text, '[À-ÿ]', 'X', 'g')) as plain, {_reason_sql()} as why from need),
+tried as (select *, not copied and n % 5 = 0 as failed, n % 5 = 1 or n % 5 = 2 and shown as copies from given),
+drafted as (select *, case when copied then text when failed then '' when n % 5 = 1 then text when n % 5 = 2 and shown then plain else plain end as draft, not copied and not failed and n % 5 = 2 and shown as alone from tried),
+revised as (select *, case when not copied and not failed and n % 3 = 0 then trim(draft) || '!' end as revision from drafted),
+measured as (select *, coalesce(revision, draft) as final, regexp_replace(trim(text), '[^ -~]', '?', 'g') as a, regexp_replace(trim(coalesce(revision, draft)), '[^ -~]', '?', 'g') as b, regexp_replace(trim(coalesce(revision, draft)), '[\s\p{{P}}]', '', 'g') as bare from revised),
+shares as (select *, len(regexp_extract_all(bare, '[À-ÿ]')) / greatest(1, length(bare))::double as share, 1 - levenshtein(a, b) / greatest(1, greatest(length(a), length(b)))::double as like_, string_split(regexp_replace(trim(final), '\s+', ' ', 'g'), ' ') as w from measured),
+found as (select *, case when copied then [] when failed then ['emptyTranslation:3'] else (case when like_ > 0.9 then ['echoedSource:3'] else [] end) || (case when share > 0.4 then ['untranslatedScript:3'] when share > 0.15 then ['untranslatedScript:2'] else [] end)
+  || (case when len(w) >= 8 and coalesce({', '.join(map(_said, range(1, 5)))}) is not null then ['repeatedRun:3'] else [] end) end as found from shares),
+scored as (select *, case when copied then 1.0::double when failed then 0.0::double else round(greatest(0.0::double, least(case when len(list_filter(found, lambda x: x like '%:3')) > 0 then 0.35::double else 1.0::double end,
+  1.0::double - 0.2::double - 0.05::double - case when revision is not null then 0.1::double else 0.0::double end - len(list_filter(found, lambda x: x like '%:3')) * 0.4::double - len(list_filter(found, lambda x: x like '%:2')) * 0.12::double)), 6) end as score from found)"""
 
 
-@_query(_export_sql("case kind when 'heading' then '## ' || t when 'listItem' then '- ' || t else t end", "chr(10) || chr(10)"))
-def markdown_export(spark, sf):
-    return export.export(blocks(spark, sf), "markdown")
+@_query(f"""with {_TRANSLATED} select doc_id, page, ord, copied, draft as first_draft, revision, final as shown, coalesce(revision <> draft, false) as was_revised, array_to_string(found, ',') as findings, score, case when score >= 0.85 then 'high' when score >= 0.6 then 'check' else 'low' end as band,
+  alone as retried_alone, case when failed then 'engine down' end as error, case when copied then '' when alone then '{context.ALONE}' else array_to_string(why, '; ') end as given from scored""")
+def translated_blocks(spark, sf):
+    t = translate.translated(_translatable(spark, sf), _scripted_lead, None, _scripted_review, DIACRITIC)
+    tags = F.transform("findings", lambda f: F.concat(f.kind, F.lit(":"), f.severity.cast("string")))
+    return t.select("doc_id", "page", "ord", "copied", "first_draft", "revision", "shown", "was_revised", F.array_join(tags, ",").alias("findings"), F.round("score", 6).alias("score"), "band", "retried_alone", "error", F.array_join("context_reasons", "; ").alias("given"))
 
 
-@_query(_export_sql(f"case kind when 'heading' then '<h2>' || {_HTML} || '</h2>' when 'listItem' then '<li>' || {_HTML} || '</li>' else '<p>' || {_HTML} || '</p>' end", "chr(10)"))
-def html_export(spark, sf):
-    return export.export(blocks(spark, sf), "html")
+# --- exports, search, ledger, catalogue, geometry --------------------------------------------------------------------
+
+
+@_query(f"with {BLOCKS}, k as (select doc_id, page, ord, kind, trim(text) as t from blocks where kind <> 'pageFurniture') select doc_id, string_agg(case when kind = 'listItem' and not starts_with(t, '•') then '• ' || t else t end, chr(10) || chr(10) order by page, ord) || chr(10) as body from k group by doc_id")
+def plain_text_export(spark, sf):
+    return export.plain_text(blocks(spark, sf))
+
+
+def _styled_blocks(spark, sf) -> DataFrame:
+    """Blocks with all that an export shows of them, by arithmetic of their place."""
+    o, none = F.col("ord"), F.array().cast("array<string>")
+    message = F.struct(F.lit("droppedNumber").alias("kind"), F.lit(3).alias("severity"), F.lit("A figure is <missing>.").alias("message"), F.lit(None).cast("string").alias("evidence"))
+    return blocks(spark, sf).select(
+        "doc_id", "page", "ord", "kind", F.col("target").alias("text"), F.col("text").alias("source"), F.when(o % 3 == 0, "high").when(o % 3 == 1, "check").otherwise("low").alias("band"),
+        F.when(o % 2 == 0, F.array(F.lit("Both readers agree"))).otherwise(F.array(F.lit("Not reviewed"), F.lit('The "figures" differ'))).alias("reasons"),
+        F.array(F.struct(F.lit("visionOCR").alias("reader"), F.col("text").alias("text")), F.struct(F.lit("visionLanguageModel").alias("reader"), F.replace(F.left("text", F.lit(5)), F.lit(" "), F.lit("_")).alias("text"))).alias("candidates"),
+        export.settled(F.when(o % 4 == 0, "unanimous").otherwise("defaulted"), F.lit("visionOCR"), F.lit("no model could choose")).alias("settled"), F.lower(F.left("text", F.lit(9))).alias("first_draft"), (o % 4 == 1).alias("was_revised"),
+        F.when(o % 5 == 2, F.array(message)).otherwise(F.array().cast("array<struct<kind:string,severity:int,message:string,evidence:string>>")).alias("findings"), F.when(o % 7 == 3, F.array(F.lit("the line after it"))).otherwise(none).alias("context_reasons"), (o % 11 == 5).alias("retried_alone"),
+    )
+
+
+def _styled_documents(spark, sf) -> DataFrame:
+    b = _styled_blocks(spark, sf)
+    d = b.groupBy("doc_id").agg((F.max("page") + 1).cast("int").alias("n_pages")).join(export.summaries(b), "doc_id")
+    readers, names = F.array(F.lit("Recognizer"), F.lit("Vision model")), F.array(F.struct(F.lit("Stück").alias("source"), F.lit("piece").alias("rendering")))
+    told = export.provenance(F.lit("German to English"), readers, F.lit(""), names, F.lit("scripted"), F.lit(None).cast("string"), F.col("attention"), F.col("total"), F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    return d.select("doc_id", F.concat(F.lit("doc & "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "n_pages", told.alias("provenance"), F.lit("de").alias("source_lang"), F.lit("en").alias("target_lang"))
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _export_sql(style: str, form: str) -> str:
+    """The export by its rules: what stands before and after each part, in each form and style."""
+    label = "case when ord % 3 = 1 then 'Worth a look' else 'Needs a human' end"
+    reasons = "case when ord % 2 = 0 then 'Both readers agree' else 'Not reviewed; The \"figures\" differ' end"
+    settled = "case when ord % 4 = 0 then 'Both readers agreed' else 'Kept Recognizer: no model could choose' end"
+    nl = "chr(10)"
+    if form == "markdown":
+        line = f"case kind when 'heading' then '### ' || t when 'listItem' then '- ' || t when 'pageFurniture' then '*' || t || '*' else t end || {nl} || {nl}"
+        if style != "englishOnly":
+            line = f"'> ' || text || {nl} || {nl} || " + line
+        line += f" || case when ord % 3 <> 0 then '*⚠︎ ' || {label} || ' — ' || {reasons} || '*' || {nl} || {nl} else '' end"
+        if style == "audit":
+            line += f""" || '<details><summary>How this block was read</summary>' || {nl} || {nl} || '- **Vision model:** ' || replace(left(text, 5), ' ', '_') || {nl} || '- **Recognizer:** ' || text || {nl} || '- **Settled:** ' || {settled} || {nl}
+              || case when ord % 4 = 1 then '- **First draft:** ' || lower(left(text, 9)) || {nl} else '' end || case when ord % 5 = 2 then '- **Check:** A figure is <missing>.' || {nl} else '' end || {nl} || '</details>' || {nl} || {nl}"""
+        head, joint = f"'## Page ' || (page + 1) || {nl} || {nl}", f"'# ' || name || {nl} || {nl} || list_reduce(list_prepend('', list_transform(told, lambda x: '> ' || x || {nl})), lambda a, b: a || b) || {nl} || lines"
+    else:
+        t = _escaped("t")
+        line = f"'<section class=\"block ' || case ord % 3 when 0 then 'agreed' when 1 then 'look' else 'human' end || '\">' || {nl}"
+        if style != "englishOnly":
+            line += f" || '<div class=\"source\" lang=\"de\">' || {_escaped('text')} || '</div>' || {nl}"
+        line += f""" || '<div class="target">' || case kind when 'heading' then '<h3>' || {t} || '</h3>' when 'listItem' then '<ul><li>' || {t} || '</li></ul>' when 'pageFurniture' then '<p class="furniture">' || {t} || '</p>' else '<p>' || {t} || '</p>' end || '</div>' || {nl}
+          || case when ord % 3 <> 0 then '<p class="note">' || {label} || ' — ' || {_escaped(reasons)} || '</p>' || {nl} else '' end"""
+        if style == "audit":
+            line += f""" || '<details class="working"><summary>How this block was read</summary><dl>' || '<dt>Vision model</dt><dd>' || {_escaped('replace(left(text, 5), ' ', '_')')} || '</dd><dt>Recognizer</dt><dd>' || {_escaped('text')} || '</dd><dt>Settled</dt><dd>' || {settled} || '</dd>'
+              || case when ord % 11 = 5 then '<dt>Translated twice</dt><dd>' || case when ord % 7 = 3 then 'the line after it' else '' end || '</dd>' when ord % 7 = 3 then '<dt>Also given</dt><dd>the line after it</dd>' else '' end
+              || case when ord % 4 = 1 then '<dt>First draft</dt><dd>' || {_escaped('lower(left(text, 9))')} || '</dd>' else '' end || case when ord % 5 = 2 then '<dt>Check</dt><dd>A figure is &lt;missing&gt;.</dd>' else '' end || '</dl></details>' || {nl}"""
+        line += f" || '</section>' || {nl}"
+        head = f"'<h2 class=\"page\">Page ' || (page + 1) || '</h2>' || {nl}"
+        joint = f"""'<!DOCTYPE html>' || {nl} || '<html lang="en">' || {nl} || '<head>' || {nl} || '<meta charset="utf-8">' || {nl} || '<title>' || {_escaped('name')} || '</title>' || {nl} || '<style>{export.SHEET}</style>' || {nl} || '</head>' || {nl} || '<body class="{style}">' || {nl}
+          || '<header>' || {nl} || '<h1>' || {_escaped('name')} || '</h1>' || {nl} || '<p class="provenance">' || array_to_string(told, '<br>' || {nl}) || {nl} || '</p>' || {nl} || '</header>' || {nl} || lines || {nl} || '</body>' || {nl} || '</html>'"""
+    return f"""with {BLOCKS}, t as (select *, trim(target) as t, max(page) over (partition by doc_id) + 1 as n_pages from blocks), per_page as (select doc_id, page, n_pages, string_agg({line}, '' order by ord) as lines from t group by doc_id, page, n_pages),
+      every as (select doc_id, n_pages, unnest(range(0, n_pages)) as page from (select distinct doc_id, n_pages from t)),
+      told as (select e.doc_id, e.page, case when e.n_pages > 1 then {head.replace('(page', '(e.page')} else '' end || coalesce(p.lines, '') as line from every e left join per_page p on p.doc_id = e.doc_id and p.page = e.page),
+      body as (select doc_id, string_agg(line, '' order by page) as lines from told group by doc_id),
+      heads as (select doc_id, 'doc & ' || doc_id || '.pdf' as name, count(*) filter (ord % 3 <> 0) as attention, count(*) filter (kind <> 'pageFurniture') as total from blocks group by doc_id),
+      docs as (select h.doc_id, name, lines, ['German to English, translated on this machine.', 'Nothing of this document was uploaded.', 'Read by: Recognizer, Vision model', 'Names looked up: Stück → piece', 'Translated by: scripted',
+        case when attention = 0 then 'All ' || total || ' blocks passed every check.' else attention || ' of ' || total || ' blocks need a look by someone; they are marked below.' end, '2026-01-02 03:04'] as told from heads h join body b on b.doc_id = h.doc_id)
+      select doc_id, {joint} as body from docs"""
+
+
+def _styled_query(style: str, form: str, name: str) -> None:
+    def run(spark, sf):
+        return export.styled(_styled_blocks(spark, sf), _styled_documents(spark, sf), style, form)
+
+    run.__name__ = name
+    _query(_export_sql(style, form))(run)
+
+
+for _style, _name in zip(export.STYLES, ("export", "bilingual", "audit"), strict=True):
+    for _form in export.FORMATS:
+        _styled_query(_style, _form, f"{_form}_{_name}")
+
+
+@_query("select s_suppkey as id, regexp_replace(s_name, '#', '.') as name, case when s_suppkey % 7 = 0 then 'translation-en.txt' else split_part(s_name, '#', 1) || '-en.txt' end as text_name, case when s_suppkey % 7 = 0 then 'translation-en.md' else split_part(s_name, '#', 1) || '-en.md' end as markdown_name from supplier")
+def export_names(spark, sf):
+    s = table(spark, sf, "supplier")
+    name, own = F.regexp_replace("s_name", "#", "."), F.when(F.col("s_suppkey") % 7 != 0, F.regexp_replace("s_name", "#", "."))
+    return s.select(F.col("s_suppkey").alias("id"), name.alias("name"), export.file_name(own, "plainText").alias("text_name"), export.file_name(own, "markdown").alias("markdown_name"))
 
 
 @_query(f"with {BLOCKS} select doc_id, page, ord from blocks where contains(lower(text), 'licensed under') or contains(lower(target), 'licensed under')")
@@ -440,34 +575,411 @@ def ledger_last500(spark, sf):
 
 
 @_query("""with m as (select p_partkey as model_id, p_size * 1e9::double as weights from part), s as (select s_suppkey as machine_id, s_suppkey % 10 <> 0 as silicon, (s_suppkey % 8 + 1) * 8e9::double as memory, (s_suppkey % 5 + 1) * 1e10::double as disk from supplier)
-select machine_id, (select arg_min(model_id, (50e9 - weights) * 1000000 + model_id) from m where s.silicon and weights * 1.4::double + 3e9::double <= s.memory * 0.75::double and weights <= s.disk) as model_id from s""")
+select machine_id, (select arg_min(model_id, (50e9 - weights) * 1000000 + model_id) from m where s.silicon and weights * 1.4::double + 3e9::double <= s.memory * 0.75::double and weights + 1e9::double <= s.disk) as model_id from s""")
 def model_admission(spark, sf):
     models = table(spark, sf, "part").select(F.col("p_partkey").alias("model_id"), (F.col("p_size") * 1e9).alias("weights"))
     k = F.col("s_suppkey")
     machines = table(spark, sf, "supplier").select(k.alias("machine_id"), (k % 10 != 0).alias("silicon"), ((k % 8 + 1) * 8e9).alias("memory"), ((k % 5 + 1) * 1e10).alias("disk"))
-    best = models.groupBy("weights").agg(F.min("model_id").alias("model_id"))
-    return catalogue.admitted(best, machines)
+    return catalogue.admitted(models, machines)
 
 
 @_query(f"""with {LINES}, b as (select * from lines where trim(text) <> '') select a.doc_id, a.page, a.line_no as ord, coalesce(bool_or(c.y < a.y + a.h and c.y + c.h > a.y), false) as shares_rows, coalesce(bool_or(c.x < a.x + a.w and c.x + c.w > a.x), false) as shares_columns,
   coalesce(min(case when c.y < a.y + a.h and c.y + c.h > a.y and c.x >= a.x + a.w then c.x end), 1.0::double) as right_limit, coalesce(min(case when c.x < a.x + a.w and c.x + c.w > a.x and c.y >= a.y + a.h then c.y end), 1.0::double) as floor_limit
   from b a left join b c on c.doc_id = a.doc_id and c.page = a.page and c.line_no <> a.line_no group by a.doc_id, a.page, a.line_no""")
 def interval_neighbours(spark, sf):
-    return geometry.neighbours(lines(spark, sf).where("trim(text) <> ''").withColumn("ord", F.col("line_no")))
+    return geometry.neighbours(lines(spark, sf).where(~T.blank(F.col("text"))).withColumn("ord", F.col("line_no")))
 
 
 @_query(f"""with {LINES}, s as (select doc_id, page, line_no, round(w * 100, 6) as size from lines where trim(text) <> ''), c as (select *, case when size <= lag(size) over (partition by doc_id, page order by size, line_no) * 1.25::double then 0 else 1 end as starts from s),
 r as (select *, sum(starts) over (partition by doc_id, page order by size, line_no) as run from c) select doc_id, page, run::bigint as run, count(*) as n, list_sort(list(size))[count(*) // 2 + 1] as size from r group by doc_id, page, run""")
 def type_size_runs(spark, sf):
-    sized = lines(spark, sf).where("trim(text) <> ''").select("doc_id", "page", F.col("line_no").alias("ord"), F.round(F.col("w") * 100, 6).alias("size"))
+    sized = lines(spark, sf).where(~T.blank(F.col("text"))).select("doc_id", "page", F.col("line_no").alias("ord"), F.round(F.col("w") * 100, 6).alias("size"))
     return geometry.type_runs(sized)
 
 
 @_query(f'with {LINES} select doc_id, page, min(x) as "left", max(x + w) as "right" from lines where trim(text) <> \'\' group by doc_id, page')
 def page_measure(spark, sf):
-    return geometry.page_measure(lines(spark, sf).where("trim(text) <> ''"))
+    return geometry.page_measure(lines(spark, sf).where(~T.blank(F.col("text"))))
 
 
 @_query("select date_trunc('hour', ts) as start, case when event_type = 'purchase' then 'modelWeights' else 'documentWork' end as purpose, count(*) as requests, sum(length(props))::bigint as bytes_sent from events group by 1, 2")
 def ledger_windows(spark, sf):
     return ledger.windowed(entries(spark, sf)).select(F.col("start").cast("timestamp_ntz").alias("start"), "purpose", "requests", "bytes_sent")
+
+
+# --- Han texts, inline -----------------------------------------------------------------------------------------------
+
+#: Readings with blanks, full-width forms and other white space, by number.
+HAN = [
+    (1, "中 国　合 同"), (2, "　　ab"), (3, "第 3 页"), (4, "甲方\t乙方"), (5, "１、总则"), (6, "（一） 定义"), (7, "第十条 付款"), (8, "  ABC 中  文 def　 "), (9, "　"), (10, "共１０，０００元"), (11, "二、范围"), (12, "· 项目"), (13, "正文。"),
+    (14, "“你好”！"), (15, "12) item"), (16, "a　中 b"), (17, ""), (18, "カタカナ"), (19, "— 甲 —"), (20, "٣. item"),
+]
+#: (source, target) pairs and what is found in them.
+HAN_PAIRS = [
+    (1, "于2024年签署的合同", "Signed in 2023, the contract", "droppedNumber:3:2024,inventedNumber:2:2023"), (2, "共１０，０００元整的款项", "a total of 10,000 yuan in all", ""), (3, "有文字", "　 ", "emptyTranslation:3:"), (4, "　", "x", ""),
+    (5, "第3章和第2节的内容", "the second section of chapter three", ""), (6, "共5000元整的款项在此", "five thousand yuan in total", "droppedNumber:3:5000"), (7, "签署于5月的合同文本", "A contract signed in May by both", ""), (8, "二〇二四年签署的合同", "The contract was signed in 2024", ""),
+    (9, "很长的中文句子在这里", "很长的中文句子在这里", "echoedSource:3:很长的中文句子在这里,untranslatedScript:3:很长的中文句子在这里"), (10, "这是一个很长的句子", "go on go on go on go on go on", "repeatedRun:3:go on"), (11, "这是一个很长的句子", "Note: this is a long sentence", "leakedInstruction:2:Note:"),
+    (12, "甲方应当付款给乙方", "The buyer shall pay the seller", "briefIgnored:3:Party A,inconsistentTerm:2:Party B"), (13, "甲方应当付款给乙方", "Party A shall pay party b now", ""), (14, "这是一个很长的句子", "a b", "lengthOutOfRange:2:"), (15, "这是一个很长的句子", "this " * 20 + "is long", "lengthOutOfRange:1:,repeatedRun:3:this"),
+    (16, "服用布洛芬缓释", "Take Buluofen now, as told", "transliteratedName:2:Buluofen"), (17, "条款在这里", "a clause 条款在 here", "untranslatedScript:2:条款在"),
+]
+_SYLLABLES = {"服": "fu", "用": "yong", "布": "bu", "洛": "luo", "芬": "fen", "缓": "huan", "释": "shi"}
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    say = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"(values {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) as t({names})"
+
+
+_HAN_NORMAL = {1: "中国合同", 2: "ab", 3: "第 3 页", 4: "甲方\t乙方", 8: "ABC 中文 def", 9: "", 10: "共１０，０００元", 16: "a 中 b", 6: "（一）定义", 7: "第十条付款", 12: "· 项目", 19: "— 甲 —"}
+
+
+@_query(f"select id, normal from {_values([(i, _HAN_NORMAL.get(i, t)) for i, t in HAN], 'id, normal')}")
+def normalize_han(spark, sf):
+    return spark.createDataFrame(HAN, "id int, text string").select("id", T.normalized(F.col("text"), CHINESE).alias("normal"))
+
+
+@_query(rf"""select id, case when n > 0 then round(len(regexp_extract_all(bare, '[\x{{4E00}}-\x{{9FFF}}\x{{FF10}}-\x{{FF19}}]')) / n::double, 6) else 0.0 end as share, length(regexp_replace(text, '[\s　]', '', 'g')) as letters
+  from (select id, text, bare, length(bare) as n from (select id, text, regexp_replace(text, '[\s　\p{{P}}]', '', 'g') as bare from {_values(HAN, 'id, text')}))""")
+def script_share_han(spark, sf):
+    h = spark.createDataFrame(HAN, "id int, text string")
+    return h.select("id", F.round(T.script_share(F.col("text"), CHINESE), 6).alias("share"), T.letters(F.col("text")).alias("letters"))
+
+
+@_query(f"select id, id in (5, 6, 7, 11, 12, 15, 19, 20) as is_item from {_values([(i,) for i, _ in HAN], 'id')}")
+def list_item_han(spark, sf):
+    return spark.createDataFrame(HAN, "id int, text string").select("id", T.list_item(T.trimmed(F.col("text"))).alias("is_item"))
+
+
+@_query(f"select id, found from {_values([(i, f) for i, _, _, f in HAN_PAIRS], 'id, found')}")
+def findings_han(spark, sf):
+    h = spark.createDataFrame([r[:3] for r in HAN_PAIRS], "id int, source string, target string")
+    names = brief.transliterated(F.col("source"), F.col("target"), _SYLLABLES)
+    h = h.withColumn("names", names)
+    found = integrity.findings(F.col("source"), F.col("target"), CHINESE, [("甲方", "Party A")], {"乙方": "Party B", "甲方": "x"}, F.col("names"))
+    return h.select("id", F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["severity"].cast("string"), F.coalesce(f["evidence"], F.lit("")))), ",").alias("found"))
+
+
+# --- readings made one, and how they come about ----------------------------------------------------------------------
+
+
+def _benchmark_readings(spark, sf) -> DataFrame:
+    """Two readers' blocks of the items, five a page: lost, changed, spaced or the same by the item's number."""
+    b = table(spark, sf, "benchmark").where(F.col("text").isNotNull())
+    k, i = F.col("item_id") % 7, F.col("item_id")
+    text = F.concat(F.regexp_replace("text", "[^ -~]", "?"), F.lit(" No. "), (i * 7 + 100).cast("string"))
+    left = F.when(k != 3, text)
+    right = F.when(k == 1, F.regexp_replace(text, "[0-9]", "7")).when(k == 2, F.replace(text, F.lit("e"), F.lit("c"))).when(k == 4, F.replace(text, F.lit(" "), F.lit("  "))).when(k == 5, F.replace(text, F.lit("an"), F.lit("on"))).when(k != 0, text)
+    rows = lambda reader, c: b.select(F.lit("bench").alias("doc_id"), F.floor(i / 5).cast("int").alias("page"), F.lit(reader).alias("reader"), (i % 5).cast("int").alias("ord"), F.when(k == 6, "heading").otherwise("paragraph").alias("kind"), c.alias("text"), F.lit(2).alias("n_lines"), F.lit(0.1).alias("x"), ((i % 5) * 0.1).alias("y"), F.lit(0.5).alias("w"), F.lit(0.08).alias("h")).where("text is not null")
+    return rows("visionOCR", left).unionByName(rows("visionLanguageModel", right))
+
+
+_READINGS = r"""items as (select item_id as i, item_id % 7 as k, regexp_replace(text, '[^ -~]', '?', 'g') || ' No. ' || (item_id * 7 + 100) as t from benchmark where text is not null),
+sides as (select *, case when k <> 3 then t end as l, case k when 0 then null when 1 then regexp_replace(t, '[0-9]', '7', 'g') when 2 then replace(t, 'e', 'c') when 4 then replace(t, ' ', '  ') when 5 then replace(t, 'an', 'on') else t end as r from items),
+pairs as (select *, trim(regexp_replace(l, ' +', ' ', 'g')) as a, trim(regexp_replace(r, ' +', ' ', 'g')) as b, case when l is not null and r is not null then 1 - levenshtein(left(l, 2000), left(r, 2000)) / greatest(length(left(l, 2000)), length(left(r, 2000)))::double end as s from sides),
+kinds as (select *, case when l is null or r is null then 'single' when s >= 0.999 or a = b then 'unanimous' when s < 0.45 or regexp_replace(a, '[0-9]', '', 'g') = regexp_replace(b, '[0-9]', '', 'g') then 'defaulted' else 'adjudicated' end as settlement from pairs),
+ends_ as (select *, (select max(n) from range(0, length(a) + 1) x(n) where n <= length(b) and left(a, n) = left(b, n)) as head from kinds),
+cuts as (select *, (select max(n) from range(0, least(length(a), length(b)) - coalesce(head, 0) + 1) x(n) where right(a, n) = right(b, n)) as tail from ends_),
+diffs as (select *, case when settlement = 'adjudicated' then substr(a, head + 1, length(a) - head - tail) end as da, case when settlement = 'adjudicated' then substr(b, head + 1, length(b) - head - tail) end as db from cuts),
+settled as (select *, case when l is null then b when settlement = 'adjudicated' and length(a) % 2 = 0 then b else a end as text, case when l is null then 0.0::double when r is null then null when settlement = 'unanimous' then 1.0::double else s end as agreement,
+  case when l is null or settlement = 'adjudicated' and length(a) % 2 = 0 then 'visionLanguageModel' else 'visionOCR' end as reader,
+  case when settlement = 'defaulted' and s < 0.45 then '""" + reconcile.BECAUSE_UNLIKE + """' when settlement = 'defaulted' then '""" + reconcile.BECAUSE_FIGURES + """' when settlement = 'adjudicated' then case when da = '' or db = '' or trim(da) = '' and trim(db) = '' then 'they differed' else case when trim(da) = '' then 'nothing' else '“' || left(trim(da), 24) || '”' end || ' against ' || case when trim(db) = '' then 'nothing' else '“' || left(trim(db), 24) || '”' end end end as because from diffs)"""
+
+
+@_query(f"""with {_READINGS} select (i // 5)::int as page, row_number() over w - 1 as ord, case when k = 6 then 'heading' else 'paragraph' end as kind, text, round(agreement, 6) as agreement, settlement, reader, because, lag(text) over w as context_before,
+  (case when l is null or r is null then 1 else 2 end)::int as n_candidates from settled window w as (partition by i // 5 order by i)""")
+def reconciled_pages(spark, sf):
+    r = reconcile.reconciled(_benchmark_readings(spark, sf), DIACRITIC, lambda before, a, b: "B" if len(a) % 2 == 0 else "A")
+    return r.select("page", F.col("ord").cast("long").alias("ord"), "kind", "text", F.round("agreement", 6).alias("agreement"), "settlement", "reader", "because", "context_before", F.size("candidates").alias("n_candidates"))
+
+
+@_query(f"with {_READINGS} select i as item_id, da as left_part, db as right_part, because as said, coalesce(agreement < 1, false) as was_contested, agreement is not null as was_double_checked from settled where settlement = 'adjudicated'")
+def disagreements(spark, sf):
+    """What tells two readings apart, in words, and the flags that follow from their agreement."""
+    r = _benchmark_readings(spark, sf)
+    side = lambda reader, c: r.where(F.col("reader") == reader).select((F.col("page") * 5 + F.col("ord")).cast("long").alias("item_id"), T.normalized(F.col("text"), DIACRITIC).alias(c), F.col("text").alias(f"raw_{c}"))
+    both = side("visionOCR", "a").join(side("visionLanguageModel", "b"), "item_id")
+    s = T.similarity(F.col("raw_a"), F.col("raw_b"))
+    both = both.withColumns({"s": s, "agreement": s, "revision": F.lit(None).cast("string"), "first_draft": F.col("a")})
+    both = both.where((F.col("s") < 0.999) & (F.col("a") != F.col("b")) & (F.col("s") >= 0.45) & ~reconcile.differ_in_figures(F.col("a"), F.col("b")))
+    d = T.differing(F.col("a"), F.col("b"))
+    return export.derived(both).select("item_id", d["left"].alias("left_part"), d["right"].alias("right_part"), T.quoted_difference(F.col("a"), F.col("b")).alias("said"), "was_contested", "was_double_checked")
+
+
+@_query(f"with {BLOCKS} select doc_id, page, ord, lag(text) over (partition by doc_id, page order by ord) as context_before from blocks")
+def context_before(spark, sf):
+    return context.before(blocks(spark, sf)).select("doc_id", "page", "ord", "context_before")
+
+
+@_query("""select c_custkey as doc_id, 0 as page, n::int as line_no, case n when 0 then c_name else c_mktsegment || ' ' || c_nationkey end as text, 1.0::double as confidence, 0.1::double as x, round((case n when 0 then 100 else 200 end)::double / 1000, 6) as y, round(length(case n when 0 then c_name else c_mktsegment || ' ' || c_nationkey end) * 6 / 600.0::double, 6) as w, 0.012::double as h
+  from customer, range(0, 2) r(n) where length(c_name || c_mktsegment || ' ' || c_nationkey) >= 24 and c_custkey % 5 <> 0""")
+def text_layer_lines(spark, sf):
+    """Customers as pages of two printed lines, whose characters have boxes in points; every fifth says another number."""
+    c = table(spark, sf, "customer")
+    second = F.concat("c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string"))
+    lines_ = c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("page"), F.posexplode(F.array("c_name", second)).alias("row", "text"))
+    at = F.explode(F.sequence(F.lit(1), F.char_length("text"))).alias("i")
+    chars = lines_.select("doc_id", "page", "row", "text", at).select("doc_id", "page", (F.col("row") * 1000 + F.col("i")).alias("n"), F.substring("text", F.col("i"), F.lit(1)).alias("c"), (60 + (F.col("i") - 1) * 6).alias("x"), F.when(F.col("row") == 0, 888).otherwise(788).alias("y"), F.lit(6).alias("w"), F.lit(12).alias("h"))
+    said = F.char_length(F.concat("c_name", second)) + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)
+    pages_ = c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("left"), F.lit(0).alias("bottom"), F.lit(600).alias("width"), F.lit(1000).alias("height"), said.alias("n_characters"))
+    t = layout.text_layer(chars, pages_)
+    return t.select("doc_id", "page", "line_no", "text", "confidence", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("w", 6).alias("w"), F.round("h", 6).alias("h"))
+
+
+@_query(f"""with {LINES}, c as (select doc_id, page, text, ((length(text) + line_no) % 10) / 10.0::double as c1, ((length(text) + line_no * 3) % 10) / 10.0::double as c2 from lines), q as (select doc_id, page, count(*) as n, count(*) filter (c1 < 0.3) as weak, sum(length(text) * c1) as one, sum(length(text) * c2) as two from c group by doc_id, page)
+select doc_id, page, case when weak / n::double > 0.3 and two > one then 2 else 1 end as attempt, round(case when weak / n::double > 0.3 and two > one then two else one end, 6) as quality from q""")
+def reading_attempts(spark, sf):
+    """Which of two readings of each page is kept, by characters and confidence."""
+    l = lines(spark, sf)  # noqa: E741
+    of = lambda n, by: l.select("doc_id", "page", F.lit(n).alias("attempt"), "text", (((F.char_length("text") + F.col("line_no") * by) % 10) / 10.0).alias("confidence"))
+    return layout.better_attempt(l, of(1, 1).unionByName(of(2, 3))).select("doc_id", "page", "attempt", F.round("quality", 6).alias("quality"))
+
+
+@_query(f"with {LINES} select doc_id, page, line_no, text, 0.5::double as confidence, round(1 - (y + h), 6) as y from lines where line_no % 4 <> 1")
+def observed_lines(spark, sf):
+    """A recognizer's observations, boxes from the bottom left; some have no candidate."""
+    top = F.array(F.struct("text", F.lit(0.5).alias("confidence")), F.struct(F.lit("other").alias("text"), F.lit(0.4).alias("confidence")))
+    o = lines(spark, sf).withColumn("candidates", F.when(F.col("line_no") % 4 == 1, F.slice(top, 1, 0)).otherwise(top))
+    return layout.observed_lines(o).select("doc_id", "page", "line_no", "text", "confidence", F.round("y", 6).alias("y"))
+
+
+@_query()
+def sentence_blocks(spark, sf):
+    return layout.sentence_blocks(lines(spark, sf), DIACRITIC)
+
+
+@_query()
+def transcript_blocks(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.concat(F.lit("<think>so\n</think>\n```\n"), "text", F.lit("\n```")).alias("answer"))
+    return layout.transcript_blocks(c, DIACRITIC)
+
+
+@_query()
+def sentence_stops(spark, sf):
+    return layout.stops(table(spark, sf, "conversations"), DIACRITIC, ["conv_id", "turn"])
+
+
+# --- geometry of what is drawn ---------------------------------------------------------------------------------------
+
+_RECTS = """kept as (select *, case when line_no % 6 = 0 then 'heading' when line_no % 9 = 5 then 'pageFurniture' else 'paragraph' end as kind, (x * 600)::double as x0, ((1 - (y + h)) * 800)::double as y0 from lines where trim(text) <> ''),
+r as (select *, x0 + (w * 600)::double as x1, y0 + (h * 800)::double as y1, min(x0) over p as lft, max(x0 + (w * 600)::double) over p as rgt from kept window p as (partition by doc_id, page)),
+o as (select a.doc_id, a.page, a.line_no, bool_or(b.y0 < a.y1 and b.y1 > a.y0) as shares,
+  min(case when b.y0 < a.y1 and b.y1 > a.y0 and b.x0 > a.x0 or not (b.y0 < a.y1 and b.y1 > a.y0) and b.kind <> 'pageFurniture' and b.x0 >= a.x1 then b.x0 - (a.y1 - a.y0) * 0.35::double end) as stop_r,
+  max(case when b.y0 < a.y1 and b.y1 > a.y0 and b.x1 < a.x1 or not (b.y0 < a.y1 and b.y1 > a.y0) and b.kind <> 'pageFurniture' and b.x1 <= a.x0 then b.x1 + (a.y1 - a.y0) * 0.35::double end) as stop_l
+  from r a join r b on b.doc_id = a.doc_id and b.page = a.page and b.line_no <> a.line_no group by a.doc_id, a.page, a.line_no),
+m as (select r.*, coalesce(shares, false) as shares, greatest(least(rgt, coalesce(stop_r, rgt)), x1) as to_, least(greatest(lft, coalesce(stop_l, lft)), x0) as fro, (x0 + x1) / 2 as mid from r left join o on o.doc_id = r.doc_id and o.page = r.page and o.line_no = r.line_no)"""
+
+
+def _drawn(spark, sf) -> DataFrame:
+    kind = F.when(F.col("line_no") % 6 == 0, "heading").when(F.col("line_no") % 9 == 5, "pageFurniture").otherwise("paragraph")
+    return lines(spark, sf).where(~T.blank(F.col("text"))).withColumns({"ord": F.col("line_no"), "kind": kind, "n_lines": F.col("line_no") % 3})
+
+
+@_query(f"""with {LINES}, {_RECTS}, c as (select *, not shares and rgt > lft and abs(mid - (lft + rgt) / 2) < (rgt - lft) * 0.06::double and x1 - x0 < (rgt - lft) * 0.8::double as centred, least(mid - fro, to_ - mid) as half from m),
+s as (select *, case when centred then mid - half else x0 end as sx, case when centred then half * 2 else to_ - x0 end as sw from c),
+f as (select a.doc_id, a.page, a.line_no, max(b.y1) as floor from s a join s b on b.doc_id = a.doc_id and b.page = a.page and b.line_no <> a.line_no and b.x0 < a.sx + a.sw and b.x1 > a.sx and b.y1 <= a.y0 + (a.y1 - a.y0) / 2 group by a.doc_id, a.page, a.line_no)
+select s.doc_id, s.page, s.line_no as ord, shares as shares_lines, centred, round(sx, 4) as space_x, round(sw, 4) as space_w, round(least(greatest(0.0::double, coalesce(floor, 0.0::double)), y0), 4) as room_below from s left join f on f.doc_id = s.doc_id and f.page = s.page and f.line_no = s.line_no""")
+def free_space(spark, sf):
+    g = geometry.free_space(_drawn(spark, sf), 600.0, 800.0)
+    return g.select("doc_id", "page", "ord", "shares_lines", "centred", *[F.round(c, 4).alias(c) for c in ("space_x", "space_w", "room_below")])
+
+
+@_query(f"""with {LINES}, {_RECTS}, own as (select *, (y1 - y0) / ((greatest(line_no % 3, 1) - 1) * 1.45::double + 1.12::double) as own, kind = 'heading' and not shares as heading from m),
+body as (select doc_id, page, coalesce(list_sort(list(own) filter (not heading))[count(*) filter (not heading) // 2 + 1], list_sort(list(own))[count(*) // 2 + 1]) as body from own group by doc_id, page),
+marked as (select *, case when own <= lag(own) over w * 1.25::double then 0 else 1 end as starts from own window w as (partition by doc_id, page, heading order by own, line_no)), numbered as (select *, sum(starts) over (partition by doc_id, page, heading order by own, line_no) as run from marked),
+runs as (select doc_id, page, heading, run, list_sort(list(own))[count(*) // 2 + 1] as size from numbered group by doc_id, page, heading, run)
+select n.doc_id, n.page, n.line_no as ord, n.heading, round(greatest(6.5::double, case when n.heading then size else least(size, body * 1.4::double) end), 4) as size from numbered n join runs r on r.doc_id = n.doc_id and r.page = n.page and r.heading = n.heading and r.run = n.run join body b on b.doc_id = n.doc_id and b.page = n.page""")
+def type_sizes(spark, sf):
+    return geometry.type_sizes(_drawn(spark, sf), 600.0, 800.0).select("doc_id", "page", "ord", "heading", F.round("size", 4).alias("size"))
+
+
+@_query(f"with {LINES} select doc_id, page, line_no as ord, trim(text) <> '' and line_no % 3 <> 1 and not (line_no % 5 = 2) and w * 50 > 4 and h * 100 > 4 as drawn from lines")
+def drawable_blocks(spark, sf):
+    l, whole = lines(spark, sf), F.col("line_no") % 5 == 2  # noqa: E741
+    target = F.when(F.col("line_no") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit(" "), "text", F.when(T.trimmed(F.col("text")) != "", "!").otherwise("")))
+    box = [F.when(whole, v).otherwise(F.col(c)) for c, v in (("x", 0.0), ("y", 0.0), ("w", 1.0), ("h", 1.0))]
+    return l.select("doc_id", "page", F.col("line_no").alias("ord"), geometry.drawable(T.trimmed(F.col("text")), target, *box, 50.0, 100.0).alias("drawn"))
+
+
+@_query("select p_partkey as id, round(least(300 / 72.0::double, 300 / 72.0::double * sqrt(40e6::double / ((p_size * 40) * (p_retailprice) * (300 / 72.0::double) * (300 / 72.0::double)))), 9) as scale, round(10 / (p_size + 20.0::double), 9) as x, round(1 - (5 + p_size) / 100.0::double, 9) as y, round(p_size / (p_size + 20.0::double), 9) as w, round(p_size / 100.0::double, 9) as h from part")
+def page_boxes(spark, sf):
+    """How large pages are rendered, and boxes from the bottom left as shares from the top left."""
+    p, s = table(spark, sf, "part"), F.col("p_size")
+    box = tables.from_bottom_left(F.lit(10.0), F.lit(5.0), s, s, s + 20.0, F.lit(100.0))
+    return p.select(F.col("p_partkey").alias("id"), F.round(tables.render_scale(s * 40, F.col("p_retailprice")), 9).alias("scale"), *[F.round(box[k], 9).alias(k) for k in "xywh"])
+
+
+# --- terms, names, models, engines -----------------------------------------------------------------------------------
+
+
+@_query(rf"""with names as (select distinct regexp_extract(text, '^(\S+) \S+', 1) as source from benchmark where regexp_matches(text, '^\S+ \S+')) select conv_id, turn, array_to_string(list_sort(list(source)), '|') as names from conversations join names on contains(text, source) group by conv_id, turn""")
+def names_join(spark, sf):
+    """Names that stand in a turn, sorted; more of them than fit one expression, so they join by their beginnings."""
+    names = table(spark, sf, "benchmark").select(F.regexp_extract("text", r"^(\S+) \S+", 1).alias("source")).distinct()
+    got = profile.applicable(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], names, by="source")
+    return got.where(F.size("terms") > 0).select("conv_id", "turn", F.array_join(F.transform("terms", lambda t: t["source"]), "|").alias("names"))
+
+
+@_query("select p_partkey as model_id from part where p_brand in (select p_brand from part where p_size = 1)")
+def seen_brands(spark, sf):
+    p = table(spark, sf, "part")
+    return profile.seen_before(p, p.where("p_size = 1"), "p_brand").select(F.col("p_partkey").alias("model_id"))
+
+
+_MODELS = """m as (select p_partkey as model_id, p_size * 1e9::double as weights, p_name as name from part), s as (select s_suppkey as machine_id, s_suppkey % 10 <> 0 as silicon, (s_suppkey % 8 + 1) * 8e9::double as memory, (s_suppkey % 5 + 1) * 1e10::double as disk from supplier),
+installed as (select distinct o_custkey % 100 as machine_id, o_orderkey % 3000 as model_id from orders where o_orderkey % 50 = 0)"""
+
+
+def _models(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as models, suppliers as machines, and which model lies on which machine."""
+    models = table(spark, sf, "part").select(F.col("p_partkey").alias("model_id"), (F.col("p_size") * 1e9).alias("weights"), F.col("p_name").alias("name"))
+    k = F.col("s_suppkey")
+    machines = table(spark, sf, "supplier").select(k.alias("machine_id"), (k % 10 != 0).alias("silicon"), ((k % 8 + 1) * 8e9).alias("memory"), ((k % 5 + 1) * 1e10).alias("disk"))
+    installed = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select((F.col("o_custkey") % 100).alias("machine_id"), (F.col("o_orderkey") % 3000).alias("model_id")).distinct()
+    return models, machines, installed
+
+
+@_query(f"""with {_MODELS}, fits as (select s.machine_id, m.model_id, m.weights, exists (select 1 from installed i where i.machine_id = s.machine_id and i.model_id = m.model_id) as here from s join m on s.silicon and m.weights * 1.4::double + 3e9::double <= s.memory * 0.75::double)
+select s.machine_id, f.model_id from s left join (select machine_id, model_id from fits qualify row_number() over (partition by machine_id order by here desc, weights desc, model_id) = 1) f on f.machine_id = s.machine_id""")
+def model_recommended(spark, sf):
+    return catalogue.recommended(*_models(spark, sf))
+
+
+@_query(f"with {_MODELS} select i.machine_id, i.model_id, m.name, m.name is null as orphan from installed i left join m on m.model_id = i.model_id")
+def model_specs(spark, sf):
+    models, _, installed = _models(spark, sf)
+    return catalogue.specified(installed, models).select("machine_id", "model_id", "name", "orphan")
+
+
+@_query(f"with {_MODELS} select machine_id, model_id from installed where model_id not in (select model_id from m where weights < 2e10)")
+def models_unused(spark, sf):
+    models, _, installed = _models(spark, sf)
+    return catalogue.unused(installed, models.where("weights < 2e10")).select("machine_id", "model_id")
+
+
+@_query("select count(*) as n_models, sum(p_size)::bigint as bytes from part")
+def model_storage(spark, sf):
+    return catalogue.storage(table(spark, sf, "part").select(F.col("p_size").cast("long").alias("bytes")))
+
+
+@_query(f"""with {_MODELS}, pair_ as (select s.machine_id, m.model_id, s.silicon, s.memory, s.disk, m.weights as mine, ((m.model_id % 9) + 1) * 1e9::double as other from s join m on m.model_id % 100 = s.machine_id)
+select machine_id, model_id, case when not silicon then 'silicon' when mine * 1.4::double + 3e9::double + (other * 1.4::double + 3e9::double) > memory * 0.75::double then 'both' when mine * 1.4::double + 3e9::double > memory * 0.75::double then 'memory' when mine + 1e9::double > disk then 'disk' end as obstacle from pair_""")
+def model_obstacles(spark, sf):
+    models, machines, _ = _models(spark, sf)
+    both = models.join(machines, F.col("model_id") % 100 == F.col("machine_id"))
+    other = (F.col("model_id") % 9 + 1) * 1e9
+    return both.select("machine_id", "model_id", catalogue.obstacle(F.col("silicon"), F.col("memory"), F.col("disk"), F.col("weights"), other).alias("obstacle"))
+
+
+_STATUS = """status as (select c_nationkey as scope, c_name as engine, case c_custkey % 4 when 0 then 'pageReader' when 1 then 'translator' when 2 then 'reviewer' else 'adjudicator' end as role, case when c_custkey % 7 < 3 then 'ready' else 'unavailable' end as state from customer where c_custkey % 5 < 2)"""
+
+
+def _status(spark, sf) -> DataFrame:
+    k = F.col("c_custkey")
+    role = F.when(k % 4 == 0, "pageReader").when(k % 4 == 1, "translator").when(k % 4 == 2, "reviewer").otherwise("adjudicator")
+    return table(spark, sf, "customer").where("c_custkey % 5 < 2").select(F.col("c_nationkey").alias("scope"), F.col("c_name").alias("engine"), role.alias("role"), F.when(k % 7 < 3, "ready").otherwise("unavailable").alias("state"), F.lit(None).cast("string").alias("detail"))
+
+
+@_query(f"with {_STATUS} select scope, count(*) filter (state = 'ready') as n_ready, count(*) filter (state <> 'ready') as n_blocked, bool_or(state = 'ready' and role = 'pageReader') and bool_or(state = 'ready' and role in ('translator', 'reviewer')) as ready from status group by scope")
+def engines_ready(spark, sf):
+    s = _status(spark, sf)
+    ready, blocked = brief.split_by_readiness(s)
+    count = lambda df, name: df.groupBy("scope").agg(F.count("*").alias(name))
+    out = brief.can_translate(s, ["scope"]).join(count(ready, "n_ready"), "scope", "left").join(count(blocked, "n_blocked"), "scope", "left")
+    return out.select("scope", F.coalesce("n_ready", F.lit(0)).alias("n_ready"), F.coalesce("n_blocked", F.lit(0)).alias("n_blocked"), "ready")
+
+
+@_query(f"""with {_STATUS} select engine, role, state, null as detail, true as built_in from status where scope < 10 union all select engine, role, state, null, false from status where scope >= 10
+union all select case when s_suppkey % 4 = 0 then s_name else 'model ' || s_suppkey end, 'translator', case when s_suppkey % 4 = 0 then 'unavailable' else 'ready' end, case when s_suppkey % 4 = 0 then 'not an address of this machine: host' || s_suppkey || '.example.org' else '127.0.0.1:11434' end, false from supplier where s_suppkey % 3 <> 0 or s_suppkey % 4 = 0""")
+def engine_statuses(spark, sf):
+    s = _status(spark, sf)
+    k = F.col("s_suppkey")
+    servers = table(spark, sf, "supplier").select(F.col("s_name").alias("engine"), F.lit("translator").alias("role"), F.when(k % 4 == 0, F.concat(F.lit("host"), k.cast("string"), F.lit(".example.org"))).otherwise("localhost:11434").alias("authority"), F.when(k % 3 != 0, F.concat(F.lit("model "), k.cast("string"))).alias("model"))
+    return brief.engine_status(s.where("scope < 10"), s.where("scope >= 10"), servers)
+
+
+@_query("""select s_suppkey as id, case when s_suppkey % 2 = 0 and (s_suppkey % 3 = 0 or s_suppkey % 5 = 0 or s_suppkey % 7 = 0) then 'model' when s_suppkey % 11 <> 0 then 'machine' when s_suppkey % 2 = 0 then 'model' end as lead,
+  case when s_suppkey % 2 = 0 and (s_suppkey % 3 = 0 or s_suppkey % 5 = 0 or s_suppkey % 7 = 0) then case when s_suppkey % 11 <> 0 then 'machine' end when s_suppkey % 11 <> 0 and s_suppkey % 2 = 0 then 'model' end as second from supplier""")
+def engine_choice(spark, sf):
+    k = F.col("s_suppkey")
+    got = brief.leading_engine(k % 2 == 0, k % 11 != 0, k % 3 == 0, k % 5 != 0, k % 7 != 0)
+    return table(spark, sf, "supplier").select(k.alias("id"), got["lead"].alias("lead"), got["second"].alias("second"))
+
+
+@_query("""with p as (select c_custkey as id, c_custkey % 6 as k, c_name as n from customer) select id, case when k = 1 then 'plainText' else 'sameDocument' end as output_mode, case when k = 2 then false else true end as use_local_model, case when k = 3 then n else '' end as local_model, case when k = 1 then 8080 else 11434 end::int as port,
+  case when k = 5 then 'openAICompatible' else 'ollama' end as dialect, case when k = 3 then n || '|x' else '' end as standing from p""")
+def preferences_decoded(spark, sf):
+    """Preferences from JSON of older or broken kinds: each field falls back by itself."""
+    k, n = F.col("c_custkey") % 6, F.col("c_name")
+    json = (
+        F.when(k == 0, "{broken").when(k == 1, '{"outputMode":"plainText","serverPort":8080,"serverDialect":5}').when(k == 2, '{"useLocalModel":false,"serverPort":"8080","outputMode":"holograph"}')
+        .when(k == 3, F.concat(F.lit('{"localModelID":"'), n, F.lit('","standingInstructions":["'), n, F.lit('","x"],"useLocalModel":"no"}'))).when(k == 4, "{}").otherwise('{"serverDialect":"openAICompatible","standingInstructions":"x"}')
+    )
+    p = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), brief.preferences(json).alias("p"))
+    return p.select("id", F.col("p.outputMode").alias("output_mode"), F.col("p.useLocalModel").alias("use_local_model"), F.col("p.localModelID").alias("local_model"), F.col("p.serverPort").alias("port"), F.col("p.serverDialect").alias("dialect"), F.array_join("p.standingInstructions", "|").alias("standing"))
+
+
+@_query("""select kind, seq, term, rendering, text from (values ('term', 2, '乙方', 'Party B', null), ('instruction', 4, null, null, 'be brief'), ('term', 6, '丙方', null, null), ('term', 7, '丁方', 'Party D', null), ('instruction', 10, null, null, 'no notes')) t(kind, seq, term, rendering, text)""")
+def brief_edits(spark, sf):
+    held = spark.createDataFrame([("term", 1, "甲方", "Party A", None), ("term", 2, "乙方", "Party B", None), ("instruction", 3, None, None, "be formal"), ("instruction", 4, None, None, "be brief")], brief.BRIEF)
+    edits = spark.createDataFrame([("remove_term", 1, "甲方", None, None), ("keep", 2, " 丙方 ", None, None), ("render", 3, "丁方", " Party D", None), ("render", 4, "戊方", "  ", None), ("keep", 5, "　", None, None), ("instruct", 6, None, None, " no notes\n"), ("instruct", 7, None, None, " "), ("remove_instruction", 3, None, None, None)], "op string, seq int, term string, rendering string, text string")
+    return brief.edited(held, edits)
+
+
+@_query(f"""with {_FOUND}, queue_ as (select order_key % 10 as page, order_key, line_no, score, row_number() over (partition by order_key % 10 order by score, order_key, line_no) - 1 as nth, count(*) over (partition by order_key % 10) as n from scored where score < 0.85)
+select page, order_key, line_no, (((page * 1000 - 3) % n + n) % n)::bigint as stepped from queue_ where nth = (page * 1000) % n""")
+def queue_cursor(spark, sf):
+    """The block under each page's cursor in its queue, and the cursor after three steps back."""
+    s = _scored(spark, sf).where("score < 0.85").select((F.col("order_key") % 10).alias("group"), F.col("order_key").alias("page"), F.col("line_no").alias("ord"), "score")
+    at = s.groupBy("group").agg(F.count("*").alias("of")).select("group", (F.col("group") * 1000).alias("at"), "of")
+    got = export.queue_target(s, at, ["group"])
+    return got.select(F.col("group").alias("page"), F.col("page").alias("order_key"), F.col("ord").alias("line_no"), export.stepped(F.col("at"), F.lit(-3), F.col("of")).cast("long").alias("stepped"))
+
+
+# --- model servers and the ledger ------------------------------------------------------------------------------------
+
+
+@_query("""select c_custkey as id, case when c_custkey % 3 = 0 then '' else c_name end as answer, case when c_custkey % 3 = 0 then '' else c_name || '|b' end as models, case when c_custkey % 3 <> 0 then case when c_custkey % 2 = 0 then 'A' else 'B' end end as snapped,
+  '{"model":"m","stream":false,"messages":[{"role":"system","content":"s"},{"role":"user","content":"' || c_name || '"}],"options":{"temperature":0.0,"num_predict":512}}' as ollama,
+  '{"model":"m","stream":false,"temperature":0.0,"max_tokens":512,"messages":[{"role":"system","content":"s"},{"role":"user","content":[{"type":"text","text":"' || c_name || '"}]}]}' as compatible from customer""")
+def chat_json(spark, sf):
+    """Requests to model servers in two dialects, and what their answers and lists of models come to."""
+    c, n, bad = table(spark, sf, "customer"), F.col("c_name"), F.col("c_custkey") % 3 == 0
+    even = F.col("c_custkey") % 2 == 0
+    body = F.when(bad, "{broken").when(even, F.concat(F.lit('{"message":{"role":"assistant","content":"'), n, F.lit('"}}'))).otherwise(F.concat(F.lit('{"choices":[{"message":{"content":"'), n, F.lit('"}}]}')))
+    told = F.when(bad, "[]").when(even, F.concat(F.lit('{"models":[{"name":"'), n, F.lit('"},{"size":1},{"name":"b"}]}'))).otherwise(F.concat(F.lit('{"data":[{"id":"'), n, F.lit('"},{"id":"b"}]}')))
+    answer = F.when(even, prompts.chat_answer("ollama", body)).otherwise(prompts.chat_answer("openAICompatible", body))
+    models = F.when(even, prompts.listed_models("ollama", told)).otherwise(prompts.listed_models("openAICompatible", told))
+    choice = F.when(bad, profile.snapped(F.lit(" "), list(prompts.CHOICES))).when(even, profile.snapped(F.lit("<think>b?</think>(a)"), list(prompts.CHOICES))).otherwise(profile.snapped(F.lit("\nb"), list(prompts.CHOICES)))
+    ask = lambda dialect: prompts.chat_request(dialect, F.lit("m"), F.lit("s"), n)
+    return c.select(F.col("c_custkey").alias("id"), F.coalesce(answer, F.lit("")).alias("answer"), F.array_join(models, "|").alias("models"), choice.alias("snapped"), ask("ollama").alias("ollama"), ask("openAICompatible").alias("compatible"))
+
+
+@_query(f"""with {ENTRIES} select scope, count(*) filter (purpose = 'modelWeights') as downloads, count(*) filter (purpose = 'documentWork') as document_requests, count(*) filter (outcome = 'refused') as refusals from entries group by scope""")
+def ledger_slices(spark, sf):
+    e = entries(spark, sf)
+    count = lambda df, name: df.groupBy("scope").agg(F.count("*").alias(name))
+    parts = [count(df, n) for df, n in zip(ledger.slices(e), ("downloads", "document_requests", "refusals"), strict=True)]
+    out = e.select("scope").distinct()
+    for p in parts:
+        out = out.join(p, "scope", "left")
+    return out.select("scope", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("downloads", "document_requests", "refusals")])
+
+
+@_query("""with l as (select user_id, count(*) as n_lines, sum(strlen(props))::bigint as bytes_received from events where event_id % 3 <> 0 group by user_id), r as (select distinct user_id, case when user_id % 4 = 0 then 'cut off' end as error from events)
+select r.user_id as request_id, error, case when error is null then 'allowed' else 'refused' end as outcome, error as reason, coalesce(n_lines, 0) as n_lines, coalesce(bytes_received, 0)::bigint as bytes_received from r left join l on l.user_id = r.user_id""")
+def line_outcomes(spark, sf):
+    e = table(spark, sf, "events")
+    requests = e.select(F.col("user_id").alias("request_id"), F.when(F.col("user_id") % 4 == 0, "cut off").alias("error")).distinct()
+    return ledger.line_stream(e.where("event_id % 3 <> 0").select(F.col("user_id").alias("request_id"), F.col("props").alias("line")), requests)
+
+
+@_query("""with e as (select user_id as job, event_id as seq, case event_id % 8 when 0 then 'started' when 1 then 'pageStarted' when 2 then 'pageReconciled' when 6 then 'pageFinished' when 7 then case when event_id % 5 = 0 then 'finished' else 'asking' end else 'blockTranslated' end as event, (event_id % 6)::int as value, (event_id % 9 + 3)::int as of_ from events),
+s as (select job, coalesce(arg_max(value, seq) filter (event = 'started'), 0) as pages, coalesce(arg_max(value, seq) filter (event = 'pageStarted'), 0) as page, coalesce(arg_max(case event when 'pageStarted' then 0 when 'pageReconciled' then value else of_ end, seq) filter (event in ('pageStarted', 'pageReconciled', 'blockTranslated')), 0) as blocks,
+  coalesce(arg_max(case event when 'pageStarted' then 0 else value + 1 end, seq) filter (event in ('pageStarted', 'blockTranslated')), 0) as done, coalesce(sum(of_) filter (event = 'pageReconciled'), 0)::int as contested, bool_or(event = 'finished') as finished from e group by job)
+select *, round(case when pages > 0 then least(1.0::double, (page + case when blocks > 0 then done / blocks::double else 0 end) / pages) else 0.0 end, 6) as fraction from s""")
+def progress_state(spark, sf):
+    """Jobs' progress after their last events."""
+    n = F.col("event_id")
+    event = F.when(n % 8 == 0, "started").when(n % 8 == 1, "pageStarted").when(n % 8 == 2, "pageReconciled").when(n % 8 == 6, "pageFinished").when((n % 8 == 7) & (n % 5 == 0), "finished").when(n % 8 == 7, "asking").otherwise("blockTranslated")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job"), n.alias("seq"), event.alias("event"), (n % 6).cast("int").alias("value"), (n % 9 + 3).cast("int").alias("of"))
+    return ledger.progress(e).withColumn("fraction", F.round("fraction", 6))

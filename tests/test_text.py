@@ -113,7 +113,7 @@ def test_profile(spark):
     assert [one(spark, profile.field(F.lit(t))) for t in ("a hospital document", "court notice", "zzz")] == ["medicine", "law", "unknown"]
     p = one(spark, profile.parsed_profile(F.lit("KIND: court notice\nSUBJECT: a loan\nTERM: 甲方 | Party A\nTERM: bad\nNOTE: old")))
     assert (p["field"], [(t["term"], t["rendering"]) for t in p["terms"]], p["notes"]) == ("law", [("甲方", "Party A")], ["old"])
-    assert one(spark, profile.parsed_verdict(F.lit("REVISED: better")))["revision"] == "better"
+    assert one(spark, profile.parsed_verdict(F.lit("VERDICT: REVISE\nRevision: better")))["revision"] == "better"
     assert one(spark, profile.parsed_verdict(F.lit("fine")))["accurate"]
     assert one(spark, profile.cleaned_answer(F.lit("<think>hm</think>\n```text\nyes\n```"))) == "yes"
 
@@ -127,16 +127,26 @@ def test_context(spark):
 
 
 def test_translated(spark):
-    rows = [("paragraph", "中文", "ctx"), ("pageFurniture", "中文", None), ("paragraph", "4 mg/L", None), ("paragraph", "坏", None)]
+    rows = [("paragraph", "中文", "ctx"), ("pageFurniture", "中文", None), ("paragraph", "4 mg/L", None), ("paragraph", "坏", None), ("paragraph", "又是", "ctx"), ("paragraph", "共5元", None)]
     df = spark.createDataFrame(rows, "kind string, text string, context string")
+    df = df.withColumns({"context_reasons": F.array(F.lit("near")), "settlement": F.lit("unanimous"), "reader": F.lit("visionOCR"), "because": F.lit(None).cast("string"), "agreement": F.lit(1.0)})
 
     def engine(text, ctx):
         if text == "坏":
             raise ValueError("no")
-        return text if ctx else "Chinese"
+        return text if ctx or text == "又是" else "Chinese"
 
-    got = [(r["first_draft"], r["copied"], r["retried"], r["error"]) for r in translate.translated(df, engine, None, None, CHINESE).collect()]
-    assert got == [("Chinese", False, True, None), ("中文", True, False, None), ("4 mg/L", True, False, None), (None, False, False, "ValueError: no")]
+    def review(text, draft):
+        return "VERDICT: REVISE\nREVISION: five yuan" if text == "共5元" else "VERDICT: ACCURATE"
+
+    second = lambda text, ctx: 1 / 0 if text == "中文" else "Chinese"
+    got = translate.translated(df, engine, second, review, CHINESE).collect()
+    assert [(r["first_draft"], r["copied"], r["retried_alone"], r["error"]) for r in got] == [("Chinese", False, True, None), ("中文", True, False, None), ("4 mg/L", True, False, None), ("", False, False, "no"), ("又是", False, False, None), ("Chinese", False, False, None)]
+    assert [r["shown"] for r in got][-1] == "five yuan" and got[-1]["was_revised"] and got[0]["context_reasons"] == [context.ALONE]
+    assert [f["kind"] for f in got[3]["findings"]] == ["emptyTranslation"] and got[3]["score"] == 0 and got[3]["reasons"] == ["no"] and got[1]["score"] == 1
+    assert got[0]["reasons"][:2] == ["Both readers agree", "One translator only"] and abs(got[0]["score"] - 0.95) < 1e-9
+    assert [f["kind"] for f in got[4]["findings"]][:2] == ["echoedSource", "untranslatedScript"] and got[4]["score"] <= 0.35
+    assert translate.translated(df.limit(0), engine, None, None, CHINESE).count() == 0
 
 
 def test_ledger(spark):
@@ -150,13 +160,26 @@ def test_ledger(spark):
 
 
 def test_progress_stream(spark, tmp_path):
-    events = [(1, i, e, v) for i, (e, v) in enumerate([("opened", 2), ("page", 0), ("reconciled", 3), ("contested", 1), ("translated", 0), ("finished", 0)])]
-    spark.createDataFrame(events, "job long, seq long, event string, value long").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("job long, seq long, event string, value long").parquet(str(tmp_path / "in"))
+    """The stream's state, its batch twin and the plain fold say the same."""
+    events = [("started", 2, 0), ("pageStarted", 0, 2), ("readerFinished", 9, 1), ("pageReconciled", 3, 1), ("blockTranslated", 0, 3), ("pageStarted", 1, 2), ("pageReconciled", 4, 2), ("blockTranslated", 2, 4)]
+    rows = [(1, i, *e) for i, e in enumerate(events)]
+    cols = "job long, seq long, event string, value long, of long"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(cols).parquet(str(tmp_path / "in"))
     q = ledger.progress_stream(stream).writeStream.outputMode("update").format("memory").queryName("progress").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert tuple(spark.sql("select * from progress").collect()[-1]) == (1, 2, 1, 3, 1, 1, True)
+    state = (0, 0, 0, 0, 0, False)
+    for e in events:
+        state = ledger.fold(state, *e)
+    assert state == (2, 1, 4, 3, 3, False)
+    assert tuple(spark.sql("select * from progress").collect()[-1]) == (1, *state, 0.875)
+    assert tuple(ledger.progress(spark.createDataFrame(rows, cols)).first()) == (1, *state, 0.875)
+    open(tmp_path / "x.ndjson", "w").write('{"a": 1}\n{broken\n')
+    q = ledger.read_lines(spark, str(tmp_path / "*.ndjson"), "a int").writeStream.format("memory").queryName("nd").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["bytes"], r["fields"]["a"] if r["fields"] else None) for r in spark.sql("select * from nd").collect()) == [(7, None), (8, 1)]
 
 
 def test_catalogue(spark):
