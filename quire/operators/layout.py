@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -326,34 +327,52 @@ def ends_sentence(text: str, pack: Pack) -> bool:
 
 def sentence_spans(text: str, pack: Pack) -> list[tuple[int, int]]:
     """[start, end) of each sentence: stops with their closers, unless figures, abbreviations or case speak against it."""
-    out, start, i, n = [], 0, 0, len(text)
-    while i < n:
-        end = stop_end(text, i, pack)
+    out, start, n = [], 0, len(text)
+    stop = _class(pack.stops)
+    m = stop.search(text)
+    while m:
+        end = stop_end(text, m.start(), pack)
         if end is None:
-            i += 1
+            m = stop.search(text, m.end())
             continue
         if end > start:
             out.append((start, end))
-        while end < n and text[end].isspace():
-            end += 1
-        start = i = end
+        start = _SPACES.match(text, end).end()
+        m = stop.search(text, start)
     if start < n:
         out.append((start, n))
     return out
 
 
+_SPACES = re.compile(r"\s*")
+
+
+@cache
+def _class(characters: str) -> re.Pattern:
+    return re.compile(f"[{re.escape(characters)}]")
+
+
+@cache
+def _lead_in(openers: str) -> re.Pattern:
+    return re.compile(rf"[\s{re.escape(openers)}]*")
+
+
 def _stop_holds(text: str, at: int, end: int, pack: Pack) -> bool:
     if text[at] in pack.stand_alone:
         return True
     if end < len(text):
         if not text[end].isspace():
             return False
-        rest = re.match(rf"[\s{re.escape(pack.openers)}]*(.?)", text[end:], re.S)[1]
+        after = _lead_in(pack.openers).match(text, end).end()
+        rest = text[after : after + 1]
         if rest and (rest.isnumeric() or pack.opens_with_capital and rest.islower()):
             return False
     if text[at] != ".":
         return True
-    stem = re.search(r"(?:[^\W_]|\.)*$", text[:at])[0].lower()
+    start = at
+    while start and (text[start - 1] == "." or text[start - 1].isalpha() or text[start - 1].isnumeric()):
+        start -= 1
+    stem = text[start:at].lower()
     if not stem:
         return True
     numeric = all(c == "." or c.isnumeric() for c in stem)
