@@ -441,8 +441,9 @@ def context_reasons(spark, sf):
 
 _TRANSLATED = rf"""{BLOCKS}, {_AROUND_SHORT}, {_NEEDED},
 given as (select *, length(text) as n, (r1 or r2 or r3 or r4 or r5 or r6) as shown, kind = 'pageFurniture' or not regexp_matches(text, '[À-ÿ]') as copied, upper(regexp_replace(text, '[À-ÿ]', 'X', 'g')) as plain, {_reason_sql()} as why from need),
-tried as (select *, not copied and n % 5 = 0 as failed, n % 5 = 1 or n % 5 = 2 and shown as copies from given),
-drafted as (select *, case when copied then text when failed then '' when n % 5 = 1 then text when n % 5 = 2 and shown then plain else plain end as draft, not copied and not failed and n % 5 = 2 and shown as alone from tried),
+alike as (select *, regexp_replace(trim(text), '[^ -~]', '?', 'g') as ta, regexp_replace(case when n % 3 = 0 then trim(plain) || '!' else trim(plain) end, '[^ -~]', '?', 'g') as tb from given),
+tried as (select *, not copied and n % 5 = 0 as failed, 1 - levenshtein(ta, tb) / greatest(1, greatest(length(ta), length(tb)))::double <= 0.9 as differs from alike),
+drafted as (select *, case when copied then text when failed then '' when n % 5 = 1 then text when n % 5 = 2 and shown and not differs then text else plain end as draft, not copied and not failed and n % 5 = 2 and shown and differs as alone from tried),
 revised as (select *, case when not copied and not failed and n % 3 = 0 then trim(draft) || '!' end as revision from drafted),
 measured as (select *, coalesce(revision, draft) as final, regexp_replace(trim(text), '[^ -~]', '?', 'g') as a, regexp_replace(trim(coalesce(revision, draft)), '[^ -~]', '?', 'g') as b, regexp_replace(trim(coalesce(revision, draft)), '[\s\p{{P}}]', '', 'g') as bare from revised),
 shares as (select *, len(regexp_extract_all(bare, '[À-ÿ]')) / greatest(1, length(bare))::double as share, 1 - levenshtein(a, b) / greatest(1, greatest(length(a), length(b)))::double as like_, string_split(regexp_replace(trim(final), '\s+', ' ', 'g'), ' ') as w from measured),
@@ -497,6 +498,7 @@ def _export_sql(style: str, form: str) -> str:
     """The export by its rules: what stands before and after each part, in each form and style."""
     label = "case when ord % 3 = 1 then 'Worth a look' else 'Needs a human' end"
     reasons = "case when ord % 2 = 0 then 'Both readers agree' else 'Not reviewed; The \"figures\" differ' end"
+    guess = "replace(left(text, 5), ' ', '_')"
     settled = "case when ord % 4 = 0 then 'Both readers agreed' else 'Kept Recognizer: no model could choose' end"
     nl = "chr(10)"
     if form == "markdown":
@@ -505,7 +507,7 @@ def _export_sql(style: str, form: str) -> str:
             line = f"'> ' || text || {nl} || {nl} || " + line
         line += f" || case when ord % 3 <> 0 then '*⚠︎ ' || {label} || ' — ' || {reasons} || '*' || {nl} || {nl} else '' end"
         if style == "audit":
-            line += f""" || '<details><summary>How this block was read</summary>' || {nl} || {nl} || '- **Vision model:** ' || replace(left(text, 5), ' ', '_') || {nl} || '- **Recognizer:** ' || text || {nl} || '- **Settled:** ' || {settled} || {nl}
+            line += f""" || '<details><summary>How this block was read</summary>' || {nl} || {nl} || '- **Vision model:** ' || {guess} || {nl} || '- **Recognizer:** ' || text || {nl} || '- **Settled:** ' || {settled} || {nl}
               || case when ord % 4 = 1 then '- **First draft:** ' || lower(left(text, 9)) || {nl} else '' end || case when ord % 5 = 2 then '- **Check:** A figure is <missing>.' || {nl} else '' end || {nl} || '</details>' || {nl} || {nl}"""
         head, joint = f"'## Page ' || (page + 1) || {nl} || {nl}", f"'# ' || name || {nl} || {nl} || list_reduce(list_prepend('', list_transform(told, lambda x: '> ' || x || {nl})), lambda a, b: a || b) || {nl} || lines"
     else:
@@ -516,7 +518,7 @@ def _export_sql(style: str, form: str) -> str:
         line += f""" || '<div class="target">' || case kind when 'heading' then '<h3>' || {t} || '</h3>' when 'listItem' then '<ul><li>' || {t} || '</li></ul>' when 'pageFurniture' then '<p class="furniture">' || {t} || '</p>' else '<p>' || {t} || '</p>' end || '</div>' || {nl}
           || case when ord % 3 <> 0 then '<p class="note">' || {label} || ' — ' || {_escaped(reasons)} || '</p>' || {nl} else '' end"""
         if style == "audit":
-            line += f""" || '<details class="working"><summary>How this block was read</summary><dl>' || '<dt>Vision model</dt><dd>' || {_escaped('replace(left(text, 5), ' ', '_')')} || '</dd><dt>Recognizer</dt><dd>' || {_escaped('text')} || '</dd><dt>Settled</dt><dd>' || {settled} || '</dd>'
+            line += f""" || '<details class="working"><summary>How this block was read</summary><dl>' || '<dt>Vision model</dt><dd>' || {_escaped(guess)} || '</dd><dt>Recognizer</dt><dd>' || {_escaped('text')} || '</dd><dt>Settled</dt><dd>' || {settled} || '</dd>'
               || case when ord % 11 = 5 then '<dt>Translated twice</dt><dd>' || case when ord % 7 = 3 then 'the line after it' else '' end || '</dd>' when ord % 7 = 3 then '<dt>Also given</dt><dd>the line after it</dd>' else '' end
               || case when ord % 4 = 1 then '<dt>First draft</dt><dd>' || {_escaped('lower(left(text, 9))')} || '</dd>' else '' end || case when ord % 5 = 2 then '<dt>Check</dt><dd>A figure is &lt;missing&gt;.</dd>' else '' end || '</dl></details>' || {nl}"""
         line += f" || '</section>' || {nl}"
