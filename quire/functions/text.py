@@ -20,6 +20,7 @@ LEAKS = ("here is the translation", "here's the translation", "translation:", "t
 COMPARED = 2000
 #: White space of any script; Java's own class is ASCII only.
 SPACE = r"\p{IsWhite_Space}"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 #: How a line of a list begins.
 ITEMS = (r"[•·‧\-—*▪◦]", r"\p{Nd}+[.)、]", rf"[（(]{SPACE}*[0-9一二三四五六七八九十]+{SPACE}*[)）]", r"[一二三四五六七八九十百]+[、.]", r"第[0-9一二三四五六七八九十百]+[条章节款项]")
 
@@ -32,7 +33,7 @@ def let(body: Callable[..., Column], **values: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at the ends, line ends included."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:
@@ -88,9 +89,8 @@ def written_forms(number: Column, pack: Pack = CHINESE) -> Column:
 
 def script_share(c: Column, pack: Pack) -> Column:
     """Share of the pack's script among the characters that are neither space nor punctuation; 0 for none."""
-    counted = F.regexp_replace(c, rf"[{SPACE}\p{{P}}]", "")
-    n = F.char_length(counted)
-    return F.when(n > 0, F.regexp_count(counted, F.lit(f"[{pack.script}]")) / n).otherwise(0.0)
+    share = lambda counted: F.coalesce(F.try_divide(F.regexp_count(counted, F.lit(f"[{pack.script}]")), F.char_length(counted)), F.lit(0.0))
+    return share(F.regexp_replace(c, rf"[{SPACE}\p{{P}}]", ""))
 
 
 def letters(c: Column) -> Column:
@@ -105,6 +105,23 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
 
 
+def echoes(a: Column, b: Column) -> Column:
+    """Whether two texts are over 0.9 similar.
+
+    Texts that are have fewer edits than a tenth of the longer one's length; cut into one part more than that, the one
+    holds a part that stands in the other as it is. Only then is the distance worked out.
+    """
+
+    def told(x: Column, y: Column, n: Column, m: Column) -> Column:
+        most = F.floor(F.greatest(n, m) / 10).cast("int")
+        part = F.floor(n / (most + 1)).cast("int")
+        whole = F.exists(F.sequence(F.lit(0), most), lambda i: F.contains(y, F.substring(x, i * part + 1, part)))
+        return F.when(x == y, True).when(F.abs(n - m) > most, False).when(~whole, False).otherwise(similarity(x, y) > 0.9)
+
+    x, y = F.substring(a, 1, COMPARED), F.substring(b, 1, COMPARED)
+    return let(told, x=x, y=y, n=F.char_length(x), m=F.char_length(y))
+
+
 def normalized(c: Column, pack: Pack) -> Column:
     """A reading without the blanks that its reader put in; trimmed.
 
@@ -123,19 +140,25 @@ def repeated_run(c: Column) -> Column:
 
     One pass looks for any such phrase; only texts that hold one are looked through size by size.
     """
-    plain = F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return repeated_in(single_spaced(c))
+
+
+def single_spaced(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
+def repeated_in(plain: Column) -> Column:
+    """:func:`repeated_run` of a text with single blanks."""
     of = lambda k: F.nullif(F.regexp_extract(plain, rf"(?:^| )(\S++(?: \S++){{{k - 1}}})(?: \1){{3}}(?= |$)", 1), F.lit(""))
     any_ = plain.rlike(r"(?:^| )(\S++(?: \S++){0,3}?)(?: \1){3}(?= |$)")
-    return F.when(any_ & plain.rlike(r"^\S++(?: \S++){7}"), F.coalesce(*[of(k) for k in range(1, 5)]))
+    return F.when(plain.rlike(r"^\S++(?: \S++){7}") & any_, F.coalesce(*[of(k) for k in range(1, 5)]))
 
 
 def instruction_leak(c: Column) -> Column:
     """How the answer gives away its instructions; null if it does not."""
-    low = F.lower(c)
-    out = F.when(F.contains(F.substring_index(low, "\n", 1), F.lit("translates to")), F.lit("translates to"))
-    for x in reversed(LEAKS):
-        out = F.when(low.startswith(x), F.substring(c, 1, len(x))).otherwise(out)
-    return out
+    low, begins = F.lower(c), F.lower(F.left(c, F.lit(max(map(len, LEAKS)))))
+    opening = F.regexp_extract(begins, "^(?:" + "|".join(map(re.escape, LEAKS)) + ")", 0)
+    return F.when(opening != "", F.left(c, F.char_length(opening))).when(F.contains(F.substring_index(low, "\n", 1), F.lit("translates to")), "translates to")
 
 
 def ends_at_stop(c: Column, pack: Pack) -> Column:

@@ -69,25 +69,26 @@ def findings(source: Column, target: Column, pack: Pack = CHINESE, glossary: Col
         kept = F.filter(glossary, lambda g: g["keep"])
         measured = F.aggregate(kept, t, lambda acc, g: F.replace(acc, g["term"], F.lit("")))
         listed = lambda *v: _listed(s, t, pack, glossary, terms, names, language, into, *v)
-        full = T.let(listed, measured=measured, figures=number_differences(s, t, pack), share=T.script_share(measured, pack), said=T.letters(s), ratio=T.letters(t) / T.letters(s), run=T.repeated_run(t), leak=T.instruction_leak(t))
+        full = T.let(listed, measured=measured, figures=number_differences(s, t, pack), share=T.script_share(measured, pack), said=T.letters(s), letters=T.letters(t), plain=T.single_spaced(t), leak=T.instruction_leak(t))
         return F.when(s == "", empty).when(t == "", F.array(_finding("emptyTranslation", BLOCKING, "A block that has text came back empty."))).otherwise(full)
 
     return T.let(checked, s=T.trimmed(F.coalesce(source, F.lit(""))), t=T.trimmed(F.coalesce(target, F.lit(""))))
 
 
-def _listed(s: Column, t: Column, pack: Pack, glossary: Column, terms: Column, names: Column, language: str, into: str, measured: Column, figures: Column, share: Column, said: Column, ratio: Column, run: Column, leak: Column) -> Column:
+def _listed(s: Column, t: Column, pack: Pack, glossary: Column, terms: Column, names: Column, language: str, into: str, measured: Column, figures: Column, share: Column, said: Column, letters: Column, plain: Column, leak: Column) -> Column:
     """The findings of a block whose source and translation are not blank."""
     low, high = pack.expansion
+    ratio, run = letters / said, T.repeated_in(plain)
     ignored = F.filter(glossary, lambda g: F.contains(s, g["term"]) & ~F.contains(t, g["required"]))
     unlike = F.filter(F.array_sort(terms), lambda x: F.contains(s, x["term"]) & (x["rendering"] != "") & ~F.contains(F.lower(t), F.lower(x["rendering"])) & ~F.exists(glossary, lambda g: g["term"] == x["term"]))
     first = F.regexp_extract(measured, f"[{pack.script}]+", 0)
     return F.concat(
-        _if(T.similarity(s, t) > 0.9, _finding("echoedSource", BLOCKING, f"The {into} repeats the {language} text.", F.substring(t, 1, 80))),
+        _if(T.echoes(s, t), _finding("echoedSource", BLOCKING, f"The {into} repeats the {language} text.", F.substring(t, 1, 80))),
         _if(share > 0.15, _finding("untranslatedScript", F.when(share > 0.4, BLOCKING).otherwise(CAUTION), F.concat(F.floor(share * 100).cast("string"), F.lit(f"% of this block is still {language}.")), F.nullif(F.substring(first, 1, 24), F.lit("")))),
         F.transform(figures["dropped"], lambda x: _finding("droppedNumber", BLOCKING, _quoted(x, "The figure ", " of the source is missing."), x)),
         F.transform(figures["invented"], lambda x: _finding("inventedNumber", CAUTION, _quoted(x, "The figure ", " is not in the source."), x)),
         _if((said >= 8) & ((ratio < low) | (ratio > high)), _finding("lengthOutOfRange", F.when(ratio < low, CAUTION).otherwise(NOTE), F.when(ratio < low, "Far shorter than the source; something may be missing.").otherwise("Far longer than the source; something may have been added."))),
-        _if(run.isNotNull(), _finding("repeatedRun", BLOCKING, "One phrase is said again and again.", run)),
+        F.filter(F.array(_finding("repeatedRun", BLOCKING, "One phrase is said again and again.", run)), lambda f: f["evidence"].isNotNull()),
         F.transform(ignored, lambda g: _finding("briefIgnored", BLOCKING, _quoted(g["term"], "The brief settles ", ", and this block does otherwise."), g["required"])),
         F.transform(unlike, lambda x: _finding("inconsistentTerm", CAUTION, F.concat(_quoted(x["term"], "Elsewhere in the document ", " is "), F.lit("“"), x["rendering"], F.lit("”; not here.")), x["rendering"])),
         names,
