@@ -29,6 +29,8 @@ WORDS = CLASSES - ENDINGS - 1
 DIM, EPOCHS, STEP, RATE, LEAST_STEPS = 24, 12, 1024, 0.01, 600
 #: Distinct words that a task counts before it hands them on; words of a text that are scored at once.
 COUNTED, SLICE = 400_000, 1 << 20
+#: Words whose spelling is worked out at once.
+SPELLED = 1 << 15
 #: What each counted word gives up to words that are not counted; words of a block of rows, and rows' entries.
 DISCOUNT, BLOCK_WORDS, BLOCK_ENTRIES = 0.5, 1 << 19, 1 << 22
 _BLOCK = "block long, doc_id array<long>, n array<long>, total array<double>, words array<long>, classes binary, spelled binary, size binary, at binary, times binary"
@@ -82,11 +84,13 @@ class Known:
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """log p of each word's bytes and its end."""
-        if not words:
-            return np.zeros(0)
-        a = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-        return np.add.reduceat(self.spelling[a[:-1], a[1:]], starts)
+        out = np.zeros(len(words))
+        for i in range(0, len(words), SPELLED):
+            some = words[i : i + SPELLED]
+            a = np.frombuffer(b"\0" + b"\0".join(some) + b"\0", np.uint8)
+            starts = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+            out[i : i + SPELLED] = np.add.reduceat(self.spelling[a[:-1], a[1:]], starts)
+        return out
 
     def within(self, shared: np.ndarray, n: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """log p(word | its shared class): its discounted count, and what the class gave up times its spelling."""
@@ -219,7 +223,10 @@ class Network:
 
     def table(self) -> np.ndarray:
         """log p of every target in every context: (CLASSES^2, CLASSES)."""
-        return np.concatenate([self.logits(np.arange(a, a + 4096)).astype(np.float32) for a in range(0, CLASSES**2, 4096)])
+        out = np.empty((CLASSES**2, CLASSES), np.float32)
+        for a in range(0, len(out), 4096):
+            out[a : a + 4096] = self.logits(np.arange(a, a + 4096))
+        return out
 
 
 def train(net: Network, context: np.ndarray, offsets: np.ndarray, targets: np.ndarray, n: np.ndarray) -> Network:
@@ -358,8 +365,12 @@ def score(docs: DataFrame, model: tuple[list[str], Network] | None = None) -> Da
                 found = b.column("found")[i].values
                 if found is not None:
                     n[found.field("pos").to_numpy()] = found.field("n").to_numpy()
-                each = known.within(classes.astype(np.int64), n, spelled)[at] * times
-                total = b.column("total")[i].values.to_numpy() + np.bincount(np.repeat(np.arange(len(size)), size), each, len(size))
+                each = known.within(classes.astype(np.int64), n, spelled)[at]
+                each *= times
+                total = b.column("total")[i].values.to_numpy().copy()
+                some = size > 0
+                if some.any():
+                    total[some] += np.add.reduceat(each, (np.cumsum(size) - size)[some])
                 count = b.column("n")[i].values.to_numpy()
                 mean = [s / k if k else None for s, k in zip(total.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i].values, pa.array(count, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
