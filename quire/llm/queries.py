@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, htmltext, langid, licenses, lm, packing, simhash, urlfilter
+from . import ann, chat, decontam, htmltext, langid, licenses, lm, merkle, packing, simhash, tokens, trie, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digests(_table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counts(_table(spark, sf_dir, "documents"))
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language ID of pages' main texts with all evidence: declared language, address suffix, host."""
     pages = _table(spark, sf_dir, "pages")
@@ -68,7 +80,7 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_packing, op3_url_filter, op4_nearest_neighbours, op5_decontamination, op6_chat_format, op7_language_id, op8_main_text, op9_license_scan, op10_lm_score, page_language)
+    for f in (op1_simhash_near_dedup, op2_packing, op3_url_filter, op4_nearest_neighbours, op5_decontamination, op6_chat_format, op7_language_id, op8_main_text, op9_license_scan, op10_lm_score, op11_prefix_trie, op12_merkle_manifest, op13_token_counts, page_language)
 }
 
-ORACLE_SQL = {"op3_url_filter": urlfilter.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL = {"op3_url_filter": urlfilter.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}

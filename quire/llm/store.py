@@ -22,15 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
+def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, partitioned ``by`` columns, and read it back, which cuts its lineage.
 
     A lost executor costs nothing that is not in this folder. Tables that results don't read go with :func:`drop`;
     the folder's owner clears the rest.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
