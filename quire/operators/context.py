@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,16 +43,18 @@ GIVEN = ("its predecessor's translation", "too short to say what it is about", "
 ALONE = "translated again by itself, since the first answer only copied the source"
 
 
+def cues(text: Column, pack: Pack) -> tuple[Column, Column, Column, Column]:
+    """What a text says of its need by itself: it is short, points outside itself, goes on with a sentence; it ends at a stop."""
+    scrubbed = F.regexp_replace(text, "|".join(map(re.escape, pack.false_friends)), "\ufffd") if pack.false_friends else text
+    any_ = lambda tests: reduce(or_, tests, F.lit(False))
+    refers, begins = any_(F.contains(scrubbed, F.lit(w)) for w in pack.referring), any_(scrubbed.startswith(w) for w in pack.continuing)
+    return F.char_length(text) < pack.self_contained, refers, begins, T.ends_at_stop(text, pack)
+
+
 def need(text: Column, kind: Column, previous_source: Column, previous_target: Column, next_source: Column, heading: Column, pack: Pack) -> Column:
     """struct(previous_source, previous_target, following, heading, reasons): which neighbours a block needs, and why."""
-    scrubbed = F.regexp_replace(text, "|".join(map(re.escape, pack.false_friends)), "\ufffd") if pack.false_friends else text
-    short = F.char_length(text) < pack.self_contained
-    refers = F.lit(False)
-    for w in pack.referring:
-        refers = refers | F.contains(scrubbed, F.lit(w))
-    continues = ~T.ends_at_stop(previous_source, pack)
-    for w in pack.continuing:
-        continues = continues | scrubbed.startswith(w)
+    short, refers, begins, _ = cues(text, pack)
+    continues = ~T.ends_at_stop(previous_source, pack) | begins
     able = kind != "pageFurniture"
     before, after, under = able & previous_source.isNotNull(), able & next_source.isNotNull(), able & heading.isNotNull()
     is_head = kind == "heading"

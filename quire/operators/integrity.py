@@ -9,19 +9,20 @@ from ..functions import text as T
 from ..functions.pack import CHINESE, Pack
 
 NOTE, CAUTION, BLOCKING = 1, 2, 3
-_TYPE = "array<struct<kind:string,severity:int,message:string,evidence:string>>"
+#: Type of a block's findings.
+FINDINGS = "array<struct<kind:string,severity:int,message:string,evidence:string>>"
 #: Types of the agreed terms that apply to a block: the reader's, with what the translation must hold, and the document's.
 GLOSSARY, TERMS = "array<struct<term:string,required:string,keep:boolean>>", "array<struct<term:string,rendering:string>>"
 
 
-def _finding(kind: str, severity: Column | int, message: Column | str, evidence: Column | None = None) -> Column:
+def finding(kind: str, severity: Column | int, message: Column | str, evidence: Column | None = None) -> Column:
     s = severity if isinstance(severity, Column) else F.lit(severity)
     m = message if isinstance(message, Column) else F.lit(message)
     return F.struct(F.lit(kind).alias("kind"), s.cast("int").alias("severity"), m.alias("message"), (evidence if evidence is not None else F.lit(None)).cast("string").alias("evidence"))
 
 
 def _if(test: Column, finding: Column) -> Column:
-    return F.when(test, F.array(finding)).otherwise(F.array().cast(_TYPE))
+    return F.when(test, F.array(finding)).otherwise(F.array().cast(FINDINGS))
 
 
 def _quoted(c: Column, before: str, after: str) -> Column:
@@ -62,15 +63,15 @@ def findings(source: Column, target: Column, pack: Pack = CHINESE, glossary: Col
     """
     glossary = glossary if isinstance(glossary, Column) else literal_glossary(list(glossary or []))
     terms = terms if isinstance(terms, Column) else literal_terms(terms or {})
-    names = F.coalesce(spelled_names, F.array().cast(_TYPE)) if spelled_names is not None else F.array().cast(_TYPE)
-    empty = F.array().cast(_TYPE)
+    names = F.coalesce(spelled_names, F.array().cast(FINDINGS)) if spelled_names is not None else F.array().cast(FINDINGS)
+    empty = F.array().cast(FINDINGS)
 
     def checked(s: Column, t: Column) -> Column:
         kept = F.filter(glossary, lambda g: g["keep"])
         measured = F.aggregate(kept, t, lambda acc, g: F.replace(acc, g["term"], F.lit("")))
         listed = lambda *v: _listed(s, t, pack, glossary, terms, names, language, into, *v)
         full = T.let(listed, measured=measured, figures=number_differences(s, t, pack), share=T.script_share(measured, pack), said=T.letters(s), letters=T.letters(t), plain=T.single_spaced(t), leak=T.instruction_leak(t))
-        return F.when(s == "", empty).when(t == "", F.array(_finding("emptyTranslation", BLOCKING, "A block that has text came back empty."))).otherwise(full)
+        return F.when(s == "", empty).when(t == "", F.array(finding("emptyTranslation", BLOCKING, "A block that has text came back empty."))).otherwise(full)
 
     return T.let(checked, s=T.trimmed(F.coalesce(source, F.lit(""))), t=T.trimmed(F.coalesce(target, F.lit(""))))
 
@@ -83,16 +84,16 @@ def _listed(s: Column, t: Column, pack: Pack, glossary: Column, terms: Column, n
     unlike = F.filter(F.array_sort(terms), lambda x: F.contains(s, x["term"]) & (x["rendering"] != "") & ~F.contains(F.lower(t), F.lower(x["rendering"])) & ~F.exists(glossary, lambda g: g["term"] == x["term"]))
     first = F.regexp_extract(measured, f"[{pack.script}]+", 0)
     return F.concat(
-        _if(T.echoes(s, t), _finding("echoedSource", BLOCKING, f"The {into} repeats the {language} text.", F.substring(t, 1, 80))),
-        _if(share > 0.15, _finding("untranslatedScript", F.when(share > 0.4, BLOCKING).otherwise(CAUTION), F.concat(F.floor(share * 100).cast("string"), F.lit(f"% of this block is still {language}.")), F.nullif(F.substring(first, 1, 24), F.lit("")))),
-        F.transform(figures["dropped"], lambda x: _finding("droppedNumber", BLOCKING, _quoted(x, "The figure ", " of the source is missing."), x)),
-        F.transform(figures["invented"], lambda x: _finding("inventedNumber", CAUTION, _quoted(x, "The figure ", " is not in the source."), x)),
-        _if((said >= 8) & ((ratio < low) | (ratio > high)), _finding("lengthOutOfRange", F.when(ratio < low, CAUTION).otherwise(NOTE), F.when(ratio < low, "Far shorter than the source; something may be missing.").otherwise("Far longer than the source; something may have been added."))),
-        F.filter(F.array(_finding("repeatedRun", BLOCKING, "One phrase is said again and again.", run)), lambda f: f["evidence"].isNotNull()),
-        F.transform(ignored, lambda g: _finding("briefIgnored", BLOCKING, _quoted(g["term"], "The brief settles ", ", and this block does otherwise."), g["required"])),
-        F.transform(unlike, lambda x: _finding("inconsistentTerm", CAUTION, F.concat(_quoted(x["term"], "Elsewhere in the document ", " is "), F.lit("“"), x["rendering"], F.lit("”; not here.")), x["rendering"])),
+        _if(T.echoes(s, t), finding("echoedSource", BLOCKING, f"The {into} repeats the {language} text.", F.substring(t, 1, 80))),
+        _if(share > 0.15, finding("untranslatedScript", F.when(share > 0.4, BLOCKING).otherwise(CAUTION), F.concat(F.floor(share * 100).cast("string"), F.lit(f"% of this block is still {language}.")), F.nullif(F.substring(first, 1, 24), F.lit("")))),
+        F.transform(figures["dropped"], lambda x: finding("droppedNumber", BLOCKING, _quoted(x, "The figure ", " of the source is missing."), x)),
+        F.transform(figures["invented"], lambda x: finding("inventedNumber", CAUTION, _quoted(x, "The figure ", " is not in the source."), x)),
+        _if((said >= 8) & ((ratio < low) | (ratio > high)), finding("lengthOutOfRange", F.when(ratio < low, CAUTION).otherwise(NOTE), F.when(ratio < low, "Far shorter than the source; something may be missing.").otherwise("Far longer than the source; something may have been added."))),
+        F.filter(F.array(finding("repeatedRun", BLOCKING, "One phrase is said again and again.", run)), lambda f: f["evidence"].isNotNull()),
+        F.transform(ignored, lambda g: finding("briefIgnored", BLOCKING, _quoted(g["term"], "The brief settles ", ", and this block does otherwise."), g["required"])),
+        F.transform(unlike, lambda x: finding("inconsistentTerm", CAUTION, F.concat(_quoted(x["term"], "Elsewhere in the document ", " is "), F.lit("“"), x["rendering"], F.lit("”; not here.")), x["rendering"])),
         names,
-        _if(leak.isNotNull(), _finding("leakedInstruction", CAUTION, "The answer speaks of the task.", leak)),
+        _if(leak.isNotNull(), finding("leakedInstruction", CAUTION, "The answer speaks of the task.", leak)),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +167,16 @@ def parsed_verdict(answer: Column) -> Column:
     return T.let(of, text=cleaned_answer(F.coalesce(answer, F.lit(""))))
 
 
+def revision_of(answer: str | None) -> str | None:
+    """The revision of :func:`parsed_verdict` of one answer; null for none."""
+    out = re.sub(r"<think>.*?</think>", "", answer or "", flags=re.S)
+    out = re.sub(r"<think>.*$", "", re.sub(r"^.*</think>", "", out, flags=re.S), flags=re.S).strip(T.SPACES)
+    out = re.sub(r"^(?:[^\S\n]*```[^\n]*(?:\n|$))+", "", out)
+    out = re.sub(r"(?:(?:^|\n)[^\S\n]*(?:```[^\n]*)?)+$", "", out)
+    at = out.upper().find(MARKS["revision"])
+    return out[at + len(MARKS["revision"]) :].strip(T.SPACES) or None if at >= 0 else None
+
+
 def cleaned_answer(answer: Column) -> Column:
     """An answer without reasoning tags (closed or not) and the code fences around it, trimmed."""
     out = F.regexp_replace(answer, r"(?s)<think>.*?</think>", "")

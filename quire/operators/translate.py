@@ -6,15 +6,17 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pack import Pack
-from . import integrity
-from .context import ALONE
+from . import integrity, prompts
+from .context import ALONE, GIVEN, cues
 from .export import reader_name
-from .profile import parsed_verdict
+from .profile import parsed_verdict, revision_of
+from .reconcile import text_similarity
 
 
 class Engine(Protocol):
@@ -60,43 +62,23 @@ def _asked(df: DataFrame, lead: Engine, second: Engine | None, reviewer: Engine
     return df.mapInArrow(run, schema)
 
 
-def translated(blocks: DataFrame, lead: Engine, second: Engine | None, reviewer: Engine | None, pack: Pack, glossary: Column | list | None = None, terms: Column | dict | None = None, language: str = "source language") -> DataFrame:
-    """``blocks`` with their translation, its findings and its confidence.
+def _judged(df: DataFrame, p: str, pack: Pack, glossary: Column | list | None, terms: Column | dict | None, language: str) -> DataFrame:
+    """``df`` with p_revision, p_found and p_like of what its engines said (p_draft, p_second, p_verdict)."""
+    df = df.withColumn(f"{p}_revision", F.when(F.col(f"{p}_verdict").isNotNull(), parsed_verdict(F.col(f"{p}_verdict"))["revision"]))
+    ok = F.col(f"{p}_draft").isNotNull()
+    found = integrity.findings(F.col("text"), F.coalesce(f"{p}_revision", f"{p}_draft"), pack, glossary, terms, language=language)
+    found = F.when(ok, found).otherwise(F.array().cast(integrity.FINDINGS))
+    return df.withColumns({f"{p}_found": found, f"{p}_like": F.when(ok & F.col(f"{p}_second").isNotNull(), T.similarity(F.col(f"{p}_draft"), F.col(f"{p}_second")))})
 
-    Blocks are (text, kind, context: what is shown around the text, null for nothing; context_reasons, settlement,
-    reader, because, agreement). Furniture and texts without the source's script are copied, score 1 and reach no
-    engine. A block whose engine fails has an empty draft, a blocking finding and score 0. A translation that leaves
-    the source, given context, is asked for once more without it, and replaced if the new one does not. The reviewer
-    gets (source, draft) and answers like :func:`~quire.operators.profile.parsed_verdict` expects.
 
-    Adds copied, first_draft, revision, shown (the revision, else the draft), was_revised, findings, score, band,
-    reasons, context_reasons, retried_alone and error.
-    """
-    furniture = F.col("kind") == "pageFurniture"
-    bare = T.script_share(F.coalesce("text", F.lit("")), pack) == 0
-    rows = blocks.withColumn("copied", furniture | bare)
-    first = _asked(rows, lead, second, reviewer, "copied", "context", "__a")
-
-    def judged(df: DataFrame, p: str) -> DataFrame:
-        verdict = parsed_verdict(F.col(f"{p}_verdict"))
-        reviewed = F.col(f"{p}_verdict").isNotNull()
-        df = df.withColumn(f"{p}_revision", F.when(reviewed, verdict["revision"]))
-        final = F.coalesce(f"{p}_revision", f"{p}_draft")
-        ok = F.col(f"{p}_draft").isNotNull()
-        found = F.when(ok, integrity.findings(F.col("text"), final, pack, glossary, terms, language=language)).otherwise(F.array().cast(integrity._TYPE))
-        return df.withColumns({f"{p}_found": found, f"{p}_like": F.when(ok & F.col(f"{p}_second").isNotNull(), T.similarity(F.col(f"{p}_draft"), F.col(f"{p}_second")))})
-
-    left = lambda p: F.exists(f"{p}_found", lambda f: f["kind"].isin("echoedSource", "untranslatedScript"))
-    a = judged(first, "__a").withColumn("__done", F.coalesce(F.col("copied") | F.col("context").isNull() | ~left("__a"), F.lit(True)))
-    b = judged(_asked(a.withColumn("__alone", F.lit(None).cast("string")), lead, second, reviewer, "__done", "__alone", "__b"), "__b")
-    b = b.withColumn("retried_alone", ~F.col("__done") & F.col("__b_draft").isNotNull() & ~left("__b"))
-    pick = lambda k: F.when(F.col("retried_alone"), F.col(f"__b_{k}")).otherwise(F.col(f"__a_{k}"))
+def _told(b: DataFrame, pick: Callable[[str], Column], keep: list[str], language: str) -> DataFrame:
+    """Columns ``keep`` of ``b`` and its translation: ``pick`` gives draft, revision, found, like and verdict of the attempt that counts."""
+    furniture, failed = F.col("kind") == "pageFurniture", F.col("error").isNotNull()
     b = b.withColumns({
-        "first_draft": F.when(F.col("copied"), F.col("text")).otherwise(F.coalesce(pick("draft"), F.lit(""))), "revision": pick("revision"), "error": F.col("__a_error"),
+        "first_draft": F.when(F.col("copied"), F.coalesce("text", F.lit(""))).otherwise(F.coalesce(pick("draft"), F.lit(""))), "revision": pick("revision"),
         "findings": pick("found"), "__like": pick("like"), "__reviewed": pick("verdict").isNotNull(),
     })
-    failed = F.col("error").isNotNull()
-    none = F.array(integrity._finding("emptyTranslation", integrity.BLOCKING, F.concat(F.lit("This block could not be translated: "), F.col("error"))))
+    none = F.array(integrity.finding("emptyTranslation", integrity.BLOCKING, F.concat(F.lit("This block could not be translated: "), F.col("error"))))
     revised = F.col("revision").isNotNull()
     score = integrity.confidence(F.col("settlement"), F.col("reader"), F.col("agreement"), F.col("findings"), F.col("__like"), F.col("__reviewed"), revised)
     why = integrity.reasons(F.col("settlement"), reader_name(F.col("reader")), F.col("because"), F.col("findings"), F.col("__like"), F.col("__reviewed"), revised)
@@ -106,6 +88,169 @@ def translated(blocks: DataFrame, lead: Engine, second: Engine | None, reviewer:
         "findings": F.when(failed, none).otherwise(F.col("findings")),
         "context_reasons": F.when(F.col("copied"), F.array().cast("array<string>")).when(F.col("retried_alone"), F.array(F.lit(ALONE))).otherwise(F.coalesce("context_reasons", F.array().cast("array<string>"))),
     })
-    shown = F.coalesce("revision", "first_draft")
-    out = b.withColumns({"shown": shown, "was_revised": F.coalesce(F.col("revision") != F.col("first_draft"), F.lit(False)), "band": integrity.band(F.col("score"))})
-    return out.select(*[c for c in blocks.columns if c != "context_reasons"], "copied", "first_draft", "revision", "shown", "was_revised", "findings", "score", "band", "reasons", "context_reasons", "retried_alone", "error")
+    out = b.withColumns({"shown": F.coalesce("revision", "first_draft"), "was_revised": F.coalesce(F.col("revision") != F.col("first_draft"), F.lit(False)), "band": integrity.band(F.col("score"))})
+    return out.select(*keep, "copied", "first_draft", "revision", "shown", "was_revised", "findings", "score", "band", "reasons", "context_reasons", "retried_alone", "error")
+
+
+def _copied(pack: Pack) -> Column:
+    return F.coalesce(F.col("kind") == "pageFurniture", F.lit(False)) | (T.script_share(F.coalesce("text", F.lit("")), pack) == 0)
+
+
+def translated(blocks: DataFrame, lead: Engine, second: Engine | None, reviewer: Engine | None, pack: Pack, glossary: Column | list | None = None, terms: Column | dict | None = None, language: str = "source language") -> DataFrame:
+    """``blocks`` with their translation, its findings and its confidence, each block by itself.
+
+    Blocks are (text, kind, context: what is shown around the text, null for nothing; context_reasons, settlement,
+    reader, because, agreement; optionally needed: whether any neighbour is in the context, else taken from its
+    being null). Furniture and texts without the source's script are copied, score 1 and reach no
+    engine. A block whose engine fails has an empty draft, a blocking finding and score 0. A translation that leaves
+    the source, given a neighbour, is asked for once more without it, and replaced if the new one does not. The reviewer
+    gets (source, draft) and answers like :func:`~quire.operators.profile.parsed_verdict` expects. Where a block is to be
+    shown what the one before it became, see :func:`translated_in_order`.
+
+    Adds copied, first_draft, revision, shown (the revision, else the draft), was_revised, findings, score, band,
+    reasons, context_reasons, retried_alone and error.
+    """
+    rows = blocks.withColumn("copied", _copied(pack))
+    first = _asked(rows, lead, second, reviewer, "copied", "context", "__a")
+    needed = F.coalesce("needed", F.lit(False)) if "needed" in blocks.columns else F.col("context").isNotNull()
+    left = lambda p: F.exists(f"{p}_found", lambda f: f["kind"].isin("echoedSource", "untranslatedScript"))
+    a = _judged(first, "__a", pack, glossary, terms, language).withColumn("__done", F.coalesce(F.col("copied") | ~needed | ~left("__a"), F.lit(True)))
+    b = _asked(a.withColumn("__alone", F.lit(None).cast("string")), lead, second, reviewer, "__done", "__alone", "__b")
+    b = _judged(b, "__b", pack, glossary, terms, language)
+    b = b.withColumns({"retried_alone": ~F.col("__done") & F.col("__b_draft").isNotNull() & ~left("__b"), "error": F.col("__a_error")})
+    pick = lambda k: F.when(F.col("retried_alone"), F.col(f"__b_{k}")).otherwise(F.col(f"__a_{k}"))
+    return _told(b, pick, [c for c in blocks.columns if c not in ("context_reasons", "needed")], language)
+
+
+# --- in order --------------------------------------------------------------------------------------------------------
+
+
+class _Folded:
+    """What one document's translation knows as it goes along: the block before, what became of it, the heading above."""
+
+    def __init__(self, pack: Pack, lead: Engine, second: Engine | None, reviewer: Engine | None):
+        self.engines, self.script = (lead, second, reviewer), regex.compile(f"[{pack.script}]")
+        self.begin()
+
+    def begin(self) -> None:
+        self.source = self.target = self.heading = None
+        self.stopped = True
+
+    def need(self, r: dict) -> tuple[list[bool], list[str]]:
+        """What :func:`quire.operators.context.need` says, from the cues of the text and what went before."""
+        before, after, under, head = self.source is not None, r["next_source"] is not None, self.heading is not None, r["kind"] == "heading"
+        continues = r["__begins"] or not self.stopped
+        tests = [self.target is not None, before and r["__short"], before and r["__refers"], before and continues, after and head, after and not head and r["__short"], under and (r["kind"] in ("listItem", "tableRow") or r["__short"] or r["__refers"])]
+        return [before and (r["__short"] or r["__refers"] or continues), tests[0], after and (head or r["__short"]), tests[-1]], [why for t, why in zip(tests, GIVEN, strict=True) if t]
+
+    def around(self, r: dict, need: list[bool]) -> str | None:
+        """What :func:`quire.operators.prompts.translation_context` says, and the agreed terms."""
+        shown = lambda label, t, end="\n": f"{label}{t}{end}" if t else ""
+        near = shown("Under the heading:\n", (self.heading or "")[: prompts.TITLE], "\n\n") if need[3] else ""
+        near += shown("The line before:\n", (self.source or "")[-prompts.NEIGHBOUR :]) if need[0] else ""
+        near += shown("Translated as:\n", (self.target or "")[-prompts.NEIGHBOUR :]) if need[1] else ""
+        near += shown("The line after:\n", (r["next_source"] or "")[: prompts.NEIGHBOUR]) if need[2] else ""
+        near += "\nNone of this is to be translated.\n\n" if near else ""
+        return shown("From a document titled: ", (r["__title"] or "")[: prompts.TITLE], "\n\n") + near + (r["__terms"] or "") or None
+
+    def ask(self, text: str, context: str | None) -> tuple[str, str | None, str | None]:
+        """(draft, second opinion, verdict); only the leading engine's failure is one."""
+        lead, second, reviewer = self.engines
+        draft = lead(text, context)
+        said = []
+        for engine, other in ((second, None), (reviewer if draft else None, draft)):
+            try:
+                said.append(engine(text, other) if engine else None)
+            except Exception:  # noqa: BLE001  there is no second opinion, or no review
+                said.append(None)
+        return draft, *said
+
+    def left(self, text: str, shown: str, kept: list[str]) -> bool:
+        """Whether a translation leaves the source: it repeats it, or holds too much of its script."""
+        a, b = text.strip(T.SPACES), shown.strip(T.SPACES)
+        if not a or not b:
+            return False
+        x, y = a[: T.COMPARED], b[: T.COMPARED]
+        if abs(len(x) - len(y)) <= max(len(x), len(y)) / 10 and text_similarity(x, y) > 0.9:
+            return True
+        for term in kept:
+            b = b.replace(term, "")
+        bare = regex.sub(r"[\p{White_Space}\p{P}]", "", b)
+        return len(self.script.findall(bare)) > 0.15 * len(bare)
+
+    def block(self, r: dict) -> tuple:
+        text, attempts, retried, error = r["text"] or "", [None, None], False, None
+        need, why = self.need(r)
+        context = None if r["copied"] else self.around(r, need)
+        shown = text
+        if not r["copied"]:
+            final = lambda a: revision_of(a[2]) or a[0] or ""
+            try:
+                attempts[0] = self.ask(text, context)
+            except Exception as e:  # noqa: BLE001  the row carries it
+                error = str(e) or type(e).__name__
+            if attempts[0] and any(need) and self.left(text, final(attempts[0]), r["__kept"] or []):
+                try:
+                    attempts[1] = self.ask(text, self.around(r, [False] * 4))
+                    retried = attempts[1][0] is not None and not self.left(text, final(attempts[1]), r["__kept"] or [])
+                except Exception:  # noqa: BLE001  the first attempt stands
+                    pass
+            shown = "" if error else final(attempts[retried])
+        if r["kind"] == "heading":
+            self.heading = shown or text
+        if r["kind"] != "pageFurniture":
+            self.source, self.target, self.stopped = text, shown, r["__stops"]
+        return context, why, *(attempts[retried] or (None,) * 3), retried, error
+
+
+def translated_in_order(blocks: DataFrame, lead: Engine, second: Engine | None, reviewer: Engine | None, pack: Pack, glossary: Column | list | None = None, terms: Column | dict | None = None, agreed: Column | None = None, language: str = "source language") -> DataFrame:
+    """:func:`translated` of whole documents, each block shown what the block before it became.
+
+    Blocks are (doc_id, page, ord, kind, text, settlement, reader, because, agreement). A block is shown what it needs of
+    the last translatable block and its translation, of the last heading as it was translated, of the next
+    translatable block on its page, the document's title, and the lines ``agreed`` (see
+    :func:`quire.operators.prompts.agreed_terms`) that hold for it. What a failed block became is empty. An attempt that
+    leaves the source, given any neighbour, is repeated with the title and the agreed lines alone.
+
+    A document's blocks stream through their task in order, with three texts of state, so a document of any length
+    takes bounded memory; documents are dealt over the cluster. Each block waits for the one before it, so the
+    longest document bounds the time. Null texts are copied as empty; rows of one place (doc_id, page, ord) follow each
+    other by kind and text; a null kind is no heading and no furniture; an empty table gives none.
+
+    Adds context (what the engine was shown) to :func:`translated`'s columns.
+    """
+    title = Window.partitionBy("doc_id")
+    after = Window.partitionBy("doc_id", "page").orderBy("ord", "kind", "text").rowsBetween(1, Window.unboundedFollowing)
+    ok = F.coalesce(F.col("kind") != "pageFurniture", F.lit(True))
+    first = F.struct("page", F.coalesce(F.col("kind") != "heading", F.lit(True)).alias("late"), "ord", F.coalesce("text", F.lit("")).alias("text"))
+    short, refers, begins, stops = cues(F.coalesce("text", F.lit("")), pack)
+    lines = F.array_join(F.transform(agreed, lambda x: F.concat(F.lit("- "), x)), "\n") if agreed is not None else F.lit("")
+    given = glossary if isinstance(glossary, Column) else integrity.literal_glossary(list(glossary or []))
+    added = {
+        "copied": _copied(pack), "next_source": F.first(F.when(ok, F.coalesce("text", F.lit(""))), ignorenulls=True).over(after), "__title": F.min(F.when(ok, first)).over(title)["text"], "__short": short, "__refers": refers, "__begins": begins, "__stops": stops,
+        "__terms": F.when(F.coalesce(lines, F.lit("")) != "", F.concat(F.lit("For this text:\n"), lines, F.lit("\n\n"))), "__kept": F.transform(F.filter(given, lambda g: g["keep"]), lambda g: g["term"]),
+    }
+    own = [c for c in blocks.columns if c not in (*added, "context", "context_reasons")]
+    rows = blocks.select(*own).repartition("doc_id").withColumns(added).sortWithinPartitions("doc_id", "page", "ord", "kind", "text")
+    made = {"context": "string", "context_reasons": "array<string>", "__a_draft": "string", "__a_second": "string", "__a_verdict": "string", "retried_alone": "boolean", "error": "string"}
+    schema = rows.withColumns({k: F.lit(None).cast(t) for k, t in made.items()}).schema
+    for f in schema.fields:
+        f.nullable = True
+    types = [pa.string(), pa.list_(pa.string()), *[pa.string()] * 3, pa.bool_(), pa.string()]
+    read = ["doc_id", "kind", "text", "copied", "next_source", *[k for k in added if k.startswith("__")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, doc = _Folded(pack, lead, second, reviewer), object()
+        for b in batches:
+            out = []
+            for row in zip(*[b.column(k).to_pylist() for k in read], strict=True):
+                r = dict(zip(read, row, strict=True))
+                if r["doc_id"] != doc:
+                    doc = r["doc_id"]
+                    state.begin()
+                out.append(state.block(r))
+            if out:
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], [*b.schema.names, *made])
+
+    folded = rows.mapInArrow(run, schema)
+    return _told(_judged(folded, "__a", pack, glossary, terms, language), lambda k: F.col(f"__a_{k}"), [*own, "context"], language)

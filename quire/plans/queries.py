@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pack import CHINESE, DIACRITIC
-from ..operators import brief, catalogue, context, export, geometry, integrity, layout, profile, prompts, reconcile, translate
+from ..operators import brief, catalogue, context, export, geometry, integrity, layout, profile, prompts, reconcile, repeats, translate
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import ledger
@@ -325,10 +325,43 @@ def align_conversations(spark, sf):
     return reconcile.align(turns, cut, ["conv_id"])
 
 
-@_query()
+#: Letters of the tables beyond ASCII, and as many characters of one byte that stand in no text: SQL's distance counts bytes.
+_LETTERS, _BYTES = "ÍéèñÊÄÉßêíçÇÑÈóÓöüÖäÜ", "".join(chr(c) for c in [*range(1, 9), *range(14, 27)])
+
+
+@_query(f"""with recursive {LINES}, l as (select doc_id, page, line_no, text, translate(left(text, 2000), '{_LETTERS}', '{_BYTES}') as t, row_number() over (partition by doc_id, page order by line_no) as n from lines),
+r as (select doc_id, page, 0::bigint as n, []::varchar[] as kept, null::int as line_no, null::varchar as text, false as keeps from (select distinct doc_id, page from lines)
+  union all select doc_id, page, n, case when keeps then list_append(kept, t) else kept end, line_no, text, keeps from (
+    select l.*, kept, len(list_filter(kept, lambda k: case when k = t then true when abs(length(k) - length(t)) > greatest(length(k), length(t)) / 10 then false else 1 - levenshtein(k, t) / greatest(length(k), length(t))::double > 0.9 end)) = 0 as keeps
+    from r join l on l.doc_id = r.doc_id and l.page = r.page and l.n = r.n + 1))
+select doc_id, page, line_no, text from r where keeps""")
 def dedupe_greedy(spark, sf):
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
-    return turns.select("conv_id", F.size(reconcile.without_repeats(F.col("texts"))).alias("kept"), F.size("texts").alias("n"))
+    """The lines that each page keeps: those over 0.9 similar to one kept before go."""
+    return repeats.kept_first(lines(spark, sf).select("doc_id", "page", "line_no", "text"), ["doc_id", "page"], "line_no")
+
+
+@_query(f"""with recursive l as (select conv_id, translate(left(text, 2000), '{_LETTERS}', '{_BYTES}') as t, row_number() over (partition by conv_id order by turn) as n from conversations),
+r as (select conv_id, 0::bigint as n, []::varchar[] as kept from (select distinct conv_id from conversations)
+  union all select l.conv_id, l.n, case when len(list_filter(kept, lambda k: case when k = t then true when abs(length(k) - length(t)) > greatest(length(k), length(t)) / 10 then false else 1 - levenshtein(k, t) / greatest(length(k), length(t))::double > 0.9 end)) = 0 then list_append(kept, t) else kept end
+  from r join l on l.conv_id = r.conv_id and l.n = r.n + 1)
+select conv_id, max(len(kept)) as kept, max(n) as n from r group by conv_id""")
+def dedupe_turns(spark, sf):
+    """How many turns of a conversation stay."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    kept = repeats.kept_first(t, ["conv_id"], "turn").groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"))
+    return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "conv_id").select("conv_id", "kept", "n")
+
+
+@_query(f"""with recursive {LINES}, l as (select doc_id, text, translate(left(text, 2000), '{_LETTERS}', '{_BYTES}') as t, row_number() over (partition by doc_id order by page, line_no) as n from lines),
+r as (select doc_id, 0::bigint as n, []::varchar[] as kept, null::varchar as text, false as keeps from (select distinct doc_id from lines)
+  union all select doc_id, n, case when keeps then list_append(kept, t) else kept end, text, keeps from (
+    select l.*, kept, len(list_filter(kept, lambda k: case when k = t then true when abs(length(k) - length(t)) > greatest(length(k), length(t)) / 10 then false else 1 - levenshtein(k, t) / greatest(length(k), length(t))::double > 0.9 end)) = 0 as keeps
+    from r join l on l.doc_id = r.doc_id and l.n = r.n + 1))
+select doc_id, n - 1 as place, text from r where keeps""")
+def dedupe_documents(spark, sf):
+    """The same over whole documents, whose lines repeat more often."""
+    each = lines(spark, sf).select("doc_id", (F.col("page") * 20 + F.col("line_no")).cast("long").alias("place"), "text")
+    return repeats.kept_first(each, ["doc_id"], "place")
 
 
 # --- context, terms, profile -----------------------------------------------------------------------------------------
@@ -413,18 +446,23 @@ def _scripted_review(text: str, draft: str) -> str:
     return f"VERDICT: REVISE\nREVISION: {draft.strip()}!" if len(text) % 3 == 0 else "VERDICT: ACCURATE"
 
 
+def _widened():
+    """Whether any neighbour is shown."""
+    return F.col("need.previous_source") | F.col("need.previous_target") | F.col("need.following") | F.col("need.heading")
+
+
 def _translatable(spark, sf) -> DataFrame:
-    """Blocks of the shorter lines with what is around them, as a translator gets them."""
-    b = context.neighbours(blocks(spark, sf).where(F.char_length("text") <= 400))
+    """Blocks with what is around them, as a translator gets them."""
+    b = context.neighbours(blocks(spark, sf))
     need = context.need(*[F.col(x) for x in ("text", "kind", "previous_source", "previous_target", "next_source", "section_heading")], DIACRITIC)
     b = b.withColumn("need", need)
     around = prompts.translation_context(F.lit(None).cast("string"), F.col("need"), F.col("previous_source"), F.lit(None).cast("string"), F.col("next_source"), F.col("section_heading"))
-    return b.select("doc_id", "page", "ord", "kind", "text", around.alias("context"), F.col("need.reasons").alias("context_reasons"), F.lit("single").alias("settlement"), F.lit("visionOCR").alias("reader"), F.lit(None).cast("string").alias("because"), F.lit(None).cast("double").alias("agreement"))
+    return b.select("doc_id", "page", "ord", "kind", "text", around.alias("context"), F.col("need.reasons").alias("context_reasons"), _widened().alias("needed"), F.lit("single").alias("settlement"), F.lit("visionOCR").alias("reader"), F.lit(None).cast("string").alias("because"), F.lit(None).cast("double").alias("agreement"))
 
 
-_AROUND_SHORT = """blocks_ as (select * from blocks where length(text) <= 400), around as (select *, last_value(case when kind <> 'pageFurniture' then text end ignore nulls) over d as previous_source, last_value(case when kind <> 'pageFurniture' then target end ignore nulls) over d as previous_target,
+_AROUND = """around as (select *, last_value(case when kind <> 'pageFurniture' then text end ignore nulls) over d as previous_source, last_value(case when kind <> 'pageFurniture' then target end ignore nulls) over d as previous_target,
   first_value(case when kind <> 'pageFurniture' then text end ignore nulls) over p as next_source, last_value(case when kind = 'heading' then coalesce(target, text) end ignore nulls) over d as section_heading
-  from blocks_ window d as (partition by doc_id order by page, ord rows between unbounded preceding and 1 preceding), p as (partition by doc_id, page order by ord rows between 1 following and unbounded following))"""
+  from blocks window d as (partition by doc_id order by page, ord rows between unbounded preceding and 1 preceding), p as (partition by doc_id, page order by ord rows between 1 following and unbounded following))"""
 _NEEDED = r"""c as (select *, length(text) < 20 as short, regexp_matches(replace(text, 'thatch', ''), 'this|that') as refers, regexp_matches(replace(text, 'thatch', '#'), '^(and|but)') or not (coalesce(not regexp_matches(previous_source, '\S'), true) or regexp_matches(trim(previous_source), '[.!?]["'')\]]?$')) as continues, kind <> 'pageFurniture' as able from around),
 need as (select *, able and previous_target is not null as r0, able and previous_source is not null and short as r1, able and previous_source is not null and refers as r2, able and previous_source is not null and continues as r3, able and next_source is not null and kind = 'heading' as r4,
   able and next_source is not null and kind <> 'heading' and short as r5, able and section_heading is not null and (kind = 'listItem' or short or refers) as r6 from c)"""
@@ -434,12 +472,12 @@ def _reason_sql() -> str:
     return "list_filter([" + ", ".join(f"case when r{i} then '{why.replace(chr(39), chr(39) * 2)}' end" for i, why in enumerate(context.GIVEN)) + "], lambda x: x is not null)"
 
 
-@_query(f"""with {BLOCKS}, {_AROUND_SHORT}, {_NEEDED} select doc_id, page, ord, array_to_string({_reason_sql()}, '; ') as reasons from need""")
+@_query(f"""with {BLOCKS}, {_AROUND}, {_NEEDED} select doc_id, page, ord, array_to_string({_reason_sql()}, '; ') as reasons from need""")
 def context_reasons(spark, sf):
     return _translatable(spark, sf).select("doc_id", "page", "ord", F.array_join("context_reasons", "; ").alias("reasons"))
 
 
-_TRANSLATED = rf"""{BLOCKS}, {_AROUND_SHORT}, {_NEEDED},
+_TRANSLATED = rf"""{BLOCKS}, {_AROUND}, {_NEEDED},
 given as (select *, length(text) as n, (r1 or r2 or r3 or r4 or r5 or r6) as shown, kind = 'pageFurniture' or not regexp_matches(text, '[À-ÿ]') as copied, upper(regexp_replace(text, '[À-ÿ]', 'X', 'g')) as plain, {_reason_sql()} as why from need),
 alike as (select *, regexp_replace(trim(text), '[^ -~]', '?', 'g') as ta, regexp_replace(case when n % 3 = 0 then trim(plain) || '!' else trim(plain) end, '[^ -~]', '?', 'g') as tb from given),
 tried as (select *, not copied and n % 5 = 0 as failed, 1 - levenshtein(ta, tb) / greatest(1, greatest(length(ta), length(tb)))::double <= 0.9 as differs from alike),
@@ -461,6 +499,56 @@ def translated_blocks(spark, sf):
     return t.select("doc_id", "page", "ord", "copied", "first_draft", "revision", "shown", "was_revised", F.array_join(tags, ",").alias("findings"), F.round("score", 6).alias("score"), "band", "retried_alone", "error", F.array_join("context_reasons", "; ").alias("given"))
 
 
+def _chained_lead(text: str, context: str | None) -> str:
+    """Fails, copies when shown the line before, or counts on from the number that the last answer ended with."""
+    said = (context or "").partition("Translated as:\n")[2].partition("\n")[0]
+    if len(text) % 7 == 0:
+        raise ValueError("engine down")
+    if len(text) % 5 == 2 and "The line before:\n" in (context or ""):
+        return text
+    last = re.search("[0-9]{1,3}$", said)
+    return f"line of {text.count(' ') + 1} words {(7 * int(last[0] if last else 0) + len(text)) % 1000}"
+
+
+def _like(a: str, b: str) -> str:
+    """Whether two texts are over 0.9 similar."""
+    fold = lambda x: f"regexp_replace(left(trim({x}), 2000), '[^ -~]', '?', 'g')"
+    return f"case when abs(length(left(trim({a}), 2000)) - length(left({b}, 2000))) > greatest(length(left(trim({a}), 2000)), length({b})) / 10 then false else 1 - levenshtein({fold(a)}, {fold(b)}) / greatest(length(left(trim({a}), 2000)), length({b}))::double > 0.9 end"
+
+
+_IN_ORDER = rf"""with recursive {BLOCKS},
+b as (select *, row_number() over d as n, first_value(case when kind <> 'pageFurniture' then text end ignore nulls) over p as next_source, length(text) as len, length(text) < 20 as short, regexp_matches(replace(text, 'thatch', ''), 'this|that') as refers,
+    regexp_matches(replace(text, 'thatch', '#'), '^(and|but)') as begins, not regexp_matches(text, '\S') or regexp_matches(trim(text), '[.!?]["'')\]]?$') as stops, kind = 'pageFurniture' or not regexp_matches(text, '[À-ÿ]') as copied,
+    first_value(case when kind <> 'pageFurniture' then text end ignore nulls) over (partition by doc_id order by case when kind = 'pageFurniture' then 1 else 0 end, page, case when kind = 'heading' then 0 else 1 end, ord) as title,
+    case when contains(text, 'ein') then 'For this text:' || chr(10) || '- “ein” is “a”.' || chr(10) || chr(10) else '' end as terms, len(string_split(text, ' ')) as words
+  from blocks window d as (partition by doc_id order by page, ord), p as (partition by doc_id, page order by ord rows between 1 following and unbounded following)),
+r as (select doc_id, 0::bigint as n, null::varchar as src, null::varchar as tgt, null::varchar as head, true as stopped, null::int as page, null::int as ord, false as copied, null::varchar as given, null::varchar as context, null::varchar as draft, false as failed, false as retried from (select distinct doc_id from blocks)
+  union all select doc_id, n, case when kind <> 'pageFurniture' then text else src end, case when kind <> 'pageFurniture' then shown else tgt end, case when kind = 'heading' then coalesce(nullif(shown, ''), text) else head end, case when kind <> 'pageFurniture' then stops else stopped end,
+    page, ord, copied, why, context, shown, failed, retried from (
+    select *, case when copied then text when failed then '' when retried then alone else first end as shown from (
+      select *, not copied and not failed and (p0 or r0 or p2 or r6) and (first = text or {_like('text', 'first')}) and not ({_like('text', 'alone')}) as retried from (
+        select *, case when len % 5 = 2 and p0 then text else 'line of ' || words || ' words ' || (7 * coalesce(nullif(regexp_extract(right(tgt, 200), '[0-9]{{1,3}}$'), '')::int, 0) + len) % 1000 end as first, 'line of ' || words || ' words ' || len % 1000 as alone, not copied and len % 7 = 0 as failed, array_to_string({{why}}, '; ') as why,
+          case when not copied then nullif(case when title <> '' then 'From a document titled: ' || left(title, 120) || chr(10) || chr(10) else '' end || case when near <> '' then near || chr(10) || 'None of this is to be translated.' || chr(10) || chr(10) else '' end || terms, '') end as context from (
+          select *, case when r6 and head <> '' then 'Under the heading:' || chr(10) || left(head, 120) || chr(10) || chr(10) else '' end || case when p0 and src <> '' then 'The line before:' || chr(10) || right(src, 200) || chr(10) else '' end
+            || case when r0 and tgt <> '' then 'Translated as:' || chr(10) || right(tgt, 200) || chr(10) else '' end || case when p2 then 'The line after:' || chr(10) || left(next_source, 200) || chr(10) else '' end as near from (
+            select *, r1 or r2 or r3 as p0, r4 or r5 as p2 from (
+              select b.*, src, tgt, head, stopped, kind <> 'pageFurniture' and tgt is not null as r0, kind <> 'pageFurniture' and src is not null and short as r1, kind <> 'pageFurniture' and src is not null and refers as r2, kind <> 'pageFurniture' and src is not null and (begins or not stopped) as r3,
+                kind <> 'pageFurniture' and next_source is not null and kind = 'heading' as r4, kind <> 'pageFurniture' and next_source is not null and kind <> 'heading' and short as r5, kind <> 'pageFurniture' and head is not null and (kind = 'listItem' or short or refers) as r6
+              from r join b on b.doc_id = r.doc_id and b.n = r.n + 1)))))))
+select doc_id, page, ord, copied, draft as shown, context, case when copied then '' when retried then '{context.ALONE}' else given end as given, retried as retried_alone, case when failed then 'engine down' end as error from r where n > 0"""
+
+
+@_query(_IN_ORDER.replace("{why}", _reason_sql()))
+def translated_in_order(spark, sf):
+    """Whole documents, each block shown what the one before it became, by an engine that counts on from its last answer."""
+    none = F.lit(None).cast("string")
+    b = blocks(spark, sf).select("doc_id", "page", "ord", "kind", "text", F.lit("single").alias("settlement"), F.lit("visionOCR").alias("reader"), none.alias("because"), F.lit(None).cast("double").alias("agreement"))
+    term = F.array(F.struct(F.lit("ein").alias("term"), F.lit("a").alias("rendering")))
+    agreed = prompts.agreed_terms(F.filter(term, lambda t: F.contains(F.col("text"), t["term"])), F.lit(None).cast("array<struct<source:string,rendering:string,basis:string>>"), F.lit(None).cast("array<struct<term:string,required:string,keep:boolean>>"))
+    t = translate.translated_in_order(b, _chained_lead, None, None, DIACRITIC, agreed=agreed)
+    return t.select("doc_id", "page", "ord", "copied", "shown", "context", F.array_join("context_reasons", "; ").alias("given"), "retried_alone", "error")
+
+
 # --- exports, search, ledger, catalogue, geometry --------------------------------------------------------------------
 
 
