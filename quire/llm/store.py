@@ -1,45 +1,5 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables in the shared folder, as the rest of the library keeps them."""
 
-from __future__ import annotations
+from ..sources.shared import drop, keep, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="quire-"))
-    return _own[0]
-
-
-def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder, partitioned ``by`` columns, and read it back, which cuts its lineage.
-
-    A lost executor costs nothing that is not in this folder. Tables that results don't read go with :func:`drop`;
-    the folder's owner clears the rest.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kept_at = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete kept tables; nothing that is still to be computed may read them."""
-    for df in tables:
-        path = getattr(df, "_kept_at", None)
-        if path:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+__all__ = ["drop", "keep", "shared_dir"]
