@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -52,40 +56,155 @@ def text_similarity(a: str, b: str) -> float:
     return 1.0 if a == b else 1 - _distance(a, b) / max(len(a), len(b))
 
 
+#: Characters of a shingle, and cells on either side of the anchors that the first, quick alignment works out.
+SHINGLE, NEAR = 5, 12
+
+
+def _shingles(t: str) -> Counter:
+    return Counter(t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1))
+
+
+def _most(own: list[str], other: list[str]) -> list[float]:
+    """For each text of ``own`` at least what its share of any pair with texts of ``other`` earns.
+
+    An edit changes at most SHINGLE shingles, so a text that shares few with the texts around a place is far from any
+    of them. Of a pair with several of ``own``, none has more than half of the 0.6 that a pair may earn.
+    """
+    held: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for j, t in enumerate(other):
+        for g, n in _shingles(t[:COMPARED]).items():
+            held[g].append((j, n))
+    out = []
+    for t in own:
+        t = t[:COMPARED]
+        n = len(t)
+        if n < 2 * SHINGLE:
+            out.append(1 - FLOOR)
+            continue
+        shared: Counter = Counter()
+        for g, k in _shingles(t).items():
+            for j, m in held.get(g, ()):
+                shared[j] += min(k, m)
+        window = max((sum(shared.get(j + d, 0) for d in range(MERGED)) for j in {j - d for j in shared for d in range(MERGED)}), default=0)
+        alike = min(n, window + (SHINGLE - 1) * MERGED)  # and those over the ends of two texts
+        out.append(max((1 - FLOOR) / 2, 1 - (n - SHINGLE + 1 - alike) / (SHINGLE * n) - FLOOR))
+    return out
+
+
+def _once(texts: list[str]) -> dict[str, int]:
+    """Where the shingles stand that only one of the texts holds."""
+    at: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        for g in _shingles(t[:COMPARED]):
+            at[g] = -1 if g in at else i
+    return {g: i for g, i in at.items() if i >= 0}
+
+
+def _band(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """For each row the columns near the anchors: texts that share shingles found once on each side, in the longest
+    chain that rises on both, and the straight way between them."""
+    votes: dict[int, Counter] = defaultdict(Counter)
+    other = _once(right)
+    for g, i in _once(left).items():
+        if g in other:
+            votes[i][other[g]] += 1
+    tails, ends, before = [], [], {}
+    for i in sorted(votes):
+        j = max(votes[i], key=lambda k: (votes[i][k], -k))
+        at = bisect_right(tails, j)
+        before[i] = (j, ends[at - 1] if at else None)
+        tails[at:], ends[at:] = [j, *tails[at + 1 :]], [i, *ends[at + 1 :]]
+    chain, i = [], ends[-1] if ends else None
+    while i is not None:
+        chain.append((i + 1, before[i][0] + 1))
+        i = before[i][1]
+    out, last = [(0, NEAR)], (0, 0)
+    for end in [*reversed(chain), (len(left), len(right))]:
+        for i in range(last[0] + 1, end[0] + 1):
+            begin, stop = (last[1] + (end[1] - last[1]) * (k - last[0]) // (end[0] - last[0]) for k in (i - 1, i))
+            out.append((begin - NEAR, stop + NEAR))
+        last = end
+    out[-1] = (out[-1][0], len(right))
+    return out
+
+
+class _Aligner:
+    """The table of two lists' alignment, of which only the cells are worked out that the best way may pass."""
+
+    def __init__(self, left: list[str], right: list[str]):
+        self.left, self.right, self.known = left, right, {}
+        self.rest = [[*accumulate(reversed(_most(a, b)), initial=0.0)][::-1] for a, b in ((left, right), (right, left))]
+        self.sizes = [[len(t) for t in side] for side in (left, right)]
+
+    def similar(self, i: int, a: int, j: int, b: int) -> float:
+        at = (i, a, j, b)
+        if at not in self.known:
+            self.known[at] = text_similarity("".join(self.left[i - a : i])[:COMPARED], "".join(self.right[j - b : j])[:COMPARED])
+        return self.known[at]
+
+    def ahead(self, i: int, j: int) -> float:
+        """At least what any way earns from a cell to the end."""
+        return min(self.rest[0][i], self.rest[1][j])
+
+    def run(self, least: float, band: list[tuple[int, int]] | None) -> tuple[float, dict[tuple[int, int], tuple[int, int]]]:
+        """The best way's earnings among those that may come to ``least``, and how each cell is reached.
+
+        With a ``band`` only the cells in it are followed: a way, but maybe not the best.
+        """
+        rows, cols = len(self.left), len(self.right)
+        best: list[dict[int, float]] = []
+        came: dict[tuple[int, int], tuple[int, int]] = {}
+        for i in range(rows + 1):
+            row: dict[int, float] = {}
+            best.append(row)
+            # columns that a move from a cell before may reach; skips to the right extend them as they go
+            reach = {0} if not i else set(best[i - 1]) | {j + b for j in best[i - 1] for b in range(1, MERGED + 1)} | {j + 1 for k in range(2, min(MERGED, i) + 1) for j in best[i - k]}
+            todo = sorted(j for j in reach if j <= cols)
+            at, (low, high) = 0, band[i] if band else (0, cols)
+            while at < len(todo):
+                j = todo[at]
+                at += 1
+                top, move = (0.0, (0, 0)) if not i and not j else (-math.inf, (0, 0))
+                for a, b in ((1, 0), (0, 1)):
+                    if a <= i and b <= j and best[i - a].get(j - b, -math.inf) + GAP > top:
+                        top, move = best[i - a][j - b] + GAP, (a, b)
+                if i and j:
+                    for a, b in [(1, k) for k in range(1, min(MERGED, j) + 1)] + [(k, 1) for k in range(2, min(MERGED, i) + 1)]:
+                        base = best[i - a].get(j - b)
+                        if base is None:
+                            continue
+                        x, y = (min(COMPARED, sum(s[e - k : e])) for s, e, k in ((self.sizes[0], i, a), (self.sizes[1], j, b)))
+                        bound = min(x, y) / max(x, y, 1) if x or y else 1.0
+                        if base + bound - FLOOR > top and base + (value := self.similar(i, a, j, b) - FLOOR) > top:
+                            top, move = base + value, (a, b)
+                if low <= j <= high and top + self.ahead(i, j) >= least - 1e-9:
+                    row[j] = top
+                    came[i, j] = move
+                    if j < cols and (at == len(todo) or todo[at] != j + 1):
+                        todo.insert(at, j + 1)
+        return best[rows].get(cols, -math.inf), came
+
+
 def align_texts(left: list[str], right: list[str]) -> list[tuple[range, range, float]]:
     """Ordered full outer join of two lists: (left members, right members, similarity), one to up to eight either way.
 
     Dynamic programming; a pair earns its similarity over 0.4, a gap costs 0.05; moves are tried in a fixed order and
     only a strictly better one replaces the last. A move whose lengths alone keep it from being better is not scored.
+
+    The result is that of the full table. A quick alignment around anchors first earns what the best one earns at least; then only
+    cells are worked out from which that can still be reached by what the texts' shared shingles allow. For readings of
+    one text these are few around the diagonal, so the work grows with the length and not with its square; readings
+    that have little in common take the full table.
     """
-    known: dict[tuple[str, str], float] = {}
-
-    def similar(a: str, b: str) -> float:
-        if (a, b) not in known:
-            known[a, b] = text_similarity(a, b)
-        return known[a, b]
-
-    rows, cols = len(left), len(right)
-    best = [[0.0] * (cols + 1) for _ in range(rows + 1)]
-    came: list[list[tuple[int, int]]] = [[(0, 0)] * (cols + 1) for _ in range(rows + 1)]
-    for i in range(rows + 1):
-        for j in range(cols + 1):
-            options = [(best[i - a][j - b] + GAP, a, b) for a, b in ((1, 0), (0, 1)) if a <= i and b <= j]
-            top = max(options, key=lambda o: o[0], default=(0.0, 0, 0))
-            if i and j:
-                spans = [(1, k) for k in range(1, min(MERGED, j) + 1)] + [(k, 1) for k in range(2, min(MERGED, i) + 1)]
-                for a, b in spans:
-                    x, y = "".join(left[i - a : i])[:COMPARED], "".join(right[j - b : j])[:COMPARED]
-                    bound = min(len(x), len(y)) / max(len(x), len(y), 1) if x or y else 1.0
-                    if best[i - a][j - b] + bound - FLOOR > top[0]:
-                        value = best[i - a][j - b] + similar(x, y) - FLOOR
-                        top = (value, a, b) if value > top[0] else top
-            best[i][j], came[i][j] = top[0], top[1:]
-    out, i, j = [], rows, cols
+    table = _Aligner(left, right)
+    least, _ = table.run(-math.inf, _band(left, right))
+    if least == -math.inf:
+        least = GAP * (len(left) + len(right))  # nothing paired
+    _, came = table.run(least, None)
+    out, i, j = [], len(left), len(right)
     while i or j:
-        a, b = came[i][j]
-        s = similar("".join(left[i - a : i])[:COMPARED], "".join(right[j - b : j])[:COMPARED]) if a and b else 0.0
-        out.append((range(i - a, i), range(j - b, j), s))
+        a, b = came[i, j]
+        out.append((range(i - a, i), range(j - b, j), table.similar(i, a, j, b) if a and b else 0.0))
         i, j = i - a, j - b
     return out[::-1]
 
@@ -93,12 +212,13 @@ def align_texts(left: list[str], right: list[str]) -> list[tuple[range, range, f
 def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pair, left_text, right_text, n_left, n_right, similarity of two block tables (keys, ord, text).
 
-    A page is one group; pages are short by nature (tens of blocks).
+    A group's texts are aligned in one task; for readings of one text that takes work in proportion to their number.
+    Rows of one place follow each other by text; null texts are empty; a group without one side has gaps alone.
     """
     schema = left.select(*keys).withColumns({"pair": F.lit(0), "left_text": F.lit(""), "right_text": F.lit(""), "n_left": F.lit(0), "n_right": F.lit(0), "similarity": F.lit(0.0)}).schema
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (d.sort_values("ord")["text"].tolist() for d in (a, b))
+        x, y = (d.fillna({"text": ""}).sort_values(["ord", "text"], kind="stable")["text"].tolist() for d in (a, b))
         rows = [(*key, n, "".join(x[i] for i in p), "".join(y[i] for i in q), len(p), len(q), s) for n, (p, q, s) in enumerate(align_texts(x, y))]
         return pd.DataFrame(rows, columns=[*keys, "pair", "left_text", "right_text", "n_left", "n_right", "similarity"])
 
