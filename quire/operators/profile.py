@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,31 +92,66 @@ def survey_sample(pages: DataFrame, has_reader: bool = True) -> DataFrame:
     return joined.select("doc_id", F.aggregate("parts", start, add)["sample"].alias("sample"))
 
 
-#: Terms that are compared as literals of one expression; more than these are joined by their first characters.
-FEW_TERMS, GRAM = 256, 3
+#: Characters of terms that one automaton holds; more terms are dealt into several.
+SHARD = 1 << 21
 
 
-def applicable(blocks: DataFrame, keys: list[str], terms: DataFrame, by: str = "term", text: str = "text") -> DataFrame:
+def applicable(blocks: DataFrame, keys: list[str], terms: DataFrame, by: str = "term", text: str = "text", shard: int = SHARD) -> DataFrame:
     """``blocks`` with ``terms``: the distinct rows of ``terms`` whose ``by`` stands in the block's text, sorted.
 
-    A few terms, by their count, are an array that each block filters. More of them meet the blocks by an equi-join on
-    their first characters (three, or all of a shorter term), and what joins is compared whole; no pair is lost and
-    none is made without a shared beginning. Null and blank terms are left out; ``keys`` name a block.
+    The texts stream past an automaton of the terms (Aho and Corasick), once for each ``shard`` characters of terms, so
+    a text's cost is its length and its matches, however many terms there are. Texts are dealt over tasks; each
+    task gets the terms of one shard before its texts, through the same shuffle. Null and blank terms are left out, a
+    null text holds none, copies of a block each keep their row. ``keys`` name a block; blocks of one key should be the
+    same. An empty table gives none; without terms every block has an empty array.
     """
-    known = terms.where(F.col(by).isNotNull() & (F.col(by) != "")).distinct()
+    spark = blocks.sparkSession
     row = F.struct(by, *[c for c in terms.columns if c != by])
-    some = known.select(row.alias("t")).limit(FEW_TERMS + 1).collect()
-    kind = known.select(F.array(row).alias("t")).schema["t"].dataType
-    if len(some) <= FEW_TERMS:
-        types = dict(known.dtypes)
-        listed = [F.struct(*[F.lit(r["t"][c]).cast(types[c]).alias(c) for c in r["t"].asDict()]) for r in some]
-        return blocks.withColumn("terms", F.array_sort(F.filter(F.array(*listed).cast(kind) if listed else F.array().cast(kind), lambda t: F.contains(F.col(text), t[by]))))
-    gram = F.left(F.col(by), F.lit(GRAM))
-    places = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col(text), i, F.lit(k)) for k in range(1, GRAM + 1)]))))
-    met = blocks.select(*keys, text, F.explode(grams).alias("__g")).join(known.select(gram.alias("__g"), row.alias("t")), "__g")
-    met = met.where(F.contains(F.col(text), F.col(f"t.{by}"))).groupBy(*keys).agg(F.array_sort(F.collect_set("t")).alias("terms"))
-    return blocks.join(met, keys, "left").withColumn("terms", F.coalesce("terms", F.array().cast(kind)))
+    known = terms.where(F.col(by).isNotNull() & (F.col(by) != "")).distinct().select(row.alias("__t"))
+    size = known.agg(F.sum(F.char_length(f"__t.{by}"))).first()[0] or 0
+    shards = max(1, -(-size // shard))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    own = blocks.drop("terms")
+    dealt = own.withColumns({"__part": F.pmod(F.xxhash64(*keys) + F.spark_partition_id(), F.lit(parts)), "__shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    dealt = dealt.select("__shard", "__part", F.lit(1).alias("__kind"), F.lit(None).cast(known.schema["__t"].dataType).alias("__t"), F.struct(*own.columns).alias("__b"))
+    lists = known.withColumns({"__shard": F.pmod(F.xxhash64(f"__t.{by}"), F.lit(shards)).cast("int"), "__part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    lists = lists.select("__shard", F.col("__part").cast("long").alias("__part"), F.lit(0).alias("__kind"), "__t", F.lit(None).cast(dealt.schema["__b"].dataType).alias("__b"))
+    rows = dealt.union(lists).repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        now, machine, held = None, None, []
+        for b in batches:
+            places = zip(*[b.column(k).to_pylist() for k in ("__shard", "__part", "__kind")], strict=True)
+            entries, texts = b.column("__t"), b.column("__b").field(text)
+            chosen, found = [], []
+            for i, (s, p, kind) in enumerate(places):
+                if (s, p) != now:
+                    now, machine, held = (s, p), ahocorasick.Automaton(), []
+                if not kind:
+                    t = entries[i].as_py()
+                    held.append(t)
+                    machine.add_word(t[by], [*machine.get(t[by], []), len(held) - 1])
+                    continue
+                if held and machine.kind != ahocorasick.AHOCORASICK:
+                    machine.make_automaton()
+                whole = texts[i].as_py()
+                at = {k for _, ks in machine.iter(whole) for k in ks} if held and whole else ()
+                chosen.append(i)
+                found.append([held[k] for k in at])
+            if chosen:
+                yield pa.RecordBatch.from_arrays([b.column("__b").take(pa.array(chosen)), pa.array(found, pa.list_(entries.type))], ["__b", "terms"])
+
+    kinds = f"__b {dealt.schema['__b'].dataType.simpleString()}, terms array<{known.schema['__t'].dataType.simpleString()}>"
+    met = rows.mapInArrow(run, kinds)
+    if shards == 1:
+        return met.select("__b.*", F.array_sort("terms").alias("terms"))
+    each = met.where(F.size("terms") > 0).select(*[F.col(f"__b.{k}").alias(k) for k in keys], F.explode("terms").alias("t"))
+    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_set("t")).alias("__terms"))
+    same = [own[k].eqNullSafe(listed[k]) for k in keys]
+    return own.join(listed, same, "left").select(*[own[c] for c in own.columns], F.coalesce("__terms", F.array().cast(f"array<{known.schema['__t'].dataType.simpleString()}>")).alias("terms"))
 
 
 def seen_before(rows: DataFrame, seen: DataFrame, on: str) -> DataFrame:

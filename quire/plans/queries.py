@@ -664,6 +664,24 @@ def ledger_last500(spark, sf):
     return ledger.last_entries(entries(spark, sf), ["scope"]).select("scope", "seq", F.col("nth").cast("long").alias("nth"))
 
 
+_CLEARED = f"""{ENTRIES}, e as (select scope, "at", seq, case when seq % 1013 = 7 then 'clear' else purpose end as purpose, authority, outcome, bytes_sent, bytes_received from entries),
+cleared as (select scope, max(struct_pack(a := "at", s := seq)) as c from e where purpose = 'clear' group by scope), own as (select e.* from e left join cleared using (scope) where purpose <> 'clear' and (c is null or struct_pack(a := "at", s := seq) > c)),
+latest as (select * from own qualify row_number() over (partition by scope order by own.at desc, seq desc) <= 500)"""
+
+
+def clearing_entries(spark, sf) -> DataFrame:
+    """Ledger entries, of which some clear it."""
+    return entries(spark, sf).withColumn("purpose", F.when(F.col("seq") % 1013 == 7, ledger.CLEAR).otherwise(F.col("purpose")))
+
+
+@_query(f"""with {_CLEARED}, t as (select scope, count(*) as requests, sum(bytes_sent)::bigint as bytes_sent, sum(bytes_received)::bigint as bytes_received, count(distinct case when outcome = 'allowed' then authority end) as addresses, coalesce(bool_and(authority like '127.%') filter (outcome = 'allowed'), true) as stayed from own group by scope),
+k as (select scope, count(*) filter (outcome = 'refused') as refusals, coalesce(bool_and(outcome = 'refused' or authority like '127.%') filter (purpose = 'documentWork'), true) as documents_stayed, count(*) as n_entries, arg_min(seq, struct_pack(a := "at", s := seq)) as first_seq, arg_max(seq, struct_pack(a := "at", s := seq)) as last_seq from latest group by scope)
+select * from t join k using (scope)""")
+def ledger_present(spark, sf):
+    """The ledger of each scope as it stands: since it was cleared, and its latest entries."""
+    return ledger.present(clearing_entries(spark, sf), ["scope"])
+
+
 @_query("""with m as (select p_partkey as model_id, p_size * 1e9::double as weights from part), s as (select s_suppkey as machine_id, s_suppkey % 10 <> 0 as silicon, (s_suppkey % 8 + 1) * 8e9::double as memory, (s_suppkey % 5 + 1) * 1e10::double as disk from supplier)
 select machine_id, (select arg_min(model_id, (50e9 - weights) * 1000000 + model_id) from m where s.silicon and weights * 1.4::double + 3e9::double <= s.memory * 0.75::double and weights + 1e9::double <= s.disk) as model_id from s""")
 def model_admission(spark, sf):
@@ -901,12 +919,17 @@ def page_boxes(spark, sf):
 # --- terms, names, models, engines -----------------------------------------------------------------------------------
 
 
-@_query(rf"""with names as (select distinct regexp_extract(text, '^(\S+) \S+', 1) as source from benchmark where regexp_matches(text, '^\S+ \S+')) select conv_id, turn, array_to_string(list_sort(list(source)), '|') as names from conversations join names on contains(text, source) group by conv_id, turn""")
+_NAMES = r"select distinct w[1] as source, w[1] || ' ' || w[2] as rendering from (select regexp_extract_all(text, '\S+') as w from documents) where len(w) > 1 and length(w[1]) > 3"
+
+
+@_query(rf"""with names as ({_NAMES}) select conv_id, turn, array_to_string(list_sort(list(source || '=' || rendering)), '|') as names from conversations join names on contains(text, source) group by conv_id, turn""")
 def names_join(spark, sf):
-    """Names that stand in a turn, sorted; more of them than fit one expression, so they join by their beginnings."""
-    names = table(spark, sf, "benchmark").select(F.regexp_extract("text", r"^(\S+) \S+", 1).alias("source")).distinct()
+    """Names that stand in a turn, with their renderings: the first words of all documents."""
+    w = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    names = table(spark, sf, "documents").select(w.alias("w")).where(F.size("w") > 1).select(F.col("w")[0].alias("source"), F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("rendering")).where(F.char_length("source") > 3)
     got = profile.applicable(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], names, by="source")
-    return got.where(F.size("terms") > 0).select("conv_id", "turn", F.array_join(F.transform("terms", lambda t: t["source"]), "|").alias("names"))
+    named = F.array_sort(F.transform("terms", lambda t: F.concat(t["source"], F.lit("="), t["rendering"])))
+    return got.where(F.size("terms") > 0).select("conv_id", "turn", F.array_join(named, "|").alias("names"))
 
 
 @_query("select p_partkey as model_id from part where p_brand in (select p_brand from part where p_size = 1)")

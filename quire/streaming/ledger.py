@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CAPACITY = 500
 
@@ -16,6 +18,10 @@ def is_local(authority: Column) -> Column:
     return authority.startswith("127.") | authority.startswith("[::1]")
 
 
+def _local(authority: str) -> bool:
+    return authority.startswith(("127.", "[::1]"))
+
+
 def admitted_endpoint(authority: Column) -> Column:
     """host:port as it is contacted, null if it is not loopback: only 127/8, ::1 and localhost, ports 1 to 65535."""
     host = F.regexp_extract(authority, r"^(\[[0-9a-fA-F:.]+\]|[^:\[\]]+)(?::([0-9]{1,5}))?$", 1)
@@ -90,21 +96,161 @@ def progress(events: DataFrame) -> DataFrame:
     return out.withColumn("fraction", fraction(*[F.col(c) for c in ("pages", "page", "blocks", "done")]))
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
-    """job, state after each micro-batch of a stream (job, seq, event, value, of), and fraction; six numbers a job."""
+def _stateful(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose state store can hold the states of processors: lists, maps and cells are kept in RocksDB only."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df
+
+
+class _Progress(StatefulProcessor):
+    """A job's state, each part of it with the number of the event that set it: an earlier event that comes late sets nothing."""
+
+    PARTS = ("pages", "page", "blocks", "done")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        cells = ", ".join(f"{p}_seq long, {p} int" for p in self.PARTS)
+        self.state = handle.getValueState("state", f"{cells}, contested int, finished boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else (None, 0) * 4 + (0, False)
+        cells = {p: (held[2 * i], held[2 * i + 1]) for i, p in enumerate(self.PARTS)}
+        contested, finished = held[8:]
+
+        def put(part: str, seq: int, value: int) -> None:
+            if cells[part][0] is None or (seq, value) > cells[part]:
+                cells[part] = (seq, value)
+
+        for pdf in rows:
+            for seq, event, value, of in pdf.fillna({"seq": -1, "value": 0, "of": 0})[["seq", "event", "value", "of"]].itertuples(index=False):
+                seq, value, of = int(seq), int(value), int(of)
+                if event == "started":
+                    put("pages", seq, value)
+                elif event == "pageStarted":
+                    put("page", seq, value)
+                    put("blocks", seq, 0)
+                    put("done", seq, 0)
+                elif event == "pageReconciled":
+                    put("blocks", seq, value)
+                    contested += of
+                elif event == "blockTranslated":
+                    put("blocks", seq, of)
+                    put("done", seq, value + 1)
+                finished = finished or event == "finished"
+        self.state.update((*(x for p in self.PARTS for x in cells[p]), contested, finished))
+        yield pd.DataFrame([(*key, *(cells[p][1] for p in self.PARTS), contested, finished)], columns=["job", *[c.split()[0] for c in _STATE.split(", ")]])
 
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, 0, 0, 0, 0, False)
-        for pdf in pdfs:
-            for event, value, of in pdf.sort_values("seq")[["event", "value", "of"]].itertuples(index=False):
-                now = fold(now, event, int(value), int(of))
-        state.update(now)
-        yield pd.DataFrame([(*key, *now)], columns=["job", *[c.split()[0] for c in _STATE.split(", ")]])
+    def close(self) -> None:
+        pass
 
-    out = events.groupBy("job").applyInPandasWithState(run, f"job long, {_STATE}", _STATE, "update", "NoTimeout")
+
+def progress_stream(events: DataFrame) -> DataFrame:
+    """job, state after each micro-batch of a stream (job, seq, event, value, of), and fraction: what :func:`progress` says
+    of the events so far, in whatever order and batches they come. A job's state is ten numbers."""
+    out = _stateful(events).groupBy("job").transformWithStateInPandas(_Progress(), f"job long, {_STATE}", "update", "None")
     return out.withColumn("fraction", fraction(*[F.col(c) for c in ("pages", "page", "blocks", "done")]))
 
 
+#: The purpose of an entry that clears the ledger: what comes before it, by (at, seq), counts no more.
+CLEAR = "clear"
+
+
+def present(ledger: DataFrame, by: list[str], capacity: int = CAPACITY) -> DataFrame:
+    """by, requests, bytes_sent, bytes_received, addresses, stayed, refusals, documents_stayed, n_entries, first_seq, last_seq.
+
+    The ledger of each scope as it stands: since its last entry that clears it, requests, bytes and contacted addresses
+    of all entries, refusals and whether documents stayed of the ``capacity`` latest, which are all that it keeps.
+    Entries are (by, at, seq, purpose, authority, outcome, bytes_sent, bytes_received); scopes without any left have no row.
+    """
+    clears = ledger.where(F.col("purpose") == CLEAR).groupBy(*by).agg(F.max(F.struct("at", "seq")).alias("__cleared"))
+    own = ledger.where(F.col("purpose") != CLEAR).join(clears, by, "left")
+    own = own.where(F.col("__cleared").isNull() | (F.struct("at", "seq") > F.col("__cleared"))).drop("__cleared")
+    kept = last_entries(own, by, capacity).groupBy(*by).agg(
+        F.count_if(F.col("outcome") == "refused").alias("refusals"), F.coalesce(F.bool_and(F.when(F.col("purpose") == "documentWork", (F.col("outcome") == "refused") | is_local(F.col("authority")))), F.lit(True)).alias("documents_stayed"),
+        F.count(F.lit(1)).alias("n_entries"), F.max(F.struct("nth", "seq"))["seq"].alias("first_seq"), F.min(F.struct("nth", "seq"))["seq"].alias("last_seq"),
+    )
+    return totals(own, by).drop("refusals", "documents_stayed").join(kept, by)
+
+
+class _Ledger(StatefulProcessor):
+    """One scope's ledger. Entries younger than the watermark wait, so that an entry or a clearing that comes late still
+    takes its place; older ones are in the totals, the addresses and the latest entries for good."""
+
+    ENTRY = "at long, seq long, purpose string, authority string, outcome string, bytes_sent long, bytes_received long"
+
+    def __init__(self, by: str, capacity: int):
+        self.by, self.capacity = by, capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "requests long, bytes_sent long, bytes_received long")
+        self.addresses = handle.getMapState("addresses", "authority string", "local boolean")
+        self.latest, self.waiting = (handle.getListState(n, self.ENTRY) for n in ("latest", "waiting"))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.ENTRY.split(", ")]
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        for pdf in rows:
+            waiting += [(int(a), int(s), p, n, o, int(x), int(y)) for a, s, p, n, o, x, y in pdf[names].itertuples(index=False)]
+        waiting.sort(key=lambda e: e[:2])
+        counts = list(self.totals.get()) if self.totals.exists() else [0, 0, 0]
+        latest = [tuple(r) for r in self.latest.get()] if self.latest.exists() else []
+        known = {k[0]: v[0] for k, v in self.addresses.iterator()}
+        until = timers.getCurrentWatermarkInMs() * 1000
+        settled = sum(e[0] < until for e in waiting)  # they come first: no later batch holds an entry before them
+
+        def fold(counts: list, latest: list, known: dict, entries: list) -> tuple[list, list, dict]:
+            counts, latest, known = list(counts), deque(latest, self.capacity), dict(known)
+            for e in entries:
+                if e[2] == CLEAR:
+                    counts = [0, 0, 0]
+                    latest.clear()
+                    known.clear()
+                    continue
+                counts = [counts[0] + 1, counts[1] + e[5], counts[2] + e[6]]
+                latest.append(e)
+                if e[4] == "allowed":
+                    known[e[3]] = _local(e[3])
+            return counts, list(latest), known
+
+        counts, latest, found = fold(counts, latest, known, waiting[:settled])
+        if settled:
+            self.totals.update(tuple(counts))
+            self.latest.put(latest) if latest else self.latest.clear()
+            if found != known:
+                if not known.keys() <= found.keys():
+                    self.addresses.clear()
+                    known = {}
+                for k, v in found.items():
+                    if k not in known:
+                        self.addresses.updateValue((k,), (v,))
+        left = waiting[settled:]
+        self.waiting.put(left) if left else self.waiting.clear()
+        counts, latest, found = fold(counts, latest, found, left)
+        if not latest:
+            return
+        stayed = all(e[4] == "refused" or _local(e[3]) for e in latest if e[2] == "documentWork")
+        told = (*key, *counts, len(found), all(found.values()), sum(e[4] == "refused" for e in latest), stayed, len(latest), latest[0][1], latest[-1][1])
+        yield pd.DataFrame([told], columns=[self.by, *PRESENT])
+
+    def close(self) -> None:
+        pass
+
+
+PRESENT = ("requests", "bytes_sent", "bytes_received", "addresses", "stayed", "refusals", "documents_stayed", "n_entries", "first_seq", "last_seq")
+
+
+def present_stream(ledger: DataFrame, by: str, late: str = "10 minutes", capacity: int = CAPACITY) -> DataFrame:
+    """:func:`present` after each micro-batch of a stream of entries, for the scopes that it touches.
+
+    Entries may come in any order as long as none is older than the watermark, ``late`` behind the youngest before; those
+    that are count no more. A scope's state is its totals, its addresses, ``capacity`` entries, and those of the last ``late``.
+    """
+    typed = ledger.withColumn("__at", F.col("at")).withWatermark("__at", late)
+    rows = typed.select(by, F.unix_micros("at").alias("at"), "seq", "purpose", "authority", "outcome", "bytes_sent", "bytes_received", "__at")
+    kinds = dict(ledger.dtypes)
+    schema = f"{by} {kinds[by]}, requests long, bytes_sent long, bytes_received long, addresses long, stayed boolean, refusals long, documents_stayed boolean, n_entries long, first_seq long, last_seq long"
+    return _stateful(rows).groupBy(by).transformWithStateInPandas(_Ledger(by, capacity), schema, "update", "EventTime")
+
+
 def line_stream(lines: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests`` (request_id, authority, error) with outcome, reason, n_lines and bytes_received of their lines.
 

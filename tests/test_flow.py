@@ -134,14 +134,17 @@ def test_survey_sample(spark):
 
 
 def test_terms_beyond_any_limit(spark):
-    """Few terms by one expression and many by their beginnings find the same, whatever their number and length."""
+    """Terms are found whatever their number and length, by one automaton or by several."""
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcd中") for _ in range(r.randrange(1, 6)))
-    terms = sorted({word() for _ in range(profile.FEW_TERMS * 3)} | {f"term{i}" for i in range(12_000)})
+    terms = sorted({word() for _ in range(768)} | {f"term{i}" for i in range(12_000)})
     texts = [(i, " ".join(word() for _ in range(r.randrange(0, 12)))) for i in range(60)] + [(100, "term11999 and term7"), (101, ""), (102, None)]
     df, t = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x, x.upper()) for x in terms] + [("", ""), (None, None)], "term string, rendering string")
     got = {x["id"]: [y["term"] for y in x["terms"] or []] for x in profile.applicable(df, ["id"], t).collect()}
     assert got == {i: [x for x in terms if x in (text or "")] for i, text in texts}
+    many = profile.applicable(df.union(df).withColumns({"terms": F.lit("clash"), "t": F.lit(1)}), ["id"], t, shard=20_000).collect()
+    assert len(many) == 2 * len(texts) and all([y["term"] for y in x["terms"]] == got[x["id"]] for x in many)
+    assert all(x["terms"] == [] for x in profile.applicable(df, ["id"], t.limit(0)).collect()) and profile.applicable(df.limit(0), ["id"], t).count() == 0
     few = {x["id"]: [y["term"] for y in x["terms"] or []] for x in profile.applicable(df, ["id"], t.where("term in ('a', 'ab', 'term7', '中')")).collect()}
     assert few == {i: [x for x in ("a", "ab", "term7", "中") if x in (text or "")] for i, text in texts}
     glossary = t.select("term", F.col("rendering").alias("required"), F.lit(False).alias("keep"))
