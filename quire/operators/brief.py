@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pack import CHINESE, Pack
+from ..functions.romanize import Reader
 from ..streaming.ledger import admitted_endpoint
 
 
@@ -150,22 +151,24 @@ def preferences(json: Column) -> Column:
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def spelled_names(source: str | None, target: str | None, syllables: dict[str, str], agreed: Iterable[str] = (), pack: Pack = CHINESE, most: int = 3) -> list[tuple[str, str]]:
+def spelled_names(source: str | None, target: str | None, syllables: dict[str, str] | Reader, agreed: Iterable[str] = (), pack: Pack = CHINESE, most: int = 3) -> list[tuple[str, str]]:
     """(name, word of the target): stretches of 3 to 6 characters that the target only spells out, longest first.
 
-    Stretches do not overlap; agreed renderings are no fault; runs with a character outside ``syllables`` are passed
-    over, so a partial map finds less, never more. Null texts have none.
+    Stretches do not overlap; agreed renderings are no fault; runs are read as a whole (see
+    :class:`quire.functions.romanize.Reader`), and those with a character that ``syllables`` does not read are passed over. Null texts have none.
     """
+    read = syllables if isinstance(syllables, Reader) else Reader(syllables)
     printed = {w.lower(): w for w in reversed(_LETTERS.findall(target or ""))}
     for name in agreed:
         printed.pop("".join(_LETTERS.findall(name.lower())), None)
     found = []
     for run in re.findall(f"[{pack.romanizable}]{{3,}}", source or "") if printed and pack.romanizable else ():
-        if not all(c in syllables for c in run):
+        said = read(run)
+        if not said:
             continue
         free = [True] * len(run)
         for n, a in ((n, a) for n in range(min(6, len(run)), 2, -1) for a in range(len(run) - n + 1)):
-            word = printed.get("".join(syllables[c] for c in run[a : a + n]))
+            word = printed.get("".join(said[a : a + n]))
             if word and all(free[a : a + n]):
                 free[a : a + n] = [False] * n
                 found.append((run[a : a + n], word))
@@ -174,11 +177,11 @@ def spelled_names(source: str | None, target: str | None, syllables: dict[str, s
 
 def transliterated(source: Column, target: Column, syllables: dict[str, str], agreed: Iterable[str] = (), pack: Pack = CHINESE, field: str = "unknown") -> Column:
     """Findings (kind, severity, message, evidence) of :func:`spelled_names`, over Arrow batches."""
-    known, what = list(agreed), "generic English drug" if field == "medicine" else "English"
+    read, known, what = Reader(syllables), list(agreed), "generic English drug" if field == "medicine" else "English"
 
     @F.pandas_udf("array<struct<kind:string,severity:int,message:string,evidence:string>>")
     def run(s: pd.Series, t: pd.Series) -> pd.Series:
         told = "“{}” is only spelled out; an established " + what + " name belongs here."
-        return pd.Series([[{"kind": "transliteratedName", "severity": 2, "message": told.format(n), "evidence": w} for n, w in spelled_names(a, b, syllables, known, pack)] for a, b in zip(s, t, strict=True)])
+        return pd.Series([[{"kind": "transliteratedName", "severity": 2, "message": told.format(n), "evidence": w} for n, w in spelled_names(a, b, read, known, pack)] for a, b in zip(s, t, strict=True)])
 
     return run(source, target)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.romanize import not_spelled
 
 #: A field and the stems that speak for it; the first field with one wins.
 FIELDS = [
@@ -264,26 +265,17 @@ def _lines(answer: Column) -> Column:
     return F.transform(F.split(answer, "\n"), lambda x: T.trimmed(x))
 
 
-def romanized(c: Column, syllables: dict[str, str]) -> Column:
-    """A text's syllables in one word, by a character map; null if it is empty or a character is not in the map."""
-    if not syllables:
-        return F.lit(None).cast("string")
-    known = F.create_map(*[F.lit(x) for pair in syllables.items() for x in pair])
-    each = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), lambda x: F.try_element_at(known, x))
-    return F.when((F.size(each) > 0) & F.forall(each, lambda x: x.isNotNull()), F.array_join(each, ""))
-
-
 def parsed_names(answer: Column, syllables: dict[str, str] | None = None, most: int = 20) -> Column:
     """array of (source, rendering, basis) of an answer's lines ``NAME: source | rendering | basis``.
 
     Dropped are names without a rendering, renderings that repeat the source, say UNKNOWN or only spell it out by
-    ``syllables``, and all but the first line of a source. A null answer gives an empty array.
+    ``syllables`` (see :func:`quire.functions.romanize.readings`), and all but the first line of a source. A null answer gives an empty array.
     """
     text = cleaned_answer(F.coalesce(answer, F.lit("")))
     parts = F.transform(_marked(_lines(text), MARKS["name"]), lambda x: F.transform(F.split(x, r"\|"), T.trimmed))
-    spelled = lambda n: F.coalesce(romanized(n["source"], syllables or {}) == F.regexp_replace(F.lower(n["rendering"]), r"[^\p{L}]", ""), F.lit(False))
     named = F.transform(F.filter(parts, lambda x: F.size(x) >= 2), lambda x: F.struct(x[0].alias("source"), x[1].alias("rendering"), F.nullif(F.try_element_at(x, F.lit(3)), F.lit("")).alias("basis")))
-    good = F.filter(named, lambda n: (n["source"] != "") & (n["rendering"] != "") & (n["source"] != n["rendering"]) & ~F.contains(F.upper(n["rendering"]), F.lit(UNKNOWN)) & ~spelled(n))
+    good = F.filter(named, lambda n: (n["source"] != "") & (n["rendering"] != "") & (n["source"] != n["rendering"]) & ~F.contains(F.upper(n["rendering"]), F.lit(UNKNOWN)))
+    good = not_spelled(good, syllables) if syllables else good
     first = T.let(lambda names: F.filter(names, lambda n, i: F.array_position(F.transform(names, lambda m: m["source"]), n["source"]) == i + 1), names=good)
     return F.when(F.upper(text).startswith(NONE), F.slice(first, 1, 0)).otherwise(F.slice(first, 1, most))
 

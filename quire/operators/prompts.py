@@ -189,9 +189,9 @@ def document_answers(samples: Column, profile_answer: Column, names_answer: Colu
     options = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(f"The document's field is {n}.").alias("guidance")) for n, _ in FIELDS], F.struct(F.lit(UNSURE[0]).alias("label"), F.lit(UNSURE[1]).alias("guidance")))
     field = F.array(F.struct(F.lit(FIELD_QUESTION).alias("question"), options.alias("options"), F.lit(None).cast("string").alias("evidence")))
 
-    def told(p: Column) -> Column:
+    def told(p: Column, names: Column) -> Column:
         asked = F.concat(F.when(p["field"] == "unknown", field).otherwise(F.slice(field, 1, 0)), parsed_questions(own("questions", questions_answer)))
         asked = F.when(F.char_length(samples) >= LEAST_SAMPLE["questions"], F.slice(asked, 1, 3)).otherwise(F.slice(asked, 1, 0))
-        return F.struct(p.alias("profile"), parsed_names(own("names", names_answer), syllables).alias("names"), asked.alias("questions"))
+        return F.struct(p.alias("profile"), names.alias("names"), asked.alias("questions"))
 
-    return T.let(told, p=profile)
+    return T.let(told, p=profile, names=parsed_names(own("names", names_answer), syllables))

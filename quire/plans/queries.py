@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import romanize
 from ..functions import text as T
 from ..functions.pack import CHINESE, DIACRITIC
 from ..operators import brief, catalogue, context, export, geometry, integrity, layout, profile, prompts, reconcile, repeats, translate
@@ -715,56 +716,114 @@ def ledger_windows(spark, sf):
     return ledger.windowed(entries(spark, sf)).select(F.col("start").cast("timestamp_ntz").alias("start"), "purpose", "requests", "bytes_sent")
 
 
-# --- Han texts, inline -----------------------------------------------------------------------------------------------
+# --- Han texts made from the tables ----------------------------------------------------------------------------------
 
-#: Readings with blanks, full-width forms and other white space, by number.
-HAN = [
-    (1, "中 国　合 同"), (2, "　　ab"), (3, "第 3 页"), (4, "甲方\t乙方"), (5, "１、总则"), (6, "（一） 定义"), (7, "第十条 付款"), (8, "  ABC 中  文 def　 "), (9, "　"), (10, "共１０，０００元"), (11, "二、范围"), (12, "· 项目"), (13, "正文。"),
-    (14, "“你好”！"), (15, "12) item"), (16, "a　中 b"), (17, ""), (18, "カタカナ"), (19, "— 甲 —"), (20, "٣. item"),
-]
-#: (source, target) pairs and what is found in them.
-HAN_PAIRS = [
-    (1, "于2024年签署的合同", "Signed in 2023, the contract", "droppedNumber:3:2024,inventedNumber:2:2023"), (2, "共１０，０００元整的款项", "a total of 10,000 yuan in all", ""), (3, "有文字", "　 ", "emptyTranslation:3:"), (4, "　", "x", ""),
-    (5, "第3章和第2节的内容", "the second section of chapter three", ""), (6, "共5000元整的款项在此", "five thousand yuan in total", "droppedNumber:3:5000"), (7, "签署于5月的合同文本", "A contract signed in May by both", ""), (8, "二〇二四年签署的合同", "The contract was signed in 2024", ""),
-    (9, "很长的中文句子在这里", "很长的中文句子在这里", "echoedSource:3:很长的中文句子在这里,untranslatedScript:3:很长的中文句子在这里"), (10, "这是一个很长的句子", "go on go on go on go on go on", "repeatedRun:3:go on"), (11, "这是一个很长的句子", "Note: this is a long sentence", "leakedInstruction:2:Note:"),
-    (12, "甲方应当付款给乙方", "The buyer shall pay the seller", "briefIgnored:3:Party A,inconsistentTerm:2:Party B"), (13, "甲方应当付款给乙方", "Party A shall pay party b now", ""), (14, "这是一个很长的句子", "a b", "lengthOutOfRange:2:"), (15, "这是一个很长的句子", "this " * 20 + "is long", "lengthOutOfRange:1:,repeatedRun:3:this"),
-    (16, "服用布洛芬缓释", "Take Buluofen now, as told", "transliteratedName:2:Buluofen"), (17, "条款在这里", "a clause 条款在 here", "untranslatedScript:2:条款在"),
-]
-_SYLLABLES = {"服": "fu", "用": "yong", "布": "bu", "洛": "luo", "芬": "fen", "缓": "huan", "释": "shi"}
+#: A Han character for each Latin letter, and its reading; numerals by digit.
+_HAN, _READ, _NUMERALS = "啊波次得额佛哥喝衣机科勒摸呢哦坡期日思特乌微我西呀兹", "a bo ci de e fu ge he yi ji ke lei mo ne o po qi ri si te wu wei wo xi ya zi".split(), CHINESE.numerals
+_ABC = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    say = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"(values {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) as t({names})"
+def _han(c):
+    """A text with its letters as Han characters."""
+    return F.translate(F.lower(c), _ABC, _HAN)
 
 
-_HAN_NORMAL = {1: "中国合同", 2: "ab", 3: "第 3 页", 4: "甲方\t乙方", 8: "ABC 中文 def", 9: "", 10: "共１０，０００元", 16: "a 中 b", 6: "（一）定义", 7: "第十条付款", 12: "· 项目", 19: "— 甲 —"}
+def _han_sql(c: str) -> str:
+    return f"translate(lower({c}), '{_ABC}', '{_HAN}')"
 
 
-@_query(f"select id, normal from {_values([(i, _HAN_NORMAL.get(i, t)) for i, t in HAN], 'id, normal')}")
+def _spelled_sql(c: str) -> str:
+    """The readings of a Han text in one word."""
+    return f"array_to_string(list_transform(string_split({c}, ''), lambda x: list_extract({_READ}, strpos('{_HAN}', x))), '')"
+
+
+def _han_lines(spark, sf) -> DataFrame:
+    """Lines in Han characters as a recognizer gives them: blanks of either width between words, list marks before some."""
+    marks = F.element_at(F.array(*map(F.lit, _MARKS)), F.col("line_no") % len(_MARKS) + 1)
+    wide = F.when(F.col("doc_id") % 2 == 0, F.replace(_han(F.col("text")), F.lit(" "), F.lit(" 　"))).otherwise(_han(F.col("text")))
+    return lines(spark, sf).select("doc_id", "page", "line_no", F.concat(marks, wide).alias("text"))
+
+
+_MARKS = ["", "（一） ", "", "第十条 ", "１、", "· ", "", "十、", "(2) ", "12) ", "　"]
+_HAN_LINES = f"""{LINES}, han as (select doc_id, page, line_no, list_extract([{', '.join(f"'{m}'" for m in _MARKS)}], line_no % {len(_MARKS)} + 1) || case when doc_id % 2 = 0 then replace({_han_sql('text')}, ' ', ' 　') else {_han_sql('text')} end as text from lines)"""
+_CLOSE = r"regexp_replace({0}, '([\x{{4E00}}-\x{{9FFF}}（）、１])[ 　]+([\x{{4E00}}-\x{{9FFF}}（）、１])', '\1\2', 'g')"
+
+
+@_query(f"with {_HAN_LINES} select doc_id, page, line_no, regexp_replace(regexp_replace({_CLOSE.format(_CLOSE.format('text'))}, '[ 　]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as normal from han")
 def normalize_han(spark, sf):
-    return spark.createDataFrame(HAN, "id int, text string").select("id", T.normalized(F.col("text"), CHINESE).alias("normal"))
+    return _han_lines(spark, sf).select("doc_id", "page", "line_no", T.normalized(F.col("text"), CHINESE).alias("normal"))
 
 
-@_query(rf"""select id, case when n > 0 then round(len(regexp_extract_all(bare, '[\x{{4E00}}-\x{{9FFF}}\x{{FF10}}-\x{{FF19}}]')) / n::double, 6) else 0.0 end as share, length(regexp_replace(text, '[\s　]', '', 'g')) as letters
-  from (select id, text, bare, length(bare) as n from (select id, text, regexp_replace(text, '[\s　\p{{P}}]', '', 'g') as bare from {_values(HAN, 'id, text')}))""")
+@_query(rf"""with {_HAN_LINES}, b as (select *, regexp_replace(text, '[\s　\p{{P}}]', '', 'g') as bare from han)
+select doc_id, page, line_no, case when length(bare) > 0 then round(len(regexp_extract_all(bare, '[\x{{4E00}}-\x{{9FFF}}\x{{FF10}}-\x{{FF19}}]')) / length(bare)::double, 6) else 0.0 end as share, length(regexp_replace(text, '[\s　]', '', 'g')) as letters from b""")
 def script_share_han(spark, sf):
-    h = spark.createDataFrame(HAN, "id int, text string")
-    return h.select("id", F.round(T.script_share(F.col("text"), CHINESE), 6).alias("share"), T.letters(F.col("text")).alias("letters"))
+    return _han_lines(spark, sf).select("doc_id", "page", "line_no", F.round(T.script_share(F.col("text"), CHINESE), 6).alias("share"), T.letters(F.col("text")).alias("letters"))
 
 
-@_query(f"select id, id in (5, 6, 7, 11, 12, 15, 19, 20) as is_item from {_values([(i,) for i, _ in HAN], 'id')}")
+@_query(f"with {_HAN_LINES} select doc_id, page, line_no, line_no % {len(_MARKS)} in (1, 3, 4, 5, 7, 8, 9) or regexp_matches(regexp_replace(text, '^[ 　]+', ''), '^([-—*]|[0-9]+[.)、])') as is_item from han")
 def list_item_han(spark, sf):
-    return spark.createDataFrame(HAN, "id int, text string").select("id", T.list_item(T.trimmed(F.col("text"))).alias("is_item"))
+    return _han_lines(spark, sf).select("doc_id", "page", "line_no", T.list_item(T.trimmed(F.col("text"))).alias("is_item"))
+
+
+@_query(rf"""with {LINES}, w as (select doc_id, page, line_no, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) as n from lines)
+select doc_id, page, line_no, n::int as n, {_han_sql('word')} as run, {_spelled_sql(_han_sql('word'))} as spelled, length(word) as n_syllables from w""")
+def han_readings(spark, sf):
+    """Each run of Han characters of a line with its reading, a syllable a character, by the rules of the library that Spark ships."""
+    runs = lines(spark, sf).select("doc_id", "page", "line_no", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("n", "word"))
+    read = runs.select("doc_id", "page", "line_no", (F.col("n") + 1).alias("n"), _han(F.col("word")).alias("run")).withColumn("said", romanize.romanized(F.col("run"), romanize.readings(spark)))
+    return read.select("doc_id", "page", "line_no", "n", "run", F.array_join("said", "").alias("spelled"), F.size("said").alias("n_syllables"))
+
+
+_NAMED = rf"""{LINES}, w as (select doc_id, page, line_no, left(regexp_extract(lower(text), '[a-z]{{3,}}'), 5) as word from lines), n as (select *, {_han_sql('word')} as run, case line_no % 4 when 0 then word when 1 then right(word, 3) when 2 then left(word, 2) else left(word, 4) end as part from w where word <> ''),
+t as (select *, {_spelled_sql(_han_sql('part'))} as said from n),
+windows as (select t.*, b::int as b, k::int as k from t, range(0, 3) r(b), range(3, 6) s(k) where b + k <= length(word)),
+hits as (select *, row_number() over (partition by doc_id, page, line_no order by k desc, b) as first from windows where {_spelled_sql("substring(run, b + 1, k)")} = said)"""
+
+
+@_query(f"with {_NAMED} select t.doc_id, t.page, t.line_no, substring(h.run, h.b + 1, h.k) as name, upper(left(t.said, 1)) || substring(t.said, 2) as evidence from t join hits h on h.doc_id = t.doc_id and h.page = t.page and h.line_no = t.line_no and h.first = 1")
+def transliterated_names(spark, sf):
+    """Names that a translation only spells out: a line's first word of three letters or more, of five at most."""
+    w = lines(spark, sf).select("doc_id", "page", "line_no", F.left(F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0), F.lit(5)).alias("word")).where("word <> ''")
+    k = F.col("line_no") % 4
+    part = F.when(k == 0, F.col("word")).when(k == 1, F.right("word", F.lit(3))).when(k == 2, F.left("word", F.lit(2))).otherwise(F.left("word", F.lit(4)))
+    read = F.create_map(*[F.lit(x) for pair in zip(_ABC, _READ, strict=True) for x in pair])
+    said = F.array_join(F.transform(F.regexp_extract_all(part, F.lit("."), 0), lambda c: read[c]), "")
+    rows = w.select("doc_id", "page", "line_no", F.concat(F.lit("服用 "), _han(F.col("word")), F.lit("。")).alias("source"), F.concat(F.lit("Take "), F.upper(F.left(said, F.lit(1))), F.substring(said, F.lit(2), F.char_length(said)), F.lit(" now, 3 times")).alias("target"))
+    found = rows.withColumn("f", F.explode(brief.transliterated(F.col("source"), F.col("target"), romanize.readings(spark))))
+    return found.select("doc_id", "page", "line_no", F.regexp_extract("f.message", "“(.+?)”", 1).alias("name"), F.col("f.evidence").alias("evidence"))
+
+
+def _contracts(spark, sf) -> DataFrame:
+    """order_key, source, target: a contract's sentence for each order and its translation, which errs by the order's number."""
+    o, n = table(spark, sf, "orders"), F.col("o_totalprice").cast("long")
+    k, month, year = F.col("o_orderkey") % 10, F.month("o_orderdate"), F.year("o_orderdate")
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    plain, when = s("甲方于", year, "年", month, "月付款", n, "元给乙方"), s(F.date_format("o_orderdate", "MMMM"), " ", year)
+    source = F.when(k == 7, s("甲方应当付款", F.translate(n.cast("string"), "0123456789", _NUMERALS), "元给乙方")).when(k == 8, s("甲方按照第", month, "章付款给乙方")).otherwise(plain)
+    words = F.element_at(F.array(*map(F.lit, T.ORDINALS)), month)
+    target = (
+        F.when(k == 0, s("Party A paid ", n, " yuan to Party B in ", when)).when(k == 1, s("Party A paid ", n, " yuan to Party B in ", F.date_format("o_orderdate", "MMM"))).when(k == 2, s("Party A paid ", n + 1, " yuan to Party B in ", when))
+        .when(k == 3, s("Note: Party A paid ", n, " yuan to Party B in ", when)).when(k == 4, s("The buyer paid ", n, " yuan to the seller in ", when)).when(k == 5, s("Party A 付款给 ", n, " yuan to Party B in ", when))
+        .when(k == 6, F.lit(" 　")).when(k == 7, s("Party A shall pay ", n, " yuan to party b")).when(k == 8, s("Party A pays party B under the ", words, " chapter")).otherwise(s("Party A Party B ", n, " in ", when, " and so on and so on and so on and so on"))
+    )
+    return o.select(F.col("o_orderkey").alias("order_key"), source.alias("source"), target.alias("target"))
+
+
+_CONTRACTS = rf"""c as (select o_orderkey as order_key, o_orderkey % 10 as k, o_totalprice::bigint as n0, trunc(o_totalprice)::bigint as n, month(o_orderdate) as m, year(o_orderdate) as y, monthname(o_orderdate) as name from orders),
+f as (select *, case k when 7 then '甲方应当付款' || translate(n::varchar, '0123456789', '{_NUMERALS}') || '元给乙方' when 8 then '甲方按照第' || m || '章付款给乙方' else '甲方于' || y || '年' || m || '月付款' || n || '元给乙方' end as source from c),
+found as (select order_key, length(source) as said, list_filter([case when k = 5 and share5 > 0.4 then 'untranslatedScript:3:付款给' when k = 5 and share5 > 0.15 then 'untranslatedScript:2:付款给' end, case when k = 1 then 'droppedNumber:3:' || y when k = 2 then 'droppedNumber:3:' || n end, case when k = 2 then 'inventedNumber:2:' || (n + 1) end,
+    case when k <> 6 and letters / length(source)::double < 0.8 then 'lengthOutOfRange:2:' when k <> 6 and letters / length(source)::double > 4.5 then 'lengthOutOfRange:1:' end, case when k = 9 then 'repeatedRun:3:and so on' end, case when k = 4 then 'briefIgnored:3:Party A' end, case when k = 4 then 'inconsistentTerm:2:Party B' end, case when k = 3 then 'leakedInstruction:2:Note:' end, case when k = 6 then 'emptyTranslation:3:' end], lambda x: x is not null) as found
+  from (select *, 3 / length(replace(t, ' ', ''))::double as share5, length(replace(t, ' ', '')) as letters from (select *, case k when 0 then 'Party A paid ' || n || ' yuan to Party B in ' || name || ' ' || y when 1 then 'Party A paid ' || n || ' yuan to Party B in ' || left(name, 3) when 2 then 'Party A paid ' || (n + 1) || ' yuan to Party B in ' || name || ' ' || y
+    when 3 then 'Note: Party A paid ' || n || ' yuan to Party B in ' || name || ' ' || y when 4 then 'The buyer paid ' || n || ' yuan to the seller in ' || name || ' ' || y when 5 then 'Party A 付款给 ' || n || ' yuan to Party B in ' || name || ' ' || y when 6 then ''
+    when 7 then 'Party A shall pay ' || n || ' yuan to party b' when 8 then 'Party A pays party B under the ' || list_extract({list(T.ORDINALS)}, m) || ' chapter' else 'Party A Party B ' || n || ' in ' || name || ' ' || y || ' and so on and so on and so on and so on' end as t from f)))"""
 
 
-@_query(f"select id, found from {_values([(i, f) for i, _, _, f in HAN_PAIRS], 'id, found')}")
+@_query(f"with {_CONTRACTS} select order_key, array_to_string(found, ',') as found from found")
 def findings_han(spark, sf):
-    h = spark.createDataFrame([r[:3] for r in HAN_PAIRS], "id int, source string, target string")
-    names = brief.transliterated(F.col("source"), F.col("target"), _SYLLABLES)
-    h = h.withColumn("names", names)
-    found = integrity.findings(F.col("source"), F.col("target"), CHINESE, [("甲方", "Party A")], {"乙方": "Party B", "甲方": "x"}, F.col("names"))
-    return h.select("id", F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["severity"].cast("string"), F.coalesce(f["evidence"], F.lit("")))), ",").alias("found"))
+    """Findings of contracts: months and small figures as words, figures in the source's numerals, briefs, agreed terms, leaks."""
+    found = integrity.findings(F.col("source"), F.col("target"), CHINESE, [("甲方", "Party A")], {"乙方": "Party B", "甲方": "x"})
+    tags = F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["severity"].cast("string"), F.coalesce(f["evidence"], F.lit(""))))
+    return _contracts(spark, sf).select("order_key", F.array_join(tags, ",").alias("found"))
 
 
 # --- readings made one, and how they come about ----------------------------------------------------------------------
@@ -1031,10 +1090,18 @@ def preferences_decoded(spark, sf):
     return p.select("id", F.col("p.outputMode").alias("output_mode"), F.col("p.useLocalModel").alias("use_local_model"), F.col("p.localModelID").alias("local_model"), F.col("p.serverPort").alias("port"), F.col("p.serverDialect").alias("dialect"), F.array_join("p.standingInstructions", "|").alias("standing"))
 
 
-@_query("""select kind, seq, term, rendering, text from (values ('term', 2, '乙方', 'Party B', null), ('instruction', 4, null, null, 'be brief'), ('term', 6, '丙方', null, null), ('term', 7, '丁方', 'Party D', null), ('instruction', 10, null, null, 'no notes')) t(kind, seq, term, rendering, text)""")
+@_query("""with held as (select case when n % 3 = 0 then 'instruction' else 'term' end as kind, n + 1 as seq, case when n % 3 > 0 then s_name end as term, case when n % 3 = 1 then 'R' || n end as rendering, case when n % 3 = 0 then 'be ' || s_name end as text from (select s_suppkey as n, s_name from supplier)),
+e as (select case p % 7 when 0 then 'remove_term' when 1 then 'remove_instruction' when 2 then 'keep' when 3 then 'render' when 4 then 'render' when 5 then 'instruct' else 'instruct' end as op, p, name from (select p_partkey as p, p_name || ' ' || p_partkey as name from part))
+select kind, seq::int as seq, term, rendering, text from held h where not (kind = 'term' and exists (select 1 from e where op = 'remove_term' and h.term = 'Supplier#' || lpad((p // 2)::varchar, 9, '0'))) and not (kind = 'instruction' and exists (select 1 from e where op = 'remove_instruction' and h.seq = p))
+union all select case when p % 7 = 5 then 'instruction' else 'term' end, (select max(seq) from held) + p, case when p % 7 <> 5 then name end, case when p % 7 = 3 then 'R' || p end, case when p % 7 = 5 then name end from e where p % 7 in (2, 3, 5)""")
 def brief_edits(spark, sf):
-    held = spark.createDataFrame([("term", 1, "甲方", "Party A", None), ("term", 2, "乙方", "Party B", None), ("instruction", 3, None, None, "be formal"), ("instruction", 4, None, None, "be brief")], brief.BRIEF)
-    edits = spark.createDataFrame([("remove_term", 1, "甲方", None, None), ("keep", 2, " 丙方 ", None, None), ("render", 3, "丁方", " Party D", None), ("render", 4, "戊方", "  ", None), ("keep", 5, "　", None, None), ("instruct", 6, None, None, " no notes\n"), ("instruct", 7, None, None, " "), ("remove_instruction", 3, None, None, None)], "op string, seq int, term string, rendering string, text string")
+    """Suppliers as what a brief holds, parts as edits of it: removed, kept, rendered, instructed, and blank ones."""
+    n, p, none = F.col("s_suppkey"), F.col("p_partkey"), F.lit(None).cast("string")
+    held = table(spark, sf, "supplier").select(F.when(n % 3 == 0, "instruction").otherwise("term").alias("kind"), (n + 1).cast("int").alias("seq"), F.when(n % 3 > 0, F.col("s_name")).alias("term"), F.when(n % 3 == 1, F.concat(F.lit("R"), n.cast("string"))).alias("rendering"), F.when(n % 3 == 0, F.concat(F.lit("be "), "s_name")).alias("text"))
+    name, k = F.concat(F.lit(" "), "p_name", F.lit(" "), p.cast("string"), F.lit("\t")), p % 7
+    op = F.element_at(F.array(*map(F.lit, ("remove_term", "remove_instruction", "keep", "render", "render", "instruct", "instruct"))), (k + 1).cast("int"))
+    term = F.when(k == 0, F.concat(F.lit("Supplier#"), F.lpad(F.floor(p / 2).cast("string"), 9, "0"))).when(k.isin(2, 3, 4), name)
+    edits = table(spark, sf, "part").select(op.alias("op"), p.cast("int").alias("seq"), term.alias("term"), F.when(k == 3, F.concat(F.lit("R"), p.cast("string"))).when(k == 4, F.lit(" 　")).otherwise(none).alias("rendering"), F.when(k == 5, name).when(k == 6, F.lit("\n ")).alias("text"))
     return brief.edited(held, edits)
 
 
