@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pack import Pack
+from ..sources.shared import keep
 from . import integrity, prompts
 from .context import ALONE, GIVEN, cues
 from .export import reader_name
@@ -122,6 +123,72 @@ def translated(blocks: DataFrame, lead: Engine, second: Engine | None, reviewer:
     return _told(b, pick, [c for c in blocks.columns if c not in ("context_reasons", "needed")], language)
 
 
+# --- in batches ------------------------------------------------------------------------------------------------------
+
+#: An engine that takes many texts at once: (id, text) pairs to (id, answer) pairs in any order, maybe not for all.
+BatchEngine = Callable[[list[tuple[int, str]]], list[tuple[int, str]]]
+
+
+def answers(texts: DataFrame, engine: BatchEngine, size: int = 64, characters: int = 20_000) -> DataFrame:
+    """asked, answer, error of the distinct texts of ``texts`` (asked): each is asked once, however many rows hold it.
+
+    A call gets up to ``size`` texts of up to ``characters`` in all (a longer text goes alone). Answers to no text are
+    left out, of several to one the first counts, and a text without one has an empty answer. Where a call fails, its texts
+    are asked one by one, and what fails then carries its own error. The answers are kept, so that a lost executor
+    costs no second question. Nulls are not asked.
+    """
+
+    def one(asked: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            got: dict[int, str] = {}
+            for n, said in engine(list(enumerate(asked))):
+                got.setdefault(n, said or "")
+            return [(got.get(n, ""), None) for n in range(len(asked))]
+        except Exception as e:  # noqa: BLE001  each text carries its own
+            if len(asked) == 1:
+                return [(None, str(e) or type(e).__name__)]
+            return [x for t in asked for x in one([t])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, room, out = [], 0, []
+            for t in b.column("asked").to_pylist():
+                if held and (len(held) >= size or room + len(t) > characters):
+                    out += zip(held, one(held), strict=True)
+                    held, room = [], 0
+                held.append(t)
+                room += len(t)
+            out += zip(held, one(held), strict=True) if held else ()
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in out], pa.string()) for f in (lambda x: x[0], lambda x: x[1][0], lambda x: x[1][1])], ["asked", "answer", "error"])
+
+    asked = texts.select("asked").where("asked is not null").distinct()
+    return keep(asked.mapInArrow(run, "asked string, answer string, error string"), "answers")
+
+
+def translated_in_batches(blocks: DataFrame, lead: BatchEngine, second: BatchEngine | None, pack: Pack, agreed: Column | None = None, glossary: Column | list | None = None, terms: Column | dict | None = None, language: str = "source language", size: int = 64) -> DataFrame:
+    """:func:`translated` by engines that take whole batches, each distinct prompt and text once over the table.
+
+    Blocks are (kind, text, settlement, reader, because, agreement). The leading engine gets the prompt of
+    :func:`quire.operators.prompts.translation_prompt`: the lines ``agreed`` that hold for a block (an array column), then
+    its text; the second the text alone. An answer that is missing is an empty draft; a text that fails has an error.
+    Answers meet their blocks by equality of the prompt; a text that very many blocks share makes a skewed join, which
+    adaptive execution splits. There is no review and no context, so nothing is asked twice.
+    """
+    none = F.lit(None).cast("string")
+    lines = agreed if agreed is not None else F.array().cast("array<string>")
+    rows = blocks.withColumn("copied", _copied(pack))
+    rows = rows.withColumns({"__asked": F.when(~F.col("copied"), prompts.translation_prompt(F.col("text"), F.coalesce("kind", F.lit("paragraph")), none, lines)), "__text": F.when(~F.col("copied"), F.col("text"))})
+    first = answers(rows.select(F.col("__asked").alias("asked")), lead, size).select(F.col("asked").alias("__asked"), F.col("answer").alias("__a_draft"), F.col("error").alias("error"))
+    rows = rows.drop("error").join(first, "__asked", "left")
+    if second is None:
+        rows = rows.withColumn("__a_second", none)
+    else:
+        other = answers(rows.select(F.col("__text").alias("asked")), second, size).where("error is null and answer <> ''")
+        rows = rows.join(other.select(F.col("asked").alias("__text"), F.col("answer").alias("__a_second")), "__text", "left")
+    rows = rows.withColumns({"__a_verdict": none, "retried_alone": F.lit(False), "context_reasons": F.array().cast("array<string>")})
+    return _told(_judged(rows, "__a", pack, glossary, terms, language), lambda k: F.col(f"__a_{k}"), [c for c in blocks.columns if c not in ("copied", "context_reasons")], language)
+
+
 # --- in order --------------------------------------------------------------------------------------------------------
 
 

@@ -550,6 +550,43 @@ def translated_in_order(spark, sf):
     return t.select("doc_id", "page", "ord", "copied", "shown", "context", F.array_join("context_reasons", "; ").alias("given"), "retried_alone", "error")
 
 
+def _batch_lead(asked: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Answers from the last to the first, leaves some out, and fails over a text of certain lengths, with its whole batch."""
+    out = []
+    for n, prompt in reversed(asked):
+        text = prompt.rpartition("Translate this text:\n")[2].rpartition("Translate this heading:\n")[2]
+        if len(text) % 13 == 0:
+            raise ValueError("engine down")
+        if len(text) % 11:
+            out.append((n, ("“ein” agreed " if prompt.startswith("For this text:") else "") + _BARE.sub("X", text).upper()))
+    return out
+
+
+def _batch_second(asked: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    return [(n, "zzz" if len(t) % 3 == 0 else _BARE.sub("X", t).upper()) for n, t in asked if len(t) % 17]
+
+
+_BATCHED = rf"""{BLOCKS}, given as (select *, length(text) as n, kind = 'pageFurniture' or not regexp_matches(text, '[À-ÿ]') as copied, upper(regexp_replace(text, '[À-ÿ]', 'X', 'g')) as plain from blocks),
+drafted as (select *, not copied and n % 13 = 0 as failed, case when copied then text when n % 13 = 0 or n % 11 = 0 then '' else case when contains(text, 'ein') then '“ein” agreed ' else '' end || plain end as draft, case when copied or n % 13 = 0 or n % 17 = 0 then null when n % 3 = 0 then 'zzz' else plain end as other from given),
+measured as (select *, regexp_replace(left(trim(text), 2000), '[^ -~]', '?', 'g') as a, regexp_replace(left(trim(draft), 2000), '[^ -~]', '?', 'g') as b, string_split(regexp_replace(trim(draft), '\s+', ' ', 'g'), ' ') as w,
+  case when other is null then null when draft = '' or length(draft) > 40 then draft = '' or other = 'zzz' else 1 - levenshtein(regexp_replace(draft, '[^ -~]', '?', 'g'), other) / greatest(length(draft), length(other))::double < 0.45 end as unlike from drafted),
+found as (select *, case when copied then [] when failed or draft = '' then ['emptyTranslation:3'] else (case when abs(length(a) - length(b)) > greatest(length(a), length(b)) / 10 then [] when 1 - levenshtein(a, b) / greatest(1, greatest(length(a), length(b)))::double > 0.9 then ['echoedSource:3'] else [] end)
+  || (case when len(w) >= 8 and coalesce({', '.join(map(_said, range(1, 5)))}) is not null then ['repeatedRun:3'] else [] end) end as found from measured),
+scored as (select *, case when copied then 1.0::double when failed then 0.0::double else round(greatest(0.0::double, least(case when len(found) > 0 then 0.35::double else 1.0::double end, 1.0::double - 0.2::double - case when unlike is null then 0.05::double when unlike then 0.2::double else 0.0::double end - 0.2::double - len(found) * 0.4::double)), 6) end as score from found)"""
+
+
+@_query(f"""with {_BATCHED} select doc_id, page, ord, copied, draft as shown, array_to_string(found, ',') as findings, score, case when failed then 'engine down' end as error, case when copied then case when kind = 'pageFurniture' then 'Page furniture, kept as printed' else 'No source language in it, kept as printed' end
+  when failed then 'engine down' else concat_ws('; ', 'Only Recognizer read this', case when unlike is null then 'One translator only' when unlike then 'Two translators differ widely' end, 'Not reviewed', case when draft = '' then 'A block that has text came back empty.' when contains(array_to_string(found, ','), 'echoed') then 'The English repeats the source language text.' end, case when contains(array_to_string(found, ','), 'repeated') then 'One phrase is said again and again.' end) end as reasons from scored""")
+def translated_batches(spark, sf):
+    """Blocks translated by engines that take whole batches, with agreed terms, a second opinion and reasons."""
+    none = F.lit(None).cast("string")
+    b = blocks(spark, sf).select("doc_id", "page", "ord", "kind", "text", F.lit("single").alias("settlement"), F.lit("visionOCR").alias("reader"), none.alias("because"), F.lit(None).cast("double").alias("agreement"))
+    agreed = F.when(F.contains("text", F.lit("ein")), F.array(F.lit("“ein” is “a”."))).otherwise(F.array().cast("array<string>"))
+    t = translate.translated_in_batches(b, _batch_lead, _batch_second, DIACRITIC, agreed)
+    tags = F.transform("findings", lambda f: F.concat(f.kind, F.lit(":"), f.severity.cast("string")))
+    return t.select("doc_id", "page", "ord", "copied", "shown", F.array_join(tags, ",").alias("findings"), F.round("score", 6).alias("score"), "error", F.array_join("reasons", "; ").alias("reasons"))
+
+
 # --- exports, search, ledger, catalogue, geometry --------------------------------------------------------------------
 
 

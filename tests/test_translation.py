@@ -80,3 +80,28 @@ def test_failures_nulls_and_long_documents(spark):
 def test_revisions_read_alike(spark, answer):
     want = spark.range(1).select(profile.parsed_verdict(F.lit(answer))["revision"]).first()[0]
     assert profile.revision_of(answer) == want
+
+
+def test_batches(spark):
+    """Each text is asked once, in batches; missing answers are empty, a failing batch is asked one by one."""
+    texts = [f"Zeile für {i}" for i in range(30)] + ["fällt aus", "ohne Antwört", None, "no letters of it"]
+    rows = [("d", 0, i, "heading" if i % 3 == 0 else "paragraph", texts[i % len(texts)]) for i in range(5 * len(texts))]
+
+    def lead(asked):
+        assert len(asked) <= 8 and len({t for _, t in asked}) == len(asked)
+        if any("fällt aus" in t for _, t in asked):
+            raise ValueError("engine down")
+        return [(99, "lost")] + [(n, t.rpartition("\n")[2].upper()) for n, t in reversed(asked) if "ohne" not in t] + [(0, "too late")] * ("ohne" not in asked[0][1])
+
+    got = told(translate.translated_in_batches(frame(spark, rows).withColumns({"error": F.lit("clash"), "answer": F.lit("clash")}), lead, lambda asked: [(n, "x") for n, t in asked if "3" in t], DIACRITIC, size=8))
+    assert len(got) == len(rows)
+    for r, (_, _, _, _, t) in zip(got, rows, strict=True):
+        if t in (None, "no letters of it"):
+            assert r["copied"] and r["shown"] == (t or "")
+        elif t == "fällt aus":
+            assert (r["error"], r["score"], r["shown"]) == ("engine down", 0.0, "")
+        elif t == "ohne Antwört":
+            assert (r["error"], r["shown"], [f["kind"] for f in r["findings"]]) == (None, "", ["emptyTranslation"])
+        else:
+            assert r["shown"] == t.upper() and ("Two translators differ widely" in r["reasons"]) == ("3" in t)
+    assert translate.translated_in_batches(frame(spark, rows[:1]).limit(0), lead, None, DIACRITIC).count() == 0
