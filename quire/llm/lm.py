@@ -27,12 +27,12 @@ CLASSES, ENDINGS = 256, 64
 WORDS = CLASSES - ENDINGS - 1
 #: Width of the network; passes over the counted windows; contexts a step; steps that a small corpus gets at least.
 DIM, EPOCHS, STEP, RATE, LEAST_STEPS = 24, 12, 1024, 0.01, 600
-#: Distinct words that a task counts before it hands them on; words of a text that are scored at once.
-COUNTED, SLICE = 400_000, 1 << 20
+#: Distinct words that a task counts before it hands them on, and whose classes it remembers; words that are scored at once.
+COUNTED, REMEMBERED, SLICE = 400_000, 150_000, 1 << 20
 #: Words whose spelling is worked out at once.
 SPELLED = 1 << 15
 #: What each counted word gives up to words that are not counted; words of a block of rows, and rows' entries.
-DISCOUNT, BLOCK_WORDS, BLOCK_ENTRIES = 0.5, 1 << 19, 1 << 22
+DISCOUNT, BLOCK_WORDS, BLOCK_ENTRIES = 0.5, 1 << 18, 1 << 21
 _BLOCK = "block long, doc_id array<long>, n array<long>, total array<double>, words array<long>, classes binary, spelled binary, size binary, at binary, times binary"
 
 
@@ -48,7 +48,7 @@ class Vocabulary(dict):
         self.fixed = len(self)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > self.fixed + COUNTED:
+        if len(self) > self.fixed + REMEMBERED:
             for w in list(self)[self.fixed :]:
                 del self[w]
         h = 0
