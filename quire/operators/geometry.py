@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Mapping
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +118,79 @@ def drawable(source: Column, target: Column, x: Column, y: Column, w: Column, h:
     text = T.trimmed(F.coalesce(target, F.lit("")))
     whole = (x == 0) & (y == 0) & (w == 1) & (h == 1)
     return (text != "") & (text != source) & ~whole & (w * width > 4) & (h * height > 4)
+
+
+# --- setting the type ------------------------------------------------------------------------------------------------
+
+#: The largest size, and how a size that is too large is reduced: by a share of it, at least by a step.
+LARGEST, SHRINK, STEP = 72.0, 0.08, 0.5
+#: A stand-in font: the height of a line in sizes, and widths of characters in eighths of a size, the first that lists
+#: it; Latin letters in capitals and characters from WIDE on have their own, all others are half a size wide.
+LINE = 1.125
+WIDTHS = {" .,;:!|'ijl": 2, "mwMW": 7}
+CAPITAL, OTHER, WIDE, WIDE_FROM = 5, 4, 8, 0x2E80
+
+
+def char_width(c: str, widths: Mapping[str, int] = WIDTHS) -> int:
+    """Eighths of a size that a character takes."""
+    return next((n for cs, n in widths.items() if c in cs), WIDE if ord(c) >= WIDE_FROM else CAPITAL if "A" <= c <= "Z" else OTHER)
+
+
+class Setter:
+    """A text's words and prefix sums of its characters' widths: lines of any width are found by search."""
+
+    def __init__(self, text: str, widths: Mapping[str, int] = WIDTHS):
+        held: dict[str, int] = {}
+        self.at = np.concatenate([[0], np.cumsum([held.setdefault(c, char_width(c, widths)) for c in text])]).astype(np.int64).tolist() if text else [0]
+        # where a line may end: before each run of blanks; and where the next one then begins: after it
+        self.ends, self.begins, i, n = [], [], 0, len(text)
+        while i < n:
+            if text[i] == " ":
+                j = i
+                while j < n and text[j] == " ":
+                    j += 1
+                self.ends.append(i)
+                self.begins.append(j)
+                i = j
+            else:
+                i += 1
+        self.ends.append(n)
+        self.begins.append(n)
+
+    def lines(self, width: float) -> int:
+        """Lines of a text set in ``width`` eighths of a size. Blanks at a break vanish; a longer word is broken anywhere,
+        with one character a line at least."""
+        at, n, count, i = self.at, self.ends[-1], 0, 0
+        while i < n:
+            count += 1
+            reach = bisect_right(at, at[i] + width) - 1  # the last place that the line may reach
+            if reach >= n:
+                break
+            k = bisect_right(self.ends, reach) - 1
+            i = self.begins[k] if k >= 0 and self.ends[k] > i else max(reach, i + 1)
+        return max(count, 1)
+
+
+def fitted(setter: Setter, size: float, width: float, available: float, line: float = LINE) -> tuple[float, int]:
+    """The largest size from ``size`` down, by steps of 8 % (half a point at least), at which the lines fit; and their
+    number. The least size is taken as it is."""
+    size = max(LEAST_SIZE, min(LARGEST, size))
+    while True:
+        n = setter.lines(width * 8 / size)
+        if size <= LEAST_SIZE or n * size * line <= available:
+            return size, n
+        size = max(LEAST_SIZE, size - max(STEP, size * SHRINK))
+
+
+def refit(text: Column, size: Column, width: Column, height: Column, room: Column, widths: Mapping[str, int] = WIDTHS) -> Column:
+    """struct(size, n_lines): how a text is set in a space ``width`` wide, ``height`` high, with ``room`` free below it.
+
+    ``size`` is that of its run (see :func:`type_sizes`). White space is one blank; null and blank texts are one line of
+    their run's size; sizes stay from 6.5 to 72.
+    """
+
+    @F.pandas_udf("struct<size:double,n_lines:int>")
+    def run(t: pd.Series, s: pd.Series, w: pd.Series, a: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fitted(Setter(" ".join((x or "").split()), widths), *v) for x, *v in zip(t, s, w, a, strict=True)], columns=["size", "n_lines"])
+
+    return run(text, size.cast("double"), width.cast("double"), (height + F.greatest(F.lit(0.0), room)).cast("double"))

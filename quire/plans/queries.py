@@ -978,24 +978,51 @@ def _drawn(spark, sf) -> DataFrame:
     return lines(spark, sf).where(~T.blank(F.col("text"))).withColumns({"ord": F.col("line_no"), "kind": kind, "n_lines": F.col("line_no") % 3})
 
 
-@_query(f"""with {LINES}, {_RECTS}, c as (select *, not shares and rgt > lft and abs(mid - (lft + rgt) / 2) < (rgt - lft) * 0.06::double and x1 - x0 < (rgt - lft) * 0.8::double as centred, least(mid - fro, to_ - mid) as half from m),
+_SPACED = """c as (select *, not shares and rgt > lft and abs(mid - (lft + rgt) / 2) < (rgt - lft) * 0.06::double and x1 - x0 < (rgt - lft) * 0.8::double as centred, least(mid - fro, to_ - mid) as half from m),
 s as (select *, case when centred then mid - half else x0 end as sx, case when centred then half * 2 else to_ - x0 end as sw from c),
-f as (select a.doc_id, a.page, a.line_no, max(b.y1) as floor from s a join s b on b.doc_id = a.doc_id and b.page = a.page and b.line_no <> a.line_no and b.x0 < a.sx + a.sw and b.x1 > a.sx and b.y1 <= a.y0 + (a.y1 - a.y0) / 2 group by a.doc_id, a.page, a.line_no)
-select s.doc_id, s.page, s.line_no as ord, shares as shares_lines, centred, round(sx, 4) as space_x, round(sw, 4) as space_w, round(least(greatest(0.0::double, coalesce(floor, 0.0::double)), y0), 4) as room_below from s left join f on f.doc_id = s.doc_id and f.page = s.page and f.line_no = s.line_no""")
+f as (select a.doc_id, a.page, a.line_no, max(b.y1) as floor from s a join s b on b.doc_id = a.doc_id and b.page = a.page and b.line_no <> a.line_no and b.x0 < a.sx + a.sw and b.x1 > a.sx and b.y1 <= a.y0 + (a.y1 - a.y0) / 2 group by a.doc_id, a.page, a.line_no),
+spaced as (select s.doc_id, s.page, s.line_no as ord, shares as shares_lines, centred, round(sx, 4) as space_x, round(sw, 4) as space_w, round(least(greatest(0.0::double, coalesce(floor, 0.0::double)), y0), 4) as room_below from s left join f on f.doc_id = s.doc_id and f.page = s.page and f.line_no = s.line_no)"""
+
+
+@_query(f"with {LINES}, {_RECTS}, {_SPACED} select * from spaced")
 def free_space(spark, sf):
     g = geometry.free_space(_drawn(spark, sf), 600.0, 800.0)
     return g.select("doc_id", "page", "ord", "shares_lines", "centred", *[F.round(c, 4).alias(c) for c in ("space_x", "space_w", "room_below")])
 
 
-@_query(f"""with {LINES}, {_RECTS}, own as (select *, (y1 - y0) / ((greatest(line_no % 3, 1) - 1) * 1.45::double + 1.12::double) as own, kind = 'heading' and not shares as heading from m),
+_SIZED = """own as (select *, (y1 - y0) / ((greatest(line_no % 3, 1) - 1) * 1.45::double + 1.12::double) as own, kind = 'heading' and not shares as heading from m),
 body as (select doc_id, page, coalesce(list_sort(list(own) filter (not heading))[count(*) filter (not heading) // 2 + 1], list_sort(list(own))[count(*) // 2 + 1]) as body from own group by doc_id, page),
 marked as (select *, case when own <= lag(own) over w * 1.25::double then 0 else 1 end as starts from own window w as (partition by doc_id, page, heading order by own, line_no)), numbered as (select *, sum(starts) over (partition by doc_id, page, heading order by own, line_no) as run from marked),
-runs as (select doc_id, page, heading, run, list_sort(list(own))[count(*) // 2 + 1] as size from numbered group by doc_id, page, heading, run)
-select n.doc_id, n.page, n.line_no as ord, n.heading, round(greatest(6.5::double, case when n.heading then size else least(size, body * 1.4::double) end), 4) as size from numbered n join runs r on r.doc_id = n.doc_id and r.page = n.page and r.heading = n.heading and r.run = n.run join body b on b.doc_id = n.doc_id and b.page = n.page""")
+runs as (select doc_id, page, heading, run, list_sort(list(own))[count(*) // 2 + 1] as size from numbered group by doc_id, page, heading, run),
+sized as (select n.doc_id, n.page, n.line_no as ord, n.heading, round(greatest(6.5::double, case when n.heading then size else least(size, body * 1.4::double) end), 4) as size from numbered n join runs r on r.doc_id = n.doc_id and r.page = n.page and r.heading = n.heading and r.run = n.run join body b on b.doc_id = n.doc_id and b.page = n.page)"""
+
+
+@_query(f"with {LINES}, {_RECTS}, {_SIZED} select * from sized")
 def type_sizes(spark, sf):
     return geometry.type_sizes(_drawn(spark, sf), 600.0, 800.0).select("doc_id", "page", "ord", "heading", F.round("size", 4).alias("size"))
 
 
+_WIDTH = "case when contains(' .,;:!|''ijl', {0}) then 2 when contains('mwMW', {0}) then 7 when unicode({0}) >= 11904 then 8 when {0} between 'A' and 'Z' then 5 else 4 end"
+#: Lines of words in a width: each word goes on the line, begins one, or is broken by characters if it is wider.
+_LINES_OF = r"""list_reduce(list_prepend({{l: 1::bigint, x: 0::bigint, wide: []::bigint[]}}, words), lambda a, w: case when a.x > 0 and a.x + 2 + w.x <= {0} then {{l: a.l, x: a.x + 2 + w.x, wide: []::bigint[]}} when w.x <= {0} then {{l: a.l + case when a.x > 0 then 1 else 0 end, x: w.x, wide: []::bigint[]}}
+  else list_reduce(list_prepend({{l: a.l + case when a.x > 0 then 1 else 0 end, x: 0::bigint, wide: []::bigint[]}}, list_transform(w.wide, lambda c: {{l: 1::bigint, x: c, wide: []::bigint[]}})), lambda b, c: case when b.x = 0 or b.x + c.x <= {0} then {{l: b.l, x: b.x + c.x, wide: []::bigint[]}} else {{l: b.l + 1, x: c.x, wide: []::bigint[]}} end) end).l"""
+
+
+@_query(f"""with recursive {LINES}, {_RECTS}, {_SPACED}, {_SIZED}, given as (select s.doc_id, s.page, s.ord, least(72.0::double, greatest(6.5::double, size)) as size, space_w, k.h * 800 + greatest(0.0::double, round((1 - (k.y + k.h)) * 800, 4) - room_below) as available, list_filter(string_split(regexp_replace(trim(k.text), '\\s+', ' ', 'g'), ' '), lambda w: w <> '') as parts
+  from spaced s join sized z on z.doc_id = s.doc_id and z.page = s.page and z.ord = s.ord join kept k on k.doc_id = s.doc_id and k.page = s.page and k.line_no = s.ord),
+w as (select doc_id, page, ord, size, space_w, available, list_transform(parts, lambda p: {{l: 1::bigint, x: list_sum(list_transform(string_split(p, ''), lambda c: {_WIDTH.format('c')}))::bigint, wide: list_transform(string_split(p, ''), lambda c: ({_WIDTH.format('c')})::bigint)}}) as words from given),
+tries as (select doc_id, page, ord, size as p, {_LINES_OF.format('space_w * 8 / size')} as n, space_w, available, words from w
+  union all select doc_id, page, ord, q, {_LINES_OF.format('space_w * 8 / q')}, space_w, available, words from (select *, greatest(6.5::double, p - greatest(0.5::double, p * 0.08::double)) as q from tries where p > 6.5 and n * p * 1.125::double > available))
+select doc_id, page, ord, round(arg_min(p, p), 4) as size, arg_min(n, p)::int as n_lines from tries group by doc_id, page, ord""")
+def refit_sizes(spark, sf):
+    """The size that each block's text is set in so that it fits its free space and the room below, and its lines."""
+    drawn, at = _drawn(spark, sf), ["doc_id", "page", "ord"]
+    space = geometry.free_space(drawn, 600.0, 800.0).select(*at, F.round("space_w", 4).alias("space_w"), F.round("room_below", 4).alias("room_below"))
+    size = geometry.type_sizes(drawn, 600.0, 800.0).select(*at, F.round("size", 4).alias("size"))
+    b = drawn.select(*at, "text", (F.col("h") * 800).alias("high"), F.round((1 - (F.col("y") + F.col("h"))) * 800, 4).alias("bottom")).join(space, at).join(size, at)
+    return b.select(*at, geometry.refit(F.col("text"), F.col("size"), F.col("space_w"), F.col("high"), F.col("bottom") - F.col("room_below")).alias("r")).select(*at, F.round("r.size", 4).alias("size"), "r.n_lines")
+
+
 @_query(f"with {LINES} select doc_id, page, line_no as ord, trim(text) <> '' and line_no % 3 <> 1 and not (line_no % 5 = 2) and w * 50 > 4 and h * 100 > 4 as drawn from lines")
 def drawable_blocks(spark, sf):
     l, whole = lines(spark, sf), F.col("line_no") % 5 == 2  # noqa: E741
