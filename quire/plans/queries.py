@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import romanize
 from ..functions import text as T
 from ..functions.pack import CHINESE, DIACRITIC
-from ..operators import brief, catalogue, context, export, geometry, integrity, layout, profile, prompts, reconcile, repeats, translate
+from ..operators import brief, catalogue, colours, context, export, geometry, integrity, layout, profile, prompts, reconcile, repeats, translate
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import ledger
@@ -1031,6 +1031,27 @@ def drawable_blocks(spark, sf):
     return l.select("doc_id", "page", F.col("line_no").alias("ord"), geometry.drawable(T.trimmed(F.col("text")), target, *box, 50.0, 100.0).alias("drawn"))
 
 
+_COLOURS = """i as (select page_id, hex(encode(html)) as image, strlen(html) // 192 as high from pages), b as (select page_id, half, image, high, half * 32 as x0, least(1.0::double, 96 / greatest(32, high)::double) as scale from i, range(0, 2) r(half)),
+t as (select *, greatest(1, floor(32 * scale))::int as tw, greatest(1, floor(high * scale))::int as th from b where high >= 2),
+g as (select page_id, half, image, x0 + ((2 * i + 1) * 32) // (2 * tw) as x, ((2 * j + 1) * high) // (2 * th) as y from t, lateral (select unnest(range(tw)) as i), lateral (select unnest(range(th)) as j)),
+px as (select page_id, half, ('0x' || substring(image, (y * 64 + x) * 6 + 1, 2))::int as r, ('0x' || substring(image, (y * 64 + x) * 6 + 3, 2))::int as g, ('0x' || substring(image, (y * 64 + x) * 6 + 5, 2))::int as b from g),
+h as (select page_id, half, (r >> 3 << 10) | (g >> 3 << 5) | (b >> 3) as key, count(*) as n, sum(r)::double as r, sum(g)::double as g, sum(b)::double as b from px group by 1, 2, 3),
+top as (select page_id, half, key as top, r / n / 255 as pr, g / n / 255 as pg, b / n / 255 as pb from h qualify row_number() over (partition by page_id, half order by n desc, key) = 1),
+d as (select h.*, pr, pg, pb, sqrt((power(r / n / 255 - pr, 2) + power(g / n / 255 - pg, 2) + power(b / n / 255 - pb, 2)) / 3) as far from h join top using (page_id, half)),
+k as (select *, sum(n) over (partition by page_id, half order by far desc, key rows between unbounded preceding and current row) as held, sum(n) over (partition by page_id, half) as pool from d where far > 0.12),
+ink as (select page_id, half, sum(r) / sum(n) / 255 as r, sum(g) / sum(n) / 255 as g, sum(b) / sum(n) / 255 as b from k where held - n < greatest(1, pool // 4) group by page_id, half)"""
+
+
+@_query(f"""with {_COLOURS}, dark as (select *, case when 0.2126 * pr + 0.7152 * pg + 0.0722 * pb > 0.5 then 0.0::double else 1.0::double end as other from top)
+select b.page_id, b.half::int as half, round(coalesce(pr, 1) * 255, 3) as paper_r, round(coalesce(pg, 1) * 255, 3) as paper_g, round(coalesce(pb, 1) * 255, 3) as paper_b, round(coalesce(ink.r, other, 0) * 255, 3) as ink_r, round(coalesce(ink.g, other, 0) * 255, 3) as ink_g, round(coalesce(ink.b, other, 0) * 255, 3) as ink_b
+from b left join dark using (page_id, half) left join ink using (page_id, half)""")
+def page_colours(spark, sf):
+    """Paper and ink of the left and the right half of each page, its bytes being the pixels of an image 64 wide."""
+    p = table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("image"), F.floor(F.octet_length("html") / 192).cast("int").alias("high"), F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    c = colours.sample(F.col("image"), F.lit(64), F.col("high"), F.col("half") * 32, F.lit(0), F.col("half") * 32 + 32, F.col("high"))
+    return p.select("page_id", "half", c.alias("c")).select("page_id", "half", *[F.round(F.col(f"c.{k}")[i] * 255, 3).alias(f"{k}_{n}") for k in ("paper", "ink") for i, n in enumerate("rgb")])
+
+
 @_query("select p_partkey as id, round(least(300 / 72.0::double, 300 / 72.0::double * sqrt(40e6::double / ((p_size * 40) * (p_retailprice) * (300 / 72.0::double) * (300 / 72.0::double)))), 9) as scale, round(10 / (p_size + 20.0::double), 9) as x, round(1 - (5 + p_size) / 100.0::double, 9) as y, round(p_size / (p_size + 20.0::double), 9) as w, round(p_size / 100.0::double, 9) as h from part")
 def page_boxes(spark, sf):
     """How large pages are rendered, and boxes from the bottom left as shares from the top left."""
