@@ -7,6 +7,7 @@ translations are made from the rows by arithmetic, and Latin letters with diacri
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from ..functions import romanize
 from ..functions import text as T
 from ..functions.pack import CHINESE, DIACRITIC
 from ..operators import brief, catalogue, colours, context, export, geometry, integrity, layout, profile, prompts, reconcile, repeats, translate
-from ..sources import tables
+from ..sources import exports, shared, tables
 from ..sources.tables import table
 from ..streaming import ledger
 
@@ -595,6 +596,16 @@ def plain_text_export(spark, sf):
     return export.plain_text(blocks(spark, sf))
 
 
+@_query(f"""with {BLOCKS}, k as (select doc_id, page, ord, kind, trim(text) as t from blocks where kind <> 'pageFurniture'), b as (select doc_id, string_agg(case when kind = 'listItem' and not starts_with(t, '•') then '• ' || t else t end, chr(10) || chr(10) order by page, ord) || chr(10) as body from k group by doc_id)
+select doc_id::varchar as doc_id, 'doc ' || doc_id || '-en.txt' as name, strlen(body) as bytes, md5(body) as md5 from b""")
+def exported_files(spark, sf):
+    """Plain-text exports written as files, a named one for each document, and read back with how each came out."""
+    path = f"{shared.shared_dir(spark)}/quire/exports-{uuid.uuid4().hex}"
+    bodies = export.plain_text(blocks(spark, sf)).select("doc_id", export.file_name(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".pdf")), "plainText").alias("name"), "body")
+    exports.write(bodies, path)
+    return exports.read(spark, path).join(exports.outcomes(spark, path).where("error is null"), ["doc_id", "name"]).select("doc_id", "name", "bytes", F.md5("body").alias("md5"))
+
+
 def _styled_blocks(spark, sf) -> DataFrame:
     """Blocks with all that an export shows of them, by arithmetic of their place."""
     o, none = F.col("ord"), F.array().cast("array<string>")
