@@ -177,16 +177,20 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def _common(a: Column, b: Column, n: Column) -> Column:
+    """Characters of the longest beginning that two texts share, ``n`` at most: by halves, each comparing two beginnings."""
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda at, step: F.when(step > n - at, at).when(F.left(a, at + step) == F.left(b, at + step), at + step).otherwise(at))
+
+
 def differing(a: Column, b: Column) -> Column:
     """What is left of two texts without their common beginning and end."""
+
+    def of(n: Column, head: Column, tail: Column) -> Column:
+        end = F.least(tail, n - head)
+        return F.struct(F.substring(a, head + 1, F.char_length(a) - head - end).alias("left"), F.substring(b, head + 1, F.char_length(b) - head - end).alias("right"))
+
     n = F.least(F.char_length(a), F.char_length(b))
-    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    head = F.coalesce(F.try_element_at(F.filter(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), F.lit(1)) - 1, n)
-    head = F.when(n == 0, 0).otherwise(head)
-    ra, rb = F.reverse(a), F.reverse(b)
-    tail = F.coalesce(F.try_element_at(F.filter(places, lambda i: F.substring(ra, i, F.lit(1)) != F.substring(rb, i, F.lit(1))), F.lit(1)) - 1, n)
-    tail = F.least(F.when(n == 0, 0).otherwise(tail), n - head)
-    return F.struct(F.substring(a, head + 1, F.char_length(a) - head - tail).alias("left"), F.substring(b, head + 1, F.char_length(b) - head - tail).alias("right"))
+    return let(of, n=n, head=_common(a, b, n), tail=_common(F.reverse(a), F.reverse(b), n))
 
 
 def quoted_difference(a: Column, b: Column) -> Column:

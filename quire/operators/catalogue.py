@@ -29,7 +29,7 @@ def admitted(models: DataFrame, machines: DataFrame, disk: bool = True) -> DataF
 
     Machines are (machine_id, silicon, memory, disk) and, where another model is held as well, holding: its working
     set. Without ``disk`` only memory counts. Models meet machines by the power of two of their size: a machine needs
-    the models of its own limit's class, by an equi-join, and one of each smaller class, of which there are 64 at most.
+    the models of its own limit's class, by an equi-join, and the largest of all smaller classes, of which there are 64 at most: a running maximum over classes.
     """
     holding = F.coalesce("holding", F.lit(0.0)) if "holding" in machines.columns else F.lit(0.0)
     m = machines.select("machine_id", "silicon", "memory", "disk", holding.alias("holding"))
@@ -41,8 +41,10 @@ def admitted(models: DataFrame, machines: DataFrame, disk: bool = True) -> DataF
     fits = fits & (F.col("weights") + SPARE <= F.col("disk")) if disk else fits
     known = models.where("weights >= 1").select("model_id", F.col("weights").cast("double").alias("weights")).withColumn("class", of(F.col("weights")))
     near = m.select("machine_id", "memory", "disk", "holding", F.explode(F.array(F.col("top"), F.col("top") + 1)).alias("class")).join(known, "class").where(fits)
-    best = known.groupBy("class").agg(F.min(F.struct((-F.col("weights")).alias("down"), "model_id")).alias("b")).select(F.col("class").alias("below"), F.col("b.down").alias("down"), F.col("b.model_id").alias("model_id"))
-    far = m.select("machine_id", "top").join(best, F.col("below") < F.col("top")).select("machine_id", "down", "model_id")
+    best = known.groupBy("class").agg(F.min(F.struct((-F.col("weights")).alias("down"), "model_id")).alias("b"))
+    # a machine of class n takes the best of the classes under n: each class says so to all above it up to 1100, doubles' last
+    smaller = best.select(F.col("b"), F.explode(F.sequence(F.col("class") + 1, F.lit(1100))).alias("top")).groupBy("top").agg(F.min("b").alias("b"))
+    far = m.select("machine_id", "top").join(smaller, "top").select("machine_id", "b.down", "b.model_id")
     all_ = near.select("machine_id", (-F.col("weights")).alias("down"), "model_id").unionByName(far)
     found = all_.groupBy("machine_id").agg(F.min(F.struct("down", "model_id")).alias("b")).select("machine_id", F.col("b.model_id").alias("model_id"))
     return machines.select("machine_id").join(found, "machine_id", "left")

@@ -167,7 +167,12 @@ class Setter:
             if reach >= n:
                 break
             k = bisect_right(self.ends, reach) - 1
-            i = self.begins[k] if k >= 0 and self.ends[k] > i else max(reach, i + 1)
+            if k >= 0 and self.ends[k] > i:
+                i = self.begins[k]
+            else:  # a word wider than the line; where it ends with the line, so do the blanks after it
+                i = max(reach, i + 1)
+                k = bisect_right(self.ends, i) - 1
+                i = self.begins[k] if k >= 0 and self.ends[k] == i else i
         return max(count, 1)
 
 

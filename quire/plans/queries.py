@@ -10,6 +10,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from ..functions import romanize
 from ..functions import text as T
 from ..functions.pack import CHINESE, DIACRITIC
 from ..operators import brief, catalogue, colours, context, export, geometry, integrity, layout, profile, prompts, reconcile, repeats, translate
-from ..sources import exports, shared, tables
+from ..sources import exports, pdf, shared, tables
 from ..sources.tables import table
 from ..streaming import ledger
 
@@ -1063,6 +1064,21 @@ def page_colours(spark, sf):
     return p.select("page_id", "half", c.alias("c")).select("page_id", "half", *[F.round(F.col(f"c.{k}")[i] * 255, 3).alias(f"{k}_{n}") for k in ("paper", "ink") for i, n in enumerate("rgb")])
 
 
+@_query("""with f as (select doc_id, len(string_split(text, chr(10))) % 97 + doc_id % 7 as n_pages, (doc_id % 4 * 90)::int as turned from documents), p as (select *, unnest(range(n_pages)) as page from f)
+select doc_id, page::int as page, n_pages::int as n_pages, case when page % 5 = 0 then 500.0 else 600.0 end::double as width, (700 + doc_id % 3 * 50)::double as height, case when page // 5 % 2 = 1 then turned else 0 end as rotation from p""")
+def pdf_pages(spark, sf):
+    """Pages of files made from documents, plain or compressed, broken at their end or not, by their number."""
+    n = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", (F.size(F.split("text", "\n")) % 97 + n % 7).cast("int").alias("n"), (n % 2 == 0).alias("packed"), (n % 4 * 90).cast("int").alias("turned"), (700 + n % 3 * 50).cast("int").alias("high"), (n % 5 == 1).alias("cut"))
+
+    @F.pandas_udf("binary")
+    def file(n: pd.Series, packed: pd.Series, turned: pd.Series, high: pd.Series, cut: pd.Series) -> pd.Series:
+        whole = (pdf.made(int(a), bool(b), int(c), 600, int(h)) for a, b, c, h in zip(n, packed, turned, high, strict=True))
+        return pd.Series([x[: x.rindex(b"startxref")] if k else x for x, k in zip(whole, cut, strict=True)])
+
+    return pdf.pages(d.select("doc_id", file("n", "packed", "turned", "high", "cut").alias("content")), "doc_id")
+
+
 @_query("select p_partkey as id, round(least(300 / 72.0::double, 300 / 72.0::double * sqrt(40e6::double / ((p_size * 40) * (p_retailprice) * (300 / 72.0::double) * (300 / 72.0::double)))), 9) as scale, round(10 / (p_size + 20.0::double), 9) as x, round(1 - (5 + p_size) / 100.0::double, 9) as y, round(p_size / (p_size + 20.0::double), 9) as w, round(p_size / 100.0::double, 9) as h from part")
 def page_boxes(spark, sf):
     """How large pages are rendered, and boxes from the bottom left as shares from the top left."""

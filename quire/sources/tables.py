@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 _KINDS = {"pdf": ("pdf",), "image": ("png", "jpg", "jpeg", "tif", "tiff", "heic")}
 
 
@@ -20,15 +22,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def opened(files_: DataFrame) -> DataFrame:
-    """path, kind, n_pages, error of :func:`files`: an image is a page, a PDF has as many as page objects stand in it.
+    """path, kind, n_pages, error of :func:`files`: an image is a page, a PDF has those of its page tree, compressed or not.
 
-    Pages are counted in the bytes, so those of a PDF that keeps its objects compressed are not found; a document
-    without pages, like one of another kind, is an error and has none.
+    A document without pages, like one of another kind, is an error and has none.
     """
-    found = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"))
-    n = F.when(F.col("kind") == "image", 1).when(F.col("kind") == "pdf", found).otherwise(0)
-    error = F.coalesce("error", F.when(n == 0, "no pages"))
-    return files_.select("path", "kind", n.cast("int").alias("n_pages"), error.alias("error"))
+    read = files_.withColumn("pdf", pdf.page_boxes(F.when(F.col("kind") == "pdf", F.col("content"))))
+    n = F.when(F.col("kind") == "image", 1).when(F.col("kind") == "pdf", F.size("pdf.pages")).otherwise(0)
+    error = F.coalesce("error", F.when(F.col("kind") == "pdf", F.col("pdf.error")))
+    return read.select("path", "kind", n.cast("int").alias("n_pages"), error.alias("error"))
 
 
 def image_pages(opened_: DataFrame) -> DataFrame:
