@@ -118,6 +118,22 @@ ENTRIES = """entries as (select user_id % 50 as scope, ts as "at", event_id as s
   length(props) as bytes_sent, floor(value)::bigint as bytes_received from events)"""
 
 
+def _sentences_sql(name: str, source: str, keys: str) -> str:
+    """CTEs over ``source`` (keys, text): name_ends (keys, e: where its sentences end) and name (keys, ord, start, sentence).
+
+    A run of stops and closers ends a sentence where white space or nothing follows it, no figure comes next, and one of
+    its stops holds: all but a point after a figure or an abbreviation.
+    """
+    k = ", ".join(f"t.{x}" for x in keys.split(", "))
+    on = " and ".join(f"b.{x} = a.{x}" for x in keys.split(", "))
+    return rf"""{name}_tok as (select {keys}, text, tok, sum(length(tok)) over (partition by {keys} order by i) as e from (select {keys}, text, unnest(parts) as tok, generate_subscripts(parts, 1) as i from (select {keys}, text, regexp_extract_all(text, '[.!?"'')\]]+|[^.!?"'')\]]+') as parts from {source}))),
+{name}_runs as (select *, regexp_extract(substring(text, 1, (e - length(tok))::bigint), '[.\p{{L}}\p{{N}}]*$') as stem from {name}_tok where regexp_matches(tok, '^[.!?"'')\]]') and regexp_matches(tok, '[.!?]')),
+{name}_ends as (select {keys}, text, e::int as e from {name}_runs where (e = length(text) or regexp_matches(substring(text, e::bigint + 1, 1), '\s')) and not regexp_matches(substring(text, e::bigint + 1), '^[\s"''(\[]*\p{{N}}')
+  and (regexp_matches(tok, '[!?]') or regexp_matches(tok, '[^.]\.') or starts_with(tok, '.') and (stem = '' or not regexp_full_match(stem, '[.\p{{N}}]+') and (starts_with(tok, '..') or lower(stem) not in ('co', 'ltd', 'no', 'inc', 'vs', 'etc'))))),
+{name}_begins as (select {keys}, text, 0 as b from {source} where regexp_matches(text, '\S') union select {keys}, text, e + length(regexp_extract(substring(text, e + 1), '^\s*')) from {name}_ends),
+{name} as (select {k}, (row_number() over (partition by {k} order by t.b) - 1)::int as ord, t.b::int as start, substring(t.text, t.b + 1, coalesce(t.e, length(t.text)) - t.b) as sentence from (select a.*, (select min(e) from {name}_ends b where {on} and b.e > a.b) as e from {name}_begins a where a.b < length(a.text)) t)"""
+
+
 # --- text ------------------------------------------------------------------------------------------------------------
 
 
@@ -281,20 +297,26 @@ def reading_order(spark, sf):
     return layout.reading_order(lines(spark, sf).where(~T.blank(F.col("text")))).select("doc_id", "page", "line_no", "ord")
 
 
-@_query(f"""with {LINES}, {_ORDERED}, lagged as (select *, lag(x) over w as px, lag(y) over w as py, lag(w) over w as pw, lag(h) over w as ph from ordered window w as (partition by doc_id, page order by ord)),
+_GROUPED = f"""{_ORDERED}, lagged as (select *, lag(x) over w as px, lag(y) over w as py, lag(w) over w as pw, lag(h) over w as ph from ordered window w as (partition by doc_id, page order by ord)),
 cut as (select *, case when px is not null and y - (py + ph) <= greatest(h, ph) * 1.25::double and y - (py + ph) >= greatest(h, ph) * -0.6::double and (least(x + w, px + pw) - greatest(x, px)) / least(w, pw) >= 0.4::double and ph / h between 0.7::double and 1.45::double then 0 else 1 end as starts from lagged),
-numbered as (select *, sum(starts) over (partition by doc_id, page order by ord) - 1 as block from cut) select doc_id, page, block::bigint as block, count(*) as n_lines, min(ord)::int as first_ord from numbered group by doc_id, page, block""")
+numbered as (select *, sum(starts) over (partition by doc_id, page order by ord) - 1 as block from cut)"""
+
+
+@_query(f"with {LINES}, {_GROUPED} select doc_id, page, block::bigint as block, count(*) as n_lines, min(ord)::int as first_ord from numbered group by doc_id, page, block")
 def group_lines(spark, sf):
     g = layout.grouped(layout.reading_order(lines(spark, sf).where(~T.blank(F.col("text")))))
     return g.groupBy("doc_id", "page", "block").agg(F.count("*").alias("n_lines"), F.min("ord").alias("first_ord"))
 
 
-@_query()
+_ASSEMBLED = f"""{_GROUPED}, {_MEDIAN}, raw as (select n.doc_id, n.page, block, count(*)::int as n_lines, string_agg(text, ' ' order by ord) as text, string_agg(text, '' order by ord) as bare, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h, any_value(median) as median from numbered n join medians m on m.doc_id = n.doc_id and m.page = n.page group by n.doc_id, n.page, block)"""
+
+
+@_query(rf"""with {LINES}, {_ASSEMBLED}, b as (select * replace (trim(regexp_replace(text, '\s+', ' ', 'g')) as text) from raw) select doc_id, page, block::bigint as block, n_lines, text, case when length(trim(text)) <= {layout.FURNITURE} and n_lines = 1 and (y + h > {layout.BOTTOM} or y < {layout.TOP}) then 'pageFurniture' when regexp_matches(trim(text), {_ITEM}) then 'listItem' when n_lines <= {layout.HEADING_LINES} and not regexp_matches(trim(text), '[.!?]$') and h / n_lines > median * {layout.HEADING}::double and length(trim(text)) <= {layout.HEADING_LENGTH} then 'heading' else 'paragraph' end as kind, x, y, w, h, 0.9::double as confidence from b""")
 def assembled_blocks(spark, sf):
     return layout.blocks(lines(spark, sf), DIACRITIC)
 
 
-@_query()
+@_query(f"""with {_sentences_sql('s', 'conversations', 'conv_id, turn')} select conv_id, turn, ord, start, sentence as text from s""")
 def sentences_exact(spark, sf):
     return layout.sentences(table(spark, sf, "conversations"), DIACRITIC, ["conv_id", "turn"])
 
@@ -958,18 +980,31 @@ def observed_lines(spark, sf):
     return layout.observed_lines(o).select("doc_id", "page", "line_no", "text", "confidence", F.round("y", 6).alias("y"))
 
 
-@_query()
+@_query(rf"""with {LINES}, {_ASSEMBLED}, {_sentences_sql('s', 'raw', 'doc_id, page, block')},
+b as (select doc_id, page, block, text, case when length(trim(bare)) <= {layout.FURNITURE} and n_lines = 1 and (y + h > {layout.BOTTOM} or y < {layout.TOP}) then 'pageFurniture' when regexp_matches(trim(bare), {_ITEM}) then 'listItem' when n_lines <= {layout.HEADING_LINES} and not regexp_matches(trim(bare), '[.!?]$') and h / n_lines > median * {layout.HEADING}::double and length(trim(bare)) <= {layout.HEADING_LENGTH} then 'heading' else 'paragraph' end as kind from raw),
+l as (select doc_id, page, block, text, ord, x, y, w, h, sum(length(text) + 1) over (partition by doc_id, page, block order by ord) - length(text) - 1 as a from numbered),
+many as (select * from (select *, count(*) over (partition by doc_id, page, block) as n from s) where n > 1 and trim(sentence) <> ''),
+parts as (select m.doc_id, m.page, m.block, m.ord as seq, trim(sentence) as said, l.ord as line, substring(l.text, (greatest(a, start) - a + 1)::bigint, (least(a + length(l.text), start + length(sentence)) - greatest(a, start))::bigint) as part,
+  case when greatest(a, start) > a or least(a + length(l.text), start + length(sentence)) < a + length(l.text) then x + w * ((greatest(a, start) - a)::double / length(l.text)) else x end as x, y, h,
+  case when greatest(a, start) > a or least(a + length(l.text), start + length(sentence)) < a + length(l.text) then w * ((least(a + length(l.text), start + length(sentence)) - greatest(a, start))::double / length(l.text)) else w end as w
+  from many m join l on l.doc_id = m.doc_id and l.page = m.page and l.block = m.block and a < start + length(sentence) and a + length(l.text) > start
+  union all select l.doc_id, l.page, l.block, 0, b.text, l.ord, l.text, l.x, l.y, l.h, l.w from l join b on b.doc_id = l.doc_id and b.page = l.page and b.block = l.block where not exists (select 1 from many m where m.doc_id = l.doc_id and m.page = l.page and m.block = l.block)),
+pieces as (select doc_id, page, block, seq, any_value(said) as said, list(part order by line) as lines, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h from parts group by doc_id, page, block, seq)
+select c.doc_id, c.page, (row_number() over (partition by c.doc_id, c.page order by c.block, seq) - 1)::int as ord, case when b.kind in ('heading', 'pageFurniture') then b.kind when regexp_matches(said, {_ITEM}) then 'listItem' else 'paragraph' end as kind, said as text, lines, len(lines)::int as n_lines, x, y, w, h, 0.9::double as confidence
+from pieces c join b on b.doc_id = c.doc_id and b.page = c.page and b.block = c.block""")
 def sentence_blocks(spark, sf):
     return layout.sentence_blocks(lines(spark, sf), DIACRITIC)
 
 
-@_query()
+@_query(rf"""with l as (select conv_id, turn, line, trim(regexp_replace(raw, '\s+', ' ', 'g')) as text from (select conv_id, turn, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line from conversations)), kept as (select * from l where text <> ''), {_sentences_sql('s', 'kept', 'conv_id, turn, line')}
+select conv_id as doc_id, turn as page, (row_number() over (partition by conv_id, turn order by line, ord) - 1)::int as ord, 'paragraph' as kind, trim(sentence) as text, [trim(sentence)] as lines, 0.0::double as x, 0.0::double as y, 1.0::double as w, 1.0::double as h, null::double as confidence from s where trim(sentence) <> ''""")
 def transcript_blocks(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.concat(F.lit("<think>so\n</think>\n```\n"), "text", F.lit("\n```")).alias("answer"))
     return layout.transcript_blocks(c, DIACRITIC)
 
 
-@_query()
+@_query(rf"""with {_sentences_sql('s', 'conversations', 'conv_id, turn')}, t as (select *, trim(text, ' ' || chr(10) || chr(9)) as said from conversations), l as (select *, regexp_extract(said, '([.!?])["'')\]]*$', 1) as last, regexp_extract(said, '([.\p{{L}}\p{{N}}]*)\.["'')\]]*$', 1) as stem from t)
+select conv_id, turn, coalesce((select list(e order by e) from s_ends where s_ends.conv_id = l.conv_id and s_ends.turn = l.turn), []::int[]) as ends, last in ('!', '?') or last = '.' and not (stem <> '' and (regexp_full_match(stem, '[.\p{{N}}]+') or lower(stem) in ('co', 'ltd', 'no', 'inc', 'vs', 'etc'))) as ended from l""")
 def sentence_stops(spark, sf):
     return layout.stops(table(spark, sf, "conversations"), DIACRITIC, ["conv_id", "turn"])
 
