@@ -449,7 +449,16 @@ def _survey_pages(spark, sf) -> DataFrame:
     return p.join(n, "doc_id").select("doc_id", "page", "n_pages", F.when(own, F.col("text")).alias("layer"), F.when(~own, F.col("text")).alias("read"))
 
 
-@_query()
+@_query(rf"""with recursive {BLOCKS}, p as (select doc_id, page, string_agg(text, chr(10) order by ord) as text, doc_id % 3 = 0 as own from blocks where kind <> 'pageFurniture' group by doc_id, page), n as (select doc_id, max(page) + 1 as n_pages from blocks group by doc_id),
+d as (select p.doc_id, any_value(n_pages) as n_pages, max(case when page = 0 then regexp_replace(left(text, 2000), '^\s+|\s+$', '', 'g') end) as opening, case when bool_or(own and page = n_pages - 1) then 12 else 2 end as most from p join n on n.doc_id = p.doc_id group by p.doc_id),
+c as (select *, case when n_pages - 1 <= most then range(1, n_pages) else list_distinct(list_transform(range(1, most + 1), lambda i: (round((n_pages - 2) * i / most::double) + 1)::bigint)) end as picked, case when opening <> '' then '[page 1]' || chr(10) || opening else '' end as head from d),
+s as (select c.doc_id, head, 4000 - length(head) as budget, greatest(200, (4000 - length(head)) // greatest(len(picked), 1)) as share, picked from c),
+q as (select p.doc_id, p.page, p.text, p.own, row_number() over (partition by p.doc_id order by p.page) as k from p join s on s.doc_id = p.doc_id and list_contains(s.picked, p.page)),
+r as (select doc_id, 0::bigint as k, head as sample, budget, 0 as reads, share from s
+  union all select doc_id, k, sample || told, budget - length(told), reads + case when budget > 0 and not own and reads < 2 then 1 else 0 end, share from (
+    select *, case when budget > 0 and said <> '' then chr(10) || chr(10) || '[page ' || (page + 1) || ']' || chr(10) || said else '' end as told from (
+      select r.doc_id, q.k, r.sample, r.budget, r.reads, r.share, q.page, q.own, case when q.own or r.reads < 2 then regexp_replace(left(q.text, greatest(0, least(r.share, r.budget))), '^\s+|\s+$', '', 'g') else '' end as said from r join q on q.doc_id = r.doc_id and q.k = r.k + 1)))
+select doc_id, arg_max(sample, k) as sample from r group by doc_id""")
 def survey_sample(spark, sf):
     return profile.survey_sample(_survey_pages(spark, sf))
 
@@ -1145,7 +1154,7 @@ def seen_brands(spark, sf):
 
 
 _MODELS = """m as (select p_partkey as model_id, p_size * 1e9::double as weights, p_name as name from part), s as (select s_suppkey as machine_id, s_suppkey % 10 <> 0 as silicon, (s_suppkey % 8 + 1) * 8e9::double as memory, (s_suppkey % 5 + 1) * 1e10::double as disk from supplier),
-installed as (select distinct o_custkey % 100 as machine_id, o_orderkey % 3000 as model_id from orders where o_orderkey % 50 = 0)"""
+installed as (select distinct o_custkey % 100 as machine_id, o_orderkey % 3000 as model_id from orders)"""
 
 
 def _models(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -1153,7 +1162,7 @@ def _models(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     models = table(spark, sf, "part").select(F.col("p_partkey").alias("model_id"), (F.col("p_size") * 1e9).alias("weights"), F.col("p_name").alias("name"))
     k = F.col("s_suppkey")
     machines = table(spark, sf, "supplier").select(k.alias("machine_id"), (k % 10 != 0).alias("silicon"), ((k % 8 + 1) * 8e9).alias("memory"), ((k % 5 + 1) * 1e10).alias("disk"))
-    installed = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select((F.col("o_custkey") % 100).alias("machine_id"), (F.col("o_orderkey") % 3000).alias("model_id")).distinct()
+    installed = table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("machine_id"), (F.col("o_orderkey") % 3000).alias("model_id")).distinct()
     return models, machines, installed
 
 
@@ -1189,13 +1198,13 @@ def model_obstacles(spark, sf):
     return both.select("machine_id", "model_id", catalogue.obstacle(F.col("silicon"), F.col("memory"), F.col("disk"), F.col("weights"), other).alias("obstacle"))
 
 
-_STATUS = """status as (select c_nationkey as scope, c_name as engine, case c_custkey % 4 when 0 then 'pageReader' when 1 then 'translator' when 2 then 'reviewer' else 'adjudicator' end as role, case when c_custkey % 7 < 3 then 'ready' else 'unavailable' end as state from customer where c_custkey % 5 < 2)"""
+_STATUS = """status as (select c_nationkey as scope, c_name as engine, case c_custkey % 4 when 0 then 'pageReader' when 1 then 'translator' when 2 then 'reviewer' else 'adjudicator' end as role, case when c_custkey % 7 < 3 then 'ready' else 'unavailable' end as state from customer)"""
 
 
 def _status(spark, sf) -> DataFrame:
     k = F.col("c_custkey")
     role = F.when(k % 4 == 0, "pageReader").when(k % 4 == 1, "translator").when(k % 4 == 2, "reviewer").otherwise("adjudicator")
-    return table(spark, sf, "customer").where("c_custkey % 5 < 2").select(F.col("c_nationkey").alias("scope"), F.col("c_name").alias("engine"), role.alias("role"), F.when(k % 7 < 3, "ready").otherwise("unavailable").alias("state"), F.lit(None).cast("string").alias("detail"))
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("scope"), F.col("c_name").alias("engine"), role.alias("role"), F.when(k % 7 < 3, "ready").otherwise("unavailable").alias("state"), F.lit(None).cast("string").alias("detail"))
 
 
 @_query(f"with {_STATUS} select scope, count(*) filter (state = 'ready') as n_ready, count(*) filter (state <> 'ready') as n_blocked, bool_or(state = 'ready' and role = 'pageReader') and bool_or(state = 'ready' and role in ('translator', 'reviewer')) as ready from status group by scope")
@@ -1292,12 +1301,12 @@ def ledger_slices(spark, sf):
     return out.select("scope", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("downloads", "document_requests", "refusals")])
 
 
-@_query("""with l as (select user_id, count(*) as n_lines, sum(strlen(props))::bigint as bytes_received from events where event_id % 3 <> 0 group by user_id), r as (select distinct user_id, case when user_id % 4 = 0 then 'cut off' end as error from events)
-select r.user_id as request_id, error, case when error is null then 'allowed' else 'refused' end as outcome, error as reason, coalesce(n_lines, 0) as n_lines, coalesce(bytes_received, 0)::bigint as bytes_received from r left join l on l.user_id = r.user_id""")
+@_query("""with l as (select user_id, count(*) as n_lines, sum(strlen(props))::bigint as bytes_received from events group by user_id), r as (select c_custkey as request_id, case when c_custkey % 4 = 0 then 'cut off' end as error from customer)
+select request_id, error, case when error is null then 'allowed' else 'refused' end as outcome, error as reason, coalesce(n_lines, 0) as n_lines, coalesce(bytes_received, 0)::bigint as bytes_received from r left join l on l.user_id = r.request_id""")
 def line_outcomes(spark, sf):
-    e = table(spark, sf, "events")
-    requests = e.select(F.col("user_id").alias("request_id"), F.when(F.col("user_id") % 4 == 0, "cut off").alias("error")).distinct()
-    return ledger.line_stream(e.where("event_id % 3 <> 0").select(F.col("user_id").alias("request_id"), F.col("props").alias("line")), requests)
+    """Customers as requests, events as the lines of their answers."""
+    requests = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.when(F.col("c_custkey") % 4 == 0, "cut off").alias("error"))
+    return ledger.line_stream(table(spark, sf, "events").select(F.col("user_id").alias("request_id"), F.col("props").alias("line")), requests)
 
 
 @_query("""with e as (select user_id as job, event_id as seq, case event_id % 8 when 0 then 'started' when 1 then 'pageStarted' when 2 then 'pageReconciled' when 6 then 'pageFinished' when 7 then case when event_id % 5 = 0 then 'finished' else 'asking' end else 'blockTranslated' end as event, (event_id % 6)::int as value, (event_id % 9 + 3)::int as of_ from events),
