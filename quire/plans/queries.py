@@ -1319,3 +1319,34 @@ def progress_state(spark, sf):
     event = F.when(n % 8 == 0, "started").when(n % 8 == 1, "pageStarted").when(n % 8 == 2, "pageReconciled").when(n % 8 == 6, "pageFinished").when((n % 8 == 7) & (n % 5 == 0), "finished").when(n % 8 == 7, "asking").otherwise("blockTranslated")
     e = table(spark, sf, "events").select(F.col("user_id").alias("job"), n.alias("seq"), event.alias("event"), (n % 6).cast("int").alias("value"), (n % 9 + 3).cast("int").alias("of"))
     return ledger.progress(e).withColumn("fraction", F.round("fraction", 6))
+
+
+_FLOW = f"""{BLOCKS}, n as (select doc_id, max(n // 20)::int + 1 as n_pages from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as n from documents) group by doc_id),
+e as (select doc_id, -1 as page, 0 as stage, 0 as nth, 'started' as event, n_pages as value, 0 as of_ from n union all select doc_id, n_pages, 0, 0, 'finished', 0, 0 from n
+  union all select doc_id, unnest(range(n_pages)), 0, 0, 'pageStarted', unnest(range(n_pages)), n_pages from n union all select doc_id, unnest(range(n_pages)), 4, 0, 'pageFinished', unnest(range(n_pages)), 0 from n
+  union all select doc_id, page, 1, case kind when 'heading' then 0 when 'listItem' then 1 when 'pageFurniture' then 2 else 3 end, 'readerFinished', count(*), max(length(text)) from blocks group by doc_id, page, kind
+  union all select n.doc_id, p.page, 2, 0, 'pageReconciled', count(b.ord), count(*) filter ((n.doc_id + b.ord) % 6 < 3) from (select doc_id, unnest(range(n_pages)) as page from n) p join n using (doc_id) left join blocks b on b.doc_id = p.doc_id and b.page = p.page group by n.doc_id, p.page
+  union all select doc_id, page, 3, ord, 'blockTranslated', row_number() over (partition by doc_id, page order by ord) - 1, count(*) over (partition by doc_id, page) from blocks)"""
+
+
+@_query(f"with {_FLOW} select doc_id as job, row_number() over (partition by doc_id order by page, stage, nth) - 1 as seq, event, value::int as value, of_::int as \"of\" from e")
+def flow_events(spark, sf):
+    """What a run over the documents tells of itself; kinds of blocks stand for readers."""
+    return _flow(spark, sf)
+
+
+def _flow(spark, sf) -> DataFrame:
+    b = blocks(spark, sf)
+    documents = lines(spark, sf).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
+    readings = b.groupBy("doc_id", "page", F.col("kind").alias("reader")).agg(F.count(F.lit(1)).alias("n_blocks"), F.max(F.char_length("text")).alias("seconds"))
+    # readers' names in the order of the kinds
+    readings = readings.withColumn("reader", F.when(F.col("reader") == "paragraph", "plain").otherwise(F.col("reader")))
+    return ledger.flow_events(documents, b.withColumn("contested", (F.col("doc_id") + F.col("ord")) % 6 < 3), readings)
+
+
+@_query(f"""with {_FLOW}, last as (select doc_id, max(page) as page from e where event = 'pageStarted' group by doc_id)
+select l.doc_id as job, n_pages as pages, l.page::int as page, (select count(*) from blocks b where b.doc_id = l.doc_id and b.page = l.page)::int as blocks, (select count(*) from blocks b where b.doc_id = l.doc_id and b.page = l.page)::int as done, (select sum(of_) from e where e.doc_id = l.doc_id and event = 'pageReconciled')::int as contested, true as finished,
+  round(least(1.0::double, (l.page + case when exists (select 1 from blocks b where b.doc_id = l.doc_id and b.page = l.page) then 1.0::double else 0.0::double end) / n_pages), 6) as fraction from last l join n using (doc_id)""")
+def flow_progress(spark, sf):
+    """Progress after each document's last event."""
+    return ledger.progress(_flow(spark, sf)).withColumn("fraction", F.round("fraction", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +73,46 @@ def fold(state: tuple, event: str, value: int, of: int = 0) -> tuple:
     return pages, page, blocks, done, contested, finished or event == "finished"
 
 
+def flow_events(documents: DataFrame, blocks: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """job, seq, event, value, of: what a run over whole documents tells of itself, in the order in which it happens.
+
+    Documents are (doc_id, n_pages), blocks (doc_id, page, ord, contested), readings (doc_id, page, reader, n_blocks,
+    seconds). A document begins; each of its pages, also one without blocks, begins, is read by each of its readers (in
+    order of their names), reconciled, translated block by block, and ends; then the document ends. Numbers come from
+    sums over a document's pages, so no task orders all events of a document. Null ``contested`` is not; a document
+    without pages begins and ends.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    each = blocks.select("doc_id", F.col("page").cast("int").alias("page"), (F.row_number().over(page.orderBy("ord")) - 1).alias("at"), F.coalesce("contested", F.lit(False)).alias("contested"))
+    many = each.groupBy("doc_id", "page").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if("contested").cast("int").alias("contested"))
+    pages = documents.where("n_pages > 0").select("doc_id", F.col("n_pages").cast("int").alias("n_pages"), F.explode(F.sequence(F.lit(0), F.col("n_pages").cast("int") - 1)).alias("page")).join(many, ["doc_id", "page"], "left")
+    if readings is None:
+        pages = pages.withColumn("readers", F.lit(0))
+    else:
+        told = readings.select("doc_id", F.col("page").cast("int").alias("page"), "reader", F.col("n_blocks").cast("int").alias("value"), F.col("seconds").cast("int").alias("of"))
+        told = told.withColumn("at", F.row_number().over(page.orderBy("reader")) - 1)
+        pages = pages.join(told.groupBy("doc_id", "page").agg(F.count(F.lit(1)).cast("int").alias("readers")), ["doc_id", "page"], "left")
+    pages = pages.fillna(0, ["n", "contested", "readers"])
+    before = F.coalesce(F.sum(F.col("readers") + F.col("n") + 3).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pages = pages.withColumn("first", before + 1)
+
+    def event(df: DataFrame, seq: Column | int, name: str, value: Column | int, of: Column | int) -> DataFrame:
+        whole = lambda c: c if isinstance(c, Column) else F.lit(c)
+        return df.select(F.col("doc_id").alias("job"), whole(seq).cast("long").alias("seq"), F.lit(name).alias("event"), whole(value).cast("int").alias("value"), whole(of).cast("int").alias("of"))
+
+    c = F.col
+    size = pages.groupBy("doc_id").agg(F.sum(c("readers") + c("n") + 3).alias("size"))
+    own = pages.select("doc_id", "page", "first", "readers", "n")
+    out = [
+        event(documents, 0, "started", c("n_pages"), 0), event(pages, c("first"), "pageStarted", c("page"), c("n_pages")),
+        event(pages, c("first") + 1 + c("readers"), "pageReconciled", c("n"), c("contested")), event(each.join(own, ["doc_id", "page"]), c("first") + 2 + c("readers") + c("at"), "blockTranslated", c("at"), c("n")),
+        event(pages, c("first") + 2 + c("readers") + c("n"), "pageFinished", c("page"), 0), event(documents.join(size, "doc_id", "left"), F.coalesce("size", F.lit(0)) + 1, "finished", 0, 0),
+    ]
+    if readings is not None:
+        out.append(event(told.join(own, ["doc_id", "page"]), c("first") + 1 + c("at"), "readerFinished", c("value"), c("of")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def fraction(pages: Column, page: Column, blocks: Column, done: Column) -> Column:
     """How much of a document is done: whole pages and the share of the present one; 0 before it is open, 1 at most."""
     within = F.when(blocks > 0, done / blocks).otherwise(0.0)
