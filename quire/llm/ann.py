@@ -28,6 +28,30 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return v.where("vec_id is not null and embedding is not null").where(~bad & F.exists("embedding", lambda x: x != 0))
 
 
+def frame(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(centre, scale) of a shard's vectors: in it they lie around zero and reach one, wherever and how large they are."""
+    low, high = x.min(axis=0), x.max(axis=0)
+    centre = low / 2 + high / 2
+    scale = float(np.abs(x - centre).max(initial=0))
+    return centre, scale if scale > 0 else 1.0
+
+
+def within(x: np.ndarray, centre: np.ndarray, scale: float) -> np.ndarray:
+    """Vectors in a shard's frame, in double precision; what lies far outside stays finite."""
+    return np.clip(x / scale - centre / scale, -1e100, 1e100)
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances along the last axis in double precision, also where squares would overflow or vanish."""
+    d = q - x
+    m = np.abs(d).max(axis=-1)
+    out = np.sqrt((d * d).sum(axis=-1))
+    odd = (m > 1e150) | (m < 1e-150) & (m > 0)
+    if odd.any():
+        out[odd] = m[odd] * np.sqrt(((d[odd] / m[odd][:, None]) ** 2).sum(axis=-1))
+    return out
+
+
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of each row, nearest first."""
     n = len(x)
@@ -183,7 +207,7 @@ def index(distinct: DataFrame, shard_rows: int = SHARD) -> DataFrame:
         least = np.array([x[0] for x in own], np.int64)
         order = np.argsort(least)
         least, flat = least[order], flat[order]
-        inner, sizes, graph = build(least, flat.astype(np.float32))
+        inner, sizes, graph = build(least, within(flat, *frame(flat)))
         own, flat = [own[i] for i in order[inner]], flat[inner].astype("<f8")
         row = {"shard": [shard.as_py()], "dim": [dim.as_py()], "n": [len(own)], "ids": [np.concatenate(own).astype("<i8").tobytes()], "copies": [np.array([len(x) for x in own], "<i4").tobytes()], "vectors": [flat.tobytes()], "graph": [graph.astype("<i4").tobytes()], "sizes": [sizes]}
         return pa.table(row, schema=pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary()), ("sizes", pa.list_(pa.int32()))]))
@@ -195,8 +219,9 @@ def index(distinct: DataFrame, shard_rows: int = SHARD) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SEARCH, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest vectors found for each query, by Euclidean distance.
 
-    The query set is cut into blocks, every block meets every shard's index, and the shards' best are merged; scores
-    are computed in double precision from the original vectors; ties go to the smaller vec_id. A query's own vec_id
+    The query set is cut into blocks, every block meets every shard's index, and the shards' best are merged. Graphs are
+    built and searched in double precision in their shard's own frame, so that neither an offset nor a scale of the
+    vectors costs neighbours; scores are computed in double precision from the original vectors; ties go to the smaller vec_id. A query's own vec_id
     is no candidate, and only vectors of its dimension are. With fewer than ``k`` candidates all are returned. See
     :func:`usable` for rows that take no part; empty tables give an empty result.
     """
@@ -222,10 +247,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SE
                 own = b.column("q")[i].values
                 qid = own.field("vec_id").to_numpy()
                 q = own.field("v").flatten().to_numpy().reshape(-1, dim)
-                found = search(x.astype(np.float32), sizes, graph, q.astype(np.float32), want)
+                own_frame = frame(x)
+                found = search(within(x, *own_frame), sizes, graph, within(q, *own_frame), want)
                 copies = np.frombuffer(b.column("copies")[i].as_py(), "<i4")
                 starts = np.cumsum(copies) - copies
-                d = np.sqrt(((q[:, None, :] - x[found]) ** 2).sum(axis=2))
+                d = distances(q[:, None, :], x[found])
                 d[found < 0] = np.inf
                 first = np.argsort(d, axis=1, kind="stable")
                 d = np.take_along_axis(d, first, axis=1)
