@@ -39,12 +39,16 @@ class Bench:
 
     def __post_init__(self) -> None:
         self.codes, self.at = np.zeros(0, np.int64), []
+        self.short: dict[tuple, list[int]] = defaultdict(list)  # items without a gram, by their words
 
     @staticmethod
     def of(rows: list[tuple[int | None, str | None]]) -> Bench:
         out = Bench([i for i, _ in rows])
         for _, text in rows:
             out.items.append(np.array([out.vocab.setdefault(w, len(out.vocab) + 1) for w in words(text)], np.int32))
+        for i, item in enumerate(out.items):
+            if 0 < len(item) < GRAM:
+                out.short[tuple(item.tolist())].append(i)
         return out
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
@@ -145,7 +149,7 @@ def matches(b: Bench, ids: np.ndarray, threshold: float) -> list[tuple[int, floa
                 spans[-1] = (min(lo, spans[-1][0]), max(hi, spans[-1][1]))
             else:
                 spans.append((lo, hi))
-    out = []
+    out = [(i, 1.0, 0, len(ids) - 1) for i in b.short.get(tuple(ids.tolist()), ())] if len(ids) < GRAM else []
     for i, spans in sorted(near.items()):
         score, first, last = max(((s, lo + f, lo + e) for lo, hi in spans for s, f, e in [align(b.items[i], ids[lo:hi])]), key=lambda x: (x[0], -x[1]))
         if score >= threshold:
@@ -185,8 +189,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, bl
     """doc_id, item_id, score, first_word, last_word: items that a document holds a copy of, and the best passage.
 
     score is the Smith-Waterman score of the item's and the passage's words (lower case) over that of a perfect copy;
-    ties go to the first passage. A copied run of GRAM + WINDOW - 1 words always makes a passage a candidate; items
-    with fewer words than a gram have no seeds. Null and empty texts and items match nothing; repeated rows and null
+    ties go to the first passage. A copied run of GRAM + WINDOW - 1 words always makes a passage a candidate; an
+    item with fewer words than a gram has no seeds and is compared whole: a text that says just its words is a copy. Null and empty texts and items match nothing; repeated rows and null
     ids are compared like others; whole texts are read; other columns are ignored; empty tables give no rows.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]

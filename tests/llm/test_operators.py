@@ -245,6 +245,14 @@ def test_nearest_with_copies(spark):
     assert few == [(1, 5001, 0.0), (2, 5002, 5.0)]
 
 
+def test_short_items_are_compared_whole(spark):
+    docs = spark.createDataFrame([(1, "Forty two!"), (2, "forty two"), (3, "it is forty two"), (4, "yes"), (5, "forty"), (6, "..."), (7, None), (8, "no item"), (2, "forty two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "forty two"), (11, "Yes."), (12, "--"), (13, "a longer item of several words here"), (14, "Forty, two")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["score"], r["first_word"], r["last_word"]) for r in decontam.find(docs, bench).collect())
+    assert got == [(1, 10, 1.0, 0, 1), (1, 14, 1.0, 0, 1)] + [(2, 10, 1.0, 0, 1)] * 2 + [(2, 14, 1.0, 0, 1)] * 2 + [(4, 11, 1.0, 0, 0)]
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [3, 5, 6, 7, 8]
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     vocab = [f"w{i}" for i in range(400)]
