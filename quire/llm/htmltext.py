@@ -31,7 +31,7 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([
 _SPACE = re.compile(r"\s+")
 #: Labelled pages that tag weights are fitted on: a documented, bounded sample.
 SAMPLE = 2000
-#: What a word adds; what a tag takes away lies between these, by the fitted odds. Inside a mark it is the least.
+#: What a word adds; what a tag takes away lies between these, by the fitted odds.
 WORD, LEAST, MOST = 1.0, 0.001, 3.0
 #: What a left-out element takes away, whole, and a tag that the sample doesn't hold: two of these are less than a word.
 LEFT_OUT, UNSEEN = 0.4, 0.25
@@ -159,15 +159,16 @@ def fit(pages: Iterator[str]) -> dict[str, float]:
 def best_run(items: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:
     """[start, end) of the contiguous run with the highest score, by one scan; the first and longest of equals.
 
-    On a page that marks content, words outside the marks take away what they would add, and tags inside and the marks' own cost least.
+    On a page that marks content, words inside the marks alone count and nothing takes away, so the run reaches from the
+    first marked word to the last, however many marks there are and whatever stands between them.
     """
     marked = _marked(items)
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, x, inside) in enumerate(items):
         if kind == "word":
-            total += (WORD if inside or not marked else -WORD) * len(x.split())
-        else:
-            total -= LEAST if marked and (inside or x.lstrip("/") in ("article", "main")) else weights.get(x, LEFT_OUT if x.startswith("-") else UNSEEN)
+            total += WORD * len(x.split()) if inside or not marked else 0.0
+        elif not marked:
+            total -= weights.get(x, LEFT_OUT if x.startswith("-") else UNSEEN)
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best or total == best and best_at[0] == start:

@@ -550,7 +550,11 @@ def test_main_text_by_the_scan(spark):
     two = "<main><article><p>A first article of some words.</p></article><article><p>And a second one.</p></article></main>"
     assert htmltext.extract(two, weights) == "A first article of some words.\nAnd a second one."
     teaser = f"<body><article><p>{said[0]}</p></article><div>{'elsewhere ' * 30}</div><article>More</article></body>"
-    assert htmltext.extract(teaser, weights) == said[0]  # thirty words outside the marks weigh more than one inside
+    assert htmltext.extract(teaser, weights) == said[0] + "\nMore"
+    for sizes in ((40, 50), (10, 30, 50), (1, 1)):
+        parts = [f"{'inside ' * n}{n}".strip() for n in sizes]
+        apart = f"<ul>{'<li><a>menu</a></li>' * 400}</ul><div>{'outside ' * 60}</div>"
+        assert htmltext.extract("<body>" + apart.join(f"<article><table>{'<tr></tr>' * 2000}</table><p>{x}</p></article>" for x in parts) + "</body>", weights) == "\n".join(parts)
     for name, kept in (("related-work", True), ("product-search", True), ("comment", False), ("site-nav", False), ("related-posts", False), ("userComments", False), ("adventure", True), ("cookie_notice bar", False), ("share-buttons", False)):
         got = htmltext.extract(f"<article><p>Before it.</p><div class='{name}'>Inside it.</div><p>After it.</p></article>", weights)
         assert ("Inside it." in got) == kept, name
