@@ -23,9 +23,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: BANDS keys of ROWS minimum hashes each: two texts of similarity 0.8 share one with probability 0.9999.
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
-BLOCK, REMEMBERED = 1 << 12, 200_000
+BLOCK, REMEMBERED = 1 << 12, 80_000
 #: Members of a bucket that one task goes through; larger buckets are dealt out. Bytes of shingle sets that a task holds.
-HOT, HELD = 512, 64 << 20
+HOT, HELD = 512, 32 << 20
 
 _rng = np.random.default_rng(20)
 _A, _B = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
