@@ -55,6 +55,11 @@ LINES = """lines as (select doc_id, (n // 20)::int as page, (n % 20)::int as lin
   from (select doc_id, unnest(parts) as text, generate_subscripts(parts, 1) - 1 as n from (select doc_id, string_split(text, chr(10)) as parts from documents)))"""
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Boxes and confidence to nine places."""
+    return df.withColumns({c: F.round(c, 9) for c in ("x", "y", "w", "h", "confidence")})
+
+
 def notices(spark: SparkSession, sf: str) -> DataFrame:
     """order_key, line_no, source, target: notices of order lines; the order's number says what the target gets wrong."""
     # joined by shuffle whatever the size: lines are costly to check, and a small file would check them all in one task
@@ -311,9 +316,9 @@ def group_lines(spark, sf):
 _ASSEMBLED = f"""{_GROUPED}, {_MEDIAN}, raw as (select n.doc_id, n.page, block, count(*)::int as n_lines, string_agg(text, ' ' order by ord) as text, string_agg(text, '' order by ord) as bare, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h, any_value(median) as median from numbered n join medians m on m.doc_id = n.doc_id and m.page = n.page group by n.doc_id, n.page, block)"""
 
 
-@_query(rf"""with {LINES}, {_ASSEMBLED}, b as (select * replace (trim(regexp_replace(text, '\s+', ' ', 'g')) as text) from raw) select doc_id, page, block::bigint as block, n_lines, text, case when length(trim(text)) <= {layout.FURNITURE} and n_lines = 1 and (y + h > {layout.BOTTOM} or y < {layout.TOP}) then 'pageFurniture' when regexp_matches(trim(text), {_ITEM}) then 'listItem' when n_lines <= {layout.HEADING_LINES} and not regexp_matches(trim(text), '[.!?]$') and h / n_lines > median * {layout.HEADING}::double and length(trim(text)) <= {layout.HEADING_LENGTH} then 'heading' else 'paragraph' end as kind, x, y, w, h, 0.9::double as confidence from b""")
+@_query(rf"""with {LINES}, {_ASSEMBLED}, b as (select * replace (trim(regexp_replace(text, '\s+', ' ', 'g')) as text) from raw) select doc_id, page, block::bigint as block, n_lines, text, case when length(trim(text)) <= {layout.FURNITURE} and n_lines = 1 and (y + h > {layout.BOTTOM} or y < {layout.TOP}) then 'pageFurniture' when regexp_matches(trim(text), {_ITEM}) then 'listItem' when n_lines <= {layout.HEADING_LINES} and not regexp_matches(trim(text), '[.!?]$') and h / n_lines > median * {layout.HEADING}::double and length(trim(text)) <= {layout.HEADING_LENGTH} then 'heading' else 'paragraph' end as kind, round(x, 9) as x, round(y, 9) as y, round(w, 9) as w, round(h, 9) as h, 0.9::double as confidence from b""")
 def assembled_blocks(spark, sf):
-    return layout.blocks(lines(spark, sf), DIACRITIC)
+    return _rounded(layout.blocks(lines(spark, sf), DIACRITIC))
 
 
 @_query(f"""with {_sentences_sql('s', 'conversations', 'conv_id, turn')} select conv_id, turn, ord, start, sentence as text from s""")
@@ -999,10 +1004,10 @@ parts as (select m.doc_id, m.page, m.block, m.ord as seq, trim(sentence) as said
   from many m join l on l.doc_id = m.doc_id and l.page = m.page and l.block = m.block and a < start + length(sentence) and a + length(l.text) > start
   union all select l.doc_id, l.page, l.block, 0, b.text, l.ord, l.text, l.x, l.y, l.h, l.w from l join b on b.doc_id = l.doc_id and b.page = l.page and b.block = l.block where not exists (select 1 from many m where m.doc_id = l.doc_id and m.page = l.page and m.block = l.block)),
 pieces as (select doc_id, page, block, seq, any_value(said) as said, list(part order by line) as lines, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h from parts group by doc_id, page, block, seq)
-select c.doc_id, c.page, (row_number() over (partition by c.doc_id, c.page order by c.block, seq) - 1)::int as ord, case when b.kind in ('heading', 'pageFurniture') then b.kind when regexp_matches(said, {_ITEM}) then 'listItem' else 'paragraph' end as kind, said as text, lines, len(lines)::int as n_lines, x, y, w, h, 0.9::double as confidence
+select c.doc_id, c.page, (row_number() over (partition by c.doc_id, c.page order by c.block, seq) - 1)::int as ord, case when b.kind in ('heading', 'pageFurniture') then b.kind when regexp_matches(said, {_ITEM}) then 'listItem' else 'paragraph' end as kind, said as text, lines, len(lines)::int as n_lines, round(x, 9) as x, round(y, 9) as y, round(w, 9) as w, round(h, 9) as h, 0.9::double as confidence
 from pieces c join b on b.doc_id = c.doc_id and b.page = c.page and b.block = c.block""")
 def sentence_blocks(spark, sf):
-    return layout.sentence_blocks(lines(spark, sf), DIACRITIC)
+    return _rounded(layout.sentence_blocks(lines(spark, sf), DIACRITIC))
 
 
 @_query(rf"""with l as (select conv_id, turn, line, trim(regexp_replace(raw, '\s+', ' ', 'g')) as text from (select conv_id, turn, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line from conversations)), kept as (select * from l where text <> ''), {_sentences_sql('s', 'kept', 'conv_id, turn, line')}
