@@ -219,7 +219,7 @@ def index(distinct: DataFrame, shard_rows: int = SHARD) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SEARCH, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest vectors found for each query, by Euclidean distance.
 
-    The query set is cut into blocks, every block meets every shard's index, and the shards' best are merged. Graphs are
+    The query set is cut into blocks, which pass every shard's index one after another, and the shards' best are merged. Graphs are
     built and searched in double precision in their shard's own frame, so that neither an offset nor a scale of the
     vectors costs neighbours; scores are computed in double precision from the original vectors; ties go to the smaller vec_id. A query's own vec_id
     is no candidate, and only vectors of its dimension are. With fewer than ``k`` candidates all are returned. See
@@ -232,25 +232,32 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SE
     last = built.agg(F.max("shard")).first()[0]
     if last is None:
         return asked.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    meets = block.select("qdim", "q", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("qshard"))
-    pairs = built.join(meets, (F.col("shard") == F.col("qshard")) & (F.col("dim") == F.col("qdim")))
+    # each shard's index and then the blocks come to one task: an index once, the queries, a hundredth of its kind, once a shard
+    meets = block.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"), F.col("qdim").alias("dim"), "q")
+    rows = built.withColumn("q", F.lit(None).cast(meets.schema["q"].dataType)).unionByName(meets, allowMissingColumns=True)
+    rows = rows.repartition(max(8, 4 * (last + 1)), "shard", "dim").sortWithinPartitions("shard", "dim", F.col("q").isNotNull())
     want = max(width, k + 1)
     copy = np.arange(k + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for b in batches:
             for i in range(b.num_rows):
-                dim, sizes = b.column("dim")[i].as_py(), b.column("sizes")[i].as_py()
-                ids = np.frombuffer(b.column("ids")[i].as_py(), "<i8")
-                x = np.frombuffer(b.column("vectors")[i].as_py(), "<f8").reshape(-1, dim)
-                graph = np.frombuffer(b.column("graph")[i].as_py(), "<i4")
+                place = (b.column("shard")[i].as_py(), b.column("dim")[i].as_py())
+                if b.column("graph")[i].is_valid:
+                    at, dim, sizes = place, place[1], b.column("sizes")[i].as_py()
+                    ids, copies, x, graph = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in (("ids", "<i8"), ("copies", "<i4"), ("vectors", "<f8"), ("graph", "<i4")))
+                    x = x.reshape(-1, dim)
+                    own_frame = frame(x)
+                    inside = within(x, *own_frame)
+                    starts = np.cumsum(copies) - copies
+                    continue
+                if place != at:  # no vectors of the queries' dimension are in this shard
+                    continue
                 own = b.column("q")[i].values
                 qid = own.field("vec_id").to_numpy()
                 q = own.field("v").flatten().to_numpy().reshape(-1, dim)
-                own_frame = frame(x)
-                found = search(within(x, *own_frame), sizes, graph, within(q, *own_frame), want)
-                copies = np.frombuffer(b.column("copies")[i].as_py(), "<i4")
-                starts = np.cumsum(copies) - copies
+                found = search(inside, sizes, graph, within(q, *own_frame), want)
                 d = distances(q[:, None, :], x[found])
                 d[found < 0] = np.inf
                 first = np.argsort(d, axis=1, kind="stable")
@@ -266,6 +273,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, width: int = SE
                 ok = np.isfinite(d)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(axis=1))), pa.array(near[ok]), pa.array(d[ok])], ["query_id", "vec_id", "score"])
 
-    hits = pairs.select("dim", "sizes", "ids", "copies", "vectors", "graph", "q").repartition(max(8, (last + 1) * blocks)).mapInArrow(run, "query_id long, vec_id long, score double")
+    hits = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
