@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
+
 #: Bytes that a model takes while it works, the share of memory that counts, and what a download leaves free.
 GROWTH, OWN, SHARE, SPARE = 1.4, 3.0e9, 0.75, 1.0e9
 
@@ -24,29 +26,41 @@ def obstacle(silicon: Column, memory: Column, disk: Column, weights: Column, bes
     return out.when(working_set(weights) > usable, "memory").when(weights + SPARE > disk, "disk")
 
 
+def _limit(memory: Column, disk: Column, holding: Column) -> Column:
+    """The largest number that fits as a model's weights, exactly as :func:`working_set` rounds; null for none.
+
+    What fits grows with memory and disk, so the bits of the number are settled from the highest on, down to those of
+    weights of one byte.
+    """
+    fits = lambda w: (working_set(w) + holding <= memory * SHARE) & (w + SPARE <= disk)
+    top = F.least(F.floor(F.log2(memory)), F.lit(1000)).cast("int")
+    bits = F.sequence(top, F.lit(-52), F.lit(-1))
+    found = F.aggregate(bits, F.lit(0.0), lambda acc, k: F.when(fits(acc + F.pow(F.lit(2.0), k)), acc + F.pow(F.lit(2.0), k)).otherwise(acc))
+    return F.when((memory >= 1) & fits(F.lit(1.0)), found)
+
+
 def admitted(models: DataFrame, machines: DataFrame, disk: bool = True) -> DataFrame:
     """machine_id, model_id: the largest model (model_id, weights) that each machine can hold; of equals the smallest id.
 
     Machines are (machine_id, silicon, memory, disk) and, where another model is held as well, holding: its working
-    set. Without ``disk`` only memory counts. Models meet machines by the power of two of their size: a machine needs
-    the models of its own limit's class, by an equi-join, and the largest of all smaller classes, of which there are 64 at most: a running maximum over classes.
+    set. Without ``disk`` only memory counts. Models of equal weights are one, and so are machines of equal parts. Their limits
+    and the weights are dealt by range and each limit takes the last weight up to it, of its own range or of those
+    before; so the work grows with the tables' lengths, however many models a machine could hold.
     """
     holding = F.coalesce("holding", F.lit(0.0)) if "holding" in machines.columns else F.lit(0.0)
-    m = machines.select("machine_id", "silicon", "memory", "disk", holding.alias("holding"))
-    limit = (F.col("memory") * SHARE - F.col("holding") - OWN) / GROWTH
-    limit = F.least(limit, F.col("disk") - SPARE) if disk else limit
-    of = lambda c: F.floor(F.log2(c)).cast("int")
-    m = m.withColumn("top", F.when(F.col("silicon") & (limit >= 1), of(limit)))
-    fits = working_set(F.col("weights")) + F.col("holding") <= F.col("memory") * SHARE
-    fits = fits & (F.col("weights") + SPARE <= F.col("disk")) if disk else fits
-    known = models.where("weights >= 1").select("model_id", F.col("weights").cast("double").alias("weights")).withColumn("class", of(F.col("weights")))
-    near = m.select("machine_id", "memory", "disk", "holding", F.explode(F.array(F.col("top"), F.col("top") + 1)).alias("class")).join(known, "class").where(fits)
-    best = known.groupBy("class").agg(F.min(F.struct((-F.col("weights")).alias("down"), "model_id")).alias("b"))
-    # a machine of class n takes the best of the classes under n: each class says so to all above it up to 1100, doubles' last
-    smaller = best.select(F.col("b"), F.explode(F.sequence(F.col("class") + 1, F.lit(1100))).alias("top")).groupBy("top").agg(F.min("b").alias("b"))
-    far = m.select("machine_id", "top").join(smaller, "top").select("machine_id", "b.down", "b.model_id")
-    all_ = near.select("machine_id", (-F.col("weights")).alias("down"), "model_id").unionByName(far)
-    found = all_.groupBy("machine_id").agg(F.min(F.struct("down", "model_id")).alias("b")).select("machine_id", F.col("b.model_id").alias("model_id"))
+    m = machines.where("silicon").select("machine_id", F.col("memory").cast("double").alias("memory"), (F.col("disk").cast("double") if disk else F.lit(float("inf"))).alias("disk"), holding.cast("double").alias("holding"))
+    kinds = m.select("memory", "disk", "holding").distinct().withColumn("at", _limit(F.col("memory"), F.col("disk"), F.col("holding"))).where("at is not null")
+    weights = models.where("weights >= 1").groupBy(F.col("weights").cast("double").alias("at")).agg(F.min("model_id").alias("model_id"))
+    weights = weights.select("at", F.struct((-F.col("at")).alias("down"), "model_id").alias("model"))
+    asked = kinds.select("at", F.lit(None).cast(weights.schema["model"].dataType).alias("model")).distinct()
+    line = keep(weights.unionByName(asked).repartitionByRange("at").withColumn("part", F.spark_partition_id()), "weights")
+    parts = line.groupBy("part").agg(F.min("model").alias("last"))
+    before = parts.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row a range
+    upto = Window.partitionBy("part").orderBy("at", F.col("model").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = line.withColumn("own", F.last("model", ignorenulls=True).over(upto)).where("model is null").join(F.broadcast(before), "part")
+    fits = kinds.join(taken.select("at", F.coalesce("own", "before").alias("model")), "at").select("memory", "disk", "holding", "model")
+    best = m.join(fits, ["memory", "disk", "holding"]).groupBy("machine_id").agg(F.min("model").alias("model"))
+    found = best.select("machine_id", F.col("model.model_id").alias("model_id"))
     return machines.select("machine_id").join(found, "machine_id", "left")
 
 
