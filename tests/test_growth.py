@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import catalogue
+from quire.functions import text as T
+from quire.operators import catalogue, integrity
 
 
 def test_admission_of_many_equal_models(spark):
@@ -14,3 +15,13 @@ def test_admission_of_many_equal_models(spark):
     assert {tuple(r) for r in got.groupBy("model_id").count().collect()} == {(None, 5_000), (5, 10_000), (6, 5_000)}
     tight = spark.createDataFrame([(1, True, 1e15, 1.6e10 + 1e9), (2, True, 1e15, 1.6e10 + 1e9 - 1e-5), (3, True, (1.4 * 1.5e10 + 3e9) / 0.75, 1e15)], "machine_id int, silicon boolean, memory double, disk double")
     assert {r[0]: r[1] for r in catalogue.admitted(m, tight).collect()} == {1: 7, 2: 6, 3: 6}
+
+
+def test_figures_that_stand_in_both_are_not_invented(spark):
+    """A figure that the target holds as the source does, whose word happens to stand in another word of the target."""
+    rows = [("one 1 stone", "ONE 1 STONE!", "", ""), ("1 and 3", "1 and three", "", ""), ("in 1", "stone 1 1", "", "1"), ("5月5日", "5 May", "", ""), ("2 2", "2", "2", ""), ("１０ of 7", "7 of 10", "", ""), (" a 8 ", "8 a", "", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, t string, dropped string, invented string")
+    got = df.select("i", "dropped", "invented", integrity.number_differences(F.col("s"), F.col("t")).alias("d")).select("i", (F.array_join("d.dropped", ",") == F.col("dropped")).alias("a"), (F.array_join("d.invented", ",") == F.col("invented")).alias("b"))
+    assert [tuple(r) for r in got.where("not (a and b)").collect()] == []
+    same = spark.createDataFrame([(c,) for c in ("a b", " a\tb", "a b\xa0c", "Stück für", "")], "c string")
+    assert same.where(T.letters_of(F.col("c")) != T.letters(F.col("c"))).count() == 0
