@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import reconcile
 from quire.operators.reconcile import FLOOR, GAP, MERGED, text_similarity
@@ -99,3 +100,30 @@ def test_conversations(spark):
         want = [(n, "".join(turns[c][i] for i in p), "".join(cut[j] for j in q), len(p), len(q), round(s, 9)) for n, (p, q, s) in enumerate(full(turns[c], cut))]
         assert sorted(got[c]) == want
     assert any(x[4] > 1 for rows in got.values() for x in rows)
+
+
+def test_texts_longer_than_what_is_compared():
+    r = random.Random(5)
+    left = ["".join(sentence(r) for _ in range(n)) for n in (1, 60, 2, 50)] + ["", "short"]
+    right = [x[i : i + 700] for x in left for i in range(0, len(x) or 1, 700)] + ["é" * 2100]
+    assert reconcile.align_texts(left, right) == full(left, right)
+    assert reconcile.align_texts(right, left) == full(right, left)
+
+
+def test_a_text_and_its_parts_take_one_pass(monkeypatch):
+    """The characters that distances step over: a text meets one to eight others in one pass, and is not read again for each."""
+    r = random.Random(7)
+    left = ["".join(r.choice("etaoin shrdlu") for _ in range(400)) for _ in range(8)]
+    right = ["".join(c if r.random() > 0.3 else r.choice("xyz") for c in t[i : i + 50]) for t in left for i in range(0, 400, 50)]
+    steps = []
+    whole = reconcile._distance
+    monkeypatch.setattr(reconcile, "_distance", lambda a, b: steps.append(max(len(a), len(b))) or whole(a, b))
+    table = reconcile._Aligner(left, right)
+    table.run(table.run(float("-inf"), reconcile._band(left, right))[0], None)
+    assert sum(steps) < 20_000
+
+
+def test_groups_are_spread_over_tasks(spark):
+    rows = [(g, i, t) for g in range(40) for i, t in enumerate(("a few words", "and some more"))]
+    a, b = (spark.createDataFrame(rows, "g int, ord int, text string") for _ in range(2))
+    assert reconcile.align(a, b, ["g"]).select(F.spark_partition_id()).distinct().count() > 1
