@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_right
 from collections.abc import Mapping
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,32 +138,32 @@ def char_width(c: str, widths: Mapping[str, int] = WIDTHS) -> int:
     return next((n for cs, n in widths.items() if c in cs), WIDE if ord(c) >= WIDE_FROM else CAPITAL if "A" <= c <= "Z" else OTHER)
 
 
+class _Widths(dict):
+    """Characters' widths as they are met."""
+
+    def __init__(self, widths: Mapping[str, int]):
+        self.given = widths
+
+    def __missing__(self, c: str) -> int:
+        self[c] = char_width(c, self.given)
+        return self[c]
+
+
 class Setter:
     """A text's words and prefix sums of its characters' widths: lines of any width are found by search."""
 
     def __init__(self, text: str, widths: Mapping[str, int] = WIDTHS):
-        held: dict[str, int] = {}
-        self.at = np.concatenate([[0], np.cumsum([held.setdefault(c, char_width(c, widths)) for c in text])]).astype(np.int64).tolist() if text else [0]
+        held = widths if isinstance(widths, _Widths) else _Widths(widths)
+        self.at = [*accumulate(map(held.__getitem__, text), initial=0)]
         # where a line may end: before each run of blanks; and where the next one then begins: after it
-        self.ends, self.begins, i, n = [], [], 0, len(text)
-        while i < n:
-            if text[i] == " ":
-                j = i
-                while j < n and text[j] == " ":
-                    j += 1
-                self.ends.append(i)
-                self.begins.append(j)
-                i = j
-            else:
-                i += 1
-        self.ends.append(n)
-        self.begins.append(n)
-
-    def lines(self, width: float) -> int:
+        blanks = [m.span() for m in re.finditer(" +", text)]
+        self.ends, self.begins = [b for b, _ in blanks] + [len(text)], [e for _, e in blanks] + [len(text)]
+
+    def lines(self, width: float, most: float = math.inf) -> int:
         """Lines of a text set in ``width`` eighths of a size. Blanks at a break vanish; a longer word is broken anywhere,
-        with one character a line at least."""
+        with one character a line at least. Those after the first over ``most`` are not counted."""
         at, n, count, i = self.at, self.ends[-1], 0, 0
-        while i < n:
+        while i < n and count <= most:
             count += 1
             reach = bisect_right(at, at[i] + width) - 1  # the last place that the line may reach
             if reach >= n:
@@ -178,13 +180,26 @@ class Setter:
 
 def fitted(setter: Setter, size: float, width: float, available: float, line: float = LINE) -> tuple[float, int]:
     """The largest size from ``size`` down, by steps of 8 % (half a point at least), at which the lines fit; and their
-    number. The least size is taken as it is."""
-    size = max(LEAST_SIZE, min(LARGEST, size))
-    while True:
-        n = setter.lines(width * 8 / size)
-        if size <= LEAST_SIZE or n * size * line <= available:
-            return size, n
-        size = max(LEAST_SIZE, size - max(STEP, size * SHRINK))
+    number. The least size is taken as it is.
+
+    A smaller size has no more lines (of a text that does not begin with blanks), so the first that fits is found by
+    halving, and no more lines are counted than fit: all of them at the least size alone.
+    """
+    sizes = [max(LEAST_SIZE, min(LARGEST, size))]
+    while sizes[-1] > LEAST_SIZE:
+        sizes.append(max(LEAST_SIZE, sizes[-1] - max(STEP, sizes[-1] * SHRINK)))
+
+    def lines(k: int) -> int | None:
+        """Lines at a size, if they fit."""
+        n = setter.lines(width * 8 / sizes[k], available / (sizes[k] * line) + 1)
+        return n if n * sizes[k] * line <= available else None
+
+    low, high, found = 0, len(sizes) - 1, None
+    while low < high:
+        at = (low + high) // 2 if low else 0  # most texts fit as they are
+        n = lines(at)
+        low, high, found = (low, at, n) if n is not None else (at + 1, high, found)
+    return sizes[low], setter.lines(width * 8 / sizes[low]) if found is None or low == len(sizes) - 1 else found
 
 
 def refit(text: Column, size: Column, width: Column, height: Column, room: Column, widths: Mapping[str, int] = WIDTHS) -> Column:
@@ -196,6 +211,7 @@ def refit(text: Column, size: Column, width: Column, height: Column, room: Colum
 
     @F.pandas_udf("struct<size:double,n_lines:int>")
     def run(t: pd.Series, s: pd.Series, w: pd.Series, a: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fitted(Setter(" ".join((x or "").split()), widths), *v) for x, *v in zip(t, s, w, a, strict=True)], columns=["size", "n_lines"])
+        held = _Widths(widths)
+        return pd.DataFrame([fitted(Setter(" ".join((x or "").split()), held), *v) for x, *v in zip(t, s, w, a, strict=True)], columns=["size", "n_lines"])
 
     return run(text, size.cast("double"), width.cast("double"), (height + F.greatest(F.lit(0.0), room)).cast("double"))

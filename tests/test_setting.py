@@ -34,6 +34,22 @@ def test_lines():
         assert geometry.Setter(text).lines(width) == plain_lines(text, width), (text, width)
 
 
+def test_sizes_are_found_by_halving(monkeypatch):
+    """The size of the plain way down, in a few tries, and lines over those that fit are not counted."""
+    r, tried, whole = random.Random(4), [], geometry.Setter.lines
+    monkeypatch.setattr(geometry.Setter, "lines", lambda self, *a: tried.append(whole(self, *a)) or tried[-1])
+    for n in [*range(0, 60), 20_000]:
+        setter = geometry.Setter(" ".join("".join(r.choice("abiMW中.É") for _ in range(r.choice([1, 2, 5, 30]))) for _ in range(n)))
+        size, width, room = r.choice([5.0, 12.0, 30.0, 90.0]), r.uniform(20, 500), r.uniform(1, 400)
+        plain = max(6.5, min(72.0, size))
+        while plain > 6.5 and whole(setter, width * 8 / plain) * plain * geometry.LINE > room:
+            plain = max(6.5, plain - max(0.5, plain * 0.08))
+        tried.clear()
+        assert geometry.fitted(setter, size, width, room) == (plain, whole(setter, width * 8 / plain))
+        assert len(tried) <= 8
+    assert len([n for n in tried if n > 1000]) <= 1
+
+
 def test_refit(spark):
     rows = [(1, "short", 12.0, 100.0, 20.0, 0.0), (2, "word " * 40, 12.0, 100.0, 20.0, 500.0), (3, "word " * 400, 72.5, 100.0, 20.0, 0.0), (4, None, 12.0, 100.0, 1.0, -5.0), (5, "  ", 99.0, 10.0, 100.0, 0.0), (6, "W" * 50, 10.0, 1.0, 1.0, 1.0), (7, "word " * 40, 12.0, 100.0, 20.0, 60.0)]
     df = spark.createDataFrame(rows, "id int, text string, size double, w double, h double, room double")
