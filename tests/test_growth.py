@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import catalogue, integrity
+from quire.operators import catalogue, integrity, profile
 
 
 def test_admission_of_many_equal_models(spark):
@@ -25,3 +25,20 @@ def test_figures_that_stand_in_both_are_not_invented(spark):
     assert [tuple(r) for r in got.where("not (a and b)").collect()] == []
     same = spark.createDataFrame([(c,) for c in ("a b", " a\tb", "a b\xa0c", "Stück für", "")], "c string")
     assert same.where(T.letters_of(F.col("c")) != T.letters(F.col("c"))).count() == 0
+
+
+def test_what_terms_come_from_is_gone_through_once(spark):
+    """A name with many renderings is one range, and the rows that terms are made from are read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p.assign(source="name" + (p["id"] % 2).astype(str), rendering="r" + p["id"].astype(str))[["source", "rendering"]]
+
+    terms = spark.range(4_000).mapInPandas(made, "source string, rendering string")
+    texts = spark.createDataFrame([(1, "no such"), (2, "has name1 and name0"), (3, "name1name1"), (4, None)], "id int, text string")
+    got = {r["id"]: [tuple(t) for t in r["terms"]] for r in profile.applicable(texts, ["id"], terms, by="source").collect()}
+    of = lambda k: sorted((f"name{k}", f"r{i}") for i in range(k, 4_000, 2))
+    assert got == {1: [], 2: of(0) + of(1), 3: of(1), 4: []}
+    assert seen.value == 4_000
