@@ -71,3 +71,15 @@ def test_chains_are_settled_in_order(spark):
     df = spark.createDataFrame([("d", 0, i, t) for i, t in enumerate((a, b, c))], ROWS)
     for small in (0, 9):
         assert sorted(r["ord"] for r in repeats.kept_first(df, ["doc", "page"], small=small).collect()) == [0, 2]
+
+
+def test_unlike_texts_need_no_distance(monkeypatch):
+    """Only texts that share most of their pieces are compared, and none that are similar is missed."""
+    r, worked = random.Random(12), []
+    monkeypatch.setattr(repeats, "text_similarity", lambda a, b: worked.append(1) or text_similarity(a, b))
+    base = ["".join(r.choice("etaoin shrdlu") for _ in range(n)) for n in (0, 4, 9, 10, 11, 19, 20, 21, 49, 50, 51, 100, 101, 300, 300, 300)]
+    texts = base + [edited(r, t, s) for t in base for s in (0.02, 0.07, 0.09, 0.1, 0.11, 0.15) for _ in range(6)]
+    pairs = [(a, b) for a in base for b in texts]
+    assert [repeats.repeats_one([a], b) for a, b in pairs] == [text_similarity(a, b) > 0.9 for a, b in pairs]
+    worked.clear()
+    assert not repeats.repeats_one([t for t in base if len(t) == 300][:2], "".join(r.choice("etaoin shrdlu") for _ in range(300))) and not worked
