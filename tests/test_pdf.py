@@ -47,3 +47,28 @@ def test_no_pages(spark):
     assert got["a.pdf"] == (7, None) and got["b.pdf"] == (0, "no pages") and got["c.pdf"] == (0, "no pages") and got["d.pdf"] == (0, "encrypted") and got["e.pdf"] == (1, None) and got["f.pdf"] == (0, "no pages")
     rows = pdf.pages(df.withColumn("page", F.lit("clash"))).where("path = 'a.pdf'").sort("page").collect()
     assert [(r["page"], r["n_pages"], r["width"]) for r in rows] == [(k, 7, 500.0 if k % 5 == 0 else 600.0) for k in range(7)]
+
+
+def test_calls_a_page():
+    """A page takes few calls, whatever stands in its object."""
+    import sys
+
+    calls = [0]
+    data = pdf.made(200, False)
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        n = len(list(pdf.File(data).pages()))
+    finally:
+        sys.setprofile(None)
+    assert n == 200 and calls[0] < 20 * n
+
+
+def test_values():
+    deep = b"[" * 65 + b"]" * 65
+    assert pdf.value(deep, 0)[1] == len(deep)
+    with pytest.raises(pdf.Damaged):
+        pdf.value(b"[" + deep + b"]", 0)
+    for bad in (b"<< /A >>", b"[ >>", b"<< ]", b">>", b"", b"% /A", b"{", b"(a"):
+        with pytest.raises(pdf.Damaged):
+            pdf.value(bad, 0)
+    assert pdf.value(b"<< /A%x /B\n(a(b)\\)c) /B#41 [1 0 R 1 0 Rx -3.5 <41>]>> z", 0) == ({b"/A": b"a(b)\\)c", b"/BA": [pdf.Ref(1), 1, 0, b"Rx", -3.5, b"41"]}, 53)
