@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pack import Pack
+from ..sources.shared import parts
 
 PAGE = ["doc_id", "page"]
 #: X bins, empty bins of a gutter, bins that lines span, lines of a page and of each side.
@@ -232,7 +233,7 @@ def text_layer(characters: DataFrame, pages: DataFrame) -> DataFrame:
     types = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for d, p, *box, cs in zip(*[b.column(n).to_pylist() for n in (*PAGE, "left", "bottom", "width", "height", "cs")], strict=True):
                 rows += [(d, p, i, t, 1.0, *xywh) for i, (t, xywh) in enumerate(layer_lines([(c["c"], c["x"], c["y"], c["w"], c["h"]) for c in cs], tuple(box)))]

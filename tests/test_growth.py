@@ -42,3 +42,13 @@ def test_what_terms_come_from_is_gone_through_once(spark):
     of = lambda k: sorted((f"name{k}", f"r{i}") for i in range(k, 4_000, 2))
     assert got == {1: [], 2: of(0) + of(1), 3: of(1), 4: []}
     assert seen.value == 4_000
+
+
+def test_parts_of_a_batch():
+    import pyarrow as pa
+
+    from quire.sources import shared
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(600))})
+    got = list(shared.parts([batch, batch.slice(0, 0), batch.slice(0, 3)]))
+    assert [b.num_rows for b in got] == [256, 256, 88, 3] and [x for b in got[:3] for x in b.column("n").to_pylist()] == list(range(600))
