@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +69,19 @@ class Reader:
             out += said.split(" ")
         return out if out and len(out) == len(run) else None
 
+    def column(self, runs: pa.Array) -> pa.Array:
+        """The readings of a batch's runs, each different run read once; null for empty and null ones."""
+        held = runs.dictionary_encode()
+        return pa.array([self(x) if x else None for x in held.dictionary.to_pylist()], pa.list_(pa.string())).take(held.indices)
+
 
 def romanized(c: Column, known: Mapping[str, str]) -> Column:
     """A text's syllables as an array, over Arrow batches; null where :class:`Reader` gives none."""
     read = Reader(known)
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([read(x) if x else None for x in s], dtype=object)
+    @F.arrow_udf("array<string>")
+    def run(s: pa.Array) -> pa.Array:
+        return read.column(s)
 
     return run(c)
 

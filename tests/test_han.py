@@ -55,3 +55,17 @@ def test_readings_by_runs(spark):
     assert got == {1: ["Buluofenhuanshi"], 2: [], 3: ["chongqingshi"], 4: [], 5: []}
     names = spark.range(1).select(profile.parsed_names(F.lit("NAME: 布洛芬 | Bu-luo-fen\nNAME: 布洛芬 | ibuprofen | a drug\nNAME: 重庆 | Chongqing"), known).alias("n")).first()["n"]
     assert [n["rendering"] for n in names] == ["ibuprofen"]
+
+
+def test_a_run_is_read_once_a_batch():
+    import pyarrow as pa
+
+    class Counted(romanize.Reader):
+        asked = 0
+
+        def __call__(self, run):
+            Counted.asked += 1
+            return super().__call__(run)
+
+    got = Counted(SYLLABLES).column(pa.array(["服用", None, "布", "", "服用", "甲", "布"])).to_pylist()
+    assert got == [["fu", "yong"], None, ["bu"], None, ["fu", "yong"], None, ["bu"]] and Counted.asked == 3
