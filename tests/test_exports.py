@@ -36,3 +36,24 @@ def test_failed_run_leaves_nothing(spark, tmp_path):
     assert exports.read(spark, path).count() == 0
     exports.write(rows.limit(0), path)
     assert exports.read(spark, path).count() == 0
+
+
+def test_styled_pages_by_one_shuffle(spark):
+    from quire.operators import export
+
+    blocks = spark.createDataFrame([("a", 1, 1, "second"), ("a", 1, 0, "first"), ("a", 9, 0, "beyond"), ("a", None, 0, "nowhere"), ("b", 0, 0, "only"), ("z", 0, 0, "of no document")], "doc_id string, page int, ord int, text string")
+    blocks = blocks.withColumns({"kind": F.lit("paragraph"), "source": F.col("text"), "band": F.lit("high"), "reasons": F.array().cast("array<string>")})
+    docs = spark.createDataFrame([("a", 4), ("b", 1), ("c", 2), ("d", 0)], "doc_id string, n_pages int").withColumns({"name": F.lit("n"), "provenance": F.array().cast("array<string>"), "source_lang": F.lit("de"), "target_lang": F.lit("en")})
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        df = export.styled(blocks, docs)
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+        got = {r["doc_id"]: r["body"].removeprefix("# n\n\n\n") for r in df.collect()}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    page = [f"## Page {k}\n\n" for k in range(5)]
+    assert got == {"a": page[1] + page[2] + "first\n\nsecond\n\n" + page[3] + page[4], "b": "only\n\n", "c": page[1] + page[2], "d": ""}
