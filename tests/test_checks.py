@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.pack import CHINESE, DIACRITIC
-from quire.operators import translate
+from quire.operators import export, translate
 
 
 def test_similarity_of_texts_that_hold_one_another(spark):
@@ -46,3 +46,23 @@ def test_blocks_that_are_not_asked_are_dealt(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cursors_stand_where_a_sorted_queue_has_them(spark):
+    """Scores that tie or are null, several cursors of a queue, wrapping ones and ones without a queue; the queue is worked out once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rows = [(g, None if i % 11 == 5 else (i * 7 % 4) / 4, i % 5, i) for g in (1, 2) for i in range(60 + g)]
+    queue = spark.createDataFrame(rows, "group int, score double, page int, ord int").mapInPandas(made, "group int, score double, page int, ord int")
+    at = [(1, 0), (1, 60), (1, 61), (1, 1000), (2, 7), (2, 7), (2, -1), (3, 4)]
+    got = export.queue_target(queue, spark.createDataFrame(at, "group int, at int"), ["group"]).select("group", "at", "score", "page", "ord", "of").collect()
+    of = {g: sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])) for g in (1, 2)}
+    want = [(g, n, *of[g][n % len(of[g])][1:], len(of[g])) for g, n in at if g in of and n >= 0]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert seen.value == len(rows)
