@@ -13,9 +13,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .shared import HELD, parts
+
 SCHEMA = "doc_id string, name string, body string"
 #: What tells how each file came out, beside the files; and where a task's files wait until all tasks are done.
 OUTCOMES, WAITING = "outcomes.jsonl", "_waiting"
+#: Characters that a batch of read files holds, but for its last file.
+MOST = 4_000_000
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
@@ -43,7 +47,7 @@ class _Writer(DataSourceArrowWriter):
         fs.create_dir(home, recursive=True)
         files = failed = 0
         with fs.open_output_stream(posixpath.join(home, OUTCOMES)) as told:
-            for b in batches:
+            for b in parts(batches):
                 for doc_id, name, body in zip(*[b.column(c).to_pylist() for c in ("doc_id", "name", "body")], strict=True):
                     raw, error = (body or "").encode("utf-8", "replace"), None
                     try:
@@ -88,6 +92,10 @@ def _inside(home: str, doc_id: str | None, name: str | None) -> str:
     return posixpath.join(home, "null" if doc_id is None else "id-" + doc_id.encode("utf-8", "replace").hex(), name)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["doc_id", "name", "body"])
+
+
 @dataclass
 class Folder(InputPartition):
     path: str
@@ -103,16 +111,24 @@ class _Reader(DataSourceReader):
         fs, root = _place(self.path)
         return [Folder(f.path) for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("part-")] or [Folder("")]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        """Files in batches of up to HELD files and about 4 MB: as rows, Spark would hold 10,000 of them as objects."""
         if not partition.path:
             return
         fs, _ = _place(self.path)
+        held, room = [], 0
         for f in fs.get_file_info(pafs.FileSelector(partition.path, recursive=True)):
             folder = posixpath.basename(posixpath.dirname(f.path))
             if f.type == pafs.FileType.File and folder != posixpath.basename(partition.path):
                 doc_id = None if folder == "null" else bytes.fromhex(folder[3:]).decode("utf-8", "replace")
                 with fs.open_input_stream(f.path) as s:
-                    yield doc_id, f.base_name, s.read().decode("utf-8", "replace")
+                    held.append((doc_id, f.base_name, s.read().decode("utf-8", "replace")))
+                room += len(held[-1][2])
+                if len(held) >= HELD or room >= MOST:
+                    yield _batch(held)
+                    held, room = [], 0
+        if held:
+            yield _batch(held)
 
 
 class ExportSource(DataSource):

@@ -66,3 +66,18 @@ def test_cursors_stand_where_a_sorted_queue_has_them(spark):
     key = lambda r: tuple((x is not None, x or 0) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert seen.value == len(rows)
+
+
+def test_exported_files_are_read_in_small_batches(tmp_path):
+    """A task that reads files holds a few hundred, or a few long ones, at a time."""
+    import pyarrow as pa
+
+    from quire.sources import exports
+
+    rows = [(str(i), "a.txt", "é" * 900_000 if i >= 600 else f"text {i}") for i in range(610)]
+    w = exports._Writer(str(tmp_path / "out"), False)
+    w.commit([w.write(iter([pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["doc_id", "name", "body"])]))])
+    reader = exports._Reader(str(tmp_path / "out"))
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert all(isinstance(b, pa.RecordBatch) and b.num_rows <= exports.HELD and sum(map(len, b.column("body").to_pylist())) < exports.MOST + 900_000 for b in got)
+    assert sorted(r for b in got for r in zip(*[c.to_pylist() for c in b.columns], strict=True)) == sorted(rows)
