@@ -83,3 +83,19 @@ def test_unlike_texts_need_no_distance(monkeypatch):
     assert [repeats.repeats_one([a], b) for a, b in pairs] == [text_similarity(a, b) > 0.9 for a, b in pairs]
     worked.clear()
     assert not repeats.repeats_one([t for t in base if len(t) == 300][:2], "".join(r.choice("etaoin shrdlu") for _ in range(300))) and not worked
+
+
+def test_groups_stay_together_where_a_join_becomes_a_broadcast(spark):
+    """The join with the large groups is planned by shuffle and becomes a broadcast as it runs; small groups stay in one task each."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        r = random.Random(4)
+        base = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1500)) for _ in range(40)]
+        given = [(f"d{d}", 0, i, "#" * i + t[i:]) for d, t in enumerate(base) for i in range(3)] + [("large", 0, i, f"{i}" * 9) for i in range(9)]
+        got = sorted(map(tuple, repeats.kept_first(spark.createDataFrame(given, ROWS), ["doc", "page"], small=5).collect()), key=repr)
+        assert got == plain(given) and len(got) == 49
+    finally:
+        for k in held:
+            spark.conf.unset(k)
