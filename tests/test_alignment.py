@@ -127,3 +127,44 @@ def test_groups_are_spread_over_tasks(spark):
     rows = [(g, i, t) for g in range(40) for i, t in enumerate(("a few words", "and some more"))]
     a, b = (spark.createDataFrame(rows, "g int, ord int, text string") for _ in range(2))
     assert reconcile.align(a, b, ["g"]).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_tables_are_aligned_by_whole_texts(spark):
+    """What differs beyond the first two thousand characters counts, in one text and in several joined."""
+    r = random.Random(9)
+    a, b, c = ("".join(sentence(r) for _ in range(120)) for _ in range(3))
+    left = [a[:2100] + b[:2000], c[:3000]]
+    right = [a[:2100] + "#" * 2000, c[:700], c[700:1500], c[1500:2300]]
+    t = [spark.createDataFrame([(1, i, x) for i, x in enumerate(side)], "g int, ord int, text string") for side in (left, right)]
+    got = [(x["n_left"], x["n_right"], x["similarity"]) for x in reconcile.align(*t, ["g"]).sort("pair").collect()]
+    distance = lambda x, y: 1 - reconcile._distance(x, y) / max(len(x), len(y))
+    assert got == [(1, 1, distance(left[0], right[0])), (1, 3, distance(left[1], c[:2300]))] and 0.4 < got[0][2] < 0.6
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_whole_texts_against_the_full_table(seed):
+    """Whole texts of several thousand characters, against every move scored on whole texts."""
+    r = random.Random(100 + seed)
+    left = ["".join(sentence(r) for _ in range(n)) for n in (1, 60, 70, 2, 50)] + ["", "short"]
+    right = other_reading(r, left) if seed % 2 else [x[i : i + 900] for x in left for i in range(0, len(x) or 1, 900)]
+    whole = {}
+
+    def similar(x, y):
+        if (x, y) not in whole:
+            whole[x, y] = float(x == y) if not x or not y or x == y else 1 - reconcile._distance(x, y) / max(len(x), len(y))
+        return whole[x, y]
+
+    best, came = {(0, 0): 0.0}, {}
+    for i in range(len(left) + 1):
+        for j in range(len(right) + 1):
+            for a, b in [(1, 0), (0, 1), *((1, k) for k in range(1, MERGED + 1)), *((k, 1) for k in range(2, MERGED + 1))]:
+                if a <= i and b <= j:
+                    earned = similar("".join(left[i - a : i]), "".join(right[j - b : j])) - FLOOR if a and b else GAP
+                    if (i, j) not in came or best[i - a, j - b] + earned > best[i, j]:
+                        best[i, j], came[i, j] = best[i - a, j - b] + earned, (a, b)
+    want, i, j = [], len(left), len(right)
+    while i or j:
+        a, b = came[i, j]
+        want.append((range(i - a, i), range(j - b, j), similar("".join(left[i - a : i]), "".join(right[j - b : j])) if a and b else 0.0))
+        i, j = i - a, j - b
+    assert reconcile.align_texts(left, right, reconcile.WHOLE) == want[::-1]
