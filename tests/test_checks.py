@@ -1,10 +1,13 @@
 """Shortcuts of the checks give what the whole way gives."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.pack import CHINESE, DIACRITIC
 from quire.operators import export, translate
+from quire.operators.reconcile import _distance
 
 
 def test_similarity_of_texts_that_hold_one_another(spark):
@@ -81,3 +84,43 @@ def test_exported_files_are_read_in_small_batches(tmp_path):
     got = [b for p in reader.partitions() for b in reader.read(p)]
     assert all(isinstance(b, pa.RecordBatch) and b.num_rows <= exports.HELD and sum(map(len, b.column("body").to_pylist())) < exports.MOST + 900_000 for b in got)
     assert sorted(r for b in got for r in zip(*[c.to_pylist() for c in b.columns], strict=True)) == sorted(rows)
+
+
+def test_whole_texts_are_compared(spark):
+    """What differs beyond the first two thousand characters counts, in a likeness and in a translation that echoes its source."""
+    r = random.Random(6)
+    a, b, c, d = ("".join(r.choice("etaoin shrdlu") for _ in range(2500)) for _ in range(4))
+    # a tenth of the whole, and one edit less, all beyond the beginning
+    tenth = a + "#" * 249 + b[249:2499]
+    rows = [(a + b, a + c), (a + b, a + b[:2000] + d[:100]), (a + b[:2499], tenth), (a + b[:2499], tenth[:2748] + b[248:2499]), (a[:2000] + b, c[:2000] + b), (a + b, "x" + a + b), ("é" * 3000 + a, "é" * 3000 + b)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, b string").sort("i")
+    want = [1 - _distance(x, y) / max(len(x), len(y)) for x, y in rows]
+    assert [x[0] for x in df.select(T.similarity(F.col("a"), F.col("b"))).collect()] == want
+    assert [x[0] for x in df.select(T.echoes(F.col("a"), F.col("b"))).collect()] == [w > 0.9 for w in want] and {w > 0.9 for w in want} == {True, False}
+    none = F.lit(None).cast("string")
+    t = spark.createDataFrame([("ü" + a + b,)], "text string").select("text", F.lit("paragraph").alias("kind"), none.alias("context"), F.array().cast("array<string>").alias("context_reasons"), F.lit("single").alias("settlement"), F.lit("visionOCR").alias("reader"), none.alias("because"), F.lit(None).cast("double").alias("agreement"))
+    end = d * 2
+    found = translate.translated(t, lambda text, context: text[:2500] + end[: len(text) - 2500], None, None, DIACRITIC).collect()[0]["findings"]
+    assert "echoedSource" not in [f["kind"] for f in found]
+
+
+def test_likeness_told_by_counts(spark):
+    """What counts and places tell of two texts is what their distance tells, around a tenth of edits, with letters of every width."""
+    r = random.Random(8)
+    rows = []
+    for n in (1, 9, 10, 11, 30, 100, 101, 300):
+        for kind in ("etaoin", "ETAOIN é", "aÉ漢𝔘 x"):
+            for share in (0.0, 0.09, 0.1, 0.12, 0.2, 0.4):
+                for how in ("in place", "anywhere", "at the end", "capitals"):
+                    x = [r.choice(kind) for _ in range(n)]
+                    y = [*x]
+                    for at in r.sample(range(n), int(n * share)):
+                        y[at] = y[at].upper() if how == "capitals" else r.choice("Xü𝔅") if how == "in place" else y[at]
+                    for _ in range(int(n * share) if how in ("anywhere", "at the end") else 0):
+                        at = r.randrange(len(y) + 1) if how == "anywhere" else len(y)
+                        y[at : at + r.choice([0, 1])] = [r.choice("Xü𝔅"), ""][: r.choice([1, 2])][-1:]
+                    rows.append(("".join(x), "".join(y)))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, b string").sort("i")
+    want = [1 - _distance(x, y) / max(len(x), len(y)) > 0.9 for x, y in rows]
+    assert [x[0] for x in df.select(T.echoes(F.col("a"), F.col("b"))).collect()] == want and 100 < sum(want) < len(want) - 100
+    assert [x[0] for x in df.select(T.echoes(F.col("b"), F.col("a"))).collect()] == want
